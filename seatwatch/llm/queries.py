@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, near_dedup, quality, toxicity
+from . import decontamination, html_layout, license_scan, media_columns, mixing, near_dedup, quality, toxicity, url_filter, web_archive
+from .tables import shared_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,11 +32,26 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated_passages(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns.text_media(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+
+
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_layout.extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return mixing.mix_sources(docs, mixing.cyclic_weights(docs, [5, 2, 1]), share=1.5, max_epochs=2.0)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/warc"
+    web_archive.write_archive(_table(spark, sf_dir, "pages"), folder, least=100)
+    archive = web_archive.read_archive(spark, folder)
+    return archive.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.fit_toxicity(docs, _table(spark, sf_dir, "labels"), train=~held_out())
@@ -43,12 +59,37 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return license_scan.scan_licenses(docs, license_scan.fit_licenses(license_scan.foreign_lines(docs)))
+
+
+#: verdict and rule of op10_urls.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's outcome is the label of the document its url ends in: bad if it is poor or toxic."""
+    pages = _table(spark, sf_dir, "pages")
+    bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 0)
+    labels = _table(spark, sf_dir, "labels").select("doc_id", bad.alias("bad")).groupBy("doc_id").agg(F.max("bad").alias("bad"))
+    number = F.regexp_extract(url_filter.url_path(F.col("url")), r"/([0-9]{1,18})$", 1)
+    outcomes = pages.select(url_filter.url_host(F.col("url")).alias("host"), F.when(number != "", number).cast("long").alias("doc_id")).join(labels, "doc_id")
+    judged = url_filter.judge_urls(pages, url_filter.rule_table(spark, URL_RULES), outcomes)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_near_dedup": op2_near_dedup,
     "op3_decontamination": op3_decontamination,
+    "op4_media": op4_media,
+    "op5_html": op5_html,
     "op6_mixing": op6_mixing,
+    "op7_warc": op7_warc,
     "op8_toxicity": op8_toxicity,
+    "op9_licenses": op9_licenses,
+    "op10_urls": op10_urls,
 }
 
 _SETS = r"""
@@ -97,4 +138,47 @@ ordered AS (
     coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.k, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM sized s JOIN parts p ON s.source IS NOT DISTINCT FROM p.source)
 SELECT doc_id, size, source_size, target, CAST(whole * size + least(greatest(goal - before, 0), size) AS BIGINT) AS taken FROM ordered""",
+    "op7_warc": """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+r AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+  CASE WHEN n >= 100 AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND page_id IS DISTINCT FROM first THEN first END AS refers_to FROM r""",
+    "op10_urls": r"""
+WITH parts AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+seen AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts),
+named AS (
+  SELECT *, split_part(host, '.', -1) AS last,
+    CASE WHEN contains(host, '.') THEN split_part(host, '.', -2) || '.' || split_part(host, '.', -1) ELSE host END AS two,
+    try_cast(nullif(regexp_extract(path, '/([0-9]{1,18})$', 1), '') AS BIGINT) AS doc_id FROM seen),
+flags AS (
+  SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NOT NULL OR toxic IS NOT NULL THEN 0 END) AS bad FROM labels GROUP BY doc_id),
+outcomes AS (
+  SELECT host, two AS domain, last AS suffix, sum(bad) AS k, count(*) AS n FROM named JOIN flags USING (doc_id)
+  WHERE bad IS NOT NULL AND host <> '' GROUP BY ALL),
+base AS (SELECT (coalesce(sum(k), 0) + 0.5::DOUBLE) / (coalesce(sum(n), 0) + 1) AS mu FROM outcomes),
+s0 AS (SELECT suffix, sum(k) AS k, sum(n) AS n, (SELECT mu FROM base) AS prior FROM outcomes GROUP BY suffix),
+s1 AS (SELECT 1 / least(greatest(coalesce(sum((k - n * prior) ** 2 - n * prior * (1 - prior)) / nullif(sum(n * (n - 1) * prior * (1 - prior)), 0), 0), 0.005), 0.5) - 1 AS m FROM s0),
+s AS (SELECT suffix, m + n AS strength, (k + m * prior) / (m + n) AS mean FROM s0, s1),
+d0 AS (SELECT domain, o.suffix, sum(k) AS k, sum(n) AS n, any_value(s.mean) AS prior FROM outcomes o JOIN s ON o.suffix = s.suffix GROUP BY domain, o.suffix),
+d1 AS (SELECT 1 / least(greatest(coalesce(sum((k - n * prior) ** 2 - n * prior * (1 - prior)) / nullif(sum(n * (n - 1) * prior * (1 - prior)), 0), 0), 0.005), 0.5) - 1 AS m FROM d0),
+d AS (SELECT domain, m + n AS strength, (k + m * prior) / (m + n) AS mean FROM d0, d1),
+h0 AS (SELECT host, k, n, d.mean AS prior FROM outcomes o JOIN d ON o.domain = d.domain),
+h1 AS (SELECT 1 / least(greatest(coalesce(sum((k - n * prior) ** 2 - n * prior * (1 - prior)) / nullif(sum(n * (n - 1) * prior * (1 - prior)), 0), 0), 0.005), 0.5) - 1 AS m FROM h0),
+h AS (SELECT host, m + n AS strength, (k + m * prior) / (m + n) AS mean FROM h0, h1),
+bounds AS (
+  SELECT n.page_id, n.host, n.path, coalesce(h.mean - sqrt(h.mean * (1 - h.mean) / (h.strength + 1)), d.mean - sqrt(d.mean * (1 - d.mean) / (d.strength + 1)),
+    s.mean - sqrt(s.mean * (1 - s.mean) / (s.strength + 1))) AS bound
+  FROM named n LEFT JOIN h ON n.host = h.host LEFT JOIN d ON n.two = d.domain LEFT JOIN s ON n.last = s.suffix),
+ruled AS (
+  SELECT *, CASE WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM bounds)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+  WHEN bound > 0.5 THEN 'block' ELSE 'allow' END AS verdict FROM ruled""",
 }
