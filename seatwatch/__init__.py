@@ -1 +1,11 @@
-"""Engine for reviewing motion and detection events, built on the DataFrame API."""
+"""Engine for reviewing motion and detection events, built on the DataFrame API.
+
+Python functions travel to the executors by value, so a cluster needs no copy of
+the package on its workers.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
