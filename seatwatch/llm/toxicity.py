@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import labelled_sample
+from .tables import written
 from .text_arrays import char_codes, gram_buckets
 
 BITS = 20
@@ -44,59 +45,31 @@ def gram_sets(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
-def _likelihood_ratio(pos: np.ndarray, neg: np.ndarray, n1: int, n0: int) -> np.ndarray:
-    """G squared of each n-gram's presence against the class."""
+def fit_features(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, sizes: tuple[int, int], l2: float = 3e-4, steps: int = 400) -> tuple[np.ndarray, float]:
+    """Logistic regression on presences scaled by ``ratio`` -> (weight of each feature's presence, bias).
 
-    def term(seen, expected):
-        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9)), 0)
-
-    both = pos + neg
-    n = n1 + n0
-    return 2 * (term(pos, both * n1 / n) + term(neg, both * n0 / n) + term(n1 - pos, (n - both) * n1 / n) + term(n0 - neg, (n - both) * n0 / n))
-
-
-def fit_sets(sets: list[np.ndarray], y: np.ndarray, sizes: tuple[int, int], features: int = 8192, least: float = 16.0, smoothing: float = 1.0, l2: float = 3e-4, steps: int = 400) -> ToxicityModel:
-    """``sizes``: the labelled rows of class 0 and 1 that the sample stands for; they set the bias."""
-    total = max(sum(sizes), 1)
+    rows: each text's indices into ratio.  ``sizes``: the labelled rows of class 0 and 1 that the
+    sample stands for; rows weigh as if the classes had these sizes.
+    """
     prior = float(np.log((sizes[1] + 0.5) / (sizes[0] + 0.5)))
-    none = ToxicityModel(np.zeros(0, np.int32), np.zeros(0), prior, {"labelled": total})
-    if not len(sets) or y.min() == y.max():
-        return none
-    width = len(ORDERS) << BITS
-    pos = np.zeros(width, np.int32)
-    neg = np.zeros(width, np.int32)
-    for s, label in zip(sets, y):
-        (pos if label else neg)[s] += 1
-    p, q = pos + smoothing, neg + smoothing
-    n1, n0 = int(y.sum()), int(len(y) - y.sum())
-    ratio = np.log((p / (n1 + 2 * smoothing)) / (q / (n0 + 2 * smoothing)))
-    telling = _likelihood_ratio(pos, neg, n1, n0)
-    keep = np.argsort(-telling, kind="stable")[:features]
-    keep = np.sort(keep[telling[keep] >= least]).astype(np.int32)
-    if not len(keep):
-        return none
-    r = ratio[keep]
-    place = np.full(width, -1, np.int32)
-    place[keep] = np.arange(len(keep))
-    rows = [place[s] for s in sets]
-    rows = [x[x >= 0] for x in rows]
-    lengths = np.array([len(x) for x in rows])
-    cols, doc = np.concatenate(rows), np.repeat(np.arange(len(rows)), lengths)
-    x = r[cols]
-    # rows weigh as if the classes had their labelled sizes
-    weight = np.where(y == 1, sizes[1] / max(n1, 1), sizes[0] / max(n0, 1))
+    if not len(ratio) or not len(y) or y.min() == y.max():
+        return np.zeros(len(ratio)), prior
+    cols, doc = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+    x = ratio[cols]
+    n1 = int(y.sum())
+    weight = np.where(y == 1, sizes[1] / max(n1, 1), sizes[0] / max(len(y) - n1, 1))
     weight = weight / weight.sum()
-    w, b = np.zeros(len(keep)), prior
-    g2, gb2 = np.full(len(keep), 1e-8), 1e-8
+    w, b = np.zeros(len(ratio)), prior
+    g2, gb2 = np.full(len(ratio), 1e-8), 1e-8
     for _ in range(steps):  # full-batch gradient with per-weight step sizes
         eta = np.bincount(doc, x * w[cols], minlength=len(y)) + b
         err = weight * (1 / (1 + np.exp(-np.clip(eta, -40, 40))) - y)
-        grad = np.bincount(cols, x * err[doc], minlength=len(keep)) + l2 * w / len(y) ** 0.5
+        grad = np.bincount(cols, x * err[doc], minlength=len(ratio)) + l2 * w / len(y) ** 0.5
         g2 += grad * grad
         gb2 += err.sum() ** 2
         w -= 0.25 * grad / np.sqrt(g2)
         b -= 0.25 * err.sum() / np.sqrt(gb2)
-    return ToxicityModel(keep, w * r, float(b), {"labelled": total, "fitted_on": len(y), "features": len(keep)})
+    return w * ratio, float(b)
 
 
 def _presence_sums(texts: list[str], model: ToxicityModel, lookup: np.ndarray) -> np.ndarray:
@@ -141,20 +114,66 @@ def toxicity_score(text: Column, model: ToxicityModel) -> Column:
     return score(text)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column | None = None, per_class: int = 4000, **options) -> ToxicityModel:
-    """Fits on at most ``per_class`` labelled texts of each class (see labelled_sample)."""
+def _class_counts(texts: DataFrame) -> DataFrame:
+    """(feature, pos, neg): in how many toxic and other texts each n-gram is; tasks add up before they send."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((2, len(ORDERS) << BITS), np.int32)
+        for b in batches:
+            for lo in range(0, b.num_rows, 64):
+                part = b.slice(lo, 64)
+                for s, label in zip(gram_sets(part.column("text").to_pylist()), part.column("label").to_pylist()):
+                    seen[label, s] += 1
+        at = np.flatnonzero(seen.any(0)).astype(np.int32)
+        for lo in range(0, len(at), 10000):
+            some = at[lo : lo + 10000]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[1, some]), pa.array(seen[0, some])], ["feature", "pos", "neg"])
+
+    return texts.select("label", "text").mapInArrow(count, "feature int, pos int, neg int").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
+
+def _likelihood_ratio(n1: int, n0: int) -> Column:
+    """G squared of an n-gram's presence (pos, neg) against the class."""
+    pos, neg = F.col("pos"), F.col("neg")
+    both, n = pos + neg, float(n1 + n0)
+    term = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+    return 2 * (term(pos, both * n1 / n) + term(neg, both * n0 / n) + term(n1 - pos, (n - both) * n1 / n) + term(n0 - neg, (n - both) * n0 / n))
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column | None = None, per_class: int = 4000, features: int = 8192, least: float = 16.0, smoothing: float = 1.0, **options) -> ToxicityModel:
+    """Fits on at most ``per_class`` labelled texts of each class (see labelled_sample).
+
+    Counts and selection run on the executors; the driver gets at most ``features`` n-grams and, for
+    each text of the sample, which of them it has.
+    """
     texts, sizes = labelled_sample(docs, labels, "toxic", per_class, [0, 1], train)
+    texts = written(texts.select("doc_id", "label", "text"))
+    had = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    n1, n0 = had.get(1, 0), had.get(0, 0)
+    stands_for = (sizes.get(0, 0), sizes.get(1, 0))
+    stats = {"labelled": sum(stands_for), "fitted_on": n1 + n0}
+    chosen = []
+    if n1 and n0:
+        ranked = _class_counts(texts).withColumn("g", _likelihood_ratio(n1, n0)).where(F.col("g") >= least)
+        chosen = sorted((r["feature"], r["pos"], r["neg"]) for r in ranked.orderBy(F.round("g", 6).desc(), "feature").limit(features).collect())
+    keep = np.array([f for f, _, _ in chosen], np.int32)
+    pos, neg = (np.array([c[i] for c in chosen], float) + smoothing for i in (1, 2))
+    ratio = np.log((pos / (n1 + 2 * smoothing)) / (neg / (n0 + 2 * smoothing)))
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.full(len(ORDERS) << BITS, -1, np.int32)
+        place[keep] = np.arange(len(keep))
         for b in batches:
             for lo in range(0, b.num_rows, 64):
                 part = b.slice(lo, 64)
-                sets = gram_sets(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "label", "grams"])
-
-    got = texts.select("doc_id", "label", "text").mapInArrow(featurise, "doc_id long, label int, grams binary").toArrow().sort_by("doc_id")
-    sets = [np.frombuffer(x.as_py(), np.int32) for x in got.column("grams")]
-    return fit_sets(sets, np.asarray(got.column("label")).astype(int), (sizes.get(0, 0), sizes.get(1, 0)), **options)
+                found = [place[s] for s in gram_sets(part.column("text").to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array([x[x >= 0].tobytes() for x in found], pa.binary())], ["doc_id", "label", "found"])
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    got = texts.mapInArrow(featurise, f"doc_id {kind}, label int, found binary").toArrow().sort_by("doc_id")
+    rows = [np.frombuffer(x.as_py(), np.int32) for x in got.column("found")]
+    weights, bias = fit_features(rows, np.asarray(got.column("label")).astype(int), ratio, stands_for, **options)
+    return ToxicityModel(keep, weights, bias, stats | {"features": len(keep)})
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
