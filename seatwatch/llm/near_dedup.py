@@ -93,8 +93,18 @@ class _Union:
         if i != j:
             self.up[max(i, j)] = min(i, j)
 
-    def stars(self) -> list[tuple[int, int]]:
-        return [(i, r) for i in range(len(self.up)) if (r := self.find(i)) != i]
+    def trees(self, keys: np.ndarray, fan: int = 16) -> np.ndarray:
+        """Index pairs (node, parent) that span each set: its nodes in order of key as a tree of ``fan``
+        children each, so that no node of a large set becomes a hub."""
+        sets: dict[int, list[int]] = {}
+        for i in range(len(self.up)):
+            if (r := self.find(i)) != i:
+                sets.setdefault(r, [r]).append(i)
+        out = []
+        for members in sets.values():
+            members.sort(key=lambda i: keys[i].tobytes())
+            out += [(members[k], members[(k - 1) // fan]) for k in range(1, len(members))]
+        return np.array(out, int).reshape(-1, 2)
 
 
 def document_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -181,7 +191,7 @@ def _equal_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def candidate_links(nodes: DataFrame, threshold: float, small: int = 8) -> DataFrame:
-    """(a, b): pairs of the small regions, and for the others stars of the chains, whose sketches allow a link."""
+    """(a, b): pairs of the small regions, and for the others trees over the chains, whose sketches allow a link."""
     floor = _sketch_floor(threshold)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,9 +221,9 @@ def candidate_links(nodes: DataFrame, threshold: float, small: int = 8) -> DataF
                 for i in range(len(own)):
                     for h in np.flatnonzero(_equal_hashes(own[i], other) >= floor).tolist():
                         u.join(i, h + shift)
-                stars = np.array(u.stars(), int).reshape(-1, 2)
-                a.append(keys[stars[:, 0]])
-                b.append(keys[stars[:, 1]])
+                ends = u.trees(keys)
+                a.append(keys[ends[:, 0]])
+                b.append(keys[ends[:, 1]])
             yield _links(a, b)
 
     return _block_pairs(_regions(nodes), "region", ["node", "sketch"]).mapInArrow(match, "a binary, b binary").distinct()
@@ -247,7 +257,7 @@ def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 
 def confirmed_links(docs: DataFrame, clusters: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b) links with 100 * |intersection| >= percent * |union|, a star of them for each block pair.
+    """(a, b) links with 100 * |intersection| >= percent * |union|, a tree of them for each block pair and class.
 
     docs (doc_id, text) of the clusters' representatives; clusters (doc_id, node, cluster, blocks).
     """
@@ -275,8 +285,8 @@ def confirmed_links(docs: DataFrame, clusters: DataFrame, words: int, percent: i
                 u = _Union(len(keys))
                 for j, h in zip(*(x.tolist() for x in np.nonzero(100 * common >= percent * (total - common)))):
                     u.join(j, h + shift)
-                stars = np.array(u.stars(), int).reshape(-1, 2)
-                yield _links([keys[stars[:, 0]]], [keys[stars[:, 1]]])
+                ends = u.trees(keys)
+                yield _links([keys[ends[:, 0]]], [keys[ends[:, 1]]])
 
     rows = docs.select("doc_id", "text").join(clusters, "doc_id")
     rows = rows.withColumn("_t", F.xxhash64("text")).dropDuplicates(["doc_id", "node", "_t"])  # repeated rows; the join's partitions serve

@@ -45,7 +45,7 @@ def gram_sets(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
-def fit_features(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, sizes: tuple[int, int], l2: float = 3e-4, steps: int = 400) -> tuple[np.ndarray, float]:
+def fit_features(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, sizes: tuple[int, int], l2: float = 1e-2, steps: int = 400) -> tuple[np.ndarray, float]:
     """Logistic regression on presences scaled by ``ratio`` -> (weight of each feature's presence, bias).
 
     rows: each text's indices into ratio.  ``sizes``: the labelled rows of class 0 and 1 that the
