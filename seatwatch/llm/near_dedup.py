@@ -14,8 +14,8 @@
    Jaccard values confirm links.
 4. Components of the confirmed links give each node its class.
 
-Texts without words have no set: each is a class of its own.  Null ids take part
-like other ids, and as class ids only where a class has no other.
+Texts without words have no set: each is a class of its own.  Rows that repeat an id
+count like others.  Null ids link like others but name a class only if it has no other id.
 """
 
 from __future__ import annotations
@@ -317,6 +317,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 
 def keep_first_of_class(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs without all but the first document of each class; repeated rows of one id stay once."""
+    """docs without all but the first document of each class; repeated rows of one id stay once.
+
+    Rows without an id all stay: nothing tells them apart from the first of their class.
+    """
     kept = near_duplicates(docs, words, percent).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where(F.col("doc_id").isNull()))

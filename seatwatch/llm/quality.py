@@ -27,8 +27,10 @@ GRAM_BITS = 14
 STEPS = 8
 SHAPES = 5
 WIDTH = (1 << GRAM_BITS) + SHAPES * STEPS
-#: Factor on trigram shares, which are small next to the shape features.
-GRAM_SCALE = 20.0
+#: Factor on trigram shares, which are small next to the shape features; and how many trigrams a
+#: text counts as having besides its own, so that a few words tell little.
+GRAM_SCALE = 10.0
+GRAM_PRIOR = 64
 
 _CLASS = np.zeros((3, 256), np.float32)
 _CLASS[0, 65:91] = 1
@@ -83,13 +85,13 @@ def shape_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets at each place, which of them lie inside one row, and the trigrams of each row."""
+    """Buckets at each place, which of them lie inside one row, and what each row's counts are divided by."""
     found = gram_buckets(data, 3, GRAM_BITS)
     inside = np.ones(len(found), bool)
     for back in (1, 2):
         cut = offsets[1:-1] - back
         inside[cut[(cut >= 0) & (cut < len(found))]] = False
-    return found, inside, np.maximum(np.diff(offsets) - 2, 1)
+    return found, inside, np.maximum(np.diff(offsets) - 2, 0) + GRAM_PRIOR
 
 
 def linear_predictor(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> np.ndarray:
