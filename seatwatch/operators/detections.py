@@ -143,6 +143,13 @@ def unseated_counts(frames: DataFrame, detections: DataFrame, seats: DataFrame,
     return frames.join(groups, keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
+def person_counts(frames: DataFrame, detections: DataFrame, p: Params = DEFAULTS, keys: list[str] | None = None) -> DataFrame:
+    """frames (keys, ...) with how many persons each holds; 0 is kept."""
+    keys = keys or ["frame"]
+    n = detections.where((F.col("cls_id") == PERSON) & (F.col("conf") >= p.detection_conf)).groupBy(*keys).agg(F.count("*").alias("n"))
+    return frames.join(n, keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
 # --- fixtures ------------------------------------------------------------------
 
 

@@ -11,6 +11,7 @@ from ..config import DEFAULTS, PERSON, PHONE
 from ..functions.review import LABEL_TEXT
 from ..operators import correlate, detections, evaluate, motion, nuisance, review, rules, score, seats, segment
 from ..sources import sinks
+from . import triage
 from .views import FRAMES, LABELS, SEATS, Views, blend_sql, iou_sql, tiou_sql, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,6 +115,20 @@ corrs AS (SELECT seat_a, seat_b, lag, round(greatest(CASE WHEN n >= 3 AND sxx -
 best AS (SELECT seat_a, seat_b, corr, CASE WHEN corr > 0 THEN CAST(lag AS DOUBLE) ELSE 0 END AS lag_s FROM corrs QUALIFY row_number() OVER (PARTITION BY seat_a, seat_b ORDER BY corr DESC, lag) = 1)"""
 
 
+@query("triage_shortlist")
+def _(v):
+    """From vectors to shortlist: seats are blocks of 2 x 2 cells of the 10 x 10 grid."""
+    i = F.col("id")
+    cells = v.spark.range(100).select((F.floor(i / 20) * 5 + F.floor(i % 10 / 2)).cast("int").alias("seat_id"), F.floor(i / 10).cast("int").alias("cy"), (i % 10).cast("int").alias("cx"))
+    z = triage.triage_scores(v.motion(), cells, 120, 10, 10)
+    return triage.shortlist(z, 25, 120).select("rank", "seat_id", "i0", "i1", *r6("peak_z", "mean_z", "duration_s"))
+
+
+@query("person_counts", "SELECT t.frame, count(d.det_idx) AS n FROM v_times t LEFT JOIN v_sweep d ON d.frame = t.frame AND d.cls_id = 0 AND d.conf >= 0.25 GROUP BY t.frame", "v_sweep", "v_times")
+def _(v):
+    return detections.person_counts(v.sweep_times(), v.sweep()).select("frame", "n")
+
+
 @query("lagged_corr_pairs", f", pairs AS (SELECT a.i AS seat_a, b.i AS seat_b FROM range(8) a(i) JOIN range(8) b(i) ON a.i < b.i), {_CORR} SELECT seat_a, seat_b, round(corr, 6) AS corr, lag_s FROM best", "v_z")
 def _(v):
     ids = v.spark.range(SEATS).select(F.col("id").cast("int").alias("s"))
