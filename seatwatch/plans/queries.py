@@ -83,7 +83,7 @@ def _(v):
 
 @query("candidates")
 def _(v):
-    return segment.candidates(v.scores()).select("seat_id", "i0", "i1", "start_sec", "end_sec", *r6("peak_z", "mean_z", "duration_s", "salience"))
+    return segment.candidates(v.kept("scores")).select("seat_id", "i0", "i1", "start_sec", "end_sec", *r6("peak_z", "mean_z", "duration_s", "salience"))
 
 
 @query("threshold_runs", f"SELECT seat_id, i0, i1, {s6('peak_z', 'mean_z', 'duration_s', 'salience')} FROM v_runs", "v_runs")
@@ -99,7 +99,7 @@ def _(v):
   FROM walk w JOIN v_ranked r ON r.rank = w.rank + 1)
 SELECT r.rank, seat_id, i0, i1, round(duration_s, 6) AS duration_s FROM walk w JOIN v_ranked r ON r.rank = w.rank WHERE taken""", "v_ranked")
 def _(v):
-    return segment.budget_shortlist(segment.runs_over(v.scores()), float(SEATS * 720)).select("rank", "seat_id", "i0", "i1", *r6("duration_s"))
+    return segment.budget_shortlist(segment.runs_over(v.kept("scores")).persist(), float(SEATS * 720)).select("rank", "seat_id", "i0", "i1", *r6("duration_s"))
 
 
 @query("top_fraction", "SELECT rank, seat_id, i0, i1 FROM v_ranked WHERE rank <= greatest(1, round_even((SELECT count(*) FROM v_runs) * 0.1::DOUBLE, 0))", "v_ranked")
@@ -133,13 +133,13 @@ def _(v):
 def _(v):
     ids = v.spark.range(SEATS).select(F.col("id").cast("int").alias("s"))
     pairs = ids.select(F.col("s").alias("seat_a"), F.explode(F.sequence(F.lit(0), F.lit(SEATS - 1))).alias("seat_b")).where("seat_a < seat_b")
-    return correlate.lagged_correlation(v.scores(), pairs).select("seat_a", "seat_b", *r6("corr"), "lag_s")
+    return correlate.lagged_correlation(v.kept("scores"), pairs).select("seat_a", "seat_b", *r6("corr"), "lag_s")
 
 
 @query("pair_survey_top", f", pairs AS (SELECT i AS seat_a, i + 1 AS seat_b FROM range(7) r(i)), {_CORR} SELECT seat_a, seat_b, round(corr, 6) AS corr, lag_s FROM best ORDER BY best.corr DESC, seat_a LIMIT 12", "v_z")
 def _(v):
     pairs = v.spark.range(SEATS - 1).select(F.col("id").cast("int").alias("seat_a"), (F.col("id") + 1).cast("int").alias("seat_b"))
-    return correlate.survey(v.scores(), pairs).select("seat_a", "seat_b", *r6("corr"), "lag_s")
+    return correlate.survey(v.kept("scores"), pairs).select("seat_a", "seat_b", *r6("corr"), "lag_s")
 
 
 # --- motion and nuisance filters ---------------------------------------------------
@@ -179,17 +179,17 @@ def _(v):
 @query("activity_heatmap", """, cells AS (SELECT cy, cx, avg(activity) AS activity FROM v_cube GROUP BY cy, cx)
 SELECT cy, cx, round(activity, 6) AS activity, round((SELECT CASE WHEN quantile_cont(activity, 0.995) > 0 THEN quantile_cont(activity, 0.995) WHEN max(activity) > 0 THEN max(activity) ELSE 1 END FROM cells), 6) AS vmax FROM cells""", "v_cube")
 def _(v):
-    return motion.heatmap(v.cube()).select("cy", "cx", *r6("activity", "vmax"))
+    return motion.heatmap(v.kept("cube")).select("cy", "cx", *r6("activity", "vmax"))
 
 
 @query("illumination_bins", "SELECT bin, round(hot_share, 6) AS hot_share, hot_share >= 0.60 AS gated FROM v_light", "v_light")
 def _(v):
-    return nuisance.illumination_bins(v.cube()).select("bin", *r6("hot_share"), "gated")
+    return nuisance.illumination_bins(v.kept("cube")).select("bin", *r6("hot_share"), "gated")
 
 
 @query("periodic_cells", f"SELECT cy, cx, {s6('prominence', 'frequency')}, periodic FROM v_periodic", "v_periodic")
 def _(v):
-    return nuisance.periodic_cells(v.cube()).select("cy", "cx", *r6("prominence", "frequency"), "periodic")
+    return nuisance.periodic_cells(v.kept("cube")).select("cy", "cx", *r6("prominence", "frequency"), "periodic")
 
 
 @query("filtered_cube", """, zeroed AS (SELECT c.bin, c.cy, c.cx, CASE WHEN p.periodic THEN 0 ELSE c.activity END AS activity, l.hot_share >= 0.60 AS gated
@@ -197,7 +197,7 @@ def _(v):
 fill AS (SELECT cy, cx, quantile_cont(activity, 0.5) AS f FROM zeroed WHERE NOT gated GROUP BY cy, cx)
 SELECT bin, z.cy, z.cx, round(CASE WHEN gated THEN coalesce(f, 0) ELSE activity END, 6) AS activity FROM zeroed z LEFT JOIN fill f ON f.cy = z.cy AND f.cx = z.cx""", "v_periodic", "v_light")
 def _(v):
-    cube = v.cube()
+    cube = v.kept("cube")
     return nuisance.apply_filters(cube, nuisance.periodic_cells(cube), nuisance.illumination_bins(cube)).select("bin", "cy", "cx", *r6("activity"))
 
 
@@ -431,12 +431,12 @@ def _(v):
 
 @query("rule_paper", f"{_PAPER} SELECT window_id, {s6('confidence')}, track_id, from_seat, to_seat, n_a, n_b FROM paper", "v_assigned", "v_edges")
 def _(v):
-    return rules.paper(v.windows(), _assigned(v), v.edges()).select("window_id", *r6("confidence"), "track_id", "from_seat", "to_seat", "n_a", "n_b")
+    return rules.paper(v.windows(), _assigned(v).persist(), v.edges()).select("window_id", *r6("confidence"), "track_id", "from_seat", "to_seat", "n_a", "n_b")
 
 
 @query("rule_talking", f"{_TALK} SELECT window_id, {s6('confidence')}, neighbour, {s6('corr')}, lag_s FROM talk", "v_windows", "v_neighbours")
 def _(v):
-    return rules.talking(v.windows(), v.neighbours(), v.scores(), v.seats()).select("window_id", *r6("confidence"), "neighbour", *r6("corr"), "lag_s")
+    return rules.talking(v.kept("windows"), v.neighbours(), v.kept("scores"), v.seats()).select("window_id", *r6("confidence"), "neighbour", *r6("corr"), "lag_s")
 
 
 @query("rule_transit", f"{_TRANSIT} SELECT window_id, {s6('confidence')}, track_id, {s6('displacement', 'unseated')}, n FROM transit", "v_moved", "v_window_seats")
@@ -448,7 +448,7 @@ def _(v):
 def _(v):
     from dataclasses import replace
 
-    return rules.exchange(v.windows(), _assigned(v), replace(P, exchange=True)).select("window_id", *r6("confidence"), "track_a", "track_b", "seat_a", "seat_b")
+    return rules.exchange(v.windows(), _assigned(v).persist(), replace(P, exchange=True)).select("window_id", *r6("confidence"), "track_a", "track_b", "seat_a", "seat_b")
 
 
 @query("classify_windows", f"""{_PHONE}{_PAPER}{_TALK}{_TRANSIT},
@@ -460,8 +460,8 @@ picked AS (SELECT w.window_id, coalesce(CASE WHEN t.window_id IS NOT NULL THEN '
 SELECT window_id, label, round(confidence, 6) AS confidence, CASE WHEN ruled THEN coalesce((SELECT string_agg(x.label, ',' ORDER BY x.label) FROM top x WHERE x.window_id = p.window_id AND x.k > 1), '') ELSE '' END AS also_matched FROM picked p""",
     "v_assigned", "v_windows", "v_edges", "v_neighbours", "v_moved", "v_window_seats")
 def _(v):
-    w, a = v.windows(), _assigned(v)
-    found = {"mobile_phone_usage": rules.phone(w, a), "paper_pass": rules.paper(w, a, v.edges()), "talking_to_neighbour": rules.talking(w, v.neighbours(), v.scores(), v.seats()), "staff_or_transit": rules.transit(w, _tracks(v))}
+    w, a = v.kept("windows"), _assigned(v).persist()
+    found = {"mobile_phone_usage": rules.phone(w, a), "paper_pass": rules.paper(w, a, v.edges()), "talking_to_neighbour": rules.talking(w, v.neighbours(), v.kept("scores"), v.seats()), "staff_or_transit": rules.transit(w, _tracks(v))}
     return rules.classify(w, found).select("window_id", "label", *r6("confidence"), F.array_join("also_matched", ",").alias("also_matched"))
 
 

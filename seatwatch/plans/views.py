@@ -20,6 +20,13 @@ FRAMES, WINDOW = 720, 40
 class Views:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._kept: dict[str, DataFrame] = {}
+
+    def kept(self, name: str) -> DataFrame:
+        """A view that several branches of one query read: computed once (memory, then disk)."""
+        if name not in self._kept:
+            self._kept[name] = getattr(self, name)().persist()
+        return self._kept[name]
 
     def t(self, name: str) -> DataFrame:
         return table(self.spark, self.folder, name)
@@ -89,7 +96,7 @@ class Views:
         """18 windows of 40 frames; the seat of each, its bins in the score series, and how high z is there."""
         w = self.spark.range(FRAMES // WINDOW).select(F.col("id").cast("int").alias("window_id"))
         w = w.select("window_id", (F.col("window_id") % 7 + 1).cast("int").alias("seat_id"), (F.col("window_id") * WINDOW).alias("i0"), ((F.col("window_id") + 1) * WINDOW).alias("i1"), F.lit(float(WINDOW)).alias("duration_s"), F.lit(WINDOW).alias("n_frames"))
-        z = self.scores().select("seat_id", F.floor(F.col("bin") / WINDOW).cast("int").alias("window_id"), "z")
+        z = self.kept("scores").select("seat_id", F.floor(F.col("bin") / WINDOW).cast("int").alias("window_id"), "z")
         return w.join(z, ["seat_id", "window_id"]).groupBy(*w.columns).agg(F.avg("z").alias("mean_z"), F.max("z").alias("peak_z"))
 
     def neighbours(self) -> DataFrame:
