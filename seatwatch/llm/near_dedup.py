@@ -93,17 +93,17 @@ class _Union:
         if i != j:
             self.up[max(i, j)] = min(i, j)
 
-    def trees(self, keys: np.ndarray, fan: int = 16) -> np.ndarray:
-        """Index pairs (node, parent) that span each set: its nodes in order of key as a tree of ``fan``
-        children each, so that no node of a large set becomes a hub."""
+    def stars(self, keys: np.ndarray) -> np.ndarray:
+        """Index pairs (node, first node by key) of each set: sets of other regions that overlap it
+        mostly have the same first node, so that equal links meet."""
         sets: dict[int, list[int]] = {}
         for i in range(len(self.up)):
             if (r := self.find(i)) != i:
                 sets.setdefault(r, [r]).append(i)
         out = []
         for members in sets.values():
-            members.sort(key=lambda i: keys[i].tobytes())
-            out += [(members[k], members[(k - 1) // fan]) for k in range(1, len(members))]
+            first = min(members, key=lambda i: keys[i].tobytes())
+            out += [(i, first) for i in members if i != first]
         return np.array(out, int).reshape(-1, 2)
 
 
@@ -191,7 +191,7 @@ def _equal_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def candidate_links(nodes: DataFrame, threshold: float, small: int = 8) -> DataFrame:
-    """(a, b): pairs of the small regions, and for the others trees over the chains, whose sketches allow a link."""
+    """(a, b): pairs of the small regions, and for the others stars over the chains, whose sketches allow a link."""
     floor = _sketch_floor(threshold)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +221,7 @@ def candidate_links(nodes: DataFrame, threshold: float, small: int = 8) -> DataF
                 for i in range(len(own)):
                     for h in np.flatnonzero(_equal_hashes(own[i], other) >= floor).tolist():
                         u.join(i, h + shift)
-                ends = u.trees(keys)
+                ends = u.stars(keys)
                 a.append(keys[ends[:, 0]])
                 b.append(keys[ends[:, 1]])
             yield _links(a, b)
@@ -257,7 +257,7 @@ def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 
 def confirmed_links(docs: DataFrame, clusters: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b) links with 100 * |intersection| >= percent * |union|, a tree of them for each block pair and class.
+    """(a, b) links with 100 * |intersection| >= percent * |union|, a star of them for each block pair and class.
 
     docs (doc_id, text) of the clusters' representatives; clusters (doc_id, node, cluster, blocks).
     """
@@ -285,7 +285,7 @@ def confirmed_links(docs: DataFrame, clusters: DataFrame, words: int, percent: i
                 u = _Union(len(keys))
                 for j, h in zip(*(x.tolist() for x in np.nonzero(100 * common >= percent * (total - common)))):
                     u.join(j, h + shift)
-                ends = u.trees(keys)
+                ends = u.stars(keys)
                 yield _links([keys[ends[:, 0]]], [keys[ends[:, 1]]])
 
     rows = docs.select("doc_id", "text").join(clusters, "doc_id")
@@ -294,6 +294,15 @@ def confirmed_links(docs: DataFrame, clusters: DataFrame, words: int, percent: i
     return _block_pairs(sets, "cluster", ["node", "set"]).mapInArrow(match, "a binary, b binary")
 
 
+def thinned(links: DataFrame) -> DataFrame:
+    """As few links with the same components: each node keeps its smallest neighbour below it, to which its
+    other ones are linked instead.  A node has at most a few neighbours below it in each region or block."""
+    down = links.where(F.col("a") != F.col("b")).groupBy(F.greatest("a", "b").alias("x")).agg(F.collect_set(F.least("a", "b")).alias("below"))
+    down = down.select("x", "below", F.array_min("below").alias("least"))
+    moved = down.select(F.explode("below").alias("a"), F.col("least").alias("b")).where(F.col("a") != F.col("b"))
+    return down.select(F.col("x").alias("a"), F.col("least").alias("b")).unionByName(moved).distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept (doc_id = component_id).
 
@@ -302,13 +311,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     threshold = percent / 100
     made = written(document_sets(docs, words))
     nodes = written(made.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first"), F.first("labels").alias("labels"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n")))
-    candidates = connected_components(candidate_links(nodes, threshold))
+    candidates = connected_components(thinned(candidate_links(nodes, threshold)))
     clusters = candidates.select("node", F.col("root").alias("cluster")).join(nodes.select("node", F.col("first").alias("doc_id"), "n"), "node")
     size = clusters.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_WORDS).cast("int").alias("blocks"))
     clusters = clusters.join(size, "cluster").select("doc_id", "node", "cluster", "blocks")
     with arrow_rows(docs.sparkSession, 64):  # a row can be two whole blocks
         confirmed = written(confirmed_links(docs, clusters, words, percent))
-    links = connected_components(confirmed)
+    links = connected_components(thinned(confirmed))
     rooted = nodes.select("node", "first").join(links, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first")
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component"))
     classes = rooted.join(smallest, "root").select("node", "component")
