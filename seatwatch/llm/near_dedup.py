@@ -318,8 +318,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     with arrow_rows(docs.sparkSession, 64):  # a row can be two whole blocks
         confirmed = written(confirmed_links(docs, clusters, words, percent))
     links = connected_components(thinned(confirmed))
-    rooted = nodes.select("node", "first").join(links, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first")
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component"))
+    rooted = written(nodes.select("node", "first").join(links, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first"))
+    smallest = written(rooted.groupBy("root").agg(F.min("first").alias("component")))  # a join above the aggregate itself can't be split where a root is hot
     classes = rooted.join(smallest, "root").select("node", "component")
     out = made.select("doc_id", "n_shingles", "node").join(classes, "node", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
