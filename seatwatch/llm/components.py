@@ -28,5 +28,5 @@ def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         moved = not new.where(F.col("was") != F.col("root")).isEmpty()
         labels = new.select("node", "root")
         if not moved:
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"components still changed after {rounds} rounds")
