@@ -417,7 +417,7 @@ transit AS (SELECT * FROM crossing QUALIFY row_number() OVER (PARTITION BY windo
 
 def _tracks(v: Views) -> DataFrame:
     """Window tracks with the seat whose box holds the centre."""
-    t = v.window_tracks()
+    t = v.tracks()
     s = v.window_seats()
     inside = (F.col("cx") >= F.col("x0")) & (F.col("cx") <= F.col("x1")) & (F.col("cy") >= F.col("y0")) & (F.col("cy") <= F.col("y1"))
     t = t.withColumn("_id", F.monotonically_increasing_id())

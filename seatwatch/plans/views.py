@@ -110,10 +110,6 @@ class Views:
     def window_detections(self) -> DataFrame:
         return self.detections().withColumn("window_id", F.floor(F.col("frame") / WINDOW).cast("int")).withColumn("t", F.col("frame") / 5.0)
 
-    def window_tracks(self) -> DataFrame:
-        """Person tracks of every third window."""
-        return self.tracks().where(F.col("window_id") % 3 == 0)
-
     def edges(self) -> DataFrame:
         """Consecutive seats, both ways."""
         s = self.seats().select("seat_id")
