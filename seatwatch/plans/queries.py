@@ -236,12 +236,12 @@ def _(v):
 
 
 def _clusters(v: Views) -> DataFrame:
-    """Six calibration windows of 48 frames over persons whose place is one of 20."""
-    d = v.detections().where(F.col("frame") < 288)
+    """Calibration windows of 48 frames, together all frames, over persons whose place is one of 20."""
+    d = v.detections()
     k = F.col("track_id") * 2 + F.col("det_idx") % 2
     x0, y0 = k % 5 * 240 + F.col("det_idx") % 7 * 3, F.floor(k / 5) * 180 + F.col("frame") % 5 * 2
     d = d.select(F.floor(F.col("frame") / 48).cast("int").alias("window_id"), (F.col("frame") / 5.0).alias("t"), F.col("det_idx").cast("int").alias("det_idx"), "cls_id", F.lit(0.5).alias("conf"), x0.cast("double").alias("x0"), y0.cast("double").alias("y0"), (x0 + 200.0).alias("x1"), (y0 + 120.0).alias("y1"))
-    frames = v.spark.range(288).select(F.floor(F.col("id") / 48).cast("int").alias("window_id"), (F.col("id") / 5.0).alias("t"))
+    frames = v.spark.range(FRAMES).select(F.floor(F.col("id") / 48).cast("int").alias("window_id"), (F.col("id") / 5.0).alias("t"))
     return seats.number_rows(seats.seat_clusters(d, frames), keys=["window_id"])
 
 
@@ -291,7 +291,7 @@ def _(v):
 
 @query("multi_scale_merge")
 def _(v):
-    d = v.detections().where(F.col("frame") < 60)
+    d = v.detections()
     shifted = d.where(F.col("det_idx") % 3 == 0).withColumns({"x0": F.col("x0") + 4, "x1": F.col("x1") + 4, "conf": F.col("conf") * 0.9})
     return detections.merge_scales([d, shifted]).select("frame", "det_idx", "cls_id", *r6("conf", "x0"))
 
@@ -332,14 +332,14 @@ def _(v):
 
 
 def _still(v: Views) -> tuple[DataFrame, DataFrame]:
-    """Phones of the first 120 frames, half of them at one of four fixed places."""
-    d = v.window_detections().where((F.col("frame") < 120) & (F.col("cls_id") == PHONE))
+    """Phones of all frames, half of them at one of four fixed places."""
+    d = v.window_detections().where(F.col("cls_id") == PHONE)
     k = F.col("det_idx") % 8
     fixed = k < 4
     x0 = F.when(fixed, k * 100.0 + F.col("frame") % 3).otherwise(F.col("x0"))
     y0 = F.when(fixed, F.lit(600.0)).otherwise(F.col("y0"))
     d = d.withColumns({"x1": x0 + 40, "y1": y0 + 40, "x0": x0, "y0": y0})
-    return d, v.spark.range(120).select((F.col("id") / 5.0).alias("t"))
+    return d, v.spark.range(FRAMES).select((F.col("id") / 5.0).alias("t"))
 
 
 @query("fixture_map")

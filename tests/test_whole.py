@@ -19,3 +19,26 @@ def test_transit_of_every_window(spark, folder):
     assert {r["window_id"] for r in QUERIES["rule_transit"](spark, folder).collect()} == want
     labels = {r["window_id"]: r["label"] for r in QUERIES["classify_windows"](spark, folder).collect()}
     assert {w for w, label in labels.items() if label == "staff_or_transit"} == want
+
+
+def test_scales_of_every_frame(spark, folder):
+    frames = {f for (f,) in _sql(folder, "SELECT DISTINCT frame FROM v_detections", "v_detections")}
+    assert {r["frame"] for r in QUERIES["multi_scale_merge"](spark, folder).collect()} == frames
+
+
+def test_seats_of_every_window(spark):
+    folder = "/root/testdata/sf0.01"  # the smaller one has too few persons for any seat
+    assert {r["window_id"] for r in QUERIES["seat_discovery"](spark, folder).collect()} == set(range(15))
+    assert {r["windows"] for r in QUERIES["seat_merge"](spark, folder).collect()} == {15}
+
+
+def test_fixtures_span_all_frames(spark, folder):
+    from pyspark.sql import functions as F
+
+    from seatwatch.plans import queries
+    from seatwatch.plans.views import Views
+
+    phones = dict(_sql(folder, "SELECT frame, count(*) FROM v_detections WHERE cls_id = 67 GROUP BY frame", "v_detections"))
+    d, frames = queries._still(Views(spark, folder))
+    assert {r["frame"]: r["count"] for r in d.groupBy("frame").count().collect()} == phones
+    assert frames.agg(F.count("*"), F.max("t")).first() == (720, 719 / 5)
