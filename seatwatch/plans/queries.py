@@ -485,7 +485,7 @@ def _(v):
 @query("event_union", f"{_CROWD}, parts AS (SELECT video, CAST(seat_id AS VARCHAR) AS seat_id, start_sec FROM v_manifest WHERE ord % 10 = 0 UNION ALL SELECT NULL, NULL, start_sec FROM runs) SELECT video, seat_id, round(start_sec, 6) AS start_sec FROM parts", "v_sweep", "v_seats", "v_manifest")
 def _(v):
     crowd = rules.crowds(detections.unseated_counts(v.sweep_times(), v.sweep(), v.seats()))
-    stage1 = v.manifest().where("ord % 10 = 0").withColumn("seat_id", F.col("seat_id").cast("string"))
+    stage1 = v.manifest().withColumn("seat_id", F.col("seat_id").cast("string"))
     return rules.all_events(stage1, crowd).select("video", "seat_id", *r6("start_sec"))
 
 

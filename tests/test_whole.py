@@ -42,3 +42,11 @@ def test_fixtures_span_all_frames(spark, folder):
     d, frames = queries._still(Views(spark, folder))
     assert {r["frame"]: r["count"] for r in d.groupBy("frame").count().collect()} == phones
     assert frames.agg(F.count("*"), F.max("t")).first() == (720, 719 / 5)
+
+
+def test_union_of_all_events(spark, folder):
+    want = _sql(folder, "SELECT video, CAST(seat_id AS VARCHAR), round(start_sec, 6) FROM v_manifest", "v_manifest")
+    got = [tuple(r[c] for c in ("video", "seat_id", "start_sec")) for r in QUERIES["event_union"](spark, folder).collect()]
+    crowds = QUERIES["crowd_events"](spark, folder).count()
+    assert sorted(r for r in got if r[0]) == sorted(want)
+    assert sum(r[0] is None for r in got) == crowds
