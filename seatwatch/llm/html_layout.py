@@ -4,9 +4,10 @@ A tree builder (tokens, implied end tags, raw-text elements, void elements) give
 balanced open, text and close events; a renderer turns them into all visible text:
 blocks on lines of their own, blank lines around paragraphs and headings, list
 markers with indentation, preformatted text as it is, and table cells padded to
-their columns.  Not visible: head, script, style, template, noscript, comments,
-elements with the hidden attribute or an inline display:none or visibility:hidden,
-and form values.
+their columns.  Text of SVG and MathML is text, their titles, definitions and
+annotations are not.  Not visible: head, script, style, template, noscript, comments,
+elements with the hidden attribute or an inline display:none, form values, and text
+under an inline visibility:hidden up to elements with visibility:visible.
 
 Malformed markup never fails: stray end tags are ignored, open elements end with
 their parent or the text, a < that opens no tag is text.  Null html is empty text.
@@ -26,7 +27,14 @@ from pyspark.sql import functions as F
 #: Element classes of HTML (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript title datalist iframe object audio video canvas select textarea noembed noframes svg math".split())
+UNSEEN = frozenset("head script style template noscript title datalist iframe object audio video canvas select textarea noembed noframes".split())
+FOREIGN = frozenset({"svg", "math"})
+#: Elements of FOREIGN ones whose content is HTML.
+HOSTS = frozenset("foreignobject annotation-xml".split())
+UNSEEN_FOREIGN = frozenset("desc defs metadata symbol clippath mask pattern marker filter lineargradient radialgradient annotation annotation-xml".split())
+#: Elements of FOREIGN ones that stand apart from the text around them.
+APART = frozenset("svg text mtr mtd".split())
+ROW_PARTS = frozenset("tr thead tbody tfoot col colgroup".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table caption ul".split())
 SPACED = frozenset("blockquote dl fieldset figure h1 h2 h3 h4 h5 h6 hr ol p pre table ul menu".split())
 CLOSES_P = BLOCK - {"body", "html", "caption", "legend"}
@@ -47,7 +55,10 @@ IMPLIED = {
 SCOPES = frozenset({"table", "td", "th", "caption", "html", "template"})
 _TAG = re.compile(r"""<(?:!--(?:.*?--!?>|.*\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)(>|\Z)|[!?/][^>]*(?:>|\Z))""", re.S)
 _ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""")
-_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_MAY_HIDE = re.compile(r"display|visibility", re.I)
+_NO_PROPERTY = re.compile(r"""/\*.*?(?:\*/|\Z)|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|\([^)]*(?:\)|\Z)""", re.S)
+_HIDES = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([\w-]+)\s*(!\s*important)?\s*(?=;|\Z)", re.I)
+_BARE_VALUE = re.compile(r"""=\s*[^\s"'>]+\Z""")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -60,6 +71,19 @@ def attributes(text: str) -> dict[str, str]:
     return out
 
 
+def hiding(style: str) -> tuple[str | None, str | None]:
+    """display and visibility of a style attribute; of several declarations the last, an important one before others."""
+    got: dict[str, tuple[bool, str]] = {}
+    if _MAY_HIDE.search(style):
+        for name, value, important in _HIDES.findall(_NO_PROPERTY.sub(" ", style)):
+            name, value = name.lower(), value.lower()
+            if name == "visibility" and value not in ("visible", "hidden", "collapse", "inherit", "initial", "unset"):
+                continue
+            if important or not got.get(name, (False, ""))[0]:
+                got[name] = (bool(important), value)
+    return tuple(got[n][1] if n in got else None for n in ("display", "visibility"))
+
+
 def build(source: str) -> Iterator[tuple[str, str, dict]]:
     """Balanced events: ("open", tag, attributes), ("text", text, {}), ("close", tag, {}).  Void elements close at once."""
     stack: list[str] = []
@@ -117,7 +141,7 @@ def build(source: str) -> Iterator[tuple[str, str, dict]]:
             stack.append("tr")
             yield "open", "tr", {}
         yield "open", tag, attributes(rest) if rest else {}
-        if tag in VOID:
+        if tag in VOID or (rest.endswith("/") and not _BARE_VALUE.search(rest) and (tag in FOREIGN or top(FOREIGN, HOSTS) is not None)):
             yield "close", tag, {}
             continue
         stack.append(tag)
@@ -201,10 +225,12 @@ def render(source: str | None) -> str:
     tables: list[list[list[list[str]]]] = []
     lists: list[tuple[str, int]] = []  #: kind and count
     hidden = pre = 0
-    seen: list[bool] = []  #: whether each open element is visible
+    seen: list[bool] = []  #: whether each open element is there
+    shown = [True]  #: whether the text of each open element is visible
+    foreign = 0
     for kind, value, attrs in build(source or ""):
         if kind == "text":
-            if hidden:
+            if hidden or not shown[-1]:
                 continue
             if pre:
                 first, *more = value.replace("\r\n", "\n").split("\n")
@@ -217,13 +243,22 @@ def render(source: str | None) -> str:
             continue
         tag = value
         if kind == "open":
-            show = not (tag in UNSEEN or "hidden" in attrs or ("style" in attrs and _HIDDEN.search(attrs["style"])) or tag == "input")
+            display, visibility = hiding(attrs["style"]) if "style" in attrs else (None, None)
+            if foreign:
+                display, visibility = display or attrs.get("display"), visibility or attrs.get("visibility")
+            gone = display == "none" or (visibility == "collapse" and tag in ROW_PARTS)
+            show = not (tag in UNSEEN or "hidden" in attrs or gone or tag == "input" or (foreign and tag in UNSEEN_FOREIGN))
             seen.append(show)
+            shown.append(visibility in ("visible", "initial") or (shown[-1] and visibility not in ("hidden", "collapse")))
+            foreign += tag in FOREIGN
             hidden += not show
             if hidden:
                 continue
+            if foreign and tag in APART:
+                flow.space = True
             if tag == "br":
-                flow.line_break()
+                if shown[-1]:
+                    flow.line_break()
             elif tag == "table":
                 flow.blank()
                 tables.append([])
@@ -243,18 +278,25 @@ def render(source: str | None) -> str:
                     style, count = lists[-1] if lists else ("ul", 0)
                     if lists:
                         lists[-1] = (style, count + 1)
-                    flow.mark = f"{count + 1}. " if style == "ol" else "- "
-                    flow.prefix.append(" " * len(flow.mark))
+                    mark = f"{count + 1}. " if style == "ol" else "- "
+                    if shown[-1]:
+                        flow.mark = mark
+                    flow.prefix.append(" " * len(mark))
                 elif tag in ("blockquote", "dd"):
                     flow.prefix.append("  ")
                 elif tag == "pre":
                     pre += 1
             continue
+        visible = shown.pop()
+        apart = foreign and tag in APART
+        foreign -= tag in FOREIGN
         if not seen.pop():
             hidden -= 1
             continue
         if hidden:
             continue
+        if apart:
+            flow.space = True
         if tag in ("td", "th") and flows:
             flow.end_line()
             cell, flow = flow.lines, flows.pop()
@@ -263,14 +305,15 @@ def render(source: str | None) -> str:
             rows = tables.pop()
             flow.end_line()
             for line in _table_lines(rows):
-                flow.emit(line)
+                if line or visible:
+                    flow.emit(line)
             flow.blank()
         elif tag in BLOCK:
             (flow.blank if tag in SPACED and not (tag in ("ul", "ol", "menu") and len(lists) > 1) else flow.end_line)()
             if tag in ("ul", "ol", "menu", "dir") and lists:
                 lists.pop()
             elif tag == "li":
-                if flow.mark:
+                if flow.mark and visible:
                     flow.emit("")
                 if flow.prefix:
                     flow.prefix.pop()

@@ -22,6 +22,29 @@ def test_render_odd_markup(source, want):
     assert html_layout.render(source) == want
 
 
+@pytest.mark.parametrize(
+    "source,want",
+    [
+        ('a<svg><title>no</title><desc>no</desc><defs><text>no</text></defs><path d="M0"/><text>Label</text><text>two</text></svg>b', "a Label two b"),
+        ("<svg><defs/><title/><text>Label</text></svg>b", "Label b"),
+        ('<p>if <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math> then', "if x=1 then"),
+        ("<svg><foreignObject><p/>in</foreignObject></svg>", "in"),
+        ("<desc>seen</desc>", "seen"),
+        ('<div style="backface-visibility:hidden">page<p>text</div>', "page\n\ntext"),
+        ('<b style="-webkit-backface-visibility : hidden; color:red">x</b>', "x"),
+        ('<b style="color:red; DISPLAY : none">x</b>y', "y"),
+        ('<b style="display:none;display:block">x</b>', "x"),
+        ('<b style="display:none !important;display:block">x</b>y', "y"),
+        ('<div style="visibility:hidden">no<b style="visibility:visible">yes</b>no</div>z', "yes\nz"),
+        ('<ul style="visibility:hidden"><li>no<br>no<li style="visibility:visible">b</ul>', "- b"),
+        ('a<table style="visibility:hidden"><tr><td>no</table>b', "a\n\nb"),
+        ('<div style="display:none"><b style="visibility:visible">no</b></div>z', "z"),
+    ],
+)
+def test_render_visibility_and_foreign(source, want):
+    assert html_layout.render(source) == want
+
+
 def test_render_deep_and_long():
     assert html_layout.render("<div>" * 20000 + "x") == "x"
     assert len(html_layout.render("<p>" + "word " * 200000)) == 999999
