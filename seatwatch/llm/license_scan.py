@@ -1,10 +1,12 @@
 """License scans: a trained paragraph classifier with template comparison; DataFrame operations only.
 
-A paragraph is a line of a text.  Sparse multinomial logistic regression over its
+A paragraph is a line of a text, or several: each sentence that goes on over lines
+and each run of non-blank lines, without comment markers.  Sparse multinomial logistic regression over its
 word 1- to 3-grams identifies a licence family or the class "unknown", whose bias
 is calibrated so that at most ``false_rate`` of held-back foreign paragraphs get a
 family.  A family is confirmed where one of its templates shares at least
-``overlap`` of its word bigrams with the paragraph.
+``overlap`` of its word bigrams with the paragraph.  A line that is just a licence's
+title, and an SPDX identifier, are told by rule (probability and overlap 1).
 
 Only paragraphs with a cue word of licences are classified: without one no template
 can reach the overlap, so they are unknown by the same rule.  The model is fitted on
@@ -21,13 +23,36 @@ import random
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "unknown"
 
 #: Words that licence paragraphs contain (fixed values).
-CUES = ["licen", "copyright", "permission", "warrant", "redistribut", "public domain", "spdx"]
+CUES = ["licen", "copyright", "permission", "warrant", "redistribut", "public domain", "spdx", "creative commons", "cc by", "cc0"]
+
+#: Families of SPDX identifiers, the first that fits (fixed patterns).
+SPDX = [
+    ("AGPL", "agpl-.*"), ("LGPL", "lgpl-.*"), ("GPL", "gpl-.*"), ("MIT", "mit(-.*)?"), ("Apache", "apache-.*"), ("BSD", "0?bsd(-.*)?"), ("MPL", "mpl-.*"), ("EPL", "epl-.*"),
+    ("CC-BY-NC", "cc-by-nc-.*"), ("CC-BY-SA", "cc-by-sa-.*"), ("CC-BY", "cc-by-[0-9].*"), ("CC0", "cc0-.*"), ("ISC", "isc(-.*)?"), ("Unlicense", "unlicense"), ("Proprietary", "licenseref-proprietary.*"),
+]
+#: Titles as whole lines of words (fixed patterns); "the" before and the short name after may stand.
+TITLES = [
+    ("AGPL", "gnu affero general public license( agpl)?( version| v)?( ?v?[0-9.]+)?( or later)?"),
+    ("LGPL", "gnu (lesser|library) general public license( lgpl)?( version| v)?( ?v?[0-9.]+)?( or later)?"),
+    ("GPL", "gnu general public license( gpl)?( version| v)?( ?v?[0-9.]+)?( or later)?"),
+    ("MIT", "(mit|expat|x11) license( mit)?"),
+    ("Apache", "apache (software )?license( version| v)?( ?v?[0-9.]+)?|apache[ -]2(.0)? license"),
+    ("BSD", "(bsd|(new|modified|simplified|original|revised) bsd|bsd[ -][0-4][ -]clause|[0-4][ -]clause bsd|bsd zero clause)( [a-z]+ or [a-z]+)? license"),
+    ("MPL", "mozilla public license( mpl)?( version| v)?( ?v?[0-9.]+)?"),
+    ("EPL", "eclipse public license( epl)?( version| v| - v)?( ?v?[0-9.]+)?"),
+    ("CC-BY-NC", "(creative commons )?attribution[ -]noncommercial([ -](sharealike|noderivatives|noderivs))?( [0-9.]+)?( international| unported| generic)?( public)?( license)?|cc[ -]by-nc(-sa|-nd)?( [0-9.]+)?( license)?"),
+    ("CC-BY-SA", "(creative commons )?attribution[ -]sharealike( [0-9.]+)?( international| unported| generic)?( public)?( license)?|cc[ -]by-sa( [0-9.]+)?( license)?"),
+    ("CC-BY", "creative commons attribution( [0-9.]+)?( international| unported| generic)?( public)?( license)?|cc[ -]by( [0-9.]+)?( license)?"),
+    ("CC0", "(creative commons )?cc0( [0-9.]+)?( universal)?( public domain dedication)?( license)?"),
+    ("ISC", "isc license( isc)?"),
+    ("Unlicense", "(the )?unlicense"),
+]
 
 #: Notices and characteristic paragraphs of licence families (fixed values).
 TEMPLATES = {
@@ -219,9 +244,47 @@ def _n_grams(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
+def _document_cue(text: Column) -> Column:
+    """Whether a cue may stand in the text, its words perhaps on two lines ("cc by" on one)."""
+    out = F.lit(False)
+    for cue in CUES:
+        one = F.lit(True)
+        for word in [cue] if cue == "cc by" else cue.split():
+            one = one & F.contains(text, F.lit(word))
+        out = out | one
+    return out
+
+
+def _passages(text: Column) -> Column:
+    """array<struct<first, last, line>>: every line with its number, then the sentences that go on over several lines
+    and the runs of several non-blank lines.
+
+    Lines carry their numbers (between marks) while they are joined and cut again."""
+    lines = F.split(text, "\n")
+    one = F.transform(lines, lambda x, i: F.struct(i.alias("first"), i.alias("last"), x.alias("line")))
+    bare = lambda x: F.regexp_replace(F.translate(x, "\x01\x02\x03", "   "), r"(?i)^(?:[^\p{L}\p{N}(\"']|(?:dnl|rem)(?=\s))+|[\s*/#]+$", "")
+    marked = F.transform(lines, lambda x, i: F.when(x.rlike(r"[\p{L}\p{N}]"), F.concat(F.lit("\x01"), i.cast("string"), F.lit("\x02"), bare(x))).otherwise(F.lit("\x03")))
+    runs = F.filter(F.split(F.array_join(marked, " "), "\x03"), lambda r: r.rlike("(?s)\x01.*\x01"))
+    parts = F.flatten(F.transform(runs, lambda r: F.concat(F.array(F.trim(r)), F.split(F.trim(r), r"(?<=[.!?])\s+"))))
+    parts = F.array_distinct(F.filter(parts, lambda r: r.rlike("(?s).\x01")))
+    number = lambda r, pattern: F.regexp_extract(r, pattern, 1).cast("int")
+    first = lambda r: number(r, "\x01([0-9]+)\x02") - F.when(F.startswith(r, F.lit("\x01")), 0).otherwise(1)
+    many = F.transform(parts, lambda r: F.struct(first(r).alias("first"), number(r, "(?s).*\x01([0-9]+)\x02").alias("last"), F.regexp_replace(r, "\x01[0-9]+\x02", "").alias("line")))
+    return F.concat(one, many)
+
+
+def _told(text: Column) -> Column:
+    """array<string>: the families that a line's words name by SPDX identifiers or as a title."""
+    family = lambda pairs, x, lead: F.coalesce(*(F.when(x.rlike(f"^(?:{lead}(?:{p}))$"), F.lit(f)) for f, p in pairs))
+    ids = F.split(F.regexp_extract(text, "spdx-license-identifier ([^ ]+(?: (?:and|or|with) [^ ]+)*)", 1), " (?:and|or|with) ")
+    both = F.concat(F.transform(ids, lambda x: family(SPDX, x, "")), F.array(family(TITLES, text, "(?:the )?")))
+    return F.array_distinct(F.filter(both, lambda x: x.isNotNull()))
+
+
 def scan_licenses(docs: DataFrame, model: LicenseModel, overlap: float = 0.7, least: float = 0.5) -> DataFrame:
-    """doc_id, paragraph (line number from 0), family, probability, template_overlap, words: the paragraphs whose
-    predicted family has probability of at least ``least`` and a template that confirms it.  Repeated rows repeat."""
+    """doc_id, paragraph (number of its first line from 0), family, probability, template_overlap, words: the paragraphs
+    whose predicted family has probability of at least ``least`` and a template that confirms it, or that a rule tells.
+    Of paragraphs of one family, those that hold another that is found are left out.  Repeated rows repeat."""
     spark = docs.sparkSession
     k = len(model.families)
     weights = spark.createDataFrame([(g, w) for g, w in sorted(model.weights.items())], "gram string, w array<double>")
@@ -232,13 +295,14 @@ def scan_licenses(docs: DataFrame, model: LicenseModel, overlap: float = 0.7, le
     template = spark.createDataFrame(sorted(parts.items()), "gram string, templates array<int>")
     vocabulary = weights.join(template, "gram", "full")
 
-    some = docs.where(_has_cue(F.lower("text"))).select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
-    lowered = F.lower("line")
-    some = some.where(_has_cue(lowered)).select("doc_id", "paragraph", F.regexp_extract_all(lowered, F.lit(_TOKEN), 0).alias("words"))
     # a row key of its own: ids may repeat
+    some = docs.where(_document_cue(F.lower("text"))).select("doc_id", "text", F.monotonically_increasing_id().alias("_row"))
+    some = some.select("doc_id", "_row", F.explode(_passages(F.col("text"))).alias("_p")).select("doc_id", "_row", "_p.*")
+    lowered = F.lower("line")
+    some = some.where(_has_cue(F.regexp_replace(lowered, r"\s+", " "))).select("doc_id", "_row", "first", "last", F.regexp_extract_all(lowered, F.lit(_TOKEN), 0).alias("words"))
     some = some.withColumn("_grams", F.array_distinct(F.concat(*(_n_grams(F.col("words"), n) for n in (1, 2, 3)))))
     # equal paragraphs are classified once, whatever group of copies they come from
-    text = F.array_join("words", " ")
+    text = F.sha2(F.array_join("words", " "), 256)
     distinct = some.select(text.alias("_text"), "_grams").groupBy("_text").agg(F.first("_grams").alias("_grams"))
     found = distinct.select("_text", F.size("_grams").alias("_n"), F.explode("_grams").alias("gram")).join(vocabulary, "gram")
     sums = [F.sum(F.coalesce(F.get("w", j), F.lit(0.0))).alias(f"s{j}") for j in range(k)]
@@ -254,4 +318,12 @@ def scan_licenses(docs: DataFrame, model: LicenseModel, overlap: float = 0.7, le
     good = scored.where(F.col("probability") >= least).join(shared, ["_text", "_family"]).where(F.col("template_overlap") >= overlap)
     names = F.array(*(F.lit(f) for f in model.families))
     good = good.select("_text", F.get(names, F.col("_family")).alias("family"), "probability", "template_overlap")
-    return some.select("doc_id", "paragraph", text.alias("_text"), F.size("words").alias("words")).join(good, "_text").select("doc_id", "paragraph", "family", F.round("probability", 6).alias("probability"), "template_overlap", "words")
+    told = F.when(F.col("first") == F.col("last"), _told(F.array_join("words", " "))).otherwise(F.array().cast("array<string>"))
+    both = some.select("doc_id", "_row", "first", "last", text.alias("_text"), F.size("words").alias("words"), told.alias("_told")).join(good, "_text", "left")
+    ruled = F.transform(F.filter("_told", lambda f: ~f.eqNullSafe(F.col("family"))), lambda f: F.struct(f.alias("family"), F.lit(1.0).alias("probability"), F.lit(1.0).alias("template_overlap")))
+    one = F.struct("family", "probability", "template_overlap")
+    every = both.select("doc_id", "_row", "first", "last", "words", F.explode(F.when(F.col("family").isNull(), ruled).otherwise(F.concat(F.array(one), ruled))).alias("_f")).select("doc_id", "_row", "first", "last", "words", "_f.*")
+    # in this order a paragraph comes after all that it holds
+    before = Window.partitionBy("_row", "family").orderBy("last", F.col("first").desc(), F.col("template_overlap").desc(), "words").rowsBetween(Window.unboundedPreceding, -1)
+    every = every.withColumn("_inner", F.max("first").over(before)).where(F.col("_inner").isNull() | (F.col("_inner") < F.col("first")))
+    return every.select("doc_id", F.col("first").alias("paragraph"), "family", F.round("probability", 6).alias("probability"), "template_overlap", "words")

@@ -86,6 +86,29 @@ def test_license_scan(spark, documents):
     assert license_scan.scan_licenses(documents([]), model).count() == 0
 
 
+def test_license_scan_of_wrapped_headers_and_titles(documents):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:"
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    apache = "Licensed under the Apache License, Version 2.0 (the\n\"License\"); you may not use this file except in compliance\nwith the License. You may obtain a copy of the License at"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n1. Redistributions of source code must retain the notice."
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."
+    free = "This is free and unencumbered software released into the public\ndomain."
+    marked = lambda t, sign: "\n".join(f"{sign} {x}" for x in t.split("\n"))
+    texts = {
+        1: (f"Copyright (c) 2020 A\n\n{mit}", {(2, "MIT")}), 2: ("/*\n" + marked(gpl, " *") + "\n */\nint x;", {(1, "GPL")}), 3: (marked(apache, "#"), {(0, "Apache")}), 4: (f"Words before. {bsd}", {(0, "BSD")}),
+        5: (marked(isc, "//"), {(0, "ISC")}), 6: (f"prose\n\n{free}", {(2, "Unlicense")}), 7: ("MIT License\n\nCopyright (c) 2020 A", {(0, "MIT")}), 8: ("// SPDX-License-Identifier: BSD-2-Clause\nx", {(0, "BSD")}),
+        9: ("# SPDX-License-Identifier: (MIT OR Apache-2.0)", {(0, "MIT"), (0, "Apache")}), 10: ("The MIT License question was\ndebated by the council, and the general public\nlost interest in a license.", set()),
+        11: (" Apache License\n Version 2.0, January 2004", {(0, "Apache")}), 12: ("SPDX-License-Identifier: NOASSERTION", set()), 13: ("Released under the MIT License.\nmore\nReleased under the MIT License.", {(0, "MIT"), (2, "MIT")}),
+        14: ("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007", {(0, "GPL")}),
+    }
+    model = license_scan.fit_licenses(["Some prose of the corpus.", "And another line."])
+    got = {i: set() for i in texts}
+    for r in license_scan.scan_licenses(documents([(i, t) for i, (t, _) in texts.items()]), model).collect():
+        assert (r["paragraph"], r["family"]) not in got[r["doc_id"]]
+        got[r["doc_id"]].add((r["paragraph"], r["family"]))
+    assert got == {i: want for i, (_, want) in texts.items()}
+
+
 def test_license_scores_equal_plain_python(documents):
     import math
 
