@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import written
+from .tables import release, written
 
 
 def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
@@ -13,7 +13,8 @@ def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
 
     Self-edges name lone nodes; null ends are left out.  Each round takes the
     smallest label among the neighbours, then follows labels to their own
-    labels, so that distances halve; a round's labels are a written table.
+    labels, so that distances halve; a round's labels are a written table, which
+    goes when the next one is written.
     Hub nodes: sums are combined before the shuffle and the joins are plain
     inner or left joins, whose large partitions adaptive execution splits.
     """
@@ -26,7 +27,9 @@ def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         jump = labels.select(F.col("node").alias("root"), F.col("root").alias("next"))
         new = written(lower.join(jump, "root", "left").select("node", "was", F.least("root", "next").alias("root")))
         moved = not new.where(F.col("was") != F.col("root")).isEmpty()
+        release(edges.sparkSession, labels)  # all that was read of it is in the new table
         labels = new.select("node", "root")
         if not moved:
+            release(edges.sparkSession, both)
             return labels
     raise RuntimeError(f"components still changed after {rounds} rounds")

@@ -6,10 +6,11 @@ m characters may differ from a passage by e = floor(rate * m) edits (at most
 least m + 1 - q * (e + 1) of the item's q-grams, on diagonals that differ by at
 most e.  Shared q-grams are counted in overlapping diagonal bands, each 2 * (e + 1)
 wide and half of it shared with the next, so that one band holds them all; bands
-that reach the bound are verified by banded alignment.
+that reach the bound are verified by banded alignment, many of them at a time.
 
-Items shorter than q characters match exactly, with a space at either end; if that is
-still shorter than q they match nothing.
+Items shorter than q characters, for which the lemma does not filter, match exactly where
+they are words of their own: no letter or digit of theirs touches one of the text.  Items of
+one or two letters are allowed, and match accordingly often.
 Null and empty texts or items match nothing.  Repeated items are items of their own.
 """
 
@@ -28,8 +29,12 @@ from .text_arrays import char_codes
 
 Q = 10
 RATE = 0.08
-#: Characters of items in one index; a larger benchmark is searched slice by slice.
-INDEX_CHARS = 1 << 23
+#: Characters of items in one index, which takes some 30 bytes for each (64 MB); a larger benchmark is searched
+#: slice by slice, with a scan of the documents for each.  A single longer item is a slice of its own.
+INDEX_CHARS = 1 << 21
+#: Postings and alignment cells that are held at a time.
+POSTINGS = 1 << 20
+CELLS = 1 << 18
 TABLE_BITS = 22
 _STEP = 0x9E3779B97F4A7C15
 
@@ -44,6 +49,7 @@ class Index:
     first: np.ndarray  #: of each gram's postings, one more entry than grams
     item: np.ndarray
     place: np.ndarray
+    short: dict[int, tuple[np.ndarray, np.ndarray]]  #: by length: sorted hashes of the items below q, and the items
 
 
 def gram_hashes(codes: np.ndarray, q: int) -> np.ndarray:
@@ -65,49 +71,90 @@ def build_index(items: list[tuple], q: int = Q, rate: float = RATE) -> Index:
     """items: (id, text)."""
     ids, codes = [], []
     for i, text in items:
-        c, _ = char_codes([text])
-        c = c[1:-1] if len(c) > 2 else c[:0]
-        if len(c) >= q:
+        c = char_codes([text])[0][1:-1]
+        if len(c):
             ids.append(i)
             codes.append(c)
-        elif len(c):  # too short for the lemma: with its surrounding spaces, if that is long enough
-            ids.append(i)
-            codes.append(np.concatenate([[32], c, [32]]).astype(np.uint32))
     m = np.array([len(c) for c in codes], int)
     edits = np.maximum(np.minimum((rate * m).astype(int), (m - q) // q), 0)
     hashes = [gram_hashes(c, q) for c in codes]
     every = np.concatenate([np.zeros(0, np.uint64), *hashes])
-    item = np.repeat(np.arange(len(codes)), [len(h) for h in hashes])
-    place = np.concatenate([np.zeros(0, int), *(np.arange(len(h)) for h in hashes)]).astype(int)
+    item = np.repeat(np.arange(len(codes), dtype=np.int32), [len(h) for h in hashes])
+    place = np.concatenate([np.zeros(0, np.int32), *(np.arange(len(h), dtype=np.int32) for h in hashes)])
     order = np.argsort(every, kind="stable")
     grams, first = np.unique(every[order], return_index=True)
-    return Index(ids, codes, edits, m + 1 - q * (edits + 1), grams, np.append(first, len(every)), item[order], place[order])
+    short = {}
+    for n in sorted({int(x) for x in m if x < q}):
+        own = np.flatnonzero(m == n)
+        h = np.concatenate([gram_hashes(codes[i], n) for i in own])
+        short[n] = np.sort(h), own[np.argsort(h, kind="stable")]
+    need = np.where(m < q, np.iinfo(np.int64).max, m + 1 - q * (edits + 1))
+    return Index(ids, codes, edits, need, grams, np.append(first, len(every)), item[order], place[order], short)
+
+
+_FAR = 1 << 24
+_BEFORE, _BEYOND = 0xFFFFFFFE, 0xFFFFFFFF
 
 
-def banded_alignment(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int, int] | None:
-    """The best (edits, start, end) of item in text, of at most ``most`` edits: fewest edits, then the earliest end.
+def align_all(pairs: list[tuple[np.ndarray, np.ndarray, int]]) -> list[tuple[int, int, int] | None]:
+    """For each (item, window, most): the best (edits, start, end) of item in the window, of at most ``most``
+    edits: fewest edits, then the earliest end; None where there is none.
 
-    text is a window of len(item) + 2 * slack places; diagonals of the window are its band.
+    All pairs advance together, an item character at a time, over the diagonals that ``most`` edits can
+    reach; a pair ends with its item, or once every diagonal costs too much.
     """
-    m, n = len(item), len(text)
-    at = np.arange(n + 1)
-    cost, origin = np.zeros(n + 1, np.int32), at.copy()
-    for i in range(m):
-        swap = cost[:-1] + (text != item[i])
-        new, came = cost + 1, origin
-        better = swap < new[1:]
-        new = new.copy()
-        new[1:] = np.where(better, swap, new[1:])
-        came = came.copy()
-        came[1:] = np.where(better, origin[:-1], came[1:])
+    out: list[tuple[int, int, int] | None] = [None] * len(pairs)
+    wide = np.array([len(t) - len(c) + 2 * e + 1 for c, t, e in pairs], int)
+    order = [i for i in np.argsort(wide, kind="stable").tolist() if wide[i] > 0]
+    lo = 0
+    while lo < len(order):
+        hi = lo + 1
+        while hi < len(order) and (hi + 1 - lo) * wide[order[hi]] <= CELLS:
+            hi += 1
+        _align_batch(pairs, order[lo:hi], int(wide[order[hi - 1]]), out)
+        lo = hi
+    return out
+
+
+def _align_batch(pairs, chosen: list[int], width: int, out: list) -> None:
+    m = np.array([len(pairs[i][0]) for i in chosen])
+    most = np.array([pairs[i][2] for i in chosen], np.int32)
+    items = np.zeros((len(chosen), int(m.max())), np.uint32)
+    texts = np.full((len(chosen), int(m.max()) + width), _BEYOND, np.uint32)  # at x: the window's place x - most
+    ends = np.array([len(pairs[i][1]) for i in chosen])
+    for r, i in enumerate(chosen):
+        c, t, e = pairs[i]
+        items[r, : len(c)] = c
+        texts[r, :e] = _BEFORE
+        texts[r, e : e + len(t)] = t[: texts.shape[1] - e]
+    at = np.arange(width, dtype=np.int32)
+    origin = at[None, :] - most[:, None]
+    cost = np.where((origin < 0) | (origin > ends[:, None]), _FAR, 0).astype(np.int32)
+    who = np.array(chosen)
+    for i in range(int(m.max())):
+        chars = texts[:, i : i + width]
+        swap = cost + (chars != items[:, i : i + 1])
+        new, came = np.full_like(cost, _FAR), origin.copy()
+        new[:, :-1] = cost[:, 1:] + 1
+        came[:, :-1] = origin[:, 1:]
+        better = swap < new
+        np.copyto(new, swap, where=better)
+        np.copyto(came, origin, where=better)
+        new[chars == _BEYOND] = _FAR
         level = new - at
-        least = np.minimum.accumulate(level)  # insertions run along the row
-        source = np.maximum.accumulate(np.where(level == least, at, 0))
-        cost, origin = (least + at).astype(np.int32), came[source]
-        if cost.min() > most:
-            return None
-    end = int(np.argmin(cost))
-    return (int(cost[end]), int(origin[end]), end) if cost[end] <= most else None
+        least = np.minimum.accumulate(level, axis=1)  # insertions run along the row
+        source = np.maximum.accumulate(np.where(level == least, at, 0), axis=1)
+        cost, origin = least + at, np.take_along_axis(came, source, 1)
+        cost[chars == _BEYOND] = _FAR
+        low = cost.min(1)
+        for r in np.flatnonzero((m == i + 1) & (low <= most)).tolist():
+            k = int(np.argmin(cost[r]))
+            out[who[r]] = (int(cost[r, k]), int(origin[r, k]), i + 1 + k - int(most[r]))
+        stay = (m > i + 1) & (low <= most)
+        if not stay.all():
+            if not stay.any():
+                return
+            cost, origin, texts, items, m, most, who = (x[stay] for x in (cost, origin, texts, items, m, most, who))
 
 
 def lookup_table(index: Index) -> np.ndarray:
@@ -120,69 +167,126 @@ def _slot(hashes: np.ndarray) -> np.ndarray:
     return (hashes * np.uint64(_STEP)) >> np.uint64(64 - TABLE_BITS)
 
 
-def find_passages(texts: list[str], index: Index, table: np.ndarray, q: int = Q, first_only: bool = False) -> list[tuple[int, int, int, int, int]]:
-    """(row, item, start, end, edits) of the best passage for each row and item that share one.
-
-    ``first_only``: stop at a row's first item.
-    """
+_WORD = np.array([chr(i).isalnum() for i in range(1 << 16)])
+
+
+def _in_word(codes: np.ndarray) -> np.ndarray:
+    out = _WORD[np.minimum(codes, 0xFFFF)]
+    for i in np.flatnonzero(codes > 0xFFFF).tolist():
+        out[i] = chr(codes[i]).isalnum()
+    return out
+
+
+def _short_passages(codes: np.ndarray, offsets: np.ndarray, index: Index) -> dict[tuple[int, int], tuple[int, int, int]]:
+    """(row, item) -> (0, start, end) of the first place where a short item is a word of its own."""
+    found: dict[tuple[int, int], tuple[int, int, int]] = {}
+    for n, (hashes, items) in index.short.items():
+        own = gram_hashes(codes, n)
+        lo = np.searchsorted(hashes, own, "left")
+        at = np.flatnonzero(hashes[np.minimum(lo, len(hashes) - 1)] == own)
+        row = np.searchsorted(offsets, at, "right") - 1
+        inside = (at > offsets[row]) & (at + n < offsets[row + 1])  # a space stands at either end of a row
+        at, row = at[inside], row[inside]
+        free = ~((_in_word(codes[at - 1]) & _in_word(codes[at])) | (_in_word(codes[at + n]) & _in_word(codes[at + n - 1])))
+        at, row = at[free], row[free]
+        _, one = np.unique(np.stack([row, lo[at]]), axis=1, return_index=True)
+        for a, r in zip(at[one].tolist(), row[one].tolist()):
+            k = int(lo[a])
+            while k < len(hashes) and hashes[k] == own[a]:
+                if np.array_equal(index.codes[items[k]], codes[a : a + n]):
+                    found[r, int(items[k])] = (0, a - int(offsets[r]), a - int(offsets[r]) + n)
+                k += 1
+    return found
+
+
+def _full_bands(at: np.ndarray, gram: np.ndarray, offsets: np.ndarray, index: Index, q: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """(pair, band) of the bands that reach their item's bound, sorted; pair = row * items + item.  Postings are
+    counted in slices of bounded size."""
+    count = index.first[gram + 1] - index.first[gram]
+    ends = np.cumsum(count)
+    most = int(2 * (offsets[-1] + longest) + 4)  # of a band's number
+    keys, sums, lo = [], [], 0
+    while lo < len(at):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + POSTINGS, "right")))
+        some = count[lo:hi]
+        post = np.repeat(index.first[gram[lo:hi]] - np.concatenate([[0], np.cumsum(some)[:-1]]), some) + np.arange(some.sum())
+        item, place, where = index.item[post].astype(np.int64), index.place[post], np.repeat(at[lo:hi], some)
+        row = np.searchsorted(offsets, where, "right") - 1
+        inside = where + q <= offsets[row + 1]
+        item, place, where, row = item[inside], place[inside], where[inside], row[inside]
+        width = index.edits[item] + 1
+        band = (where - offsets[row] - place + longest + 2 * width) // width
+        key = (row * len(index.ids) + item) * most + band
+        key, seen = np.unique(np.concatenate([key, key - 1]), return_counts=True)
+        keys.append(key)
+        sums.append(seen)
+        lo = hi
+    if len(keys) > 1:
+        every, back = np.unique(np.concatenate(keys), return_inverse=True)
+        keys, sums = [every], [np.bincount(back, np.concatenate(sums)).astype(np.int64)]
+    pair, band = keys[0] // most, keys[0] % most
+    good = sums[0] >= index.need[pair % len(index.ids)]
+    return pair[good], band[good]
+
+
+def find_passages(texts: list[str], index: Index, table: np.ndarray, q: int = Q) -> list[tuple[int, int, int, int, int]]:
+    """(row, item, start, end, edits) of the best passage for each row and item that share one."""
+    if not index.ids:
+        return []
     codes, offsets = char_codes(texts)
+    best = _short_passages(codes, offsets, index)
     hashes = gram_hashes(codes, q)
-    hit = table[_slot(hashes)]
-    at = np.flatnonzero(hit)
-    if not len(at) or not len(index.ids):
-        return []
-    gram = np.minimum(np.searchsorted(index.grams, hashes[at]), len(index.grams) - 1)
-    real = index.grams[gram] == hashes[at]
-    at, gram = at[real], gram[real]
-    # a band needs at least the smallest bound of hits within the widest item's reach
-    reach, least = int(max(len(c) for c in index.codes) + 2 * (index.edits.max() + 1)), int(index.need.min())
-    near = np.searchsorted(at, at + reach, "right") - np.searchsorted(at, at - reach, "left") >= max(least, 1)
-    at, gram = at[near], gram[near]
-    if not len(at):
-        return []
-    count = index.first[gram + 1] - index.first[gram]
-    post = np.repeat(index.first[gram] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-    item, place, where = index.item[post], index.place[post], np.repeat(at, count)
-    row = np.searchsorted(offsets, where, "right") - 1
-    inside = where + q <= offsets[row + 1]
-    item, place, where, row = item[inside], place[inside], where[inside], row[inside]
-    width = index.edits[item] + 1
-    longest = max(len(c) for c in index.codes)
-    band = (where - offsets[row] - place + longest + 2 * width) // width
-    top = int(band.max(initial=0)) + 1
-    key = (row * len(index.ids) + item) * top + band
-    key, seen = np.unique(np.concatenate([key, key - 1]), return_counts=True)
-    pair, band = key // top, key % top
-    good = seen >= index.need[pair % len(index.ids)]
-    best: dict[int, tuple[int, int, int]] = {}
-    for p, b in zip(pair[good].tolist(), band[good].tolist()):
-        r, i = divmod(p, len(index.ids))
-        if first_only and any(x // len(index.ids) == r for x in list(best)[-1:]):
-            continue
-        c, e = index.codes[i], int(index.edits[i])
-        w = e + 1
-        lo = max(0, (b * w) - longest - 2 * w - e)
-        hi = (b + 2) * w - longest - 2 * w + len(c) + e
-        window = codes[offsets[r] + lo : min(offsets[r] + hi, offsets[r + 1])]
-        exact = window.tobytes().find(c.tobytes())
-        if exact >= 0 and exact % 4 == 0:
-            found = (0, exact // 4, exact // 4 + len(c))
-        else:
-            found = banded_alignment(c, window, e)
-        if found:
-            found = (found[0], found[1] + lo, found[2] + lo)
-            best[p] = min(best.get(p, found), found)
-    return [(p // len(index.ids), p % len(index.ids), s, t, e) for p, (e, s, t) in sorted(best.items())]
+    at = np.flatnonzero(table[_slot(hashes)])
+    if len(at) and len(index.grams):
+        gram = np.minimum(np.searchsorted(index.grams, hashes[at]), len(index.grams) - 1)
+        real = index.grams[gram] == hashes[at]
+        at, gram = at[real], gram[real]
+        # a band needs at least the smallest bound of hits within the widest item's reach
+        longest = max(len(c) for c in index.codes)
+        reach, least = int(longest + 2 * (index.edits.max() + 1)), int(index.need.min())
+        near = np.searchsorted(at, at + reach, "right") - np.searchsorted(at, at - reach, "left") >= max(least, 1)
+        at, gram = at[near], gram[near]
+    if len(at) and len(index.grams):
+        pair, band = _full_bands(at, gram, offsets, index, q, longest)
+        # bands of a pair that touch are one window
+        begins = np.flatnonzero(np.append(True, (pair[1:] != pair[:-1]) | (band[1:] > band[:-1] + 1))) if len(pair) else []
+        work, place = [], []
+        for a, b in zip(begins, [*begins[1:], len(pair)]):
+            r, i = divmod(int(pair[a]), len(index.ids))
+            c, e = index.codes[i], int(index.edits[i])
+            w = e + 1
+            lo = max(0, int(band[a]) * w - longest - 2 * w - e)
+            hi = (int(band[b - 1]) + 2) * w - longest - 2 * w + len(c) + e
+            window = codes[offsets[r] + lo : min(offsets[r] + hi, offsets[r + 1])]
+            exact = _first_exact(window, c)
+            if exact >= 0:
+                best[r, i] = min(best.get((r, i), (1, 0, 0)), (0, exact + lo, exact + lo + len(c)))
+            elif e:
+                work.append((c, window, e))
+                place.append((r, i, lo))
+        for (r, i, lo), found in zip(place, align_all(work)):
+            if found:
+                found = (found[0], found[1] + lo, found[2] + lo)
+                best[r, i] = min(best.get((r, i), found), found)
+    return [(r, i, s, t, e) for (r, i), (e, s, t) in sorted(best.items())]
+
+
+def _first_exact(window: np.ndarray, item: np.ndarray) -> int:
+    data, part, at = window.tobytes(), item.tobytes(), -1
+    while (at := data.find(part, at + 1)) >= 0:
+        if at % 4 == 0:
+            return at // 4
+    return -1
 
 
 def benchmark_slices(benchmark: DataFrame) -> Iterator[Index]:
     """Indexes over the items, each of about INDEX_CHARS characters at most: the size of the whole
-    is summed first, and what is larger comes in slices by hash of the text."""
+    is summed first, and what is larger comes in slices by hash of the item."""
     items = benchmark.select("item_id", "text").where(F.length("text") > 0)
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     slices = -(-total // INDEX_CHARS)
     for k in range(slices):
-        own = items if slices == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(slices)) == k)
+        own = items if slices == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k)
         yield build_index([(r["item_id"], r["text"]) for r in own.orderBy("item_id", "text").collect()])
 
 
@@ -241,7 +345,7 @@ def has_passage(text: Column, index: Index) -> Column:
         for batch in batches:
             out = np.zeros(len(batch), bool)
             for lo, texts in _text_slices(batch):
-                for r, *_ in find_passages(texts, index, table, first_only=True):
+                for r, *_ in find_passages(texts, index, table):
                     out[lo + r] = True
             yield pa.array(out)
 

@@ -2,34 +2,44 @@
 
 A paragraph is a line of a text, or several: each sentence that goes on over lines
 and each run of non-blank lines, without comment markers.  Sparse multinomial logistic regression over its
-word 1- to 3-grams identifies a licence family or the class "unknown", whose bias
-is calibrated so that at most ``false_rate`` of held-back foreign paragraphs get a
+word 1- to 3-grams identifies a licence family or the class "unknown", whose score
+is calibrated so that at most ``false_rate`` of the corpus's foreign paragraphs get a
 family.  A family is confirmed where one of its templates shares at least
 ``overlap`` of its word bigrams with the paragraph.  A line that is just a licence's
 title, and an SPDX identifier, are told by rule (probability and overlap 1).
 
-Only paragraphs with a cue word of licences are classified: without one no template
-can reach the overlap, so they are unknown by the same rule.  The model is fitted on
-the driver from the templates below and foreign lines (a bounded sample of the
-corpus and fixed ones); its weights are a table whose size the templates bound.
+Only paragraphs with one of the gate words are classified.  They follow from the
+overlap: without all gate words of a template, so many of its bigrams are missing that
+no paragraph can reach the overlap (see gate_words), so nothing is lost.  Foreign
+paragraphs are those behind the gate that share less than half the overlap with every
+template, in documents of which no paragraph reaches it or is told by rule (other lines
+of a licence are not foreign); the calibration counts all of them, equal ones once.
+
+The model is fitted on the driver from the templates, variants of them, fixed foreign
+lines and a sample of at most ``most`` foreign paragraphs, of which it gets the n-grams that
+templates have; its weights are a table whose size the templates bound.
 
 Null and empty texts have no paragraphs.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import random
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import written
+
 UNKNOWN = "unknown"
 
-#: Words that licence paragraphs contain (fixed values).
-CUES = ["licen", "copyright", "permission", "warrant", "redistribut", "public domain", "spdx", "creative commons", "cc by", "cc0"]
+#: What a text must contain for a rule on SPDX identifiers or titles to hold (fixed values).
+RULE_CUES = ["license", "spdx", "attribution", "cc by", "cc-by", "cc0"]
 
 #: Families of SPDX identifiers, the first that fits (fixed patterns).
 SPDX = [
@@ -137,6 +147,29 @@ TEMPLATES = {
     ],
 }
 
+#: Names of the families and sentences that grant under a name, for training (fixed values).
+NAMES = {
+    "GPL": ["GNU General Public License v3.0", "GNU GPL version 2", "GPLv3", "GPL-2.0", "GNU General Public License"],
+    "LGPL": ["GNU Lesser General Public License v3", "LGPL version 2.1", "GNU LGPL", "LGPL-3.0"],
+    "AGPL": ["GNU Affero General Public License v3", "AGPLv3", "GNU AGPL version 3", "AGPL-3.0"],
+    "MIT": ["MIT License", "MIT licence", "Expat License", "MIT/X11 license"],
+    "Apache": ["Apache License 2.0", "Apache License, Version 2.0", "Apache 2.0 License", "Apache-2.0"],
+    "BSD": ["BSD License", "3-clause BSD license", "BSD 2-Clause License", "BSD-3-Clause", "new BSD license"],
+    "MPL": ["Mozilla Public License 2.0", "MPL 2.0", "MPL-2.0"],
+    "EPL": ["Eclipse Public License 2.0", "Eclipse Public License v1.0", "EPL 2.0"],
+    "CC-BY-NC": ["CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License", "CC BY-NC-ND 4.0", "CC BY-NC-SA 3.0"],
+    "CC-BY": ["CC BY 4.0", "Creative Commons Attribution 4.0 International License", "CC BY 3.0"],
+    "CC-BY-SA": ["CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License", "CC BY-SA 3.0"],
+    "CC0": ["CC0 1.0 Universal", "Creative Commons Zero", "CC0"],
+    "ISC": ["ISC License", "ISC licence"],
+    "Unlicense": ["Unlicense", "The Unlicense"],
+    "Proprietary": [],
+}
+FRAMES = ["Licensed under the {}.", "Released under {}.", "This project is licensed under the terms of the {}.", "Distributed under the {}.", "This software is available under the {}.", "See the {} for more details.", "This work is made available under {}."]
+
+#: Words so common that a gate made of them would let all texts through (fixed values).
+COMMON = frozenset("the of to and or in under this is with you any that for are may not by it as be no all can from at on a an its without such their have has will which other".split())
+
 #: Paragraphs with cue words that grant no licence (fixed values).
 FOREIGN = [
     "He lost his driver's license after the accident and had to renew it at the office.",
@@ -179,79 +212,100 @@ def _scores(model: LicenseModel, features: set[str]) -> list[float]:
     return [b + scale * sum(w[k] for w in got) for k, b in enumerate(model.bias)]
 
 
-def fit_licenses(foreign: list[str], templates: dict[str, list[str]] | None = None, epochs: int = 60, rate: float = 0.8, sparsity: float = 2e-4, false_rate: float = 0.001, seed: int = 5) -> LicenseModel:
-    """Stochastic gradient with soft-thresholded weights; features are presences over the root of their number."""
+def gate_words(templates: list[tuple[str, list[str]]], overlap: float) -> list[str] | None:
+    """Words of which a text must contain one to share ``overlap`` of some template's bigrams.
+
+    For each template words are taken until the bigrams without any of them are fewer than the overlap
+    asks for; long words go before short ones, words taken already before others.  None (no gate) where
+    an overlap of 0 lets everything pass.
+    """
+    chosen = set(RULE_CUES[:1])
+    for _, bigrams in templates:
+        left, size = [b.split(" ") for b in bigrams], len(bigrams)
+        while len(left := [b for b in left if not chosen & set(b)]) >= overlap * size:
+            if not left:
+                return None
+            words = sorted({w for b in left for w in b})
+            price = {w: 50 if w in COMMON else 1 if len(w) > 6 else 3 if len(w) > 4 or re.search(r"[0-9]", w) else 10 for w in words}
+            chosen.add(max(words, key=lambda w: (sum(w in b for b in left) / price[w], w)))
+    return sorted(chosen)
+
+
+def template_bigrams(templates: dict[str, list[str]]) -> list[tuple[str, list[str]]]:
+    return [(f, sorted(grams(tokens(t), (2,)))) for f in sorted(templates) for t in templates[f]]
+
+
+def training_texts(templates: dict[str, list[str]], seed: int = 5) -> list[tuple[str, str]]:
+    """(family, text): templates, sentences with a family's names, and variants with words lost or added."""
+    chance = random.Random(seed)
+    texts = [(f, t) for f in sorted(templates) for t in [*templates[f], *(frame.format(n) for n in NAMES.get(f, []) for frame in FRAMES)]]
+    more = []
+    for f, t in texts:
+        w = t.split(" ")
+        if len(w) > 12:  # parts of it
+            more += [(f, " ".join(w[: len(w) * 2 // 3])), (f, " ".join(w[len(w) // 3 :]))]
+            more += [(f, " ".join(x for x in w if chance.random() > 0.15)) for _ in range(3)]
+        other = chance.choice(FOREIGN).split(" ")
+        more.append((f, " ".join([*other[: chance.randint(0, 6)], *w, *other[: chance.randint(0, 6)]])))
+    return texts + more
+
+
+def vocabulary(templates: dict[str, list[str]]) -> list[str]:
+    """The n-grams that weights can stand on: those of the training texts, less what only foreign words around them make."""
+    return sorted({g for f, t in training_texts(templates) for g in grams(tokens(t))})
+
+
+def fit_licenses(foreign: list[str] | list[tuple[list[str], int]], templates: dict[str, list[str]] | None = None, steps: int = 300, rate: float = 0.5, sparsity: float = 2e-5) -> LicenseModel:
+    """Multinomial logistic regression with soft-thresholded weights; features are presences over the root of their number.
+
+    foreign: texts, or for each its n-grams that vocabulary() has and the number of all its n-grams.
+    """
     templates = templates or TEMPLATES
     families = sorted(templates)
-    chance = random.Random(seed)
-    known = [(k, grams(tokens(t))) for k, f in enumerate(families) for t in templates[f]]
-    for k, f in enumerate(families):  # a notice among other words, and parts of it
-        for t in templates[f]:
-            w = tokens(t)
-            if len(w) > 12:
-                known += [(k, grams(w[: len(w) * 2 // 3])), (k, grams(w[len(w) // 3 :]))]
-    lines = [g for t in [*FOREIGN, *foreign] if (g := grams(tokens(t)))]
-    chance.shuffle(lines)
-    held, lines = lines[: len(lines) // 4], lines[len(lines) // 4 :]
-    vocabulary = {g for _, x in known for g in x}
-    model = LicenseModel(families, {g: [0.0] * len(families) for g in vocabulary}, [0.0] * len(families))
-    # unknown is class None, with score 0; foreign n-grams outside the vocabulary weigh nothing
-    examples = known * 4 + [(None, g) for g in lines]
-    for epoch in range(epochs):
-        chance.shuffle(examples)
-        step = rate / (1 + epoch / 10)
-        for k, features in examples:
-            s = _scores(model, features)
-            top = max(0.0, *s)
-            e = [math.exp(x - top) for x in s]
-            z = sum(e) + math.exp(-top)
-            inside = [model.weights[g] for g in features if g in model.weights]
-            scale = step / math.sqrt(len(features))
-            for j in range(len(families)):
-                d = e[j] / z - (j == k)
-                if abs(d) > 1e-3:
-                    model.bias[j] -= 0.1 * step * d
-                    for w in inside:
-                        w[j] -= scale * d
-        cut = sparsity * step * len(examples) / 10
-        for w in model.weights.values():
-            for j, x in enumerate(w):
-                w[j] = math.copysign(max(0.0, abs(x) - cut), x)
-    model.weights = {g: w for g, w in model.weights.items() if any(w)}
-    # calibration: what unknown's score must be for false_rate of the held-back foreign lines
-    margins = sorted((max(_scores(model, g)) for g in held), reverse=True)
-    shift = max(0.0, margins[int(false_rate * len(margins))] + 1e-9) if margins else 0.0
-    model.bias = [b - shift for b in model.bias]
-    model.templates = [(f, sorted(grams(tokens(t), (2,)))) for f in families for t in templates[f]]
-    return model
-
-
-def foreign_lines(docs: DataFrame, most: int = 400) -> list[str]:
-    """At most ``most`` lines of the corpus without a cue: one of each of that many documents, by hash of the id."""
-    line = F.get(F.split("text", "\n"), 0)
-    rows = docs.select("doc_id", F.substring(line, 1, 2000).alias("line")).where(F.col("line").isNotNull() & ~_has_cue(F.lower("line")))
-    return [r["line"] for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "line").limit(most).collect()]
-
-
-def _has_cue(lowered: Column) -> Column:
-    out = F.lit(False)
-    for cue in CUES:
-        out = out | F.contains(lowered, F.lit(cue))
-    return out
+    words = vocabulary(templates)
+    place = {g: i for i, g in enumerate(words)}
+    rows = [(families.index(f), g, len(g)) for f, t in training_texts(templates) if (g := grams(tokens(t)))]
+    for x in [*FOREIGN, *foreign]:
+        g, n = (own := grams(tokens(x)), len(own)) if isinstance(x, str) else x
+        if n:
+            rows.append((len(families), g, n))
+    x = np.zeros((len(rows), len(words)), np.float32)
+    for r, (_, g, n) in enumerate(rows):
+        for one in g:
+            if one in place:
+                x[r, place[one]] = 1 / math.sqrt(n)
+    want = np.array([k for k, _, _ in rows])
+    had = np.bincount(want, minlength=len(families) + 1)
+    weight = (np.sqrt(had.max() / np.maximum(had, 1)) / len(rows))[want].astype(np.float32)
+    target = np.eye(len(families) + 1, dtype=np.float32)[want]
+    w, b = np.zeros((len(words), len(families)), np.float32), np.zeros(len(families), np.float32)
+    g2, b2 = np.full_like(w, 1e-10), np.full_like(b, 1e-10)
+    for _ in range(steps):
+        eta = np.concatenate([x @ w + b, np.zeros((len(rows), 1), np.float32)], 1)
+        p = np.exp(eta - eta.max(1, keepdims=True))
+        d = ((p / p.sum(1, keepdims=True) - target) * weight[:, None])[:, :-1]
+        grad, own = x.T @ d, d.sum(0)
+        g2 += grad * grad
+        b2 += own * own
+        step = rate / np.sqrt(g2)
+        w -= step * grad
+        w = np.sign(w) * np.maximum(np.abs(w) - np.minimum(step * sparsity, 0.05), 0)
+        b -= 0.2 * rate * own / np.sqrt(b2)
+    weights = {g: [float(v) for v in w[i]] for i, g in enumerate(words) if w[i].any()}
+    return LicenseModel(families, weights, [float(v) for v in b], template_bigrams(templates))
 
 
 def _n_grams(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
-def _document_cue(text: Column) -> Column:
-    """Whether a cue may stand in the text, its words perhaps on two lines ("cc by" on one)."""
-    out = F.lit(False)
-    for cue in CUES:
-        one = F.lit(True)
-        for word in [cue] if cue == "cc by" else cue.split():
-            one = one & F.contains(text, F.lit(word))
-        out = out | one
+def _may_hold(lowered: Column, gate: list[str] | None) -> Column:
+    """Whether a lower-cased text contains a gate word, or what a rule asks for ("cc by" with any space between)."""
+    if gate is None:
+        return F.lit(True)
+    out = lowered.rlike(r"\bcc\s+by\b")
+    for word in sorted({*gate, *RULE_CUES} - {"cc by"}):
+        out = out | F.contains(lowered, F.lit(word))
     return out
 
 
@@ -281,45 +335,93 @@ def _told(text: Column) -> Column:
     return F.array_distinct(F.filter(both, lambda x: x.isNotNull()))
 
 
-def scan_licenses(docs: DataFrame, model: LicenseModel, overlap: float = 0.7, least: float = 0.5) -> DataFrame:
-    """doc_id, paragraph (number of its first line from 0), family, probability, template_overlap, words: the paragraphs
-    whose predicted family has probability of at least ``least`` and a template that confirms it, or that a rule tells.
-    Of paragraphs of one family, those that hold another that is found are left out.  Repeated rows repeat."""
+@dataclass(frozen=True)
+class Paragraphs:
+    """The paragraphs of a corpus that may be licences, as written tables."""
+
+    places: DataFrame  #: doc_id, _row, first, last, words, _told, _text: one row for each
+    seen: DataFrame  #: _text, _n, ids (of its n-grams in the vocabulary), shares (of each template's bigrams): one row for equal ones
+    foreign: DataFrame  #: _text of the foreign ones
+    templates: dict[str, list[str]]
+
+
+def license_paragraphs(docs: DataFrame, overlap: float = 0.7, templates: dict[str, list[str]] | None = None) -> Paragraphs:
     spark = docs.sparkSession
-    k = len(model.families)
-    weights = spark.createDataFrame([(g, w) for g, w in sorted(model.weights.items())], "gram string, w array<double>")
-    parts = {}
-    for t, (f, own) in enumerate(model.templates):
-        for g in own:
-            parts.setdefault(g, []).append(t)
-    template = spark.createDataFrame(sorted(parts.items()), "gram string, templates array<int>")
-    vocabulary = weights.join(template, "gram", "full")
-
-    # a row key of its own: ids may repeat
-    some = docs.where(_document_cue(F.lower("text"))).select("doc_id", "text", F.monotonically_increasing_id().alias("_row"))
+    templates = templates or TEMPLATES
+    own = template_bigrams(templates)
+    gate = gate_words(own, overlap)
+    number = {g: i for i, g in enumerate(vocabulary(templates))}
+    # a row key of its own, as ids may repeat; it is fixed once written
+    some = docs.where(_may_hold(F.lower("text"), gate)).select("doc_id", "text", F.monotonically_increasing_id().alias("_row"))
     some = some.select("doc_id", "_row", F.explode(_passages(F.col("text"))).alias("_p")).select("doc_id", "_row", "_p.*")
     lowered = F.lower("line")
-    some = some.where(_has_cue(F.regexp_replace(lowered, r"\s+", " "))).select("doc_id", "_row", "first", "last", F.regexp_extract_all(lowered, F.lit(_TOKEN), 0).alias("words"))
-    some = some.withColumn("_grams", F.array_distinct(F.concat(*(_n_grams(F.col("words"), n) for n in (1, 2, 3)))))
+    some = some.where(_may_hold(lowered, gate)).select("doc_id", "_row", "first", "last", F.regexp_extract_all(lowered, F.lit(_TOKEN), 0).alias("_words"))
+    told = F.when(F.col("first") == F.col("last"), _told(F.array_join("_words", " "))).otherwise(F.array().cast("array<string>"))
+    places = written(some.select("doc_id", "_row", "first", "last", F.size("_words").alias("words"), told.alias("_told"), F.array_join("_words", " ").alias("_line"), F.sha2(F.array_join("_words", " "), 256).alias("_text")))
     # equal paragraphs are classified once, whatever group of copies they come from
-    text = F.sha2(F.array_join("words", " "), 256)
-    distinct = some.select(text.alias("_text"), "_grams").groupBy("_text").agg(F.first("_grams").alias("_grams"))
-    found = distinct.select("_text", F.size("_grams").alias("_n"), F.explode("_grams").alias("gram")).join(vocabulary, "gram")
-    sums = [F.sum(F.coalesce(F.get("w", j), F.lit(0.0))).alias(f"s{j}") for j in range(k)]
-    scored = found.groupBy("_text", "_n").agg(*sums)
-    scores = F.array(*(F.lit(model.bias[j]) + F.col(f"s{j}") / F.sqrt("_n") for j in range(k)))
-    top = F.greatest(F.array_max("scores"), F.lit(0.0))
-    z = F.aggregate("scores", F.exp(-F.col("top")), lambda a, x: a + F.exp(x - F.col("top")))
-    scored = scored.select("_text", scores.alias("scores")).withColumn("top", top).select("_text", (F.array_position("scores", F.array_max("scores")) - 1).cast("int").alias("_family"), (F.exp(F.array_max("scores") - F.col("top")) / z).alias("probability"))
-    sizes = F.array(*(F.lit(len(own)) for _, own in model.templates))
-    family_of = F.array(*(F.lit(model.families.index(f)) for f, _ in model.templates))
-    shared = found.select("_text", F.explode("templates").alias("_t")).groupBy("_text", "_t").agg(F.count("*").alias("_c"))
-    shared = shared.select("_text", F.get(family_of, F.col("_t")).alias("_family"), (F.col("_c") / F.get(sizes, F.col("_t"))).alias("_o")).groupBy("_text", "_family").agg(F.max("_o").alias("template_overlap"))
-    good = scored.where(F.col("probability") >= least).join(shared, ["_text", "_family"]).where(F.col("template_overlap") >= overlap)
+    distinct = places.select("_text", "_line").dropDuplicates(["_text"]).withColumn("_words", F.split("_line", " "))
+    distinct = distinct.select("_text", F.array_distinct(F.concat(*(_n_grams(F.col("_words"), n) for n in (1, 2, 3)))).alias("_grams"))
+    # the templates bound the vocabulary, so it is sent to every task
+    words = F.broadcast(spark.createDataFrame(sorted(number.items()), "gram string, id int"))
+    found = distinct.select("_text", F.size("_grams").alias("_n"), F.explode("_grams").alias("gram")).join(words, "gram")
+    bigrams = F.from_json(F.lit(json.dumps([[number[g] for g in x] for _, x in own])), "array<array<int>>")
+    share = F.transform(bigrams, lambda t: F.size(F.array_intersect(F.col("ids"), t)) / F.size(t))
+    seen = found.groupBy("_text", "_n").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("shares", share)
+    seen = written(seen)
+    nearest = places.select("_row", "_text", (F.size("_told") > 0).alias("_ruled")).join(seen.select("_text", F.array_max("shares").alias("_s")), "_text")
+    licensed = nearest.where(F.col("_ruled") | (F.col("_s") >= overlap)).select("_row").distinct()
+    foreign = nearest.where(F.col("_s") < overlap / 2).join(licensed, "_row", "left_anti").select("_text").distinct()
+    return Paragraphs(places.drop("_line"), seen, written(foreign), templates)
+
+
+def foreign_paragraphs(paragraphs: Paragraphs, most: int = 400) -> list[tuple[list[str], int]]:
+    """For about ``most`` distinct foreign paragraphs at most (those with the smallest hashes): the n-grams that the vocabulary has, and the
+    number of all; what reaches the driver is bounded by ``most`` and the templates."""
+    share = min(1.0, most / max(paragraphs.foreign.count(), 1))
+    words = vocabulary(paragraphs.templates)
+    some = paragraphs.foreign.where(F.xxhash64("_text") <= min(2**63 - 1, int(-(2**63) + share * 2**64)))
+    rows = paragraphs.seen.join(some, "_text").select("_text", "ids", "_n").collect()
+    return [([words[i] for i in r["ids"]], r["_n"]) for r in sorted(rows, key=lambda r: r["_text"])]
+
+
+def _unknown_score(scored: DataFrame, paragraphs: Paragraphs, false_rate: float) -> float:
+    """The score of "unknown" that at most ``false_rate`` of the foreign paragraphs exceed, 0 at least, in steps of 0.01."""
+    foreign = scored.join(paragraphs.foreign, "_text", "left_semi")
+    total = paragraphs.foreign.count()
+    above = foreign.select(F.array_max("scores").alias("m")).where(F.col("m") > 0).groupBy(F.ceil(F.col("m") * 100).alias("step")).agg(F.count("*").alias("n"))
+    score, left = 0.0, false_rate * total
+    for r in above.orderBy(F.col("step").desc()).collect():  # as many rows as there are steps
+        if (left := left - r["n"]) < 0:
+            score = r["step"] / 100
+            break
+    return score
+
+
+def scan_licenses(docs: DataFrame, model: LicenseModel, overlap: float = 0.7, least: float = 0.5, false_rate: float = 0.001, paragraphs: Paragraphs | None = None) -> DataFrame:
+    """doc_id, paragraph (number of its first line from 0), family, probability, template_overlap, words: the paragraphs
+    whose predicted family has probability of at least ``least`` and a template that confirms it, or that a rule tells.
+    Of paragraphs of one family, those that hold another that is found are left out.  Repeated rows repeat.
+
+    paragraphs: what license_paragraphs() made of docs with the same overlap, if it is there already."""
+    spark = docs.sparkSession
+    p = paragraphs or license_paragraphs(docs, overlap)
+    k = len(model.families)
+    number = {g: i for i, g in enumerate(vocabulary(p.templates))}
+    weights = F.broadcast(spark.createDataFrame([(number[g], w) for g, w in sorted(model.weights.items())], "id int, w array<double>"))
+    sums = p.seen.select("_text", F.explode("ids").alias("id")).join(weights, "id").groupBy("_text").agg(*(F.sum(F.get("w", j)).alias(f"s{j}") for j in range(k)))
+    scores = F.array(*(F.lit(model.bias[j]) + F.coalesce(F.col(f"s{j}"), F.lit(0.0)) / F.sqrt("_n") for j in range(k)))
+    scored = written(p.seen.select("_text", "_n", "shares").join(sums, "_text", "left").select("_text", "shares", scores.alias("scores")))
+    unknown = F.lit(_unknown_score(scored, p, false_rate))
+    top = F.greatest(F.array_max("scores"), unknown)
+    z = F.aggregate("scores", F.exp(unknown - F.col("top")), lambda a, x: a + F.exp(x - F.col("top")))
+    best = (F.array_position("scores", F.array_max("scores")) - 1).cast("int")
+    mine = F.from_json(F.lit(json.dumps([[t for t, (f, _) in enumerate(model.templates) if f == family] for family in model.families])), "array<array<int>>")
+    shared = F.array_max(F.transform(F.get(mine, F.col("_family")), lambda t: F.get("shares", t)))
+    good = scored.withColumn("top", top).withColumn("_family", best).select("_text", "_family", (F.exp(F.array_max("scores") - F.col("top")) / z).alias("probability"), shared.alias("template_overlap"))
+    good = good.where((F.col("probability") >= least) & (F.col("template_overlap") >= overlap))
     names = F.array(*(F.lit(f) for f in model.families))
     good = good.select("_text", F.get(names, F.col("_family")).alias("family"), "probability", "template_overlap")
-    told = F.when(F.col("first") == F.col("last"), _told(F.array_join("words", " "))).otherwise(F.array().cast("array<string>"))
-    both = some.select("doc_id", "_row", "first", "last", text.alias("_text"), F.size("words").alias("words"), told.alias("_told")).join(good, "_text", "left")
+    both = p.places.join(good, "_text", "left")
     ruled = F.transform(F.filter("_told", lambda f: ~f.eqNullSafe(F.col("family"))), lambda f: F.struct(f.alias("family"), F.lit(1.0).alias("probability"), F.lit(1.0).alias("template_overlap")))
     one = F.struct("family", "probability", "template_overlap")
     every = both.select("doc_id", "_row", "first", "last", "words", F.explode(F.when(F.col("family").isNull(), ruled).otherwise(F.concat(F.array(one), ruled))).alias("_f")).select("doc_id", "_row", "first", "last", "words", "_f.*")

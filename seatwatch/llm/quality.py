@@ -6,7 +6,12 @@ text: the shares of its byte trigrams (case kept) in 2**14 hashed buckets, and
 hashed word-shape tokens (a word that repeats the one before, repeats within the
 text, shares of capitals, digits and symbols, in steps).
 
-A text of no words has the features of an empty one.  Extra columns are ignored.
+Grades are whole numbers in order of merit, as raters give them.  Where labels are two
+marks (quality, toxic), graded_labels() makes them one scale of three: what is poor is
+worst, what is sound but toxic is between, what is sound and civil is best.
+
+A text of no words has the features of an empty one, and so has a null one.  Extra columns
+are ignored; ids may be of any type.
 """
 
 from __future__ import annotations
@@ -55,6 +60,22 @@ def _row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
+def _window_repeats(words: np.ndarray, size: int = 64) -> float:
+    """The mean share of repeats in windows of ``size`` words, the same scale for short and long texts.  The
+    last window ends with the text and weighs by the words that no other window has."""
+    n = len(words)
+    whole, rest = divmod(n, size)
+    if not whole:
+        s = np.sort(words)
+        return float((s[1:] == s[:-1]).mean())
+    s = np.sort(words[: whole * size].reshape(-1, size), axis=1)
+    total = (s[:, 1:] == s[:, :-1]).mean() * whole * size
+    if rest:
+        last = np.sort(words[n - size :])
+        total += (last[1:] == last[:-1]).mean() * rest
+    return float(total / n)
+
+
 def shape_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """rows x (SHAPES * STEPS)."""
     rows = len(offsets) - 1
@@ -70,11 +91,8 @@ def shape_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     count = np.diff(firsts)
     shares[:, 3] = _row_sums(same, firsts) / np.maximum(count, 1)
     for i, (a, b) in enumerate(zip(firsts[:-1].tolist(), firsts[1:].tolist())):
-        if b > a:  # repeats in the first words of windows of 64: the same scale for short and long texts
-            whole = (b - a) // 64 * 64
-            parts = [words[a : a + whole].reshape(-1, 64)] if whole else [words[a:b].reshape(1, -1)]
-            s = np.sort(parts[0], axis=1)
-            shares[i, 4] = (s[:, 1:] == s[:, :-1]).mean() if s.shape[1] > 1 else 0.0
+        if b > a + 1:
+            shares[i, 4] = _window_repeats(words[a:b])
     place = np.minimum(np.sqrt(shares), 1) * (STEPS - 1)
     low = np.minimum(place.astype(int), STEPS - 2)
     out = np.zeros((rows, SHAPES, STEPS))
@@ -179,19 +197,29 @@ def graded_labels(labels: DataFrame) -> DataFrame:
 
 
 def fit_quality(docs: DataFrame, ratings: DataFrame, grades: int = 3, per_grade: int = 1500, train: Column | None = None, **options) -> OrdinalModel:
-    """Fits on at most ``per_grade`` rated texts of each grade; ratings (doc_id, grade from 0)."""
+    """Fits on at most ``per_grade`` rated texts of each grade; ratings (doc_id, grade from 0).
+
+    The sample is bounded by ``per_grade``, so one executor task fits the model and the driver gets its weights.
+    """
     texts, sizes = labelled_sample(docs, ratings, "grade", per_grade, list(range(grades)), train)
 
-    def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, rows, grade = [], [], []
         for b in batches:
             for at in range(0, b.num_rows, 64):
                 part = b.slice(at, 64)
-                got = [text_features(np.frombuffer((t or "").encode(), np.uint8)) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array([i.tobytes() for i, _ in got], pa.binary()), pa.array([v.tobytes() for _, v in got], pa.binary())], ["doc_id", "label", "i", "v"])
-
-    got = texts.select("doc_id", "label", "text").mapInArrow(featurise, "doc_id long, label int, i binary, v binary").toArrow().sort_by("doc_id")
-    rows = [(np.frombuffer(i.as_py(), np.int32), np.frombuffer(v.as_py(), np.float32)) for i, v in zip(got.column("i"), got.column("v"))]
-    return fit_ordinal(rows, np.asarray(got.column("label")).astype(int), [sizes.get(k, 0) for k in range(grades)], **options)
+                rows += [text_features(np.frombuffer((t or "").encode(), np.uint8)) for t in part.column("text").to_pylist()]
+                grade += part.column("label").to_pylist()
+                ids += part.column("doc_id").to_pylist()
+        order = sorted(range(len(ids)), key=ids.__getitem__)  # whatever order the rows came in
+        model = fit_ordinal([rows[i] for i in order], np.array([grade[i] for i in order], int), [sizes.get(k, 0) for k in range(grades)], **options)
+        yield pa.RecordBatch.from_pylist([{"weights": model.weights.tobytes(), "thresholds": model.thresholds.tobytes(), "fitted_on": len(rows)}])
+
+    # one task holds the bounded sample; the driver gets the weights alone
+    got = texts.select("doc_id", "label", "text").repartition(1).mapInArrow(fit, "weights binary, thresholds binary, fitted_on long").first()
+    if got is None:  # no texts, no task
+        return fit_ordinal([], np.zeros(0, int), [sizes.get(k, 0) for k in range(grades)])
+    return OrdinalModel(np.frombuffer(got["weights"]), np.frombuffer(got["thresholds"]), {"fitted_on": got["fitted_on"], "sizes": sizes})
 
 
 def score_quality(docs: DataFrame, model: OrdinalModel, grade: int = 1, at_least: float = 0.5) -> DataFrame:

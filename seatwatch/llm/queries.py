@@ -14,8 +14,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def held_out():
-    """Rows whose labels no model learns from."""
-    return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    """Rows whose labels no model learns from; a null id counts as an empty one."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3 == 1
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return license_scan.scan_licenses(docs, license_scan.fit_licenses(license_scan.foreign_lines(docs)))
+    paragraphs = license_scan.license_paragraphs(docs)
+    model = license_scan.fit_licenses(license_scan.foreign_paragraphs(paragraphs))
+    return license_scan.scan_licenses(docs, model, paragraphs=paragraphs)
 
 
 #: verdict and rule of op10_urls.

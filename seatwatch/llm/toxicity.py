@@ -1,13 +1,12 @@
 """Toxicity: linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
 A text is the set of its character 4- and 5-grams (lower-cased, whitespace runs
-as one space, hashed to 2**20 buckets).  Each n-gram's presence is scaled by its
-smoothed log-count ratio between the classes; logistic regression on the scaled
-presences gives the weights.  Only n-grams whose presence tells the classes apart
-beyond chance (G squared of at least ``least``) get a weight, so that scoring
-touches few places of a text.
+as one space, hashed to 2**BITS buckets an order).  Each n-gram's presence is scaled
+by its smoothed log-count ratio between the classes; logistic regression on the scaled
+presences gives the weights.  Every n-gram of the sample has a weight; the weights are
+one dense table over the buckets, whose size BITS fixes.
 
-Nulls and empty texts score the bias alone.  Extra columns are ignored.
+Nulls and empty texts score the bias alone.  Extra columns are ignored; ids may be of any type.
 """
 
 from __future__ import annotations
@@ -21,7 +20,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import labelled_sample
-from .tables import written
 from .text_arrays import char_codes, gram_buckets
 
 BITS = 20
@@ -30,63 +28,66 @@ ORDERS = (4, 5)
 
 @dataclass
 class ToxicityModel:
-    buckets: np.ndarray  #: of the selected n-grams, per order; order k starts at k << BITS
-    weights: np.ndarray
+    weights: np.ndarray  #: float32, len(ORDERS) << BITS: of each bucket's presence; order k starts at k << BITS
     bias: float
     stats: dict = field(default_factory=dict)
 
 
+class _Presence:
+    """The distinct features of texts, by marking a table of all buckets instead of sorting."""
+
+    def __init__(self):
+        self.mark = np.zeros(len(ORDERS) << BITS, np.int32)
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        found = np.concatenate([gram_buckets(codes, n, BITS).astype(np.int32) + (k << BITS) for k, n in enumerate(ORDERS)])
+        at = np.arange(len(found), dtype=np.int32)
+        self.mark[found] = at  # the last place of each bucket stays
+        return found[self.mark[found] == at]
+
+
 def gram_sets(texts: list[str]) -> list[np.ndarray]:
     """For each text the distinct feature ids of its n-grams."""
-    out = []
-    for t in texts:
-        codes, _ = char_codes([t])
-        out.append(np.unique(np.concatenate([gram_buckets(codes, n, BITS).astype(np.int32) + (k << BITS) for k, n in enumerate(ORDERS)])))
-    return out
+    presence = _Presence()
+    return [presence.of(char_codes([t])[0]) for t in texts]
 
 
-def fit_features(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, sizes: tuple[int, int], l2: float = 1e-2, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Logistic regression on presences scaled by ``ratio`` -> (weight of each feature's presence, bias).
+def fit_features(rows: list[np.ndarray], y: np.ndarray, sizes: tuple[int, int], smoothing: float = 1.0, doubt: float = 16.0, power: float = 2.0, l2: float = 3e-3, rate: float = 0.25, steps: int = 60) -> tuple[np.ndarray, np.ndarray, float]:
+    """Logistic regression on presences scaled by log-count ratios -> (features, weight of each one's presence, bias).
 
-    rows: each text's indices into ratio.  ``sizes``: the labelled rows of class 0 and 1 that the
+    rows: each text's distinct features.  ``sizes``: the labelled rows of class 0 and 1 that the
     sample stands for; rows weigh as if the classes had these sizes.
     """
     prior = float(np.log((sizes[1] + 0.5) / (sizes[0] + 0.5)))
-    if not len(ratio) or not len(y) or y.min() == y.max():
-        return np.zeros(len(ratio)), prior
-    cols, doc = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(x) for x in rows])
-    x = ratio[cols]
+    if not len(y) or y.min() == y.max():
+        return np.zeros(0, np.int32), np.zeros(0), prior
+    features, cols = np.unique(np.concatenate(rows), return_inverse=True)
+    cols = cols.astype(np.int32)
+    first = np.concatenate([[0], np.cumsum([len(x) for x in rows])])
+    held = np.diff(first) > 0
+    total = lambda values: np.add.reduceat(values, first[:-1][held])
+    pos = np.bincount(cols, np.repeat(y == 1, np.diff(first)), len(features))
+    neg = np.bincount(cols, minlength=len(features)) - pos
     n1 = int(y.sum())
-    weight = np.where(y == 1, sizes[1] / max(n1, 1), sizes[0] / max(len(y) - n1, 1))
+    n0 = len(y) - n1
+    ratio = np.log(((pos + smoothing) / (n1 + 2 * smoothing)) / ((neg + smoothing) / (n0 + 2 * smoothing)))
+    z2 = ratio**2 / (1 / (pos + smoothing) + 1 / (neg + smoothing))
+    ratio *= (z2 / (z2 + doubt)) ** power
+    weight = np.where(y == 1, sizes[1] / n1, sizes[0] / n0)
     weight = weight / weight.sum()
-    w, b = np.zeros(len(ratio)), prior
-    g2, gb2 = np.full(len(ratio), 1e-8), 1e-8
+    count = np.diff(first)
+    w, b = np.zeros(len(features)), prior
+    g2, gb2 = np.full(len(features), 1e-10), 1e-8
+    eta = np.zeros(len(y))
     for _ in range(steps):  # full-batch gradient with per-weight step sizes
-        eta = np.bincount(doc, x * w[cols], minlength=len(y)) + b
-        err = weight * (1 / (1 + np.exp(-np.clip(eta, -40, 40))) - y)
-        grad = np.bincount(cols, x * err[doc], minlength=len(ratio)) + l2 * w / len(y) ** 0.5
+        eta[held] = total((ratio * w)[cols])
+        err = weight * (1 / (1 + np.exp(-np.clip(eta + b, -40, 40))) - y)
+        grad = np.bincount(cols, np.repeat(err, count), len(features)) * ratio + l2 * w / len(features) ** 0.5
         g2 += grad * grad
         gb2 += err.sum() ** 2
-        w -= 0.25 * grad / np.sqrt(g2)
-        b -= 0.25 * err.sum() / np.sqrt(gb2)
-    return w * ratio, float(b)
-
-
-def _presence_sums(texts: list[str], model: ToxicityModel, lookup: np.ndarray) -> np.ndarray:
-    """Sum of the weights of the selected n-grams that each text has."""
-    out = np.full(len(texts), model.bias)
-    codes, offsets = char_codes(texts)
-    pairs = []
-    for k, n in enumerate(ORDERS):
-        found = lookup[k][gram_buckets(codes, n, BITS)]
-        at = np.flatnonzero(found >= 0)
-        doc = np.searchsorted(offsets, at, "right") - 1
-        inside = at + n <= offsets[doc + 1]
-        pairs.append(doc[inside] * len(model.buckets) + found[at[inside]])
-    pairs = np.unique(np.concatenate(pairs))
-    if len(pairs):
-        out += np.bincount(pairs // len(model.buckets), model.weights[pairs % len(model.buckets)], minlength=len(texts))
-    return out
+        w -= rate * grad / np.sqrt(g2)
+        b -= rate * err.sum() / np.sqrt(gb2)
+    return features.astype(np.int32), w * ratio, float(b)
 
 
 def toxicity_score(text: Column, model: ToxicityModel) -> Column:
@@ -94,86 +95,43 @@ def toxicity_score(text: Column, model: ToxicityModel) -> Column:
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        lookup = np.full((len(ORDERS), 1 << BITS), -1, np.int32)
-        for j, f in enumerate(model.buckets.tolist()):
-            lookup[f >> BITS, f & ((1 << BITS) - 1)] = j
+        presence = _Presence()
         for batch in batches:
             out = np.full(len(batch), model.bias)
-            lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch), 0)).astype(np.int64)
-            cuts, held = [0], 0
-            for i, size in enumerate(lengths.tolist()):
-                if held and held + size > 1 << 19:
-                    cuts.append(i)
-                    held = 0
-                held += size
-            for lo, hi in zip(cuts, [*cuts[1:], len(batch)]):
-                if len(model.buckets) and hi > lo:
-                    out[lo:hi] = _presence_sums(batch.slice(lo, hi - lo).to_pylist(), model, lookup)
+            for i, t in enumerate(batch):
+                out[i] += model.weights[presence.of(char_codes([t.as_py()])[0])].sum(dtype=np.float64)
             yield pa.array(1 / (1 + np.exp(-np.clip(out, -40, 40))))
 
     return score(text)
 
 
-def _class_counts(texts: DataFrame) -> DataFrame:
-    """(feature, pos, neg): in how many toxic and other texts each n-gram is; tasks add up before they send."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((2, len(ORDERS) << BITS), np.int32)
-        for b in batches:
-            for lo in range(0, b.num_rows, 64):
-                part = b.slice(lo, 64)
-                for s, label in zip(gram_sets(part.column("text").to_pylist()), part.column("label").to_pylist()):
-                    seen[label, s] += 1
-        at = np.flatnonzero(seen.any(0)).astype(np.int32)
-        for lo in range(0, len(at), 10000):
-            some = at[lo : lo + 10000]
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[1, some]), pa.array(seen[0, some])], ["feature", "pos", "neg"])
-
-    return texts.select("label", "text").mapInArrow(count, "feature int, pos int, neg int").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-
-
-def _likelihood_ratio(n1: int, n0: int) -> Column:
-    """G squared of an n-gram's presence (pos, neg) against the class."""
-    pos, neg = F.col("pos"), F.col("neg")
-    both, n = pos + neg, float(n1 + n0)
-    term = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
-    return 2 * (term(pos, both * n1 / n) + term(neg, both * n0 / n) + term(n1 - pos, (n - both) * n1 / n) + term(n0 - neg, (n - both) * n0 / n))
-
-
-def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column | None = None, per_class: int = 4000, features: int = 8192, least: float = 16.0, smoothing: float = 1.0, **options) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column | None = None, per_class: int = 2500, **options) -> ToxicityModel:
     """Fits on at most ``per_class`` labelled texts of each class (see labelled_sample).
 
-    Counts and selection run on the executors; the driver gets at most ``features`` n-grams and, for
-    each text of the sample, which of them it has.
+    The sample is bounded, so one executor task fits the model and the driver gets the weights of the
+    n-grams that the sample has, at most one for each bucket.
     """
     texts, sizes = labelled_sample(docs, labels, "toxic", per_class, [0, 1], train)
-    texts = written(texts.select("doc_id", "label", "text"))
-    had = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = had.get(1, 0), had.get(0, 0)
     stands_for = (sizes.get(0, 0), sizes.get(1, 0))
-    stats = {"labelled": sum(stands_for), "fitted_on": n1 + n0}
-    chosen = []
-    if n1 and n0:
-        ranked = _class_counts(texts).withColumn("g", _likelihood_ratio(n1, n0)).where(F.col("g") >= least)
-        chosen = sorted((r["feature"], r["pos"], r["neg"]) for r in ranked.orderBy(F.round("g", 6).desc(), "feature").limit(features).collect())
-    keep = np.array([f for f, _, _ in chosen], np.int32)
-    pos, neg = (np.array([c[i] for c in chosen], float) + smoothing for i in (1, 2))
-    ratio = np.log((pos / (n1 + 2 * smoothing)) / (neg / (n0 + 2 * smoothing)))
-
-    def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = np.full(len(ORDERS) << BITS, -1, np.int32)
-        place[keep] = np.arange(len(keep))
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, rows, label = [], [], []
         for b in batches:
             for lo in range(0, b.num_rows, 64):
                 part = b.slice(lo, 64)
-                found = [place[s] for s in gram_sets(part.column("text").to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array([x[x >= 0].tobytes() for x in found], pa.binary())], ["doc_id", "label", "found"])
-
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    got = texts.mapInArrow(featurise, f"doc_id {kind}, label int, found binary").toArrow().sort_by("doc_id")
-    rows = [np.frombuffer(x.as_py(), np.int32) for x in got.column("found")]
-    weights, bias = fit_features(rows, np.asarray(got.column("label")).astype(int), ratio, stands_for, **options)
-    return ToxicityModel(keep, weights, bias, stats | {"features": len(keep)})
+                rows += gram_sets(part.column("text").to_pylist())
+                label += part.column("label").to_pylist()
+                ids += part.column("doc_id").to_pylist()
+        order = sorted(range(len(ids)), key=ids.__getitem__)  # whatever order the rows came in
+        features, weights, bias = fit_features([rows[i] for i in order], np.array([label[i] for i in order], int), stands_for, **options)
+        yield pa.RecordBatch.from_pylist([{"features": features.tobytes(), "weights": weights.astype(np.float32).tobytes(), "bias": bias, "fitted_on": len(rows)}])
+
+    got = texts.select("doc_id", "label", "text").repartition(1).mapInArrow(fit, "features binary, weights binary, bias double, fitted_on long").first()
+    dense = np.zeros(len(ORDERS) << BITS, np.float32)
+    if got is None:  # no texts, no task
+        return ToxicityModel(dense, fit_features([], np.zeros(0, int), stands_for)[2], {"labelled": sum(stands_for), "fitted_on": 0, "features": 0})
+    dense[np.frombuffer(got["features"], np.int32)] = np.frombuffer(got["weights"], np.float32)
+    return ToxicityModel(dense, got["bias"], {"labelled": sum(stands_for), "fitted_on": got["fitted_on"], "features": len(got["features"]) // 4})
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:

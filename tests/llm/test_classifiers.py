@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from seatwatch.llm import license_scan, quality, toxicity
+from seatwatch.llm import license_scan, quality, text_arrays, toxicity
 from seatwatch.llm.queries import held_out
 
 
@@ -26,10 +26,50 @@ def test_toxicity_score_equals_plain_sum(corpus, documents):
     model = toxicity.fit_toxicity(docs, labels)
     texts = [None, "", "  ", "You IDIOT\nclown", "the worthless " * 40000, "ä" * 10, *(r["text"] for r in docs.limit(5).collect())]
     got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(documents(list(enumerate(texts)), ["score", "predicted"]), model).collect()}
-    weight = dict(zip(model.buckets.tolist(), model.weights.tolist()))
     for i, t in enumerate(texts):
-        eta = model.bias + sum(weight.get(f, 0.0) for f in toxicity.gram_sets([t])[0].tolist())
-        assert got[i] == pytest.approx(1 / (1 + np.exp(-eta)))
+        plain = f" {' '.join((t or '').lower().split())} "
+        found = {g: f for k, n in enumerate(toxicity.ORDERS) for g in {plain[j : j + n] for j in range(len(plain) - n + 1)} for f in [bucket(g) + (k << toxicity.BITS)]}
+        eta = model.bias + sum(float(model.weights[f]) for f in set(found.values()))
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-eta)), rel=1e-4)
+
+
+def bucket(gram):
+    return int(text_arrays.gram_buckets(np.array([ord(c) for c in gram], np.uint32), len(gram), toxicity.BITS)[0])
+
+
+def test_ids_of_any_type_and_repeated_ids(spark):
+    """Ids are strings; of an id with several texts the smallest counts, so that fits agree."""
+    docs = spark.createDataFrame([(f"d{i}", ("you idiot " if i % 3 == 0 else "a fine day ") * (i % 5 + 1) + str(i)) for i in range(60)] + [("d1", "other text"), ("d1", "a text"), (None, None)], "doc_id string, text string")
+    labels = spark.createDataFrame([(f"d{i}", i % 2, int(i % 3 == 0)) for i in range(60)], "doc_id string, quality int, toxic int")
+    one, two = (toxicity.fit_toxicity(d, labels) for d in (docs, docs.orderBy("text").repartition(3)))
+    assert np.array_equal(one.weights, two.weights) and one.bias == two.bias
+    scored = {(r["doc_id"], r["score"] > 0.5) for r in toxicity.score_toxicity(docs, one).collect()}
+    assert ("d3", True) in scored and ("d4", False) in scored
+    ratings = quality.graded_labels(labels)
+    first, again = (quality.fit_quality(d, ratings) for d in (docs, docs.orderBy("text").repartition(3)))
+    assert np.array_equal(first.weights, again.weights)
+    assert quality.score_quality(docs, first).count() == docs.count()
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 63, 64, 65, 100, 127, 128, 200])
+def test_repeats_count_every_word(n):
+    rng = np.random.default_rng(n)
+    words = [f"w{i}" for i in rng.integers(0, 30, n)]
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    hashes, _ = text_arrays.word_hashes(data, np.array([0, len(data)]), lower=False)
+
+    def repeats(window):
+        return (len(window) - len(set(window))) / (len(window) - 1) if len(window) > 1 else 0.0
+
+    if n < 64:
+        want = repeats(words)
+    else:
+        whole = n // 64
+        want = (sum(repeats(words[64 * i : 64 * i + 64]) for i in range(whole)) * 64 + (repeats(words[-64:]) * (n % 64) if n % 64 else 0)) / n
+    if n > 1:
+        assert quality._window_repeats(hashes) == pytest.approx(want)
+    if n > 64 and n % 64:  # words at the end are looked at
+        assert quality._window_repeats(np.append(hashes[:-1], hashes[-2])) != quality._window_repeats(np.append(hashes[:-1], np.uint64(1)))
 
 
 def test_models_of_no_rows(spark, documents):
@@ -127,6 +167,48 @@ def test_license_scores_equal_plain_python(documents):
     assert right >= 0.9 * len(texts)
 
 
+def test_license_gate_loses_nothing():
+    """Any text that shares the overlap with a template has a gate word."""
+    import random
+
+    rng = random.Random(6)
+    templates = license_scan.template_bigrams(license_scan.TEMPLATES)
+    gate = license_scan.gate_words(templates, 0.7)
+    reached = 0
+    for (f, bigrams), t in zip(templates, [t for f in sorted(license_scan.TEMPLATES) for t in license_scan.TEMPLATES[f]]):
+        words = license_scan.tokens(t)
+        for _ in range(200):
+            lost = set(rng.sample(sorted(set(words)), rng.randint(0, min(6, len(set(words))))))
+            text = [w if w not in lost else "x" for w in words]
+            if len(license_scan.grams(text, (2,)) & set(bigrams)) >= 0.7 * len(bigrams):
+                reached += 1
+                assert any(g in " ".join(text) for g in gate)
+        assert len([b for b in bigrams if not set(b.split()) & set(gate)]) < 0.7 * len(bigrams)
+    assert reached > 1000
+    assert license_scan.gate_words(templates, 0.0) is None
+
+
+def test_license_scan_of_reworded_notices_and_calibration(documents):
+    texts = {
+        1: ("To the extent possible under law, the author has waived all copy rights and related or neighboring rights to this work.", "CC0"),
+        2: ("This is free and unencumbered software released into the public-domain.", "Unlicense"),
+        3: ("Use of this source code is governed by a BSD-style terms that can be found in the file.", "BSD"),
+        4: ("Licensed under CC BY 4.0.", "CC-BY"),
+    }
+    foreign = [(100 + i, f"The council released its program {i} for public transport, and the general purpose was discussed.") for i in range(300)]
+    docs = documents([(i, t) for i, (t, _) in texts.items()] + foreign)
+    paragraphs = license_scan.license_paragraphs(docs)
+    sample = license_scan.foreign_paragraphs(paragraphs, 50)
+    assert 20 < len(sample) < 90
+    model = license_scan.fit_licenses(sample)
+    got = {r["doc_id"]: r["family"] for r in license_scan.scan_licenses(docs, model, paragraphs=paragraphs).collect()}
+    assert got == {i: f for i, (_, f) in texts.items()}
+    # a model that gives every paragraph a family is held back by the unknown class
+    eager = license_scan.LicenseModel(model.families, model.weights, [b + 9 for b in model.bias], model.templates)
+    scored = license_scan.scan_licenses(docs, eager, overlap=0.0, least=0.5, paragraphs=paragraphs).where("doc_id >= 100")
+    assert scored.count() == 0
+
+
 def test_license_query_finds_planted_lines(spark):
     import re
 

@@ -89,3 +89,54 @@ def test_gram_hashes(q):
         assert same.setdefault(codes[i : i + q].tobytes(), h[i]) == h[i]
     assert len(set(same.values())) == len(same)
     assert len(d.gram_hashes(codes[: q - 1], q)) == 0
+
+
+def test_short_items_match_as_words_of_their_own(spark, documents):
+    import re
+
+    rng = random.Random(2)
+    items = [(i, w) for i, w in enumerate(["a", "ab", "x1", "(b)", "nine char", "Eight ch", "ß", "c++", "a b c"])]
+    pieces = [w for _, w in items] + ["(ab)", "xab", "ab,", "a-ab", "c++11", "nine  CHAR.", "nine chars", "a\nb c", "é", ".", "1"]
+    rows = [(k, " ".join(rng.choices(pieces, k=rng.randint(0, 4)))) for k in range(60)] + [(99, None)]
+    got = {(r["doc_id"], r["item_id"]): (r["start"], r["end"], r["edits"]) for r in d.contaminated_passages(documents(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {}
+    for k, t in rows:
+        for i, item in items:
+            s, text = squeeze(item), f" {squeeze(t)} "
+            for m in re.finditer(f"(?={re.escape(s)})", text):
+                a, b = m.start(), m.start() + len(s)
+                if not (text[a - 1].isalnum() and s[0].isalnum()) and not (text[b].isalnum() and s[-1].isalnum()):
+                    want[k, i] = (a - 1, b - 1, 0)
+                    break
+    assert got == want
+
+
+def test_items_with_a_shared_start_stay_cheap():
+    import time
+
+    rng = random.Random(1)
+    start = prose(rng, 12)[:45]
+    index = d.build_index([(i, start + prose(rng, 30)) for i in range(500)])
+    text = f"{prose(rng, 200)} {start} {prose(rng, 150)}"
+    began = time.time()
+    assert d.find_passages([text], index, d.lookup_table(index)) == []
+    assert time.time() - began < 1
+    text = f"{prose(rng, 100)} {edited(rng, ''.join(map(chr, index.codes[77])), 3)} {prose(rng, 50)}"
+    assert [x[1] for x in d.find_passages([text], index, d.lookup_table(index))] == [77]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_alignment_of_many_pairs(seed):
+    rng = random.Random(seed)
+    pairs = []
+    for _ in range(30):
+        item = prose(rng, rng.randint(1, 12))
+        text = edited(rng, prose(rng, 3) + item + prose(rng, rng.randint(0, 4)), rng.randint(0, 5))[rng.randint(0, 9) :]
+        pairs.append((item, text, rng.randint(0, 6)))
+    codes = lambda t: np.array([ord(c) for c in t], np.uint32)
+    for (item, text, most), found in zip(pairs, d.align_all([(codes(a), codes(b), e) for a, b, e in pairs])):
+        fewest = least_edits(item, text)
+        assert (found is None) == (fewest > most)
+        if found:
+            e, s, t = found
+            assert e == fewest and least_edits(item, text[s:t]) == e and all(least_edits(item, text[:x]) > e for x in range(t))
