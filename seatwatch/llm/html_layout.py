@@ -9,15 +9,22 @@ annotations are not.  Not visible: head, script, style, template, noscript, comm
 elements with the hidden attribute or an inline display:none, form values, and text
 under an inline visibility:hidden up to elements with visibility:visible.
 
+Cells stand on a grid: spans of columns and rows count, columns are as wide as their cells'
+lines of up to ALIGN characters (longer ones run on), and no line is padded beyond WIDE
+characters, so that the text stays in proportion to its source.
+
 Malformed markup never fails: stray end tags are ignored, open elements end with
 their parent or the text, a < that opens no tag is text.  Null html is empty text.
-Nesting is held on explicit stacks, so depth is bounded by memory only.
+Nesting is held on explicit stacks with the places of each tag, so its depth costs nothing
+but memory.  Indentation ends at INDENT characters; tables within NESTED others are rendered
+as rows of text; a span over rows counts as one row while SPANS others are open.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -53,6 +60,7 @@ IMPLIED = {
     "body": ({"head"}, {"html"}),
 }
 SCOPES = frozenset({"table", "td", "th", "caption", "html", "template"})
+ALIGN, WIDE, INDENT, NESTED, SPANS = 60, 240, 40, 16, 64
 _TAG = re.compile(r"""<(?:!--(?:.*?--!?>|.*\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)(>|\Z)|[!?/][^>]*(?:>|\Z))""", re.S)
 _ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""")
 _MAY_HIDE = re.compile(r"display|visibility", re.I)
@@ -89,17 +97,24 @@ def build(source: str) -> Iterator[tuple[str, str, dict]]:
     stack: list[str] = []
     at, n = 0, len(source)
 
+    places: dict[str, list[int]] = {}  #: of the open elements of each tag
+
+    def push(tag: str) -> None:
+        places.setdefault(tag, []).append(len(stack))
+        stack.append(tag)
+
     def end_to(depth: int):
         while len(stack) > depth:
-            yield "close", stack.pop(), {}
+            tag = stack.pop()
+            places[tag].pop()
+            yield "close", tag, {}
+
+    def nearest(tags) -> int:
+        return max((p[-1] for t in tags if (p := places.get(t))), default=-1)
 
     def top(tags, scope) -> int | None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i] in tags:
-                return i
-            if stack[i] in scope:
-                return None
-        return None
+        i = nearest(tags)
+        return i if i >= 0 and i >= nearest(scope) else None
 
     while at < n:
         m = _TAG.search(source, at)
@@ -125,26 +140,22 @@ def build(source: str) -> Iterator[tuple[str, str, dict]]:
             continue
         if tag in IMPLIED:
             ends, scope = IMPLIED[tag]
-            lowest = None
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i] in scope:
-                    break
-                if stack[i] in ends:
-                    lowest = i
-            if lowest is not None:
-                yield from end_to(lowest)
+            above = nearest(scope)
+            inner = [p[k] for t in ends if (p := places.get(t)) and (k := bisect_right(p, above)) < len(p)]
+            if inner:
+                yield from end_to(min(inner))
         if tag in CLOSES_P:
             found = top({"p"}, SCOPES)
             if found is not None:
                 yield from end_to(found)
         if tag in ("td", "th") and top({"tr"}, {"table"}) is None and top({"table"}, ()) is not None:
-            stack.append("tr")
+            push("tr")
             yield "open", "tr", {}
         yield "open", tag, attributes(rest) if rest else {}
         if tag in VOID or (rest.endswith("/") and not _BARE_VALUE.search(rest) and (tag in FOREIGN or top(FOREIGN, HOSTS) is not None)):
             yield "close", tag, {}
             continue
-        stack.append(tag)
+        push(tag)
         if tag in RAW and not rest.rstrip().endswith("/"):
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(source, at)
             stop = end.start() if end else n
@@ -163,7 +174,8 @@ class _Flow:
         self.now: list[str] = []
         self.gap = 0  #: blank lines owed before the next line
         self.space = False
-        self.prefix: list[str] = []  #: indentation of the next lines
+        self.indents: list[int] = []  #: of the open elements
+        self.indent = 0  #: their sum, the next lines' indentation
         self.mark = ""  #: list marker owed to the next line
 
     def text(self, t: str) -> None:
@@ -183,12 +195,20 @@ class _Flow:
         if self.lines and self.gap:
             self.lines.extend([""] * self.gap)
         self.gap = 0
-        indent = "".join(self.prefix)
+        indent = " " * min(self.indent, INDENT)
         if self.mark:
-            indent = indent[: len(indent) - len(self.mark)] + self.mark
+            indent = indent[: max(0, len(indent) - len(self.mark))] + self.mark
             self.mark = ""
         self.lines.append((indent + line).rstrip())
 
+    def push_indent(self, width: int) -> None:
+        self.indents.append(width)
+        self.indent += width
+
+    def pop_indent(self) -> None:
+        if self.indents:
+            self.indent -= self.indents.pop()
+
     def end_line(self) -> None:
         if self.now:
             self.emit("".join(self.now))
@@ -205,24 +225,64 @@ class _Flow:
         self.gap = max(self.gap, 1)
 
 
-def _table_lines(rows: list[list[list[str]]]) -> list[str]:
-    """Cells (lists of lines) padded to the width of their column, two spaces apart."""
-    rows = [[cell or [""] for cell in r] for r in rows if r]
-    width = [0] * max((len(r) for r in rows), default=0)
-    for r in rows:
-        for i, cell in enumerate(r):
-            width[i] = max(width[i], *(len(x) for x in cell))
+def _span(text: str | None, most: int, least: int = 1) -> int:
+    m = re.match(r"\s*(\d{1,9})", text or "")
+    return min(max(int(m[1]), least), most) if m else 1
+
+
+def _table_lines(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Cells (lines, columns, rows that they span) at their columns' places, two spaces apart at least."""
+    grid: list[list[tuple[int, int, list[str]]]] = []  #: (first column, end, lines) by row
+    below: list[tuple[int, int, int]] = []  #: spans from rows above: (first column, end, rows left)
+    for row in rows:
+        at, placed, taken = 0, [], sorted(below)
+        below = [(a, b, left - 1) for a, b, left in taken if left > 1]
+        k = 0
+        for lines, columns, height in row:
+            while k < len(taken) and taken[k][0] <= at:
+                at = max(at, taken[k][1])
+                k += 1
+            placed.append((at, at + columns, lines))
+            if height > 1 and len(below) < SPANS:
+                below.append((at, at + columns, height - 1))
+            at += columns
+        if placed:
+            grid.append(placed)
+    starts = sorted({a for row in grid for a, _, _ in row})  # columns in which no cell begins have no width
+    number = {a: i for i, a in enumerate(starts)}
+    fitting = lambda lines: max((len(x) for x in lines if len(x) <= ALIGN), default=0)
+    width = [0] * len(starts)
+    spanning = []
+    for row in grid:
+        for i, (a, b, lines) in enumerate(row):
+            last = bisect_right(starts, b - 1) - 1
+            if last == number[a]:
+                width[last] = max(width[last], fitting(lines))
+            elif i + 1 < len(row):
+                spanning.append((number[a], last, fitting(lines)))
+    for first, last, need in spanning:
+        width[last] = max(width[last], need - sum(width[first:last]) - 2 * (last - first))
+    place, at = [], 0
+    for w in width:
+        place.append(min(at, WIDE))
+        at += w + 2 if w else 0
     out = []
-    for r in rows:
-        for k in range(max(len(cell) for cell in r)):
-            out.append("  ".join((cell[k] if k < len(cell) else "").ljust(width[i]) for i, cell in enumerate(r)).rstrip())
+    for row in grid:
+        for k in range(max(1, *(len(lines) for _, _, lines in row))):
+            line = ""
+            for a, _, lines in row:
+                if k < len(lines) and lines[k]:
+                    line = (line + "  " if line else "").ljust(place[number[a]]) + lines[k]
+            out.append(line.rstrip())
     return out
 
 
 def render(source: str | None) -> str:
     """All visible text of an HTML document."""
     flow, flows = _Flow(), []
-    tables: list[list[list[list[str]]]] = []
+    tables: list[list[list[tuple[list[str], int, int]]]] = []
+    spans: list[tuple[int, int]] = []  #: of the open cells
+    plain = 0  #: open tables that are too deep for a grid
     lists: list[tuple[str, int]] = []  #: kind and count
     hidden = pre = 0
     seen: list[bool] = []  #: whether each open element is there
@@ -261,12 +321,20 @@ def render(source: str | None) -> str:
                     flow.line_break()
             elif tag == "table":
                 flow.blank()
-                tables.append([])
+                if plain or len(tables) == NESTED:
+                    plain += 1
+                else:
+                    tables.append([])
+            elif tag == "tr" and plain:
+                flow.end_line()
+            elif tag in ("td", "th") and plain:
+                flow.space = True
             elif tag == "tr" and tables:
                 tables[-1].append([])
             elif tag in ("td", "th") and tables:
                 if not tables[-1]:
                     tables[-1].append([])
+                spans.append((_span(attrs.get("colspan"), 1000), _span(attrs.get("rowspan"), 65534, 0) or 65534))
                 flows.append(flow)
                 flow = _Flow()
             elif tag in BLOCK:
@@ -281,9 +349,9 @@ def render(source: str | None) -> str:
                     mark = f"{count + 1}. " if style == "ol" else "- "
                     if shown[-1]:
                         flow.mark = mark
-                    flow.prefix.append(" " * len(mark))
+                    flow.push_indent(len(mark))
                 elif tag in ("blockquote", "dd"):
-                    flow.prefix.append("  ")
+                    flow.push_indent(2)
                 elif tag == "pre":
                     pre += 1
             continue
@@ -297,10 +365,15 @@ def render(source: str | None) -> str:
             continue
         if apart:
             flow.space = True
-        if tag in ("td", "th") and flows:
+        if tag in ("td", "th", "tr") and plain:
+            flow.space = True
+        elif tag == "table" and plain:
+            plain -= 1
+            flow.blank()
+        elif tag in ("td", "th") and flows:
             flow.end_line()
             cell, flow = flow.lines, flows.pop()
-            tables[-1][-1].append(cell)
+            tables[-1][-1].append((cell, *spans.pop()))
         elif tag == "table" and tables:
             rows = tables.pop()
             flow.end_line()
@@ -315,10 +388,9 @@ def render(source: str | None) -> str:
             elif tag == "li":
                 if flow.mark and visible:
                     flow.emit("")
-                if flow.prefix:
-                    flow.prefix.pop()
-            elif tag in ("blockquote", "dd") and flow.prefix:
-                flow.prefix.pop()
+                flow.pop_indent()
+            elif tag in ("blockquote", "dd"):
+                flow.pop_indent()
             elif tag == "pre":
                 pre -= 1
     flow.end_line()

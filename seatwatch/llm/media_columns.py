@@ -6,6 +6,9 @@ kept beside them.  Payloads live once written in a store (digest, media) in the
 form of 8-bit greyscale images (binary PGM, 24 samples a row), which hold any bytes
 losslessly.
 
+Of a video or audio element, its own source and those within are references; its other
+content, and whatever is hidden, is left out.
+
 A null text is empty.  References whose digest the store lacks keep their place,
 with null media columns.  Repeated rows give repeated sequences.
 """
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .html_layout import BLOCK, UNSEEN, build
+from .html_layout import BLOCK, UNSEEN, build, hiding
 from .tables import arrow_rows, shared_folder, written
 
 ROW = 24
@@ -41,7 +44,7 @@ def sequence_of(html: str | None) -> list[dict]:
     """
     items: list[dict] = []
     text: list[str] = []
-    hidden = 0
+    unseen = [(False, False)]  #: of each open element: whether its text, and its media, are not visible
     figure: list[int] = []  #: first item of each open figure
     caption: list[str] | None = None
 
@@ -53,16 +56,19 @@ def sequence_of(html: str | None) -> list[dict]:
 
     for kind, value, attrs in build(html or ""):
         if kind == "text":
-            if not hidden:
+            if not unseen[-1][0]:
                 (text if caption is None else caption).append(value)
         elif kind == "open":
-            if value in MEDIA and not hidden and (src := attrs.get("src")):
+            gone = "hidden" in attrs or hiding(attrs.get("style", ""))[0] == "none" or (value in UNSEEN and value not in MEDIA)
+            inside = (unseen[-1][0] or gone or value in MEDIA, unseen[-1][1] or gone)  # what stands in a media element is for readers without it
+            unseen.append(inside)
+            if value in MEDIA and not inside[1] and (src := attrs.get("src")):
                 flush()
                 digest = src[len(REFERENCE) :] if src.startswith(REFERENCE) else None
                 items.append({"position": len(items), "kind": "media", "text": None, "digest": digest, "source": src, "caption": attrs.get("alt")})
-            if value in UNSEEN and value not in MEDIA:
-                hidden += 1
-            elif value == "figure":
+            if inside[1]:
+                continue
+            if value == "figure":
                 flush()
                 figure.append(len(items))
             elif value == "figcaption" and figure:
@@ -71,9 +77,9 @@ def sequence_of(html: str | None) -> list[dict]:
             elif value in BLOCK or value == "br":
                 flush()
         else:
-            if value in UNSEEN and value not in MEDIA:
-                hidden -= 1
-            elif value == "figcaption" and caption is not None:
+            if unseen.pop()[1]:
+                continue
+            if value == "figcaption" and caption is not None:
                 told = " ".join("".join(caption).split())
                 caption = None
                 for item in items[figure[-1] if figure else len(items) :]:
@@ -161,13 +167,23 @@ def resolve(sequences: DataFrame, store: DataFrame) -> DataFrame:
     return items.join(store, "digest", "left")
 
 
+def _escaped(text: Column) -> Column:
+    for plain, written_as in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(plain), F.lit(written_as))
+    return text
+
+
 def text_media(docs: DataFrame) -> DataFrame:
-    """Every text as a document of a caption and one media reference, stored, read back and resolved:
-    doc_id, position, caption and the columns of read_store."""
+    """Every text as a document of its paragraphs (lines) and then a figure of the whole text with a caption,
+    stored, read back and resolved: doc_id, position (how many paragraphs with words come before it), caption and
+    the columns of read_store."""
     spark = docs.sparkSession
-    image = as_image(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    image = as_image(text.cast("binary"))
     folder = f"{shared_folder(spark)}/media"
     write_store(docs.select(image.alias("media")), folder)
-    ref = F.concat(F.lit(f'<figure><img src="{REFERENCE}'), F.sha2(image, 256), F.lit('"><figcaption>Text of document '), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit("</figcaption></figure>"))
-    sequences = docs.select("doc_id", interleaved(ref).alias("items"))
-    return resolve(sequences, read_store(spark, folder)).where(F.col("kind") == "media")
+    body = F.concat(F.lit("<p>"), F.replace(_escaped(text), F.lit("\n"), F.lit("</p><p>")), F.lit("</p>"))
+    figure = F.concat(F.lit(f'<figure><img src="{REFERENCE}'), F.sha2(image, 256), F.lit('"><figcaption>Text of document '), _escaped(F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))), F.lit("</figcaption></figure>"))
+    sequences = docs.select("doc_id", interleaved(F.concat(body, figure)).alias("items"))
+    sequences = sequences.select("doc_id", F.filter("items", lambda i: i["kind"] == "media").alias("items"))
+    return resolve(sequences, read_store(spark, folder))

@@ -10,8 +10,10 @@ Taking: a source whose target is r times its size takes every document floor(r)
 times, and of one more seeded random order of its documents the beginning, up to
 the rounded target; the document at the cut is taken in part.  The order is by
 md5 of id and seed.  The cut is found by radix: sizes are summed by the first
-three hex digits, then by the next three, and only documents that share all six
-with the cut are ordered one by one, so no task holds a source.
+three hex digits, then by the next three, and only the keys that share all six
+with the cut are ordered, so no task holds a source.  Rows of one key and size
+(rows without an id, or that repeat one) are counted, not ordered: at the cut each
+takes an equal part, rounded down.
 
 Null ids sort as the empty text; a null source is a source, after all others;
 null texts have size 0.  A source of size 0 has target 0.
@@ -81,8 +83,12 @@ def mix_sources(docs: DataFrame, weights: DataFrame, share: float = 1.5, max_epo
     second = _cut(at_cut.groupBy("source", "_d2").agg(F.sum("size").alias("_size"), F.first("_goal").alias("_g")), F.col("_g"), "_d2").drop("_g", "_goal")
     finer = _same(at_cut, second, "_d2")
     plain_finer = finer.where(~cut).withColumn("_extra", F.when(F.col("_before") >= F.col("_goal"), 0).otherwise(F.col("size")))
-    run = Window.partitionBy("source").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    last = finer.where(cut).withColumn("_left", F.col("_goal") - F.col("_before") - F.coalesce(F.sum("size").over(run), F.lit(0)))
-    last = last.withColumn("_extra", F.least(F.greatest("_left", F.lit(0)), F.col("size")))
+    tied = finer.where(cut)
+    keys = tied.groupBy("source", "_key", "size").agg(F.count("*").alias("_rows"), F.first(F.col("_goal") - F.col("_before")).alias("_room"))
+    run = Window.partitionBy("source").orderBy("_key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    keys = keys.withColumn("_part", F.floor((F.col("_room") - F.coalesce(F.sum(F.col("size") * F.col("_rows")).over(run), F.lit(0))) / F.col("_rows")).cast("long"))
+    keys = keys.select(F.col("source").alias("_s"), F.col("_key").alias("_k"), F.col("size").alias("_z"), "_part")
+    last = tied.join(keys, tied["source"].eqNullSafe(keys["_s"]) & (tied["_key"] == keys["_k"]) & (tied["size"] == keys["_z"]))
+    last = last.withColumn("_extra", F.least(F.greatest("_part", F.lit(0)), F.col("size")))
     columns = ["doc_id", "size", "source_size", "target", (F.col("_whole") * F.col("size") + F.col("_extra")).cast("long").alias("taken")]
     return plain.select(columns).unionByName(plain_finer.select(columns)).unionByName(last.select(columns))

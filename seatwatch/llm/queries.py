@@ -48,7 +48,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/warc"
     web_archive.write_archive(_table(spark, sf_dir, "pages"), folder, least=100)
-    archive = web_archive.read_archive(spark, folder)
+    archive = web_archive.verified_records(spark, folder)
     return archive.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
@@ -153,9 +153,10 @@ seen AS (
   SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts),
 named AS (
-  SELECT *, split_part(host, '.', -1) AS last,
-    CASE WHEN contains(host, '.') THEN split_part(host, '.', -2) || '.' || split_part(host, '.', -1) ELSE host END AS two,
-    try_cast(nullif(regexp_extract(path, '/([0-9]{1,18})$', 1), '') AS BIGINT) AS doc_id FROM seen),
+  SELECT *, CASE WHEN last_two IN (__SUFFIXES__) THEN last_two ELSE split_part(host, '.', -1) END AS last,
+    CASE WHEN last_two IN (__SUFFIXES__) AND host <> last_two THEN split_part(host, '.', -3) || '.' || last_two ELSE last_two END AS two,
+    try_cast(nullif(regexp_extract(path, '/([0-9]{1,18})$', 1), '') AS BIGINT) AS doc_id
+  FROM (SELECT *, CASE WHEN contains(host, '.') THEN split_part(host, '.', -2) || '.' || split_part(host, '.', -1) ELSE host END AS last_two FROM seen)),
 flags AS (
   SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NOT NULL OR toxic IS NOT NULL THEN 0 END) AS bad FROM labels GROUP BY doc_id),
 outcomes AS (
@@ -184,3 +185,4 @@ ruled AS (
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
   WHEN bound > 0.5 THEN 'block' ELSE 'allow' END AS verdict FROM ruled""",
 }
+ORACLE["op10_urls"] = ORACLE["op10_urls"].replace("__SUFFIXES__", ", ".join(f"'{x}'" for x in url_filter.TWO_LABEL_SUFFIXES))

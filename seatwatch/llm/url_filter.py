@@ -7,6 +7,10 @@ from the spread of all its groups (method of moments).  A host is blocked where
 lower posterior bound of its bad rate (mean less ``z`` standard deviations) is over
 ``limit``: few or mixed outcomes shrink to the parent and allow.
 
+Suffixes are a table of public suffix rules ("co.uk", "*.ck" for any one label before
+ck, "!www.ck" for an exception); the longest fitting rule wins, an exception before all, and
+the last label is the suffix where none fits.  The registered domain is one label more.
+
 Null urls and urls without :// have an empty host and path.  Null outcomes do not
 count.  Rules: host and path of a rule; it fits its host and all subdomains where
 the url's path starts with its path; the longest fitting one wins (then by text).
@@ -19,6 +23,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tables import written
+
 #: Suffixes of two labels under which names are registered (fixed values).
 TWO_LABEL_SUFFIXES = ["co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "co.kr", "co.in", "com.br", "com.mx", "com.tr", "com.cn", "co.za"]
 
@@ -38,13 +44,27 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(_rest(url), r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def host_suffix(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+def _tails(host: Column) -> Column:
+    """The host and what is left of it without its first labels, down to the last."""
+    parts = F.split(host, r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+
 
+def suffix_table(spark: SparkSession, rules: list[str] | None = None) -> DataFrame:
+    """(suffix_rule) of public suffix rules, by default TWO_LABEL_SUFFIXES; a full list goes here."""
+    return spark.createDataFrame([(r,) for r in sorted({r.strip().lower() for r in (TWO_LABEL_SUFFIXES if rules is None else rules)})], "suffix_rule string")
 
-def registered_domain(host: Column) -> Column:
-    return F.when(F.substring_index(host, ".", -2).isin(TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+
+def with_suffix(hosts: DataFrame, suffixes: DataFrame) -> DataFrame:
+    """hosts (host, distinct, ...) with suffix and domain (its registered domain; the suffix itself has none of its own and stands for it)."""
+    labels = lambda c: F.size(F.split(c, r"\."))
+    after = F.regexp_replace("tail", r"^[^.]*\.?", "")
+    forms = F.array(F.struct(F.col("tail").alias("rule"), F.lit(0).alias("kind"), F.col("tail").alias("suffix")), F.struct(F.concat(F.lit("*."), after).alias("rule"), F.lit(0).alias("kind"), F.col("tail").alias("suffix")), F.struct(F.concat(F.lit("!"), F.col("tail")).alias("rule"), F.lit(1).alias("kind"), after.alias("suffix")))
+    fitting = hosts.select("host", F.explode(_tails(F.col("host"))).alias("tail")).select("host", F.explode(forms).alias("f")).select("host", "f.*").join(suffixes.select(F.col("suffix_rule").alias("rule")), "rule")
+    best = fitting.groupBy("host").agg(F.max(F.struct("kind", labels("suffix").alias("n"), "suffix"))["suffix"].alias("_suffix"))
+    out = hosts.join(best, "host", "left").withColumn("suffix", F.coalesce("_suffix", F.substring_index("host", ".", -1))).drop("_suffix")
+    size = labels("suffix")
+    return out.withColumn("domain", F.array_join(F.slice(F.split("host", r"\."), -F.least(size + 1, labels("host")), size + 1), "."))
 
 
 @dataclass(frozen=True)
@@ -65,19 +85,22 @@ def _posterior(level: DataFrame) -> DataFrame:
     return level.withColumn("strength", F.lit(m) + F.col("n")).withColumn("mean", (F.col("bad") + F.lit(m) * mu) / F.col("strength"))
 
 
-def host_reputation(outcomes: DataFrame, policy: Policy = Policy()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """outcomes (host, bad 0 or 1) -> (hosts, domains, suffixes), each (its key, bad, n, mean, bound)."""
+def host_reputation(outcomes: DataFrame, policy: Policy = Policy(), suffixes: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """outcomes (host, bad 0 or 1) -> (hosts, domains, suffixes), each (its key, bad, n, mean, bound).
+
+    Outcomes are counted once, into a written table of one row for each host, from which all levels come.
+    """
     o = outcomes.where(F.col("bad").isNotNull() & (F.col("host") != ""))
     hosts = o.groupBy("host").agg(F.sum(F.col("bad").cast("long")).alias("bad"), F.count("*").alias("n"))
-    hosts = hosts.withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", host_suffix(F.col("host")))
+    hosts = written(with_suffix(written(hosts), suffixes if suffixes is not None else suffix_table(o.sparkSession)))
     total = hosts.agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).first()
     base = ((total["bad"] or 0) + 0.5) / ((total["n"] or 0) + 1.0)
-    suffixes = _posterior(hosts.groupBy("suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).withColumn("prior", F.lit(base)))
+    tops = _posterior(hosts.groupBy("suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).withColumn("prior", F.lit(base)))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
-    domains = _posterior(domains.join(suffixes.select("suffix", F.col("mean").alias("prior")), "suffix"))
-    hosts = _posterior(hosts.drop("suffix").join(domains.select("domain", F.col("mean").alias("prior")), "domain"))
+    domains = _posterior(written(domains.join(tops.select("suffix", F.col("mean").alias("prior")), "suffix")))
+    hosts = _posterior(written(hosts.drop("suffix").join(domains.select("domain", F.col("mean").alias("prior")), "domain")))
     bound = F.col("mean") - policy.z * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("strength") + 1))
-    return tuple(x.select(k, "bad", "n", "mean", bound.alias("bound")) for x, k in ((hosts, "host"), (domains, "domain"), (suffixes, "suffix")))
+    return tuple(x.select(k, "bad", "n", "mean", bound.alias("bound")) for x, k in ((hosts, "host"), (domains, "domain"), (tops, "suffix")))
 
 
 def rule_table(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
@@ -86,19 +109,22 @@ def rule_table(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
     return spark.createDataFrame(rows, "rule string, rule_host string, rule_path string, rule_verdict string")
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, outcomes: DataFrame, policy: Policy = Policy()) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: DataFrame, outcomes: DataFrame, policy: Policy = Policy(), suffixes: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule (null where none fits), verdict (allow or block), bound (of the host's
-    bad rate, or its domain's, suffix's or null), for every row of pages (page_id, url)."""
-    hosts, domains, suffixes = host_reputation(outcomes, policy)
+    bad rate, or its domain's, suffix's or null), for every row of pages (page_id, url).
+
+    What is known of a host is a written table of one row for each, so that the join back to the pages is
+    a plain one, which adaptive execution splits where a host is hot.
+    """
+    if suffixes is None:
+        suffixes = suffix_table(pages.sparkSession)
+    hosts, domains, tops = host_reputation(outcomes, policy, suffixes)
     seen = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
-    names = seen.select("host").distinct()
-    parts = F.split("host", r"\.")
-    tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    fitting = names.select("host", F.explode(tails).alias("rule_host")).join(rules, "rule_host")
+    names = written(with_suffix(written(seen.select("host").distinct()), suffixes))
+    fitting = names.select("host", F.explode(_tails(F.col("host"))).alias("rule_host")).join(rules, "rule_host")
     fitting = fitting.groupBy("host").agg(F.sort_array(F.collect_list(F.struct(F.length("rule").alias("size"), "rule", "rule_path", "rule_verdict")), asc=False).alias("rules"))
-    rated = names.withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", host_suffix(F.col("host")))
-    rated = rated.join(hosts.select("host", F.col("bound").alias("h")), "host", "left").join(domains.select("domain", F.col("bound").alias("d")), "domain", "left").join(suffixes.select("suffix", F.col("bound").alias("s")), "suffix", "left")
-    known = rated.select("host", F.coalesce("h", "d", "s").alias("bound")).join(fitting, "host", "left")
+    rated = names.join(hosts.select("host", F.col("bound").alias("h")), "host", "left").join(domains.select("domain", F.col("bound").alias("d")), "domain", "left").join(tops.select("suffix", F.col("bound").alias("s")), "suffix", "left")
+    known = written(rated.select("host", F.coalesce("h", "d", "s").alias("bound")).join(fitting, "host", "left"))
     out = seen.join(known, "host", "left").withColumn("_r", F.get(F.filter("rules", lambda r: F.startswith(F.col("path"), r["rule_path"])), 0))
     own = F.when(F.col("bound") > policy.limit, "block").otherwise("allow")
     return out.select("page_id", "host", "path", F.col("_r.rule").alias("rule"), F.coalesce("_r.rule_verdict", own).alias("verdict"), "bound")

@@ -27,7 +27,7 @@ NEWLINE = "\r\n"
 
 
 def _urn(record_id: Column) -> Column:
-    return F.concat(F.lit("<urn:x-record:"), F.coalesce(record_id.cast("string"), F.lit("none")), F.lit(">"))
+    return F.concat(F.lit("<urn:x-record:"), F.coalesce(F.url_encode(record_id.cast("string")), F.lit("none")), F.lit(">"))
 
 
 def _line(name: str, value: Column) -> Column:
@@ -73,21 +73,52 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
     Raises where a stored payload does not have the digest it is stored under.  A reader that does not
     select the payload joins narrow rows only.
     """
-    stored = spark.read.parquet(f"{folder}/payloads")
+    return _records(spark, folder).join(_payloads(spark, folder), "digest")
+
+
+def _payloads(spark: SparkSession, folder: str) -> DataFrame:
     actual = F.sha2("payload", 256)
     checked = F.when(actual == F.col("digest"), actual).otherwise(F.raise_error(F.concat(F.lit("payload does not match its digest "), F.col("digest"))).cast("string"))
-    stored = stored.select("digest", "payload", checked.alias("payload_digest"), F.length("payload").cast("long").alias("payload_bytes"))
+    return spark.read.parquet(f"{folder}/payloads").select("digest", "payload", checked.alias("payload_digest"), F.length("payload").cast("long").alias("payload_bytes"))
+
+
+def _records(spark: SparkSession, folder: str) -> DataFrame:
     records = spark.read.parquet(f"{folder}/records")
     kind = dict(records.dtypes)["record_id"]
     refers = F.regexp_extract(_field("WARC-Refers-To"), "^<urn:x-record:(.*)>$", 1)
-    records = records.select("record_id", _field("WARC-Type").alias("record_type"), F.when(refers != "", refers).cast(kind).alias("refers_to"), _field("WARC-Target-URI").alias("url"), F.substring_index(_field("WARC-Payload-Digest"), ":", -1).alias("digest"), "header", "http_header")
-    return records.join(stored, "digest")
+    return records.select("record_id", _field("WARC-Type").alias("record_type"), F.when(refers != "", F.url_decode(refers)).cast(kind).alias("refers_to"), _field("WARC-Target-URI").alias("url"), F.substring_index(_field("WARC-Payload-Digest"), ":", -1).alias("digest"), "header", "http_header")
+
+
+def _record() -> Column:
+    body = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
+    return F.concat("header", "http_header", body, F.lit((NEWLINE * 2).encode()))
 
 
 def reconstruct(archive: DataFrame) -> DataFrame:
     """record_id, record (the record's exact bytes as in a WARC file)."""
-    body = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
-    return archive.select("record_id", F.concat("header", "http_header", body, F.lit((NEWLINE * 2).encode())).alias("record"))
+    return archive.select("record_id", _record().alias("record"))
+
+
+def verified_records(spark: SparkSession, folder: str) -> DataFrame:
+    """record_id, record_type, refers_to, payload_bytes, payload_digest, record_bytes for every record of an archive,
+    from its reconstructed bytes.
+
+    A response's payload is cut out of its record by the lengths that its own headers state and hashed again;
+    a revisit's is that of the payload it names.  Raises where lengths or digests do not agree.  Payloads go
+    to their responses only, so a group of revisits moves narrow rows.
+    """
+    records, stored = _records(spark, folder), _payloads(spark, folder)
+    whole = records.where(F.col("record_type") == "response").join(stored, "digest").withColumn("record", _record())
+    at = F.length("header") + F.length("http_header")
+    size = F.regexp_extract(F.col("http_header").cast("string"), r"Content-Length: (\d+)", 1).cast("int")
+    payload = F.substring("record", at + 1, size)
+    told = F.regexp_extract(F.col("header").cast("string"), r"\r\nContent-Length: (\d+)", 1).cast("long")
+    right = (F.length("record") == F.length("header") + told + 4) & (F.sha2(payload, 256) == F.col("digest"))
+    digest = F.when(right, F.sha2(payload, 256)).otherwise(F.raise_error(F.concat(F.lit("record does not hold the payload of its digest "), F.col("digest"))).cast("string"))
+    whole = whole.select("record_id", "record_type", "refers_to", size.cast("long").alias("payload_bytes"), digest.alias("payload_digest"), F.length("record").cast("long").alias("record_bytes"))
+    again = records.where(F.col("record_type") == "revisit").join(stored.drop("payload"), "digest")
+    again = again.select("record_id", "record_type", "refers_to", "payload_bytes", "payload_digest", (F.length("header") + F.length("http_header") + 4).cast("long").alias("record_bytes"))
+    return whole.unionByName(again)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict, bytes]]:

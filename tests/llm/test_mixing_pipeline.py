@@ -75,3 +75,14 @@ def test_stages_take_empty_and_odd_tables(spark, documents):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, folder)
         assert docs.count() <= len(rows)
+
+
+def test_rows_without_an_id_share_the_cut(documents):
+    """Rows of one key are not ordered: at the cut they take equal parts."""
+    rows = [(None, "w " * 10, "a")] * 40 + [(i, "w " * 5, "b") for i in range(10)] + [(7, "w " * 3, "c")] * 9
+    docs = documents(rows)
+    got = mixing.mix_sources(docs, mixing.cyclic_weights(docs, [5, 2, 1])).collect()
+    assert len(got) == 59 and all(0 <= r["taken"] <= 2 * r["size"] for r in got)
+    for size in (10, 5, 3):
+        own = [r for r in got if r["size"] == size]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= len(own)
