@@ -2,8 +2,9 @@
 
 A text is the set of its character 4- and 5-grams (lower-cased, whitespace runs
 as one space, hashed to 2**BITS buckets an order).  Each n-gram's presence is scaled
-by its smoothed log-count ratio between the classes; logistic regression on the scaled
-presences gives the weights.  Every n-gram of the sample has a weight; the weights are
+by its smoothed log-count ratio between the classes, which counts less the less evidence
+(``doubt``, ``power``) it rests on; logistic regression on the scaled presences
+gives the weights.  Every n-gram of the sample has a weight; the weights are
 one dense table over the buckets, whose size BITS fixes.
 
 Nulls and empty texts score the bias alone.  Extra columns are ignored; ids may be of any type.
@@ -61,13 +62,20 @@ def fit_features(rows: list[np.ndarray], y: np.ndarray, sizes: tuple[int, int],
     prior = float(np.log((sizes[1] + 0.5) / (sizes[0] + 0.5)))
     if not len(y) or y.min() == y.max():
         return np.zeros(0, np.int32), np.zeros(0), prior
-    features, cols = np.unique(np.concatenate(rows), return_inverse=True)
-    cols = cols.astype(np.int32)
-    first = np.concatenate([[0], np.cumsum([len(x) for x in rows])])
-    held = np.diff(first) > 0
-    total = lambda values: np.add.reduceat(values, first[:-1][held])
-    pos = np.bincount(cols, np.repeat(y == 1, np.diff(first)), len(features))
-    neg = np.bincount(cols, minlength=len(features)) - pos
+    count = np.array([len(x) for x in rows])
+    first = np.concatenate([[0], np.cumsum(count)])
+    cols = np.concatenate(rows).astype(np.int32, copy=False)
+    # rows in slices of about a million presences: temporaries are as large as a slice
+    cuts = np.unique(np.concatenate([np.searchsorted(first, np.arange(0, first[-1], 1 << 20)), [len(y)]])).tolist()
+    slices = [(lo, hi, cols[first[lo] : first[hi]]) for lo, hi in zip(cuts, cuts[1:]) if first[lo] < first[hi]]
+    add = lambda values, size: sum(np.bincount(c, np.repeat(values[lo:hi], count[lo:hi]), size) for lo, hi, c in slices)
+    both, pos = add(np.ones(len(y)), len(ORDERS) << BITS), add((y == 1).astype(float), len(ORDERS) << BITS)
+    features = np.flatnonzero(both).astype(np.int32)
+    pos, neg = pos[features], (both - pos)[features]
+    place = np.zeros(len(ORDERS) << BITS, np.int32)
+    place[features] = np.arange(len(features), dtype=np.int32)
+    for _, _, c in slices:
+        c[:] = place[c]
     n1 = int(y.sum())
     n0 = len(y) - n1
     ratio = np.log(((pos + smoothing) / (n1 + 2 * smoothing)) / ((neg + smoothing) / (n0 + 2 * smoothing)))
@@ -75,19 +83,21 @@ def fit_features(rows: list[np.ndarray], y: np.ndarray, sizes: tuple[int, int],
     ratio *= (z2 / (z2 + doubt)) ** power
     weight = np.where(y == 1, sizes[1] / n1, sizes[0] / n0)
     weight = weight / weight.sum()
-    count = np.diff(first)
     w, b = np.zeros(len(features)), prior
     g2, gb2 = np.full(len(features), 1e-10), 1e-8
     eta = np.zeros(len(y))
     for _ in range(steps):  # full-batch gradient with per-weight step sizes
-        eta[held] = total((ratio * w)[cols])
+        scaled = ratio * w
+        for lo, hi, c in slices:
+            some = count[lo:hi] > 0
+            eta[lo:hi][some] = np.add.reduceat(scaled[c], (first[lo:hi] - first[lo])[some])
         err = weight * (1 / (1 + np.exp(-np.clip(eta + b, -40, 40))) - y)
-        grad = np.bincount(cols, np.repeat(err, count), len(features)) * ratio + l2 * w / len(features) ** 0.5
+        grad = add(err, len(features)) * ratio + l2 * w / len(features) ** 0.5
         g2 += grad * grad
         gb2 += err.sum() ** 2
         w -= rate * grad / np.sqrt(g2)
         b -= rate * err.sum() / np.sqrt(gb2)
-    return features.astype(np.int32), w * ratio, float(b)
+    return features, w * ratio, float(b)
 
 
 def toxicity_score(text: Column, model: ToxicityModel) -> Column:
@@ -105,7 +115,7 @@ def toxicity_score(text: Column, model: ToxicityModel) -> Column:
     return score(text)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column | None = None, per_class: int = 2500, **options) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column | None = None, per_class: int = 1500, **options) -> ToxicityModel:
     """Fits on at most ``per_class`` labelled texts of each class (see labelled_sample).
 
     The sample is bounded, so one executor task fits the model and the driver gets the weights of the
