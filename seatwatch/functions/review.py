@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 #: Display texts of the labels (fixed values).
 LABEL_TEXT = {
-    "mobile_phone_usage": "Mobile phone usage",
-    "paper_pass": "Paper pass",
-    "paper_pass_object_present": "Paper object present",
-    "seat_exchange": "Seat exchange",
-    "talking_to_neighbour": "Talking to neighbour",
-    "staff_or_transit": "Staff or transit",
-    "crowd_gathering": "Crowd gathering",
-    "unclassified_anomaly": "Unclassified anomaly",
+    "mobile_phone_usage": "Mobile Phone Usage",
+    "talking_to_neighbour": "Talking to Neighbour",
+    "seat_exchange": "Seat Exchange",
+    "paper_pass": "Paper Pass",
+    "paper_pass_object_present": "Held Object Present",
+    "crowd_gathering": "Crowd Gathering",
+    "staff_or_transit": "Staff / Transit",
+    "unclassified_anomaly": "Unclassified Anomaly",
 }
 
 #: Labels that are set aside from findings (fixed values).
@@ -46,7 +46,7 @@ def label_text(label: Column) -> Column:
 
 def detector_text(detector_class: Column) -> Column:
     """Without " (COCO n)..."; "None" where there is none."""
-    return F.coalesce(F.regexp_replace(detector_class, r" \(COCO \d+\).*$", ""), F.lit("None"))
+    return F.coalesce(F.regexp_replace(detector_class, r"\s*\(COCO \d+\).*", ""), F.lit("None"))
 
 
 def display_activity(peak_z: Column) -> Column:

@@ -84,9 +84,9 @@ def suppress(detections: DataFrame, p: Params = DEFAULTS, keys: list[str] | None
 
 
 def perceive(persons: DataFrame, objects: DataFrame, keys: list[str]) -> DataFrame:
-    """Tracked persons and small objects of one window's frames as one set; times meet on four decimals."""
+    """Tracked persons and small objects of one window's frames (keys, t) as one set; times meet on four decimals."""
     at = F.round("t", 4)
-    return persons.withColumn("t", at).unionByName(objects.withColumn("t", at), allowMissingColumns=True).orderBy(*keys, "t")
+    return persons.withColumn("t", at).unionByName(objects.withColumn("t", at), allowMissingColumns=True)
 
 
 # --- seats ---------------------------------------------------------------------
@@ -99,15 +99,18 @@ def assign_seats(detections: DataFrame, window_seats: DataFrame, keys: list[str]
     of the seats that contain the centre the one whose own centre is nearest.  window_seats (keys, seat_id,
     ord, x0 .. y1); a detection meets only its own window's seats.
     """
-    s = window_seats.select(*keys, "seat_id", "ord", *(F.col(c).alias(f"s_{c}") for c in BOX))
-    d, b = box(), box("s_")
-    (cx, cy), (sx, sy) = centre(d), centre(b)
-    pairs = detections.join(s, keys, "left").withColumn("_iou", F.round(box_iou(d, b), 12)).withColumn("_in", contains(b, cx, cy)).withColumn("_far", F.round(F.hypot(cx - sx, cy - sy), 9))
-    own = [c for c in detections.columns]
-    best = pairs.groupBy(*own).agg(
-        F.max(F.struct(F.col("_iou").alias("iou"), (-F.col("ord")).alias("o"), "seat_id")).alias("_best"),
-        F.min(F.when(F.col("_in"), F.struct(F.col("_far"), F.col("ord").alias("o"), "seat_id"))).alias("_near"),
-    )
+    d = box()
+    cx, cy = centre(d)
+
+    def far(s):
+        sx, sy = centre(_sides(s))
+        return F.struct(F.round(F.hypot(cx - sx, cy - sy), 9).alias("far"), s["ord"].alias("o"), s["seat_id"].alias("seat_id"))
+
+    # a window's few seats stand beside each of its detections: no rows are multiplied, nothing is grouped again
+    pairs = detections.join(window_seats.groupBy(*keys).agg(F.collect_list(F.struct("seat_id", "ord", *BOX)).alias("_seats")), keys, "left")
+    best = pairs.withColumn("_best", F.array_max(F.transform("_seats", lambda s: F.struct(F.round(box_iou(d, _sides(s)), 12).alias("iou"), (-s["ord"]).alias("o"), s["seat_id"].alias("seat_id")))))
+    best = best.withColumn("_near", F.array_min(F.transform(F.filter("_seats", lambda s: contains(_sides(s), cx, cy)), far)))
+    own = detections.columns
     by_iou = F.col("_best.iou") >= p.assign_iou
     return best.select(*own, F.when(by_iou, F.col("_best.seat_id")).otherwise(F.col("_near.seat_id")).alias("seat_id"), F.when(by_iou, "iou").when(F.col("_near").isNotNull(), "centre").alias("how"))
 
@@ -117,29 +120,37 @@ def assign_sweep(detections: DataFrame, seats: DataFrame, keys: list[str] | None
 
     seats (seat_id, x0 .. y1) of the whole recording, in order of seat_id.
     """
-    s = seats.select(*(keys or []), "seat_id", *(F.col(c).alias(f"s_{c}") for c in BOX))
-    d, b = box(), box("s_")
+    d = box()
     cx, cy = centre(d)
-    touching = (d[0] <= b[2]) & (d[2] >= b[0]) & (d[1] <= b[3]) & (d[3] >= b[1])
-    pairs = detections.join(s, keys, "left").where(touching) if keys else detections.join(F.broadcast(s), touching)  # seats of one camera: tens of rows
+    overlaps = F.transform("_seats", lambda s: F.struct(F.round(box_iou(d, _sides(s)), 12).alias("iou"), (-s["seat_id"]).alias("o"), s["seat_id"].alias("seat_id")))
     own = detections.columns
-    best = pairs.withColumn("_iou", F.round(box_iou(d, b), 12)).groupBy(*own).agg(
-        F.max(F.when(F.col("_iou") > 0, F.struct(F.col("_iou").alias("iou"), (-F.col("seat_id")).alias("o"), "seat_id"))).alias("_best"),
-        F.min(F.when(contains(b, cx, cy), F.col("seat_id"))).alias("_in"),
-    )
+    best = _beside(detections, seats, keys).withColumn("_best", F.array_max(F.filter(overlaps, lambda o: o["iou"] > 0)))
+    best = best.withColumn("_in", F.array_min(F.transform(F.filter("_seats", lambda s: contains(_sides(s), cx, cy)), lambda s: s["seat_id"])))
     return best.select(*own, F.coalesce("_best.seat_id", "_in").alias("seat_id")).where(F.col("seat_id").isNotNull())
 
 
-def unseated_persons(detections: DataFrame, seats: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """Persons that no seat overlaps by unseated_iou."""
-    s = F.broadcast(seats.select(*(F.col(c).alias(f"s_{c}") for c in BOX)))
-    return detections.where(F.col("cls_id") == PERSON).join(s, box_iou(box(), box("s_")) >= p.unseated_iou, "left_anti")
+def _sides(s: Column) -> tuple:
+    return tuple(s[c] for c in BOX)
+
 
+def _beside(detections: DataFrame, seats: DataFrame, keys: list[str] | None) -> DataFrame:
+    """detections with _seats: the seats of their camera (tens), as an array; of the keys' recording, or of all."""
+    s = seats.groupBy(*(keys or [])).agg(F.collect_list(F.struct("seat_id", *BOX)).alias("_seats"))
+    return detections.join(s, keys, "left") if keys else detections.join(F.broadcast(s), F.lit(True))  # one row
 
-def unseated_counts(frames: DataFrame, detections: DataFrame, seats: DataFrame, p: Params = DEFAULTS, keys: list[str] | None = None) -> DataFrame:
-    """frames (keys, ...) with the number of unseated persons (0 kept) and the box around them (null at 0)."""
+
+def unseated_persons(detections: DataFrame, seats: DataFrame, p: Params = DEFAULTS, keys: list[str] | None = None) -> DataFrame:
+    """Persons that no seat (of their recording, the keys) overlaps by unseated_iou."""
+    persons = _beside(detections.where(F.col("cls_id") == PERSON), seats, keys)
+    taken = F.exists("_seats", lambda s: box_iou(box(), _sides(s)) >= p.unseated_iou)
+    return persons.where(~F.coalesce(taken, F.lit(False))).select(*detections.columns)
+
+
+def unseated_counts(frames: DataFrame, detections: DataFrame, seats: DataFrame, p: Params = DEFAULTS, keys: list[str] | None = None, recording: list[str] | None = None) -> DataFrame:
+    """frames (keys, ...) with the number of unseated persons (0 kept) and the box around them (null at 0).
+    recording: those of the keys that seats have too."""
     keys = keys or ["frame"]
-    groups = unseated_persons(detections, seats, p).groupBy(*keys).agg(F.count("*").alias("n"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    groups = unseated_persons(detections, seats, p, recording).groupBy(*keys).agg(F.count("*").alias("n"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
     return frames.join(groups, keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
@@ -150,9 +161,22 @@ def person_counts(frames: DataFrame, detections: DataFrame, p: Params = DEFAULTS
     return frames.join(n, keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
+def persons_tracked(windows: DataFrame, detections: DataFrame, keys: list[str]) -> DataFrame:
+    """windows (keys, ...) with n_persons: how many different tracked persons each saw; 0 is kept."""
+    n = detections.where(F.col("cls_id") == PERSON).groupBy(*keys).agg(F.countDistinct("track_id").alias("n_persons"))
+    return windows.join(n, keys, "left").withColumn("n_persons", F.coalesce("n_persons", F.lit(0)))
+
+
 # --- fixtures ------------------------------------------------------------------
 
 
+def all_frames(sweep: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Detections of the sweep and of all evidence windows as one set: what the fixture map is made of, as the sweep
+    alone misses small objects that the windows see.  Columns that one part lacks are null; nothing is dropped,
+    as a window may see a frame again."""
+    return sweep.unionByName(evidence, allowMissingColumns=True)
+
+
 def fixture_map(detections: DataFrame, frames: DataFrame, p: Params = DEFAULTS, classes: list[int] | None = None, keys: list[str] | None = None) -> DataFrame:
     """(keys, cls_id, cluster, x0 .. y1, n, presence, span_s, drift): small objects that are long there and do not move.
 
@@ -213,18 +237,18 @@ def link_centroids(detections: DataFrame, max_dist: float, start_id: int, keys:
         pdf = pdf.sort_values(["t", "det_idx"]).copy()
         cx, cy = ((pdf["x0"] + pdf["x1"]) / 2).to_numpy(), ((pdf["y0"] + pdf["y1"]) / 2).to_numpy()
         ids, fresh = np.zeros(len(pdf), np.int64), start_id
-        last: list[int] = []
+        last = np.zeros(0, int)
         frames = np.flatnonzero(np.diff(pdf["t"].to_numpy(), prepend=np.nan) != 0)
         for a, b in zip(frames, [*frames[1:], len(pdf)]):
-            used: set[int] = set()
+            far = np.hypot(cx[a:b, None] - cx[last][None, :], cy[a:b, None] - cy[last][None, :])
             for i in range(a, b):
-                near = sorted((float(np.hypot(cx[i] - cx[j], cy[i] - cy[j])), k) for k, j in enumerate(last) if ids[j] not in used)
-                if near and near[0][0] < max_dist:
-                    ids[i] = ids[last[near[0][1]]]
+                k = int(far[i - a].argmin()) if len(last) else 0  # of equal ones the first
+                if len(last) and far[i - a, k] < max_dist:
+                    ids[i] = ids[last[k]]
+                    far[:, k] = np.inf
                 else:
                     ids[i], fresh = fresh, fresh + 1
-                used.add(int(ids[i]))
-            last = list(range(a, b))
+            last = np.arange(a, b)
         return pdf.assign(track_id=ids)
 
     fields = [f for f in detections.drop("track_id").dtypes]

@@ -56,27 +56,45 @@ def cell_cube(motion: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return residual_motion(motion, keys).groupBy(*lead, "bin", "cy", "cx").agg(F.avg("residual").alias("activity"), F.count("*").alias("hits"))
 
 
-def dense_cube(cube: DataFrame, bins: int, rows: int, cols: int) -> DataFrame:
-    """The cube with every bin and cell of the grid; cells without vectors have activity 0."""
-    spark = cube.sparkSession
-    grid = spark.range(bins * rows * cols).select((F.col("id") / (rows * cols)).cast("int").alias("bin"), (F.col("id") % (rows * cols) / cols).cast("int").alias("cy"), (F.col("id") % cols).cast("int").alias("cx"))
-    return grid.join(cube, ["bin", "cy", "cx"], "left").select("bin", "cy", "cx", F.coalesce("activity", F.lit(0.0)).alias("activity"), F.coalesce("hits", F.lit(0)).alias("hits"))
+def _grid(spark, recordings: DataFrame | None, size: Column) -> DataFrame:
+    """id from 0 to size - 1, for each row of recordings (whose columns size may name) or once."""
+    one = spark.range(1).select() if recordings is None else recordings
+    return one.select("*", F.explode(F.sequence(F.lit(0), F.greatest(size, F.lit(1)).cast("long") - 1)).alias("id")).where(F.col("id") < size)
 
 
-def bin_coverage(motion: DataFrame) -> DataFrame:
-    """Per bin: frames with vectors, and the mean over frames of their median motion."""
-    frames = motion.groupBy("bin", "frame").agg(F.percentile("motion_x", F.lit(0.5)).alias("x"), F.percentile("motion_y", F.lit(0.5)).alias("y"))
-    return frames.groupBy("bin").agg(F.count("*").alias("coverage"), F.avg("x").alias("gmv_x"), F.avg("y").alias("gmv_y"))
+def _number(n: int | str) -> Column:
+    return F.col(n) if isinstance(n, str) else F.lit(n)
 
 
-def heatmap(cube: DataFrame, bins: int | None = None) -> DataFrame:
-    """Mean activity of each cell over (the first ``bins``) bins of a dense cube, with its display ceiling."""
+def dense_cube(cube: DataFrame, bins: int | str, rows: int | str, cols: int | str, recordings: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
+    """The cube with every bin and cell of the grid; cells without vectors have activity 0.
+
+    Of several recordings (``keys``, with one row each in ``recordings``) each has its own grid; its size is
+    a number or the name of a column of recordings.
+    """
+    keys = keys or []
+    bins, rows, cols = _number(bins), _number(rows), _number(cols)
+    cell = (F.col("id") % (rows * cols)).cast("long")
+    grid = _grid(cube.sparkSession, recordings, bins * rows * cols).select(*keys, F.floor(F.col("id") / (rows * cols)).cast("int").alias("bin"), F.floor(cell / cols).cast("int").alias("cy"), (cell % cols).cast("int").alias("cx"))
+    return grid.join(cube, [*keys, "bin", "cy", "cx"], "left").select(*keys, "bin", "cy", "cx", F.coalesce("activity", F.lit(0.0)).alias("activity"), F.coalesce("hits", F.lit(0)).alias("hits"))
+
+
+def bin_coverage(motion: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Per (keys and) bin: frames with vectors, and the mean over frames of their median motion."""
+    keys = keys or []
+    frames = motion.groupBy(*keys, "bin", "frame").agg(F.percentile("motion_x", F.lit(0.5)).alias("x"), F.percentile("motion_y", F.lit(0.5)).alias("y"))
+    return frames.groupBy(*keys, "bin").agg(F.count("*").alias("coverage"), F.avg("x").alias("gmv_x"), F.avg("y").alias("gmv_y"))
+
+
+def heatmap(cube: DataFrame, bins: int | None = None, keys: list[str] | None = None) -> DataFrame:
+    """Mean activity of each cell over (the first ``bins``) bins of a dense cube, with its recording's display ceiling."""
+    keys = keys or []
     if bins is not None:
         cube = cube.where(F.col("bin") < bins)
-    cells = cube.groupBy("cy", "cx").agg(F.avg("activity").alias("activity"))
-    top = cells.agg(F.percentile("activity", F.lit(0.995)).alias("p"), F.max("activity").alias("m"))  # one row
-    ceiling = top.select(F.when(F.col("p") > 0, F.col("p")).when(F.col("m") > 0, F.col("m")).otherwise(1.0).alias("vmax"))
-    return cells.join(F.broadcast(ceiling), F.lit(True))
+    cells = cube.groupBy(*keys, "cy", "cx").agg(F.avg("activity").alias("activity"))
+    top = cells.groupBy(*keys).agg(F.percentile("activity", F.lit(0.995)).alias("p"), F.max("activity").alias("m"))  # one row for each recording
+    ceiling = top.select(*keys, F.when(F.col("p") > 0, F.col("p")).when(F.col("m") > 0, F.col("m")).otherwise(1.0).alias("vmax"))
+    return cells.join(ceiling, keys) if keys else cells.join(F.broadcast(ceiling), F.lit(True))
 
 
 def seat_series(cube: DataFrame, seat_cells: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -85,8 +103,9 @@ def seat_series(cube: DataFrame, seat_cells: DataFrame, keys: list[str] | None =
     return cube.join(seat_cells, [*keys, "cy", "cx"]).groupBy(*keys, "seat_id", "bin").agg(F.avg("activity").alias("activity"))
 
 
-def dense_series(sparse: DataFrame, seats: Column | int, bins: int) -> DataFrame:
-    """seat_id x bin with activity 0 where a bin has none; seats are 0 to seats - 1."""
-    spark = sparse.sparkSession
-    grid = spark.range(seats * bins).select((F.col("id") / bins).cast("int").alias("seat_id"), (F.col("id") % bins).cast("int").alias("bin"))
-    return grid.join(sparse, ["seat_id", "bin"], "left").select("seat_id", "bin", F.coalesce("activity", F.lit(0.0)).alias("activity"))
+def dense_series(sparse: DataFrame, seats: int | str, bins: int | str, recordings: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
+    """(keys,) seat_id x bin with activity 0 where a bin has none; seats are 0 to seats - 1.  Numbers as in dense_cube."""
+    keys = keys or []
+    seats, bins = _number(seats), _number(bins)
+    grid = _grid(sparse.sparkSession, recordings, seats * bins).select(*keys, F.floor(F.col("id") / bins).cast("int").alias("seat_id"), (F.col("id") % bins).cast("int").alias("bin"))
+    return grid.join(sparse, [*keys, "seat_id", "bin"], "left").select(*keys, "seat_id", "bin", F.coalesce("activity", F.lit(0.0)).alias("activity"))

@@ -61,13 +61,15 @@ def illumination_bins(cube: DataFrame, p: Params = DEFAULTS, keys: list[str] | N
     return out.withColumn("gated", F.col("hot_share") >= p.illumination_share)
 
 
-def apply_filters(cube: DataFrame, cells: DataFrame, bins: DataFrame) -> DataFrame:
+def apply_filters(cube: DataFrame, cells: DataFrame, bins: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """The cube with periodic cells at 0, then gated bins at their cell's median over the other bins.
 
     Both masks come from the raw cube.
     """
-    zeroed = cube.select("bin", "cy", "cx", "activity").join(cells.select("cy", "cx", "periodic"), ["cy", "cx"])
-    zeroed = zeroed.select("bin", "cy", "cx", F.when(F.col("periodic"), 0.0).otherwise(F.col("activity")).alias("activity"))
-    marked = zeroed.join(bins.select("bin", "gated"), "bin")
-    fill = marked.groupBy("cy", "cx").agg(F.percentile(F.when(~F.col("gated"), F.col("activity")), F.lit(0.5)).alias("_fill"))
-    return marked.join(fill, ["cy", "cx"]).select("bin", "cy", "cx", F.when(F.col("gated"), F.coalesce("_fill", F.lit(0.0))).otherwise(F.col("activity")).alias("activity"))
+    keys = keys or []
+    place = [*keys, "bin", "cy", "cx"]
+    zeroed = cube.select(*place, "activity").join(cells.select(*keys, "cy", "cx", "periodic"), [*keys, "cy", "cx"])
+    zeroed = zeroed.select(*place, F.when(F.col("periodic"), 0.0).otherwise(F.col("activity")).alias("activity"))
+    marked = zeroed.join(bins.select(*keys, "bin", "gated"), [*keys, "bin"])
+    fill = marked.groupBy(*keys, "cy", "cx").agg(F.percentile(F.when(~F.col("gated"), F.col("activity")), F.lit(0.5)).alias("_fill"))
+    return marked.join(fill, [*keys, "cy", "cx"]).select(*place, F.when(F.col("gated"), F.coalesce("_fill", F.lit(0.0))).otherwise(F.col("activity")).alias("activity"))

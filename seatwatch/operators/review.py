@@ -41,6 +41,21 @@ def library_rollup(events: DataFrame, videos: DataFrame) -> DataFrame:
     return out.orderBy(F.col("duration_s").desc(), "video")
 
 
+def recording_stats(stats: DataFrame, events: DataFrame) -> DataFrame:
+    """stats (video, n_seats, duration_s, stage1_candidates, promoted, promoted_share, fixtures, scan_s, error) as the
+    library shows them: recordings that failed are left out, absent seats and lengths are 0, with the counts of
+    library_rollup, the longest first."""
+    shown = stats.where(F.col("error").isNull()).withColumns({"duration_s": F.coalesce("duration_s", F.lit(0.0)), "n_seats": F.coalesce("n_seats", F.lit(0))}).drop("error")
+    counts = library_rollup(events, shown.select("video", "duration_s")).drop("camera", "duration_s", "length")
+    return shown.join(counts, "video").withColumn("stem", stem(F.col("video"))).orderBy(F.col("duration_s").desc(), "video")
+
+
+def library_total(rollup: DataFrame) -> DataFrame:
+    """One row: recordings, seconds of footage, events and findings of a rollup, and the length as shown."""
+    total = rollup.agg(F.count("*").alias("recordings"), F.coalesce(F.sum("duration_s"), F.lit(0.0)).alias("duration_s"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("events", "findings", "high", "medium", "low")))
+    return total.withColumn("length", hours_label(F.col("duration_s")))
+
+
 def label_facets(events: DataFrame) -> DataFrame:
     return events.groupBy("action_label").agg(F.count("*").alias("n"), F.first(label_text(F.col("action_label"))).alias("text")).orderBy(F.col("n").desc(), "action_label")
 

@@ -182,3 +182,18 @@ def trigger_spec(label: Column) -> Column:
     """Which detections an overlay marks for a label: struct<cls_id, tracked>; null where none."""
     spec = lambda cls, tracked: F.struct(F.lit(cls).alias("cls_id"), F.lit(tracked).alias("tracked"))
     return F.when(label == "mobile_phone_usage", spec(PHONE, False)).when(label.startswith("paper_pass"), spec(BOOK, True)).when(label.isin("staff_or_transit", "seat_exchange"), spec(0, True))
+
+
+def collect_tracks(events: DataFrame, detections: DataFrame, key: str = "window_id") -> DataFrame:
+    """(key, action_label, track, samples): for each event the detections that its overlay marks, by identity.
+
+    events (key, action_label, track_ids array), detections (key, t, det_idx, cls_id, name, conf, x0 .. y1, track_id).
+    A label of a class marks all of that class; transit and exchange mark the tracks that the event names; other
+    labels mark nothing.  track is the track id, or the class name where there is none; samples are in order of t.
+    """
+    by_class = F.when(F.col("action_label") == "mobile_phone_usage", PHONE).when(F.startswith("action_label", F.lit("paper_pass")), BOOK)
+    by_track = F.col("action_label").isin("staff_or_transit", "seat_exchange")
+    wanted = events.select(key, "action_label", by_class.alias("_cls"), F.when(by_track, F.col("track_ids")).alias("_tracks")).where(F.col("_cls").isNotNull() | F.col("_tracks").isNotNull())
+    hits = detections.join(wanted, key).where(F.coalesce(F.col("cls_id") == F.col("_cls"), F.array_contains("_tracks", F.col("track_id")), F.lit(False)))
+    sample = F.struct("t", "det_idx", "x0", "y0", "x1", "y1", "conf", "name")
+    return hits.groupBy(key, "action_label", F.coalesce(F.col("track_id").cast("string"), F.col("name")).alias("track")).agg(F.array_sort(F.collect_list(sample)).alias("samples"))

@@ -14,8 +14,9 @@ from ..functions.geometry import salience
 def change_points(x: np.ndarray, penalty: float, min_size: int = 2) -> list[int]:
     """Interior breaks of the optimal partition under squared error plus ``penalty`` a break.
 
-    Dynamic programming with pruning of starts that can no longer win; of equal
-    costs the lowest start is kept.  Series of under 8 values have no breaks.
+    Dynamic programming with pruning of starts that can no longer win: a start that loses
+    to a break at some end loses to it at all ends from min_size on.  Of equal
+    costs (to six decimals) the lowest start is kept.  Series of under 8 values have no breaks.
     """
     n = len(x)
     if n < 8:
@@ -25,17 +26,16 @@ def change_points(x: np.ndarray, penalty: float, min_size: int = 2) -> list[int]
     best = np.full(n + 1, np.inf)
     best[0] = -penalty
     back = np.zeros(n + 1, int)
-    starts = np.array([0])
+    starts, lost = np.array([0]), np.full(n + 1, n + 1)
     for end in range(min_size, n + 1):
         ok = starts[end - starts >= min_size]
         length = end - ok
         total = best[ok] + (s2[end] - s2[ok]) - (s1[end] - s1[ok]) ** 2 / length
-        k = int(np.argmin(total))
+        k = int(np.argmin(np.round(total, 6)))
         best[end], back[end] = total[k] + penalty, ok[k]
-        alive = np.ones(len(starts), bool)
-        alive[end - starts >= min_size] = total <= best[end] + 1e-9
-        starts = starts[alive]
-        if end >= min_size and np.isfinite(best[end]):
+        lost[ok] = np.minimum(lost[ok], np.where(total <= best[end] + 1e-5, n + 1, end))
+        starts = starts[end + 1 - lost[starts] < min_size]
+        if np.isfinite(best[end]):
             starts = np.append(starts, end)
     breaks, at = [], n
     while at > 0:

@@ -76,16 +76,42 @@ def _(v):
     return m.select("bin", *(F.round(F.col(str(i)), 6).alias(f"seat_{i}") for i in range(SEATS)))
 
 
-@query("pelt_segments")
+#: The optimal partition of each seat's z without pruning: at each end the start of least cost, the lowest of equal ones.
+_PELT = """RECURSIVE prefix AS (SELECT seat_id, [0.0::DOUBLE] || list(s1 ORDER BY bin) AS s1, [0.0::DOUBLE] || list(s2 ORDER BY bin) AS s2 FROM
+  (SELECT seat_id, bin, sum(z) OVER w AS s1, sum(z * z) OVER w AS s2 FROM v_z WINDOW w AS (PARTITION BY seat_id ORDER BY bin ROWS UNBOUNDED PRECEDING)) GROUP BY seat_id),
+walk AS (
+  SELECT seat_id, CAST(1 AS BIGINT) AS e, [-10.0::DOUBLE, 'inf'::DOUBLE] AS best, [CAST(0 AS BIGINT), 0] AS back FROM prefix
+  UNION ALL
+  SELECT seat_id, e + 1, list_append(best, costs[k] + 10), list_append(back, CAST(k - 1 AS BIGINT))
+  FROM (SELECT *, list_position(list_transform(costs, lambda c: round(c, 6)), list_min(list_transform(costs, lambda c: round(c, 6)))) AS k FROM (SELECT w.*, list_transform(range(0, e), lambda s: w.best[s + 1] + (p.s2[e + 2] - p.s2[s + 1]) - power(p.s1[e + 2] - p.s1[s + 1], 2) / (e + 1 - s)) AS costs FROM walk w JOIN prefix p ON p.seat_id = w.seat_id WHERE e < 720))),
+cuts AS (
+  SELECT seat_id, back, CAST(720 AS BIGINT) AS i1 FROM walk WHERE e = 720
+  UNION ALL
+  SELECT seat_id, back, back[i1 + 1] FROM cuts WHERE back[i1 + 1] > 0),
+pelt AS (SELECT seat_id, CAST(row_number() OVER (PARTITION BY seat_id ORDER BY i1) - 1 AS INT) AS segment, CAST(back[i1 + 1] AS INT) AS i0, CAST(i1 AS INT) AS i1 FROM cuts)"""
+
+
+@query("pelt_segments", f"{_PELT} SELECT * FROM pelt", "v_z")
 def _(v):
     return segment.segments(v.scores())
 
 
-@query("candidates")
+_CANDIDATES = """, measured AS (SELECT p.seat_id, p.i0, p.i1, max(z.z) AS peak_z, avg(z.z) AS mean_z, CAST(p.i1 - p.i0 AS DOUBLE) AS duration_s FROM pelt p JOIN v_z z ON z.seat_id = p.seat_id AND z.bin >= p.i0 AND z.bin < p.i1 GROUP BY ALL),
+found AS (SELECT *, CAST(i0 AS DOUBLE) AS start_sec, CAST(i1 AS DOUBLE) AS end_sec, mean_z * sqrt(duration_s) AS salience FROM measured WHERE duration_s >= 1.5 AND mean_z >= 3.5)"""
+
+
+@query("candidates", f"{_PELT}{_CANDIDATES} SELECT seat_id, i0, i1, start_sec, end_sec, {s6('peak_z', 'mean_z', 'duration_s', 'salience')} FROM found", "v_z")
 def _(v):
     return segment.candidates(v.kept("scores")).select("seat_id", "i0", "i1", "start_sec", "end_sec", *r6("peak_z", "mean_z", "duration_s", "salience"))
 
 
+@query("candidate_windows", f"""{_PELT}{_CANDIDATES} SELECT f.seat_id, i0, i1, greatest(0, start_sec - 1) AS t0, end_sec + 1 AS t1, s.x0, s.y0, coalesce(string_agg(CAST(n.seat_id AS VARCHAR), ',' ORDER BY n.seat_id), '') AS neighbours
+FROM found f JOIN v_seats s ON s.seat_id = f.seat_id LEFT JOIN v_edges e ON e.a = f.seat_id LEFT JOIN v_seats n ON n.seat_id = e.b GROUP BY ALL""", "v_z", "v_seats", "v_edges")
+def _(v):
+    c = triage.candidate_windows(segment.candidates(v.kept("scores")), v.seats(), v.edges())
+    return c.select("seat_id", "i0", "i1", "t0", "t1", "x0", "y0", F.array_join(F.transform("neighbours", lambda n: n["seat_id"].cast("string")), ",").alias("neighbours"))
+
+
 @query("threshold_runs", f"SELECT seat_id, i0, i1, {s6('peak_z', 'mean_z', 'duration_s', 'salience')} FROM v_runs", "v_runs")
 def _(v):
     return segment.runs_over(v.scores()).select("seat_id", "i0", "i1", *r6("peak_z", "mean_z", "duration_s", "salience"))
@@ -145,6 +171,16 @@ def _(v):
 # --- motion and nuisance filters ---------------------------------------------------
 
 
+@query("vector_scaling", """, raw AS (SELECT 'a.mp4' AS video, event_id AS frame_no, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00')) / 1e6::DOUBLE AS ts, event_id * 37 % 1300 AS dst_x, event_id * 53 % 740 AS dst_y, value AS motion_x, -value AS motion_y, CASE WHEN event_id % 7 > 0 THEN event_id % 5 END AS scale FROM events)
+SELECT frame_no AS frame, CAST(floor(ts - 100) AS INT) AS bin, CAST(least(dst_y // 16, 44) AS INT) AS cy, CAST(least(dst_x // 16, 79) AS INT) AS cx, round(motion_x / greatest(coalesce(scale, 1), 1), 6) AS motion_x, round(motion_y / greatest(coalesce(scale, 1), 1), 6) AS motion_y FROM raw WHERE ts >= 100""")
+def _(v):
+    i = F.col("event_id")
+    seconds = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)") / 1e6
+    vectors = v.t("events").select(F.lit("a.mp4").alias("video"), i.alias("frame_no"), seconds.alias("ts"), (i * 37 % 1300).alias("dst_x"), (i * 53 % 740).alias("dst_y"), F.col("value").alias("motion_x"), (-F.col("value")).alias("motion_y"), F.when(i % 7 > 0, i % 5).alias("motion_scale"))
+    videos = v.spark.range(1).select(F.lit("a.mp4").alias("video"), F.lit(1280).alias("width"), F.lit(720).alias("height"))
+    return motion.scaled_vectors(vectors, videos, P, 100.0).select("frame", "bin", "cy", "cx", *r6("motion_x", "motion_y"))
+
+
 @query("motion_scan", """SELECT event_id AS frame_no, round(epoch(ts) - epoch(TIMESTAMP '2024-01-01 00:00:00'), 6) AS ts, CASE WHEN event_id % 3 = 1 THEN 'P' ELSE 'B' END AS pict_type FROM events
   WHERE event_id % 3 > 0 AND epoch(ts) - epoch(TIMESTAMP '2024-01-01 00:00:00') >= 86400 AND epoch(ts) - epoch(TIMESTAMP '2024-01-01 00:00:00') < 864000""")
 def _(v):
@@ -284,12 +320,29 @@ def _(v):
     return detections.thin_frames(frames, 2.0, ["event_type"]).select("event_type", *r6("t"))
 
 
-@query("nms")
+def _nms_sql(source: str) -> str:
+    """The greedy walk over each frame and class, a box a step; kept is what stays."""
+    one = "struct_pack(det_idx := r.det_idx, conf := r.conf, x0 := r.x0, y0 := r.y0, x1 := r.x1, y1 := r.y1)"
+    return f"""RECURSIVE ranked AS (SELECT *, row_number() OVER (PARTITION BY frame, cls_id ORDER BY conf DESC, det_idx) AS k FROM {source}),
+walk AS (
+  SELECT r.frame, r.cls_id, r.k, [{one}] AS kept FROM ranked r WHERE k = 1
+  UNION ALL
+  SELECT r.frame, r.cls_id, r.k, CASE WHEN len(list_filter(w.kept, lambda b: {iou_sql('b', 'r')} > 0.6)) > 0 THEN w.kept ELSE list_append(w.kept, {one}) END
+  FROM walk w JOIN ranked r ON r.frame = w.frame AND r.cls_id = w.cls_id AND r.k = w.k + 1),
+ends AS (SELECT frame, cls_id, max(k) AS k FROM ranked GROUP BY frame, cls_id),
+stay AS (SELECT w.frame, w.cls_id, unnest(kept) AS b FROM walk w JOIN ends e ON e.frame = w.frame AND e.cls_id = w.cls_id AND e.k = w.k)"""
+
+
+@query("nms", f"{_nms_sql('v_detections')} SELECT frame, b.det_idx AS det_idx, cls_id, round(b.conf, 6) AS conf FROM stay", "v_detections")
 def _(v):
     return detections.suppress(v.detections()).select("frame", "det_idx", "cls_id", *r6("conf"))
 
 
-@query("multi_scale_merge")
+_SCALES = """(SELECT frame, row_number() OVER (PARTITION BY frame ORDER BY scale, det_idx) AS det_idx, cls_id, conf, x0, y0, x1, y1 FROM
+  (SELECT frame, det_idx, cls_id, conf, x0, y0, x1, y1, 0 AS scale FROM v_detections UNION ALL SELECT frame, det_idx, cls_id, conf * 0.9::DOUBLE, x0 + 4, y0, x1 + 4, y1, 1 FROM v_detections WHERE det_idx % 3 = 0))"""
+
+
+@query("multi_scale_merge", f"{_nms_sql(_SCALES)} SELECT frame, b.det_idx AS det_idx, cls_id, round(b.conf, 6) AS conf, round(b.x0, 6) AS x0 FROM stay", "v_detections")
 def _(v):
     d = v.detections()
     shifted = d.where(F.col("det_idx") % 3 == 0).withColumns({"x0": F.col("x0") + 4, "x1": F.col("x1") + 4, "conf": F.col("conf") * 0.9})
@@ -308,6 +361,16 @@ def _(v):
     return detections.assign_seats(v.window_detections(), v.window_seats(), ["window_id"]).select("frame", "det_idx", "seat_id", "how")
 
 
+@query("persons_tracked", "SELECT w.window_id, count(DISTINCT d.track_id) AS n_persons FROM v_windows w LEFT JOIN v_window_detections d ON d.window_id = w.window_id AND d.cls_id = 0 GROUP BY w.window_id", "v_windows", "v_window_detections")
+def _(v):
+    return detections.persons_tracked(v.windows().select("window_id"), v.window_detections(), ["window_id"])
+
+
+@query("fixture_input", "SELECT frame, det_idx, cls_id, t, NULL::INT AS window_id FROM v_sweep UNION ALL SELECT frame, det_idx, cls_id, t, window_id FROM v_window_detections", "v_sweep", "v_window_detections")
+def _(v):
+    return detections.all_frames(v.sweep(), v.window_detections()).select("frame", "det_idx", "cls_id", "t", "window_id")
+
+
 @query("sweep_to_seat", "SELECT frame, det_idx, seat_id FROM v_sweep_assigned", "v_sweep_assigned")
 def _(v):
     return detections.assign_sweep(v.sweep(), v.seats()).select("frame", "det_idx", "seat_id")
@@ -408,10 +471,10 @@ tcorr AS (SELECT *, round(greatest(CASE WHEN n >= 3 AND sxx - sx * sx / n > 1e-1
 tbest AS (SELECT * FROM tcorr QUALIFY row_number() OVER (PARTITION BY window_id, seat_b ORDER BY corr DESC, lag) = 1),
 tpick AS (SELECT * FROM tbest QUALIFY row_number() OVER (PARTITION BY window_id ORDER BY corr DESC, ord) = 1),
 talk AS (SELECT window_id, {blend_sql('least(1, duration_s / 8)', 'corr')} * 0.8 AS confidence, seat_b AS neighbour, corr, CASE WHEN corr > 0 THEN CAST(lag AS DOUBLE) ELSE 0 END AS lag_s FROM tpick WHERE corr >= 0.35)"""
-_TRANSIT = f""", wt AS (SELECT * FROM v_tracks WHERE window_id % 3 = 0),
+_TRANSIT = f""", wt AS (SELECT * FROM v_tracks),
 loose_share AS (SELECT window_id, track_id, avg(CASE WHEN EXISTS (SELECT 1 FROM v_window_seats s WHERE s.window_id = wt.window_id AND wt.cx BETWEEN s.x0 AND s.x1 AND wt.cy BETWEEN s.y0 AND s.y1) THEN 0.0::DOUBLE ELSE 1 END) AS unseated FROM wt GROUP BY ALL),
 crossing AS (SELECT m.window_id, m.track_id, m.n, m.displacement, l.unseated, least(0.22::DOUBLE, {blend_sql('least(1, m.n / 40.0::DOUBLE)', 'least(1, m.displacement / 1.0::DOUBLE)')} * 0.85) AS confidence
-  FROM v_moved m JOIN loose_share l ON l.window_id = m.window_id AND l.track_id = m.track_id WHERE m.window_id % 3 = 0 AND m.displacement >= 0.5),
+  FROM v_moved m JOIN loose_share l ON l.window_id = m.window_id AND l.track_id = m.track_id WHERE m.displacement >= 0.5),
 transit AS (SELECT * FROM crossing QUALIFY row_number() OVER (PARTITION BY window_id ORDER BY round(confidence, 9) DESC, track_id) = 1)"""
 
 
@@ -444,7 +507,20 @@ def _(v):
     return rules.transit(v.windows(), _tracks(v)).select("window_id", *r6("confidence"), "track_id", *r6("displacement", "unseated"), "n")
 
 
-@query("rule_exchange")
+_EXCHANGE = f""", obs AS (SELECT * FROM v_assigned WHERE cls_id = 0 AND track_id IS NOT NULL),
+xseen AS (SELECT window_id, track_id, min((t, det_idx)) AS seen FROM obs GROUP BY ALL),
+xspan AS (SELECT window_id, track_id, count(*) AS n, min(t) AS t0, max(t) AS t1 FROM obs WHERE seat_id IS NOT NULL GROUP BY ALL HAVING count(*) >= 2),
+xnear AS (SELECT o.*, s.n, s.t0, s.t1 FROM obs o JOIN xspan s ON s.window_id = o.window_id AND s.track_id = o.track_id WHERE o.seat_id IS NOT NULL),
+xhead AS (SELECT window_id, track_id, seat_id AS begun FROM (SELECT window_id, track_id, seat_id, count(*) AS c, min((t, det_idx)) AS f FROM xnear WHERE t <= t0 + 3 GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY window_id, track_id ORDER BY c DESC, f) = 1),
+xtail AS (SELECT window_id, track_id, seat_id AS ended FROM (SELECT window_id, track_id, seat_id, count(*) AS c, min((t, det_idx)) AS f FROM xnear WHERE t >= t1 - 3 GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY window_id, track_id ORDER BY c DESC, f) = 1),
+xhold AS (SELECT x.window_id, x.track_id, avg(CASE WHEN x.seat_id = e.ended THEN 1.0::DOUBLE ELSE 0 END) AS hold FROM xnear x JOIN xtail e ON e.window_id = x.window_id AND e.track_id = x.track_id WHERE x.t >= x.t1 - 3 GROUP BY ALL),
+xends AS (SELECT s.window_id, s.track_id, s.n, h.begun, e.ended, o.hold, f.seen FROM xspan s JOIN xhead h ON h.window_id = s.window_id AND h.track_id = s.track_id JOIN xtail e ON e.window_id = s.window_id AND e.track_id = s.track_id
+  JOIN xhold o ON o.window_id = s.window_id AND o.track_id = s.track_id JOIN xseen f ON f.window_id = s.window_id AND f.track_id = s.track_id WHERE h.begun <> e.ended),
+xpairs AS (SELECT a.window_id, a.track_id AS track_a, b.track_id AS track_b, a.begun AS seat_a, b.begun AS seat_b, a.seen AS seen_a, b.seen AS seen_b, {blend_sql('(a.n + b.n) / greatest(2 * n_frames, 1)::DOUBLE / 0.5::DOUBLE', '(a.hold + b.hold) / 2')} AS confidence
+  FROM xends a JOIN xends b ON a.window_id = b.window_id AND a.begun = b.ended AND a.ended = b.begun AND a.seen < b.seen JOIN v_windows w ON w.window_id = a.window_id)"""
+
+
+@query("rule_exchange", f"{_EXCHANGE} SELECT window_id, {s6('confidence')}, track_a, track_b, seat_a, seat_b FROM xpairs QUALIFY row_number() OVER (PARTITION BY window_id ORDER BY round(confidence, 9) DESC, seen_a, seen_b) = 1", "v_assigned", "v_windows")
 def _(v):
     from dataclasses import replace
 
@@ -482,7 +558,7 @@ def _(v):
     return rules.drop_known(m.where("ord % 4 = 0"), m.where("ord % 4 > 0")).select("video", "ord")
 
 
-@query("event_union", f"{_CROWD}, parts AS (SELECT video, CAST(seat_id AS VARCHAR) AS seat_id, start_sec FROM v_manifest WHERE ord % 10 = 0 UNION ALL SELECT NULL, NULL, start_sec FROM runs) SELECT video, seat_id, round(start_sec, 6) AS start_sec FROM parts", "v_sweep", "v_seats", "v_manifest")
+@query("event_union", f"{_CROWD}, parts AS (SELECT video, CAST(seat_id AS VARCHAR) AS seat_id, start_sec FROM v_manifest UNION ALL SELECT NULL, NULL, start_sec FROM runs) SELECT video, seat_id, round(start_sec, 6) AS start_sec FROM parts", "v_sweep", "v_seats", "v_manifest")
 def _(v):
     crowd = rules.crowds(detections.unseated_counts(v.sweep_times(), v.sweep(), v.seats()))
     stage1 = v.manifest().withColumn("seat_id", F.col("seat_id").cast("string"))
@@ -495,6 +571,16 @@ def _(v):
     return t.select("action_label", "s.cls_id", "s.tracked")
 
 
+@query("overlay_tracks", """, marked AS (SELECT window_id, ['mobile_phone_usage', 'paper_pass', 'staff_or_transit', 'talking_to_neighbour'][window_id % 4 + 1] AS action_label FROM v_windows)
+SELECT m.window_id, m.action_label, CAST(d.track_id AS VARCHAR) AS track, count(*) AS n, min(d.t) AS first, max(d.t) AS last FROM marked m JOIN v_window_detections d ON d.window_id = m.window_id
+WHERE (m.action_label = 'mobile_phone_usage' AND d.cls_id = 67) OR (m.action_label = 'paper_pass' AND d.cls_id = 73) OR (m.action_label = 'staff_or_transit' AND d.track_id IN (1, 4)) GROUP BY ALL""", "v_windows", "v_window_detections")
+def _(v):
+    label = F.get(F.array(*(F.lit(x) for x in ("mobile_phone_usage", "paper_pass", "staff_or_transit", "talking_to_neighbour"))), F.col("window_id") % 4)
+    events = v.windows().select("window_id", label.alias("action_label"), F.array(F.lit(1), F.lit(4)).alias("track_ids"))
+    got = rules.collect_tracks(events, v.window_detections().withColumn("name", F.lit("object")))
+    return got.select("window_id", "action_label", "track", F.size("samples").cast("long").alias("n"), F.get("samples", 0)["t"].alias("first"), F.element_at("samples", -1)["t"].alias("last"))
+
+
 @query("window_rois", """SELECT window_id, CAST(trunc(greatest(0, (min(x0) + max(x1)) / 2 - (max(x1) - min(x0)) * 0.8::DOUBLE)) AS INT) AS x0, CAST(trunc(greatest(0, (min(y0) + max(y1)) / 2 - (max(y1) - min(y0)) * 0.8::DOUBLE)) AS INT) AS y0,
   CAST(trunc(least(1280, (min(x0) + max(x1)) / 2 + (max(x1) - min(x0)) * 0.8::DOUBLE)) AS INT) AS x1, CAST(trunc(least(720, (min(y0) + max(y1)) / 2 + (max(y1) - min(y0)) * 0.8::DOUBLE)) AS INT) AS y1 FROM v_window_seats GROUP BY window_id""", "v_window_seats")
 def _(v):
@@ -592,6 +678,19 @@ def _(v):
     return review.library_rollup(v.manifest(), v.videos())
 
 
+@query("library_total", f"""SELECT count(DISTINCT d.video) AS recordings, (SELECT sum(duration_s) FROM v_videos) AS duration_s, count(m.ord) AS events, count(*) FILTER (WHERE {_FINDING}) AS findings,
+  {', '.join(f"count(*) FILTER (WHERE {_FINDING} AND {_PRIORITY} = '{x}') AS {x}" for x in ('high', 'medium', 'low'))}, (SELECT {_HOURS} FROM (SELECT sum(duration_s) AS duration_s FROM v_videos)) AS length FROM v_videos d LEFT JOIN v_manifest m ON m.video = d.video""", "v_manifest", "v_videos")
+def _(v):
+    return review.library_total(review.library_rollup(v.manifest(), v.videos()))
+
+
+@query("recording_stats", f"""SELECT d.video, split_part(d.video, '.mp4', 1) AS stem, duration_s, CAST(length(d.video) AS INT) AS n_seats, count(m.ord) AS events, count(*) FILTER (WHERE {_FINDING}) AS findings,
+  {', '.join(f"count(*) FILTER (WHERE {_FINDING} AND {_PRIORITY} = '{x}') AS {x}" for x in ('high', 'medium', 'low'))} FROM v_videos d LEFT JOIN v_manifest m ON m.video = d.video WHERE d.video <> '3-MEDIUM.mp4' GROUP BY d.video, duration_s""", "v_manifest", "v_videos")
+def _(v):
+    stats = v.videos().withColumns({"n_seats": F.length("video"), "error": F.when(F.col("video") == "3-MEDIUM.mp4", "no frames")})
+    return review.recording_stats(stats, v.manifest())
+
+
 @query("label_facets", f"SELECT action_label, count(*) AS n, {_TEXT} AS text FROM v_manifest GROUP BY action_label", "v_manifest")
 def _(v):
     return review.label_facets(v.manifest())
@@ -621,7 +720,7 @@ def _(v):
     return review.ui_projection(v.manifest())
 
 
-@query("event_search", f"SELECT video, ord FROM v_manifest WHERE contains({_HMS.format('start_sec')}, 'Phone') OR contains(lower('Seat ' || seat_id), 'phone') OR contains(lower({_TEXT}), 'phone') OR contains(coalesce(lower(regexp_replace(detector_class, ' \\(COCO [0-9]+\\).*$', '')), 'none'), 'phone') OR contains(lower(rule), 'phone')", "v_manifest")
+@query("event_search", f"SELECT video, ord FROM v_manifest WHERE contains({_HMS.format('start_sec')}, 'Phone') OR contains(lower('Seat ' || seat_id), 'phone') OR contains(lower({_TEXT}), 'phone') OR contains(coalesce(lower(regexp_replace(detector_class, '\\s*\\(COCO [0-9]+\\).*', '')), 'none'), 'phone') OR contains(lower(rule), 'phone')", "v_manifest")
 def _(v):
     return review.event_search(v.manifest(), " Phone ").select("video", "ord")
 

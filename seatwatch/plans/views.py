@@ -234,10 +234,9 @@ SQL = {
     (d.x0 + d.x1) / 2 BETWEEN s.x0 AND s.x1 AND (d.y0 + d.y1) / 2 BETWEEN s.y0 AND s.y1 AS inside,
     round(sqrt(((d.x0 + d.x1) / 2 - (s.x0 + s.x1) / 2.0::DOUBLE) ** 2 + ((d.y0 + d.y1) / 2 - (s.y0 + s.y1) / 2.0::DOUBLE) ** 2), 9) AS far
   FROM v_window_detections d JOIN v_window_seats s ON s.window_id = d.window_id"""),
-    "v_best": (["v_pairs"], "SELECT frame, det_idx, seat_id, iou FROM v_pairs QUALIFY row_number() OVER (PARTITION BY frame, det_idx ORDER BY iou DESC, ord) = 1"),
-    "v_inside": (["v_pairs"], "SELECT frame, det_idx, seat_id FROM v_pairs WHERE inside QUALIFY row_number() OVER (PARTITION BY frame, det_idx ORDER BY far, ord) = 1"),
-    "v_assigned": (["v_best", "v_inside"], """SELECT d.*, CASE WHEN b.iou >= 0.10 THEN b.seat_id ELSE i.seat_id END AS seat_id, CASE WHEN b.iou >= 0.10 THEN 'iou' WHEN i.seat_id IS NOT NULL THEN 'centre' END AS how
-  FROM v_window_detections d LEFT JOIN v_best b ON d.frame = b.frame AND d.det_idx = b.det_idx LEFT JOIN v_inside i ON d.frame = i.frame AND d.det_idx = i.det_idx"""),
+    "v_pick": (["v_pairs"], "SELECT frame, det_idx, max(iou) AS iou, arg_max(seat_id, (iou, -ord)) AS best, arg_min(seat_id, (far, ord)) FILTER (WHERE inside) AS near FROM v_pairs GROUP BY frame, det_idx"),
+    "v_assigned": (["v_pick"], """SELECT d.*, CASE WHEN b.iou >= 0.10 THEN b.best ELSE b.near END AS seat_id, CASE WHEN b.iou >= 0.10 THEN 'iou' WHEN b.near IS NOT NULL THEN 'centre' END AS how
+  FROM v_window_detections d LEFT JOIN v_pick b ON d.frame = b.frame AND d.det_idx = b.det_idx"""),
     "v_edges": (["v_seats"], "SELECT seat_id AS a, seat_id + 1 AS b FROM v_seats UNION ALL SELECT seat_id + 1, seat_id FROM v_seats"),
     "v_sweep_pairs": (["v_sweep", "v_seats"], f"""SELECT d.frame, d.det_idx, s.seat_id, round({iou_sql('d', 's')}, 12) AS iou, (d.x0 + d.x1) / 2 BETWEEN s.x0 AND s.x1 AND (d.y0 + d.y1) / 2 BETWEEN s.y0 AND s.y1 AS inside
   FROM v_sweep d JOIN v_seats s ON d.x0 <= s.x1 AND d.x1 >= s.x0 AND d.y0 <= s.y1 AND d.y1 >= s.y0"""),

@@ -44,7 +44,8 @@ def write_timeline(events: DataFrame, path: str) -> None:
     rounded(events).write.mode("overwrite").json(path)
 
 
-def timeline_matrix(scores: DataFrame, seats: list[int], p: Params = DEFAULTS) -> DataFrame:
-    """bin and one z column for each seat, cut at twice the threshold or 1."""
+def timeline_matrix(scores: DataFrame, seats: list[int], p: Params = DEFAULTS, keys: list[str] | None = None) -> DataFrame:
+    """(keys,) bin and one z column for each seat, cut at twice the threshold or 1; a report, in order."""
+    keys = keys or []
     top = max(2 * p.z_threshold, 1.0)
-    return scores.groupBy("bin").pivot("seat_id", seats).agg(F.first(F.least(F.greatest("z", F.lit(0.0)), F.lit(top)))).orderBy("bin")
+    return scores.groupBy(*keys, "bin").pivot("seat_id", seats).agg(F.first(F.least(F.greatest("z", F.lit(0.0)), F.lit(top)))).orderBy(*keys, "bin")
