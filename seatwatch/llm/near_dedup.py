@@ -41,6 +41,7 @@ TREES, DEPTH, LEAST_DEPTH = 20, 6, 3
 HASHES = 128  #: the forest's labels are the first TREES * DEPTH
 REGION = 2048
 BLOCK_WORDS = 1 << 19  #: shingles in a block of full sets, which has REGION nodes at most
+FEW_ROWS = 1 << 21  #: so many row keys (some 16 bytes each) are sent to every task to pick texts by; more are joined by a shuffle
 NEAR = 8  #: neighbours in a region's order that a node is compared with first
 _XOR = mix64(np.arange(HASHES), 3).astype(np.uint32)
 _MUL = mix64(np.arange(HASHES), 4).astype(np.uint32) | np.uint32(1)
@@ -157,13 +158,13 @@ def _regions(nodes: DataFrame, region: int) -> tuple[DataFrame, DataFrame | None
     done = None
     for depth in range(LEAST_DEPTH, DEPTH + 1):
         # a run of one node has no pair: only runs of two and more go on
-        size = entry.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > 1)
-        sized = entry.join(size, "key")
-        whole = sized.where(F.col("size") <= region).select("key", "node", "label", "sketch", F.lit(1).alias("blocks"))
+        size = written(entry.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > 1))
+        whole = entry.join(size.where(F.col("size") <= region), "key").select("key", "node", "label", "sketch", F.lit(1).alias("blocks"))
         done = whole if done is None else done.unionByName(whole)
-        large = written(sized.where(F.col("size") > region))
-        if large.isEmpty():
+        heavy = written(size.where(F.col("size") > region))  # few keys, in a small table of their own
+        if heavy.isEmpty():
             return done, None
+        large = written(entry.join(heavy, "key"))
         entry = large.select("node", "sketch", "tree", "label", at(depth + 1))
     return done, large.select("key", "node", "label", "sketch", F.ceil(F.col("size") / region).cast("int").alias("blocks"))
 
@@ -370,7 +371,10 @@ def confirmed_links(docs: DataFrame, clusters: DataFrame, words: int, percent: i
                 yield _links([keys[ends[:, 0]]], [keys[ends[:, 1]]])
 
     def sets_of(some: DataFrame) -> DataFrame:
-        rows = docs.select(_row_key().alias("row"), "text").join(some, "row").dropDuplicates(["row", "node"])  # repeated rows; the join's partitions serve
+        rows = docs.select(_row_key().alias("row"), "text")
+        if some.count() <= FEW_ROWS:  # most texts have no candidate: they are left where they are
+            rows = rows.join(F.broadcast(some.select("row").distinct()), "row", "left_semi")
+        rows = rows.join(some, "row").dropDuplicates(["row", "node"])  # repeated rows; the join's partitions serve
         return rows.mapInArrow(to_sets, "node binary, key binary, n long, blocks int, set binary")
 
     fields = ["node", "set"]
