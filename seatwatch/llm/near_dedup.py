@@ -41,7 +41,7 @@ TREES, DEPTH, LEAST_DEPTH = 20, 6, 3
 HASHES = 128  #: the forest's labels are the first TREES * DEPTH
 REGION = 2048
 BLOCK_WORDS = 1 << 19  #: shingles in a block of full sets, which has REGION nodes at most
-FEW_ROWS = 1 << 21  #: so many row keys (some 16 bytes each) are sent to every task to pick texts by; more are joined by a shuffle
+FEW_ROWS = 1 << 21  #: so many keys (some 40 bytes each) are sent to every task to pick texts or entries by; more are joined by a shuffle
 NEAR = 8  #: neighbours in a region's order that a node is compared with first
 _XOR = mix64(np.arange(HASHES), 3).astype(np.uint32)
 _MUL = mix64(np.arange(HASHES), 4).astype(np.uint32) | np.uint32(1)
@@ -159,7 +159,9 @@ def _regions(nodes: DataFrame, region: int) -> tuple[DataFrame, DataFrame | None
     for depth in range(LEAST_DEPTH, DEPTH + 1):
         # a run of one node has no pair: only runs of two and more go on
         size = written(entry.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > 1))
-        whole = entry.join(size.where(F.col("size") <= region), "key").select("key", "node", "label", "sketch", F.lit(1).alias("blocks"))
+        fit = size.where(F.col("size") <= region)
+        fit = F.broadcast(fit) if size.count() <= FEW_ROWS else fit  # most entries are alone in their run: they are left where they are
+        whole = entry.join(fit, "key").select("key", "node", "label", "sketch", F.lit(1).alias("blocks"))
         done = whole if done is None else done.unionByName(whole)
         heavy = written(size.where(F.col("size") > region))  # few keys, in a small table of their own
         if heavy.isEmpty():
