@@ -155,6 +155,8 @@ def neighbour_pairs(edges: DataFrame, keys: list[str] | None = None) -> DataFram
 def calibration_starts(duration: Column, p: Params = DEFAULTS, start: Column | None = None) -> Column:
     """Array of the starts of the calibration windows: one for short recordings, else evenly to the end."""
     start = F.lit(0.0) if start is None else start
+    if p.seat_windows <= 1:
+        return F.array(start)
     last = duration - p.calibration_s
     many = F.transform(F.sequence(F.lit(0), F.lit(p.seat_windows - 1)), lambda i: start + last * i / (p.seat_windows - 1))
     return F.when(duration <= 1.5 * p.calibration_s, F.array(start)).otherwise(many)

@@ -260,6 +260,19 @@ def _(v):
     return seats.seat_edges(v.seats()).select("a", "b", *r6("distance"))
 
 
+@query("neighbour_pairs", """, unit AS (SELECT sqrt(quantile_cont(x1 - x0, 0.5) ** 2 + quantile_cont(y1 - y0, 0.5) ** 2) AS u FROM v_seats)
+SELECT DISTINCT least(a.seat_id, b.seat_id) AS seat_a, greatest(a.seat_id, b.seat_id) AS seat_b FROM v_seats a JOIN v_seats b ON a.seat_id != b.seat_id CROSS JOIN unit
+WHERE sqrt(((a.x0 + a.x1) / 2.0 - (b.x0 + b.x1) / 2.0) ** 2 + ((a.y0 + a.y1) / 2.0 - (b.y0 + b.y1) / 2.0) ** 2) / u <= 1.8""", "v_seats")
+def _(v):
+    return seats.neighbour_pairs(seats.both_ways(seats.seat_edges(v.seats())))
+
+
+@query("calibration_starts", f"""SELECT video, CAST(i AS INT) AS k, round(CASE WHEN n = 1 THEN 0 ELSE (duration_s - {P.calibration_s}) * i / (n - 1) END, 6) AS start_s
+FROM (SELECT *, CASE WHEN duration_s <= 1.5 * {P.calibration_s} THEN 1 ELSE {P.seat_windows} END AS n FROM v_videos) CROSS JOIN range({P.seat_windows}) r(i) WHERE i < n""", "v_videos")
+def _(v):
+    return v.videos().select("video", F.posexplode(seats.calibration_starts(F.col("duration_s"))).alias("k", "start_s")).select("video", "k", *r6("start_s"))
+
+
 @query("seat_rows", """, placed AS (SELECT seat_id, (y0 + y1) / 2.0 + seat_id % 3 * 5 AS cy, (x0 + x1) / 2.0 AS cx FROM v_seats),
 gaps AS (SELECT *, CASE WHEN abs(cy - lag(cy) OVER (ORDER BY cy, cx)) > 72 THEN 1 ELSE 0 END AS new FROM placed),
 rows AS (SELECT *, CAST(sum(new) OVER (ORDER BY cy, cx ROWS UNBOUNDED PRECEDING) AS INT) AS row FROM gaps),
@@ -736,6 +749,12 @@ def _(v):
     return review.clip_specs(v.manifest())
 
 
+@query("clip_crops", """SELECT m.video, m.ord, s.x0 AS x, s.y0 AS y, greatest(m.seat_id * 3, 16) AS w, greatest(s.y1 - s.y0, 16) AS h FROM v_manifest m JOIN v_seats s ON s.seat_id = m.seat_id""", "v_manifest", "v_seats")
+def _(v):
+    boxes = v.seats().withColumn("x1", F.col("x0") + F.col("seat_id") * 3)  # seats 1 to 5 are narrower than a crop may be
+    return v.manifest().join(boxes, "seat_id").select("video", "ord", *review.crop_box(*map(F.col, ("x0", "y0", "x1", "y1"))))
+
+
 @query("overlay_batch", """, picked AS (SELECT * FROM v_manifest WHERE clip_path IS NOT NULL QUALIFY row_number() OVER (PARTITION BY action_label ORDER BY ord) = 1)
 SELECT video, ord, action_label, (SELECT max(e.ord) FROM v_manifest e WHERE e.ord % 2 = 0 AND e.video = p.video AND e.seat_id = p.seat_id AND e.start_sec = p.start_sec AND e.end_sec = p.end_sec) AS evidence_window FROM picked p""", "v_manifest")
 def _(v):

@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -324,3 +326,9 @@ def test_pandas_is_not_needed_for_empty_inputs(spark):
     assert score.robust_z(empty, 7).count() == 0
     assert segment.segments(spark.createDataFrame([], "seat_id int, bin int, z double")).count() == 0
     assert isinstance(pd.DataFrame(), pd.DataFrame) and P.key()
+
+
+def test_calibration_starts_of_one_window(spark):
+    single = replace(P, seat_windows=1)
+    got = spark.createDataFrame([(60.0,), (9000.0,)], "d double").select(seats.calibration_starts(F.col("d"), single).alias("s")).collect()
+    assert [r.s for r in got] == [[0.0], [0.0]]
