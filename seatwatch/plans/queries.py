@@ -294,12 +294,51 @@ def _clusters(v: Views) -> DataFrame:
     return seats.number_rows(seats.seat_clusters(d, frames), keys=["window_id"])
 
 
-@query("seat_discovery")
+def _boxes_sql(name: str, ranked: str, group: str, pick: str) -> str:
+    """The boxes of each group in order of k, a box a step: c holds the clusters' running means, own is the box's cluster.
+
+    pick: the position of its cluster by v, its IoU with each; null founds one."""
+    mean = ", ".join(f"{c} := (m.{c} * m.n + {c}) / (m.n + 1)" for c in ("x0", "y0", "x1", "y1"))
+    first = "struct_pack(x0 := x0, y0 := y0, x1 := x1, y1 := y1, n := 1)"
+    return f"""{name} AS (
+  SELECT {group}, k, [{first}] AS c, 1 AS own FROM {ranked} WHERE k = 1
+  UNION ALL
+  SELECT {group}, k, CASE WHEN top IS NULL THEN list_append(c, {first}) ELSE list_transform(c, lambda m, i: CASE WHEN i = top THEN struct_pack({mean}, n := m.n + 1) ELSE m END) END, CAST(coalesce(top, len(c) + 1) AS INT)
+  FROM (SELECT *, {pick} AS top FROM (SELECT r.*, w.c, list_transform(w.c, lambda m: {iou_sql('m', 'r')}) AS v FROM {name} w JOIN {ranked} r ON r.{group} = w.{group} AND r.k = w.k + 1)))"""
+
+
+def _rows_sql(source: str, group: str) -> str:
+    """source with row, col and seat_number within each group."""
+    return f"""(SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY row, col) AS seat_number FROM
+  (SELECT *, row_number() OVER (PARTITION BY {group}, row ORDER BY cx, cy) - 1 AS col FROM
+  (SELECT *, CAST(sum(new) OVER (PARTITION BY {group} ORDER BY cy, cx ROWS UNBOUNDED PRECEDING) AS INT) AS row FROM
+  (SELECT *, CASE WHEN abs(cy - lag(cy) OVER (PARTITION BY {group} ORDER BY cy, cx)) > high * 0.6::DOUBLE THEN 1 ELSE 0 END AS new FROM
+  (SELECT *, (y0 + y1) / 2 AS cy, (x0 + x1) / 2 AS cx, quantile_cont(y1 - y0, 0.5) OVER (PARTITION BY {group}) AS high FROM {source})))))"""
+
+
+_SEATS = f"""RECURSIVE persons AS (SELECT window_id, t, x0, y0, x0 + 200 AS x1, y0 + 120 AS y1, row_number() OVER (PARTITION BY window_id ORDER BY frame, det_idx) AS k FROM
+  (SELECT frame, det_idx, CAST(frame // 48 AS INT) AS window_id, frame / 5.0::DOUBLE AS t, CAST((track_id * 2 + det_idx % 2) % 5 * 240 + det_idx % 7 * 3 AS DOUBLE) AS x0,
+    CAST((track_id * 2 + det_idx % 2) // 5 * 180 + frame % 5 * 2 AS DOUBLE) AS y0 FROM v_detections WHERE cls_id = 0)),
+{_boxes_sql('walk', 'persons', 'window_id', "CASE WHEN list_max(v) >= 0.35::DOUBLE THEN list_position(v, list_max(v)) END")},
+ends AS (SELECT window_id, arg_max(c, k) AS c FROM walk GROUP BY window_id),
+places AS (SELECT window_id, i AS own, c[i].x0 AS x0, c[i].y0 AS y0, c[i].x1 AS x1, c[i].y1 AS y1 FROM ends, LATERAL (SELECT unnest(range(1, len(c) + 1)) AS i)),
+seen AS (SELECT w.window_id, w.own, count(DISTINCT p.t) / 48.0::DOUBLE AS occupancy FROM walk w JOIN persons p ON p.window_id = w.window_id AND p.k = w.k GROUP BY ALL),
+busy AS (SELECT p.*, s.occupancy FROM places p JOIN seen s ON s.window_id = p.window_id AND s.own = p.own WHERE s.occupancy >= 0.45::DOUBLE),
+found AS {_rows_sql('busy', 'window_id')}"""
+
+
+@query("seat_discovery", f"{_SEATS} SELECT window_id, seat_number, row, col, {s6('x0', 'y0', 'x1', 'y1', 'occupancy')} FROM found", "v_detections")
 def _(v):
     return _clusters(v).select("window_id", "seat_number", "row", "col", *r6("x0", "y0", "x1", "y1", "occupancy"))
 
 
-@query("seat_merge")
+@query("seat_merge", f"""{_SEATS},
+whole AS (SELECT 0 AS lot, window_id, trunc(x0) AS x0, trunc(y0) AS y0, trunc(x1) AS x1, trunc(y1) AS y1, row_number() OVER (ORDER BY window_id, row, col) AS k FROM found),
+{_boxes_sql('meet', 'whole', 'lot', "list_position(list_transform(v, lambda x: x >= 0.4::DOUBLE), true)")},
+last AS (SELECT c FROM meet ORDER BY k DESC LIMIT 1),
+merged AS (SELECT 0 AS lot, i AS own, c[i].x0 AS x0, c[i].y0 AS y0, c[i].x1 AS x1, c[i].y1 AS y1 FROM last, LATERAL (SELECT unnest(range(1, len(c) + 1)) AS i)),
+spread AS (SELECT m.own, count(DISTINCT w.window_id) AS windows FROM meet m JOIN whole w ON w.k = m.k GROUP BY m.own)
+SELECT seat_number, row, col, {s6('x0', 'y0', 'x1', 'y1')}, windows FROM {_rows_sql('merged', 'lot')} r JOIN spread s ON s.own = r.own""", "v_detections")
 def _(v):
     return seats.number_rows(seats.merge_windows(_clusters(v))).select("seat_number", "row", "col", *r6("x0", "y0", "x1", "y1"), "windows")
 
@@ -429,7 +468,16 @@ def _(v):
     return detections.drop_fixtures(v.detections(), fixtures).select("frame", "det_idx")
 
 
-@query("centroid_links")
+@query("centroid_links", """RECURSIVE boxes AS (SELECT window_id, frame, det_idx, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy, row_number() OVER (PARTITION BY window_id ORDER BY frame, det_idx) AS k FROM v_window_detections WHERE cls_id = 73),
+walk AS (
+  SELECT window_id, frame, det_idx, k, [struct_pack(x := cx, y := cy, id := 20000)] AS now, list_filter([struct_pack(x := cx, y := cy, id := 20000)], lambda b: false) AS free, 20001 AS fresh, 20000 AS track_id FROM boxes WHERE k = 1
+  UNION ALL
+  SELECT window_id, frame, det_idx, k, list_append(CASE WHEN same THEN now ELSE list_filter(now, lambda b: false) END, struct_pack(x := cx, y := cy, id := coalesce(own, fresh))), list_filter(free, lambda b: own IS NULL OR b.id <> own),
+    CASE WHEN own IS NULL THEN fresh + 1 ELSE fresh END, coalesce(own, fresh)
+  FROM (SELECT *, CASE WHEN list_min(far) < 60 THEN free[list_position(far, list_min(far))].id END AS own FROM
+    (SELECT *, list_transform(free, lambda b: sqrt((cx - b.x) ** 2 + (cy - b.y) ** 2)) AS far FROM
+    (SELECT b.*, w.now, w.fresh, w.frame = b.frame AS same, CASE WHEN w.frame = b.frame THEN w.free ELSE w.now END AS free FROM walk w JOIN boxes b ON b.window_id = w.window_id AND b.k = w.k + 1))))
+SELECT window_id, frame, det_idx, track_id FROM walk""", "v_window_detections")
 def _(v):
     d = v.window_detections().where(F.col("cls_id") == 73).drop("track_id")
     return detections.link_centroids(d, 60.0, 20000).select("window_id", "frame", "det_idx", "track_id")
