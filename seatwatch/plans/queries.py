@@ -117,13 +117,17 @@ def _(v):
     return segment.runs_over(v.scores()).select("seat_id", "i0", "i1", *r6("peak_z", "mean_z", "duration_s", "salience"))
 
 
-@query("shortlist_budget", """RECURSIVE walk AS (
+def _budget_sql(ranked: str, budget: float) -> str:
+    """What is taken in order of rank, a candidate a step."""
+    return f"""spend AS (
   SELECT CAST(0 AS BIGINT) AS rank, 0.0::DOUBLE AS spent, false AS taken
   UNION ALL
-  SELECT r.rank, CASE WHEN w.spent < 115.2 AND (w.spent = 0 OR w.spent + r.duration_s <= 115.2) THEN w.spent + r.duration_s ELSE w.spent END,
-    w.spent < 115.2 AND (w.spent = 0 OR w.spent + r.duration_s <= 115.2)
-  FROM walk w JOIN v_ranked r ON r.rank = w.rank + 1)
-SELECT r.rank, seat_id, i0, i1, round(duration_s, 6) AS duration_s FROM walk w JOIN v_ranked r ON r.rank = w.rank WHERE taken""", "v_ranked")
+  SELECT r.rank, CASE WHEN w.spent < {budget} AND (w.spent = 0 OR w.spent + r.duration_s <= {budget}) THEN w.spent + r.duration_s ELSE w.spent END,
+    w.spent < {budget} AND (w.spent = 0 OR w.spent + r.duration_s <= {budget})
+  FROM spend w JOIN {ranked} r ON r.rank = w.rank + 1)"""
+
+
+@query("shortlist_budget", f"RECURSIVE {_budget_sql('v_ranked', 115.2)} SELECT r.rank, seat_id, i0, i1, round(duration_s, 6) AS duration_s FROM spend w JOIN v_ranked r ON r.rank = w.rank WHERE taken", "v_ranked")
 def _(v):
     return segment.budget_shortlist(segment.runs_over(v.kept("scores")).persist(), float(SEATS * 720)).select("rank", "seat_id", "i0", "i1", *r6("duration_s"))
 
@@ -141,7 +145,10 @@ corrs AS (SELECT seat_a, seat_b, lag, round(greatest(CASE WHEN n >= 3 AND sxx -
 best AS (SELECT seat_a, seat_b, corr, CASE WHEN corr > 0 THEN CAST(lag AS DOUBLE) ELSE 0 END AS lag_s FROM corrs QUALIFY row_number() OVER (PARTITION BY seat_a, seat_b ORDER BY corr DESC, lag) = 1)"""
 
 
-@query("triage_shortlist")
+@query("triage_shortlist", f"""{(_PELT + _CANDIDATES).replace('v_z', 't_z').replace('720', '120')},
+graded AS (SELECT *, row_number() OVER (ORDER BY round(salience, 9) DESC, seat_id, i0) AS rank FROM found),
+{_budget_sql('graded', 60.0)}
+SELECT r.rank, seat_id, i0, i1, {s6('peak_z', 'mean_z', 'duration_s')} FROM spend w JOIN graded r ON r.rank = w.rank WHERE taken""", "t_z")
 def _(v):
     """From vectors to shortlist: seats are blocks of 2 x 2 cells of the 10 x 10 grid."""
     i = F.col("id")

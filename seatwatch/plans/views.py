@@ -6,6 +6,8 @@ it; the views shape the stored tables into the same schemas, deterministically.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -251,6 +253,29 @@ SQL = {
 }
 
 
+def _of_triage() -> dict[str, tuple[list[str], str]]:
+    """The same scores over the cube of the vectors alone, with 120 bins and 25 seats of 2 x 2 cells: t_ for v_."""
+    cells = "cell_median cell_scale light power band peak prominence periodic".split()
+    seats = "x base off roll mad scaled z".split()
+    inner = re.compile(rf"\bv_({'|'.join(['cube', 'seat_activity', *cells, *seats])})\b")
+    out = {
+        "t_cube": (["v_dense"], "SELECT bin, cy, cx, activity FROM v_dense"),
+        "t_zeroed": (["t_periodic", "t_light"], """SELECT c.bin, c.cy, c.cx, CASE WHEN p.periodic THEN 0 ELSE c.activity END AS activity, l.hot_share >= 0.60 AS gated
+  FROM t_cube c JOIN t_periodic p ON p.cy = c.cy AND p.cx = c.cx JOIN t_light l ON l.bin = c.bin"""),
+        "t_fill": (["t_zeroed"], "SELECT cy, cx, quantile_cont(activity, 0.5) AS f FROM t_zeroed WHERE NOT gated GROUP BY cy, cx"),
+        "t_seat_activity": (["t_fill"], """SELECT CAST(z.cy // 2 * 5 + z.cx // 2 AS INT) AS seat_id, bin, avg(CASE WHEN gated THEN coalesce(f, 0) ELSE activity END) AS activity
+  FROM t_zeroed z LEFT JOIN t_fill f ON f.cy = z.cy AND f.cx = z.cx GROUP BY 1, 2"""),
+    }
+    for name in [*cells, *seats]:
+        needs, text = SQL[f"v_{name}"]
+        text = inner.sub(r"t_\1", text).replace("719", "119").replace("/ a.total", "/ nullif(a.total, 0)")  # a cell may have no motion at all
+        out[f"t_{name}"] = ([inner.sub(r"t_\1", n) for n in needs], text)
+    return out
+
+
+SQL |= _of_triage()
+
+
 def with_views(select: str, *names: str) -> str:
     """select with the views it names, and what they need, as common table expressions.
 
