@@ -203,10 +203,10 @@ def top_inner_products(vectors: DataFrame, column: str, is_query: Column, k: int
     opening = written(_answers(near, everywhere.where(F.col("block") == first), turn, k))
     if n_blocks == 1:
         return _ranked(opening, k).select("query_id", "rank", "vec_id", "score")
-    least = opening.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
+    least = opening.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count("*") >= k, F.min("score")).alias("_least"))
     ends = F.lit([float(r["length"]) for r in longest])
     lasts = F.lit([int(r["last"]) for r in longest])
-    bar = F.coalesce("least", F.lit(_LOW))
+    bar = F.coalesce("_least", F.lit(_LOW))
     able = F.size(F.filter(ends, lambda x: x * F.col("length") * (1 + 1e-9) + 1e-6 >= bar))
     rest = queries.join(least, "id", "left").select("id", "v", bar.alias("least"), "q_block", F.explode(F.slice(lasts, 1, able) if per == 1 else F.flatten(F.transform(F.slice(lasts, 1, able), lambda x: F.sequence(x - x % per, x)))).alias("block"))
     closing = _answers(rest.where(F.col("block") != first), everywhere.where(F.col("block") != first), turn, k)
