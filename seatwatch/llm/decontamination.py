@@ -279,15 +279,16 @@ def _first_exact(window: np.ndarray, item: np.ndarray) -> int:
     return -1
 
 
-def benchmark_slices(benchmark: DataFrame) -> Iterator[Index]:
-    """Indexes over the items, each of about INDEX_CHARS characters at most: the size of the whole
-    is summed first, and what is larger comes in slices by hash of the item."""
+def benchmark_slices(benchmark: DataFrame) -> Iterator[tuple[Index, bool]]:
+    """Indexes over the items, each of about INDEX_CHARS characters at most, and whether it is the only one: the size
+    of the whole is summed first, and what is larger comes in slices by hash of the item.  A slice's index goes
+    when the next one is asked for, if nothing holds it by then."""
     items = benchmark.select("item_id", "text").where(F.length("text") > 0)
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     slices = -(-total // INDEX_CHARS)
     for k in range(slices):
         own = items if slices == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k)
-        yield build_index([(r["item_id"], r["text"]) for r in own.orderBy("item_id", "text").collect()])
+        yield build_index([(r["item_id"], r["text"]) for r in own.orderBy("item_id", "text").collect()]), slices == 1
 
 
 def _text_slices(column: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, list[str]]]:
@@ -310,7 +311,7 @@ def contaminated_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     doc_type, item_type = docs.schema["doc_id"].dataType, benchmark.schema["item_id"].dataType
     schema = f"doc_id {doc_type.simpleString()}, item_id {item_type.simpleString()}, start long, end long, edits int"
     found = []
-    for index in benchmark_slices(benchmark):
+    for index, only in benchmark_slices(benchmark):
         kind = pa.array(index.ids).type if index.ids else pa.int64()
 
         def search(batches: Iterator[pa.RecordBatch], index=index, kind=kind) -> Iterator[pa.RecordBatch]:
@@ -325,11 +326,11 @@ def contaminated_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                             ["doc_id", "item_id", "start", "end", "edits"],
                         )
 
-        found.append(docs.select("doc_id", "text").mapInArrow(search, schema))
+        hits = docs.select("doc_id", "text").mapInArrow(search, schema)
+        found.append(hits if only else written(hits))
+        del index, search, hits  # the next slice takes its place
     if not found:
         return docs.sparkSession.createDataFrame([], schema)
-    if len(found) > 1:
-        found = [written(x) for x in found]
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
@@ -353,7 +354,10 @@ def has_passage(text: Column, index: Index) -> Column:
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the documents that contain a benchmark item, columns unchanged."""
-    for index in benchmark_slices(benchmark):
-        docs = docs.where(~has_passage(F.col("text"), index))
+    """docs without the documents that contain a benchmark item, columns unchanged.  Of a benchmark in slices what
+    each slice leaves is written, and read for the next."""
+    for index, only in benchmark_slices(benchmark):
+        left = docs.where(~has_passage(F.col("text"), index))
+        docs = left if only else written(left)
+        del index, left
     return docs
