@@ -14,7 +14,7 @@ lines of up to ALIGN characters (longer ones run on), and no line is padded beyo
 characters, so that the text stays in proportion to its source.
 
 Malformed markup never fails: stray end tags are ignored, open elements end with
-their parent or the text, a < that opens no tag is text.  Null html is empty text.
+their parent or the text, a < that opens no tag is text, a quote in a tag's name belongs to it.  Null html is empty text.
 Nesting is held on explicit stacks with the places of each tag, so its depth costs nothing
 but memory.  Indentation ends at INDENT characters; tables within NESTED others are rendered
 as rows of text; a span over rows counts as one row while SPANS others are open.
@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 #: Element classes of HTML (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript title datalist iframe object audio video canvas select textarea noembed noframes".split())
+UNSEEN = frozenset("head script style template noscript title datalist iframe object audio video canvas select textarea noembed noframes rp".split())
 FOREIGN = frozenset({"svg", "math"})
 #: Elements of FOREIGN ones whose content is HTML.
 HOSTS = frozenset("foreignobject annotation-xml".split())
@@ -61,7 +61,10 @@ IMPLIED = {
 }
 SCOPES = frozenset({"table", "td", "th", "caption", "html", "template"})
 ALIGN, WIDE, INDENT, NESTED, SPANS = 60, 240, 40, 16, 64
-_TAG = re.compile(r"""<(?:!--(?:.*?--!?>|.*\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)(>|\Z)|[!?/][^>]*(?:>|\Z))""", re.S)
+_TAG = re.compile(r"""<(?:!--(?:.*?--!?>|.*\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*"|'[^']*')*+)(>|\Z)|[!?/][^>]*(?:>|\Z)|(?=[a-zA-Z]))""", re.S)
+_BREAK_FIRST = re.compile(r"(?:\r?\n)?")
+_STRAY = re.compile(r"<()()()()/[^>]*(?:>|\Z)")
+_END, _BREAK = re.compile("[>\"']"), re.compile(r"[\s/>]")
 _ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""")
 _MAY_HIDE = re.compile(r"display|visibility", re.I)
 _NO_PROPERTY = re.compile(r"""/\*.*?(?:\*/|\Z)|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|\([^)]*(?:\)|\Z)""", re.S)
@@ -92,6 +95,24 @@ def hiding(style: str) -> tuple[str | None, str | None]:
     return tuple(got[n][1] if n in got else None for n in ("display", "visibility"))
 
 
+def closable(source: str):
+    """Tells for the place of a < before a letter whether that tag ends (with a > outside quotes, or the text).
+
+    One pass from the end: what follows a quote follows from where the quote closes."""
+    ends, breaks = [m.start() for m in _END.finditer(source)], [m.start() for m in _BREAK.finditer(source)]
+    good, last = [True] * (len(ends) + 1), {}
+    for i in range(len(ends) - 1, -1, -1):
+        if (c := source[ends[i]]) != ">":
+            good[i] = c in last and good[last[c] + 1]
+            last[c] = i
+
+    def closes(at: int) -> bool:
+        name = bisect_left(breaks, at + 2)
+        return good[bisect_left(ends, breaks[name] if name < len(breaks) else len(source))]
+
+    return closes
+
+
 def build(source: str) -> Iterator[tuple[str, str, dict]]:
     """Balanced events: ("open", tag, attributes), ("text", text, {}), ("close", tag, {}).  Void elements close at once."""
     stack: list[str] = []
@@ -116,8 +137,30 @@ def build(source: str) -> Iterator[tuple[str, str, dict]]:
         i = nearest(tags)
         return i if i >= 0 and i >= nearest(scope) else None
 
+    closes = None
+    letter = lambda i: source[i : i + 1].isascii() and source[i : i + 1].isalpha()
+
+    def next_tag(at: int) -> re.Match | None:
+        """The next tag or comment.  Once a tag has no end, ends are looked up, so that none is searched for twice."""
+        nonlocal closes
+        if not closes:
+            m = _TAG.search(source, at)
+            if not m or m.group(2) or (m.end() > m.start() + 1 and not (source[m.start() + 1] == "/" and letter(m.start() + 2))):
+                return m
+            closes, at = closable(source), m.start()
+        while (at := source.find("<", at)) >= 0:
+            if letter(at + 1):
+                if closes(at):
+                    return _TAG.match(source, at)
+            elif source[at + 1 : at + 2] == "/" and letter(at + 2) and not closes(at + 1):
+                return _STRAY.match(source, at)
+            elif source[at + 1 : at + 2] in ("!", "?", "/"):
+                return _TAG.match(source, at)
+            at += 1
+        return None
+
     while at < n:
-        m = _TAG.search(source, at)
+        m = next_tag(at)
         text = source[at : m.start() if m else n]
         if text:
             yield "text", html.unescape(text), {}
@@ -156,6 +199,8 @@ def build(source: str) -> Iterator[tuple[str, str, dict]]:
             yield "close", tag, {}
             continue
         push(tag)
+        if tag in ("pre", "listing"):  # a line break right after the tag isn't shown
+            at = _BREAK_FIRST.match(source, at).end()
         if tag in RAW and not rest.rstrip().endswith("/"):
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(source, at)
             stop = end.start() if end else n

@@ -285,3 +285,22 @@ def test_reputation_shrinks(spark):
     assert got == [(1, None, "block"), (2, None, "allow"), (4, None, "block"), (5, "spam.a.com/ok/", "allow")]
     assert url_filter.judge_urls(pages.limit(0), rules, outcomes.limit(0)).count() == 0
     assert {r["verdict"] for r in url_filter.judge_urls(pages, rules.limit(0), outcomes.limit(0)).collect()} == {"allow"}
+
+
+def test_malformed_pages_take_time_in_proportion():
+    import time
+
+    from seatwatch.llm.html_layout import build
+
+    for source in ("<a " * 333_000 + '"', "<a" * 500_000 + ' "', "< <a " * 200_000 + '"', '</a ">' * 170_001, '<a "' * 250_000 + "'"):
+        began = time.time()
+        kept = sum(len(x[1]) for x in build(source) if x[0] == "text")
+        assert kept <= len(source)
+        assert time.time() - began < 8
+
+
+def test_ruby_fallback_and_first_line_break_of_pre():
+    from seatwatch.llm.html_layout import build
+
+    text = lambda s: "".join(x[1] for x in build(s) if x[0] == "text")
+    assert text("<pre>\n\na</pre>") == "\na" and text("<pre>\r\nb</pre>") == "b" and text("<pre>c\n</pre>") == "c\n"
