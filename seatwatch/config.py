@@ -39,7 +39,18 @@ class Params:
     phone_conf: float = 0.20
     book_conf: float = 0.12
     link_share: float = 0.25
+    link_least: float = 16.0
+    paper_ids: int = 20_000
+    phone_ids: int = 30_000
     nms_iou: float = 0.6
+    # person tracks
+    track_high: float = 0.25
+    track_low: float = 0.10
+    track_new: float = 0.25
+    track_match: float = 0.8
+    track_faint_match: float = 0.5
+    track_confirm_match: float = 0.7
+    track_buffer: int = 30
     # seats
     seat_samples: int = 48
     occupancy: float = 0.45

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import DEFAULTS, PERSON, Params
+from ..config import BOOK, DEFAULTS, PERSON, PHONE, Params
 from ..functions.geometry import BOX, box, box_iou, centre, contains, diagonal
 from .seats import agglomerate, iou_many
 
@@ -224,8 +224,9 @@ def drop_fixtures(detections: DataFrame, fixtures: DataFrame, p: Params = DEFAUL
 # --- tracks --------------------------------------------------------------------
 
 
-def link_centroids(detections: DataFrame, max_dist: float, start_id: int, keys: list[str] | None = None) -> DataFrame:
+def link_centroids(detections: DataFrame, max_dist: float | str, start_id: int | str, keys: list[str] | None = None) -> DataFrame:
     """detections of each window and class with track_id, by greedy nearest-centroid linking.
+    max_dist, start_id: numbers, or columns that hold one for each window and class.
 
     In order of frame and det_idx a box takes the nearest centroid (strictly under max_dist, of equal ones the
     first) of the last frame that had any, if its id is free in this frame; else a new id.  Ids of a window say
@@ -236,14 +237,16 @@ def link_centroids(detections: DataFrame, max_dist: float, start_id: int, keys:
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["t", "det_idx"]).copy()
         cx, cy = ((pdf["x0"] + pdf["x1"]) / 2).to_numpy(), ((pdf["y0"] + pdf["y1"]) / 2).to_numpy()
-        ids, fresh = np.zeros(len(pdf), np.int64), start_id
+        one = lambda x: pdf[x].iloc[0] if isinstance(x, str) else x
+        reach, fresh = float(one(max_dist)), int(one(start_id))
+        ids = np.zeros(len(pdf), np.int64)
         last = np.zeros(0, int)
         frames = np.flatnonzero(np.diff(pdf["t"].to_numpy(), prepend=np.nan) != 0)
         for a, b in zip(frames, [*frames[1:], len(pdf)]):
             far = np.hypot(cx[a:b, None] - cx[last][None, :], cy[a:b, None] - cy[last][None, :])
             for i in range(a, b):
                 k = int(far[i - a].argmin()) if len(last) else 0  # of equal ones the first
-                if len(last) and far[i - a, k] < max_dist:
+                if len(last) and far[i - a, k] < reach:
                     ids[i] = ids[last[k]]
                     far[:, k] = np.inf
                 else:
@@ -255,6 +258,16 @@ def link_centroids(detections: DataFrame, max_dist: float, start_id: int, keys:
     return detections.drop("track_id").groupBy(*lead).applyInPandas(link, ", ".join(f"`{n}` {t}" for n, t in fields) + ", track_id long")
 
 
+def link_objects(detections: DataFrame, rois: DataFrame, p: Params = DEFAULTS, keys: list[str] | None = None) -> DataFrame:
+    """Phones and papers of each window with track_id: a link spans link_share of the width of the window's region
+    (rois: keys, x0, x1), link_least pixels at least.  The two classes' ids begin apart; other classes are left out."""
+    keys = keys or ["window_id"]
+    reach = rois.select(*keys, F.greatest(F.lit(p.link_least), (F.col("x1") - F.col("x0")) * p.link_share).alias("_reach"))
+    start = F.when(F.col("cls_id") == BOOK, p.paper_ids).otherwise(p.phone_ids).alias("_start")
+    some = detections.where(F.col("cls_id").isin(PHONE, BOOK)).join(reach, keys).select("*", start)
+    return link_centroids(some, "_reach", "_start", keys).drop("_reach", "_start")
+
+
 def displacement(tracks: DataFrame, p: Params = DEFAULTS, keys: list[str] | None = None) -> DataFrame:
     """(keys, track_id, n, displacement): twice the farthest distance from the track's mean centre, in its own
     median diagonals.  tracks (keys, track_id, cx, cy, diag).  Short tracks and specks are left out."""

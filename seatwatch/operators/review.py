@@ -155,9 +155,10 @@ def with_clip_urls(events: DataFrame, files: DataFrame, base: str = "/clips/") -
     return events.join(f, name == F.col("_file"), "left").withColumn("clip_url", F.concat(F.lit(base), F.col("_file"))).drop("_file")
 
 
-def window_roi(boxes: DataFrame, p: Params = DEFAULTS, key: str = "window_id") -> DataFrame:
+def window_roi(boxes: DataFrame, p: Params = DEFAULTS, keys: list[str] | None = None) -> DataFrame:
     """The region of each window: its seats' common box, widened about its centre, cut to the frame, in whole pixels."""
-    g = boxes.groupBy(key, "width", "height").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    keys = keys or ["window_id"]
+    g = boxes.groupBy(*keys, "width", "height").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
     cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
     w, h = (F.col("x1") - F.col("x0")) * p.crop_pad / 2, (F.col("y1") - F.col("y0")) * p.crop_pad / 2
-    return g.select(key, F.greatest(F.lit(0.0), cx - w).cast("int").alias("x0"), F.greatest(F.lit(0.0), cy - h).cast("int").alias("y0"), F.least(F.col("width").cast("double"), cx + w).cast("int").alias("x1"), F.least(F.col("height").cast("double"), cy + h).cast("int").alias("y1"))
+    return g.select(*keys, F.greatest(F.lit(0.0), cx - w).cast("int").alias("x0"), F.greatest(F.lit(0.0), cy - h).cast("int").alias("y0"), F.least(F.col("width").cast("double"), cx + w).cast("int").alias("x1"), F.least(F.col("height").cast("double"), cy + h).cast("int").alias("y1"))

@@ -35,6 +35,14 @@ def r6(*names: str) -> list[Column]:
     return [F.round(n, 6).alias(n) for n in names]
 
 
+#: What names a window of one of several recordings, and how SQL's number of a window gives it.
+WINDOW, VIDEO = ["video", "window_id"], ["video"]
+
+
+def of(table: str = "") -> str:
+    return f"CAST({table}window_id // 18 AS INT) AS video, CAST({table}window_id % 18 AS INT) AS window_id"
+
+
 def s6(*names: str, table: str = "") -> str:
     return ", ".join(f"round({table}{n}, 6) AS {n}" for n in names)
 
@@ -106,9 +114,9 @@ def _(v):
 
 
 @query("candidate_windows", f"""{_PELT}{_CANDIDATES} SELECT f.seat_id, i0, i1, greatest(0, start_sec - 1) AS t0, end_sec + 1 AS t1, s.x0, s.y0, coalesce(string_agg(CAST(n.seat_id AS VARCHAR), ',' ORDER BY n.seat_id), '') AS neighbours
-FROM found f JOIN v_seats s ON s.seat_id = f.seat_id LEFT JOIN v_edges e ON e.a = f.seat_id LEFT JOIN v_seats n ON n.seat_id = e.b GROUP BY ALL""", "v_z", "v_seats", "v_edges")
+FROM found f JOIN v_seats s ON s.seat_id = f.seat_id LEFT JOIN v_consecutive e ON e.a = f.seat_id LEFT JOIN v_seats n ON n.seat_id = e.b GROUP BY ALL""", "v_z", "v_seats", "v_consecutive")
 def _(v):
-    c = triage.candidate_windows(segment.candidates(v.kept("scores")), v.seats(), v.edges())
+    c = triage.candidate_windows(segment.candidates(v.kept("scores")), v.seats(), v.consecutive())
     return c.select("seat_id", "i0", "i1", "t0", "t1", "x0", "y0", F.array_join(F.transform("neighbours", lambda n: n["seat_id"].cast("string")), ",").alias("neighbours"))
 
 
@@ -408,26 +416,26 @@ def _(v):
     return detections.merge_scales([d, shifted]).select("frame", "det_idx", "cls_id", *r6("conf", "x0"))
 
 
-@query("perceive_union", """SELECT window_id, round(t, 4) AS t, count(*) FILTER (WHERE cls_id = 0) AS persons, count(*) FILTER (WHERE cls_id <> 0) AS objects FROM v_window_detections WHERE cls_id = 0 OR conf >= 0.12 GROUP BY window_id, t""", "v_window_detections")
+@query("perceive_union", f"""SELECT {of()}, round(t, 4) AS t, count(*) FILTER (WHERE cls_id = 0) AS persons, count(*) FILTER (WHERE cls_id <> 0) AS objects FROM v_window_detections WHERE cls_id = 0 OR conf >= 0.12 GROUP BY v_window_detections.window_id, t""", "v_window_detections")
 def _(v):
     d = v.window_detections()
-    both = detections.perceive(d.where(F.col("cls_id") == PERSON), d.where((F.col("cls_id") != PERSON) & (F.col("conf") >= P.book_conf)).drop("track_id"), ["window_id"])
-    return both.groupBy("window_id", "t").agg(F.count(F.when(F.col("cls_id") == PERSON, 1)).alias("persons"), F.count(F.when(F.col("cls_id") != PERSON, 1)).alias("objects"))
+    both = detections.perceive(d.where(F.col("cls_id") == PERSON), d.where((F.col("cls_id") != PERSON) & (F.col("conf") >= P.book_conf)).drop("track_id"), WINDOW)
+    return both.groupBy(*WINDOW, "t").agg(F.count(F.when(F.col("cls_id") == PERSON, 1)).alias("persons"), F.count(F.when(F.col("cls_id") != PERSON, 1)).alias("objects"))
 
 
-@query("det_to_seat", "SELECT frame, det_idx, seat_id, how FROM v_assigned", "v_assigned")
+@query("det_to_seat", f"SELECT {of()}, frame, det_idx, seat_id, how FROM v_assigned", "v_assigned")
 def _(v):
-    return detections.assign_seats(v.window_detections(), v.window_seats(), ["window_id"]).select("frame", "det_idx", "seat_id", "how")
+    return _assigned(v).select(*WINDOW, "frame", "det_idx", "seat_id", "how")
 
 
-@query("persons_tracked", "SELECT w.window_id, count(DISTINCT d.track_id) AS n_persons FROM v_windows w LEFT JOIN v_window_detections d ON d.window_id = w.window_id AND d.cls_id = 0 GROUP BY w.window_id", "v_windows", "v_window_detections")
+@query("persons_tracked", f"SELECT {of('w.')}, count(DISTINCT d.track_id) AS n_persons FROM v_windows w LEFT JOIN v_window_detections d ON d.window_id = w.window_id AND d.cls_id = 0 GROUP BY w.window_id", "v_windows", "v_window_detections")
 def _(v):
-    return detections.persons_tracked(v.windows().select("window_id"), v.window_detections(), ["window_id"])
+    return detections.persons_tracked(v.windows().select(*WINDOW), v.window_detections(), WINDOW)
 
 
-@query("fixture_input", "SELECT frame, det_idx, cls_id, t, NULL::INT AS window_id FROM v_sweep UNION ALL SELECT frame, det_idx, cls_id, t, window_id FROM v_window_detections", "v_sweep", "v_window_detections")
+@query("fixture_input", f"SELECT frame, det_idx, cls_id, t, NULL::INT AS video, NULL::INT AS window_id FROM v_sweep UNION ALL SELECT frame, det_idx, cls_id, t, {of()} FROM v_window_detections", "v_sweep", "v_window_detections")
 def _(v):
-    return detections.all_frames(v.sweep(), v.window_detections()).select("frame", "det_idx", "cls_id", "t", "window_id")
+    return detections.all_frames(v.sweep(), v.window_detections()).select("frame", "det_idx", "cls_id", "t", *WINDOW)
 
 
 @query("sweep_to_seat", "SELECT frame, det_idx, seat_id FROM v_sweep_assigned", "v_sweep_assigned")
@@ -461,12 +469,12 @@ def _still(v: Views) -> tuple[DataFrame, DataFrame]:
     x0 = F.when(fixed, k * 100.0 + F.col("frame") % 3).otherwise(F.col("x0"))
     y0 = F.when(fixed, F.lit(600.0)).otherwise(F.col("y0"))
     d = d.withColumns({"x1": x0 + 40, "y1": y0 + 40, "x0": x0, "y0": y0})
-    return d, v.spark.range(FRAMES).select((F.col("id") / 5.0).alias("t"))
+    return d, v.window_frames().select("video", "t")
 
 
 @query("fixture_map")
 def _(v):
-    return detections.fixture_map(*_still(v)).select("cls_id", *r6("x0", "y0", "x1", "y1"), "n", *r6("presence", "span_s", "drift"))
+    return detections.fixture_map(*_still(v), keys=VIDEO).select("video", "cls_id", *r6("x0", "y0", "x1", "y1"), "n", *r6("presence", "span_s", "drift"))
 
 
 @query("drop_fixtures", f"SELECT frame, det_idx FROM v_detections d WHERE NOT EXISTS (SELECT 1 FROM v_seats s WHERE d.cls_id = CASE WHEN s.seat_id % 2 = 0 THEN 67 ELSE 73 END AND {iou_sql('d', 's')} >= 0.30)", "v_detections", "v_seats")
@@ -475,41 +483,51 @@ def _(v):
     return detections.drop_fixtures(v.detections(), fixtures).select("frame", "det_idx")
 
 
-@query("centroid_links", """RECURSIVE boxes AS (SELECT window_id, frame, det_idx, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy, row_number() OVER (PARTITION BY window_id ORDER BY frame, det_idx) AS k FROM v_window_detections WHERE cls_id = 73),
+def _rois(v: Views) -> DataFrame:
+    return review.window_roi(v.window_seats().withColumns({"width": F.lit(1280), "height": F.lit(720)}), keys=WINDOW)
+
+
+_ROI = """rois AS (SELECT window_id, CAST(trunc(greatest(0, (min(x0) + max(x1)) / 2 - (max(x1) - min(x0)) * 0.8::DOUBLE)) AS INT) AS x0, CAST(trunc(greatest(0, (min(y0) + max(y1)) / 2 - (max(y1) - min(y0)) * 0.8::DOUBLE)) AS INT) AS y0,
+  CAST(trunc(least(1280, (min(x0) + max(x1)) / 2 + (max(x1) - min(x0)) * 0.8::DOUBLE)) AS INT) AS x1, CAST(trunc(least(720, (min(y0) + max(y1)) / 2 + (max(y1) - min(y0)) * 0.8::DOUBLE)) AS INT) AS y1 FROM v_window_seats GROUP BY window_id)"""
+
+
+@query("centroid_links", f"""RECURSIVE {_ROI},
+boxes AS (SELECT d.window_id, d.cls_id, frame, det_idx, (d.x0 + d.x1) / 2 AS cx, (d.y0 + d.y1) / 2 AS cy, greatest(16, 0.25::DOUBLE * (r.x1 - r.x0)) AS reach, CASE d.cls_id WHEN 73 THEN 20000 ELSE 30000 END AS start,
+  row_number() OVER (PARTITION BY d.window_id, d.cls_id ORDER BY frame, det_idx) AS k FROM v_window_detections d JOIN rois r ON r.window_id = d.window_id WHERE cls_id IN (67, 73)),
 walk AS (
-  SELECT window_id, frame, det_idx, k, [struct_pack(x := cx, y := cy, id := 20000)] AS now, list_filter([struct_pack(x := cx, y := cy, id := 20000)], lambda b: false) AS free, 20001 AS fresh, 20000 AS track_id FROM boxes WHERE k = 1
+  SELECT window_id, cls_id, frame, det_idx, k, [struct_pack(x := cx, y := cy, id := start)] AS now, list_filter([struct_pack(x := cx, y := cy, id := start)], lambda b: false) AS free, start + 1 AS fresh, start AS track_id FROM boxes WHERE k = 1
   UNION ALL
-  SELECT window_id, frame, det_idx, k, list_append(CASE WHEN same THEN now ELSE list_filter(now, lambda b: false) END, struct_pack(x := cx, y := cy, id := coalesce(own, fresh))), list_filter(free, lambda b: own IS NULL OR b.id <> own),
+  SELECT window_id, cls_id, frame, det_idx, k, list_append(CASE WHEN same THEN now ELSE list_filter(now, lambda b: false) END, struct_pack(x := cx, y := cy, id := coalesce(own, fresh))), list_filter(free, lambda b: own IS NULL OR b.id <> own),
     CASE WHEN own IS NULL THEN fresh + 1 ELSE fresh END, coalesce(own, fresh)
-  FROM (SELECT *, CASE WHEN list_min(far) < 60 THEN free[list_position(far, list_min(far))].id END AS own FROM
+  FROM (SELECT *, CASE WHEN list_min(far) < reach THEN free[list_position(far, list_min(far))].id END AS own FROM
     (SELECT *, list_transform(free, lambda b: sqrt((cx - b.x) ** 2 + (cy - b.y) ** 2)) AS far FROM
-    (SELECT b.*, w.now, w.fresh, w.frame = b.frame AS same, CASE WHEN w.frame = b.frame THEN w.free ELSE w.now END AS free FROM walk w JOIN boxes b ON b.window_id = w.window_id AND b.k = w.k + 1))))
-SELECT window_id, frame, det_idx, track_id FROM walk""", "v_window_detections")
+    (SELECT b.*, w.now, w.fresh, w.frame = b.frame AS same, CASE WHEN w.frame = b.frame THEN w.free ELSE w.now END AS free FROM walk w JOIN boxes b ON b.window_id = w.window_id AND b.cls_id = w.cls_id AND b.k = w.k + 1))))
+SELECT {of()}, cls_id, frame, det_idx, track_id FROM walk""", "v_window_detections", "v_window_seats")
 def _(v):
-    d = v.window_detections().where(F.col("cls_id") == 73).drop("track_id")
-    return detections.link_centroids(d, 60.0, 20000).select("window_id", "frame", "det_idx", "track_id")
+    """Phones and papers, as far as a quarter of the window's region is wide."""
+    return detections.link_objects(v.window_detections().drop("track_id"), _rois(v), keys=WINDOW).select(*WINDOW, "cls_id", "frame", "det_idx", "track_id")
 
 
-@query("track_displacement", f"SELECT window_id, track_id, n, {s6('displacement')} FROM v_moved", "v_moved")
+@query("track_displacement", f"SELECT {of()}, track_id, n, {s6('displacement')} FROM v_moved", "v_moved")
 def _(v):
-    return detections.displacement(v.tracks()).select("window_id", "track_id", "n", *r6("displacement"))
+    return detections.displacement(v.tracks(), keys=WINDOW).select(*WINDOW, "track_id", "n", *r6("displacement"))
 
 
-@query("person_roles", "SELECT t.window_id, t.track_id, CASE WHEN displacement >= 0.5 THEN 'staff' ELSE 'student' END AS role FROM (SELECT DISTINCT window_id, track_id FROM v_tracks) t LEFT JOIN v_moved m ON m.window_id = t.window_id AND m.track_id = t.track_id", "v_moved")
+@query("person_roles", f"SELECT {of('t.')}, t.track_id, CASE WHEN displacement >= 0.5 THEN 'staff' ELSE 'student' END AS role FROM (SELECT DISTINCT window_id, track_id FROM v_tracks) t LEFT JOIN v_moved m ON m.window_id = t.window_id AND m.track_id = t.track_id", "v_moved")
 def _(v):
-    return detections.person_roles(v.tracks())
+    return detections.person_roles(v.tracks(), keys=WINDOW)
 
 
-@query("box_interpolation", """, samples AS (SELECT window_id, track_id, t, min((cx, cy)) AS b FROM (SELECT window_id, track_id, frame / 5.0::DOUBLE AS t, cx, cy FROM v_tracks) GROUP BY ALL),
+@query("box_interpolation", f""", samples AS (SELECT window_id, track_id, t, min((cx, cy)) AS b FROM (SELECT window_id, track_id, frame / 5.0::DOUBLE AS t, cx, cy FROM v_tracks) GROUP BY ALL),
 spans AS (SELECT window_id, track_id, min(t) AS lo, max(t) AS hi FROM samples GROUP BY ALL),
-targets AS (SELECT window_id, track_id, window_id * 8 + i * 0.25::DOUBLE AS t FROM (SELECT DISTINCT window_id, track_id FROM v_tracks) CROSS JOIN range(32) r(i)),
+targets AS (SELECT window_id, track_id, window_id % 18 * 8 + i * 0.25::DOUBLE AS t FROM (SELECT DISTINCT window_id, track_id FROM v_tracks) CROSS JOIN range(32) r(i)),
 around AS (SELECT q.window_id, q.track_id, q.t, max(s.t) FILTER (WHERE s.t <= q.t) AS t0, min(s.t) FILTER (WHERE s.t >= q.t) AS t1,
   arg_max(s.b, s.t) FILTER (WHERE s.t <= q.t) AS b0, arg_min(s.b, s.t) FILTER (WHERE s.t >= q.t) AS b1 FROM targets q JOIN samples s ON s.window_id = q.window_id AND s.track_id = q.track_id GROUP BY ALL)
-SELECT window_id, track_id, t, round(CASE WHEN t0 IS NULL THEN b1[1] WHEN t1 IS NULL THEN b0[1] ELSE b0[1] + (t - t0) / greatest(t1 - t0, 1e-6) * (b1[1] - b0[1]) END, 6) AS cx,
+SELECT {of()}, track_id, t, round(CASE WHEN t0 IS NULL THEN b1[1] WHEN t1 IS NULL THEN b0[1] ELSE b0[1] + (t - t0) / greatest(t1 - t0, 1e-6) * (b1[1] - b0[1]) END, 6) AS cx,
   round(CASE WHEN t0 IS NULL THEN b1[2] WHEN t1 IS NULL THEN b0[2] ELSE b0[2] + (t - t0) / greatest(t1 - t0, 1e-6) * (b1[2] - b0[2]) END, 6) AS cy
 FROM around WHERE (t0 IS NOT NULL AND t1 IS NOT NULL) OR t1 - t <= 0.3 OR t - t0 <= 0.3""", "v_tracks")
 def _(v):
-    keys = ["window_id", "track_id"]
+    keys = [*WINDOW, "track_id"]
     samples = v.tracks().withColumn("t", F.col("frame") / 5.0)
     targets = samples.select(*keys).distinct().select(*keys, F.explode(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.col("window_id") * 8 + i * 0.25)).alias("t"))
     return detections.interpolate(samples, targets, ["cx", "cy"], keys).select(*keys, "t", *r6("cx", "cy"))
@@ -519,7 +537,7 @@ def _(v):
 
 
 def _assigned(v: Views) -> DataFrame:
-    return detections.assign_seats(v.window_detections(), v.window_seats(), ["window_id"])
+    return detections.assign_seats(v.window_detections(), v.window_seats(), WINDOW)
 
 
 _PHONE = f""", phone_hits AS (SELECT * FROM v_assigned WHERE cls_id = 67 AND conf >= 0.20),
@@ -529,12 +547,12 @@ phone AS (SELECT h.window_id, {blend_sql('count(DISTINCT round(t, 3)) / greatest
 _PAPER = f""", book AS (SELECT * FROM v_assigned WHERE cls_id = 73 AND conf >= 0.12),
 book_ends AS (SELECT window_id, track_id, count(*) AS n, arg_min(seat_id, (t, det_idx)) AS from_seat, arg_max(seat_id, (t, det_idx)) AS to_seat, avg(conf) AS strength FROM book WHERE seat_id IS NOT NULL GROUP BY ALL HAVING count(*) >= 2),
 book_held AS (SELECT e.*, count(*) FILTER (WHERE b.seat_id = from_seat) AS n_a, count(*) FILTER (WHERE b.seat_id = to_seat) AS n_b FROM book_ends e JOIN book b ON b.window_id = e.window_id AND b.track_id = e.track_id
-  WHERE from_seat <> to_seat AND EXISTS (SELECT 1 FROM v_edges x WHERE x.a = from_seat AND x.b = to_seat) GROUP BY ALL),
+  WHERE from_seat <> to_seat AND EXISTS (SELECT 1 FROM v_edges x WHERE x.video = e.window_id // 18 AND x.a = from_seat AND x.b = to_seat) GROUP BY ALL),
 book_scored AS (SELECT h.*, {blend_sql('(n_a + n_b) / 40.0::DOUBLE / 0.4::DOUBLE', 'strength')} * 0.85 AS confidence, (SELECT min((t, det_idx)) FROM book b WHERE b.window_id = h.window_id AND b.track_id = h.track_id) AS seen FROM book_held h),
 paper AS (SELECT * FROM book_scored QUALIFY row_number() OVER (PARTITION BY window_id ORDER BY round(confidence, 9) DESC, seen) = 1)"""
 _TALK = f""", spans AS (SELECT w.window_id, w.seat_id AS seat_a, n.neighbour AS seat_b, n.ord, greatest(i0 - 2, 0) AS lo, least(i1 + 2, 720) AS hi, duration_s FROM v_windows w JOIN v_neighbours n ON n.window_id = w.window_id WHERE duration_s >= 4),
 tsums AS (SELECT window_id, seat_a, seat_b, ord, duration_s, lag.i AS lag, count(*) AS n, sum(a.z) AS sx, sum(b.z) AS sy, sum(a.z * a.z) AS sxx, sum(b.z * b.z) AS syy, sum(a.z * b.z) AS sxy FROM spans CROSS JOIN range(-2, 3) lag(i)
-  JOIN v_z a ON a.seat_id = seat_a AND a.bin >= lo AND a.bin < hi JOIN v_z b ON b.seat_id = seat_b AND b.bin = a.bin + lag.i AND b.bin >= lo AND b.bin < hi GROUP BY ALL),
+  JOIN v_rz a ON a.video = window_id // 18 AND a.seat_id = seat_a AND a.bin >= lo AND a.bin < hi JOIN v_rz b ON b.video = a.video AND b.seat_id = seat_b AND b.bin = a.bin + lag.i AND b.bin >= lo AND b.bin < hi GROUP BY ALL),
 tcorr AS (SELECT *, round(greatest(CASE WHEN n >= 3 AND sxx - sx * sx / n > 1e-12 AND syy - sy * sy / n > 1e-12 THEN (sxy - sx * sy / n) / sqrt((sxx - sx * sx / n) * (syy - sy * sy / n)) ELSE 0 END, 0), 9) AS corr FROM tsums),
 tbest AS (SELECT * FROM tcorr QUALIFY row_number() OVER (PARTITION BY window_id, seat_b ORDER BY corr DESC, lag) = 1),
 tpick AS (SELECT * FROM tbest QUALIFY row_number() OVER (PARTITION BY window_id ORDER BY corr DESC, ord) = 1),
@@ -552,27 +570,27 @@ def _tracks(v: Views) -> DataFrame:
     s = v.window_seats()
     inside = (F.col("cx") >= F.col("x0")) & (F.col("cx") <= F.col("x1")) & (F.col("cy") >= F.col("y0")) & (F.col("cy") <= F.col("y1"))
     t = t.withColumn("_id", F.monotonically_increasing_id())
-    return t.join(s, "window_id", "left").groupBy(*t.columns).agg(F.min(F.when(inside, F.col("seat_id"))).alias("seat_id"))
+    return t.join(s, WINDOW, "left").groupBy(*t.columns).agg(F.min(F.when(inside, F.col("seat_id"))).alias("seat_id"))
 
 
-@query("rule_phone", f"{_PHONE} SELECT window_id, {s6('confidence')}, evidence_seat, frames, {s6('strength')} FROM phone", "v_assigned", "v_windows")
+@query("rule_phone", f"{_PHONE} SELECT {of()}, {s6('confidence')}, evidence_seat, frames, {s6('strength')} FROM phone", "v_assigned", "v_windows")
 def _(v):
-    return rules.phone(v.windows(), _assigned(v)).select("window_id", *r6("confidence"), "evidence_seat", "frames", *r6("strength"))
+    return rules.phone(v.windows(), _assigned(v), keys=WINDOW).select(*WINDOW, *r6("confidence"), "evidence_seat", "frames", *r6("strength"))
 
 
-@query("rule_paper", f"{_PAPER} SELECT window_id, {s6('confidence')}, track_id, from_seat, to_seat, n_a, n_b FROM paper", "v_assigned", "v_edges")
+@query("rule_paper", f"{_PAPER} SELECT {of()}, {s6('confidence')}, track_id, from_seat, to_seat, n_a, n_b FROM paper", "v_assigned", "v_edges")
 def _(v):
-    return rules.paper(v.windows(), _assigned(v).persist(), v.edges()).select("window_id", *r6("confidence"), "track_id", "from_seat", "to_seat", "n_a", "n_b")
+    return rules.paper(v.windows(), _assigned(v).persist(), v.edges(), keys=WINDOW, recording=VIDEO).select(*WINDOW, *r6("confidence"), "track_id", "from_seat", "to_seat", "n_a", "n_b")
 
 
-@query("rule_talking", f"{_TALK} SELECT window_id, {s6('confidence')}, neighbour, {s6('corr')}, lag_s FROM talk", "v_windows", "v_neighbours")
+@query("rule_talking", f"{_TALK} SELECT {of()}, {s6('confidence')}, neighbour, {s6('corr')}, lag_s FROM talk", "v_windows", "v_neighbours")
 def _(v):
-    return rules.talking(v.kept("windows"), v.neighbours(), v.kept("scores"), v.seats()).select("window_id", *r6("confidence"), "neighbour", *r6("corr"), "lag_s")
+    return rules.talking(v.kept("windows"), v.neighbours(), v.recorded_scores(), v.recorded_seats(), keys=WINDOW, recording=VIDEO).select(*WINDOW, *r6("confidence"), "neighbour", *r6("corr"), "lag_s")
 
 
-@query("rule_transit", f"{_TRANSIT} SELECT window_id, {s6('confidence')}, track_id, {s6('displacement', 'unseated')}, n FROM transit", "v_moved", "v_window_seats")
+@query("rule_transit", f"{_TRANSIT} SELECT {of()}, {s6('confidence')}, track_id, {s6('displacement', 'unseated')}, n FROM transit", "v_moved", "v_window_seats")
 def _(v):
-    return rules.transit(v.windows(), _tracks(v)).select("window_id", *r6("confidence"), "track_id", *r6("displacement", "unseated"), "n")
+    return rules.transit(v.windows(), _tracks(v), keys=WINDOW).select(*WINDOW, *r6("confidence"), "track_id", *r6("displacement", "unseated"), "n")
 
 
 _EXCHANGE = f""", obs AS (SELECT * FROM v_assigned WHERE cls_id = 0 AND track_id IS NOT NULL),
@@ -588,11 +606,11 @@ xpairs AS (SELECT a.window_id, a.track_id AS track_a, b.track_id AS track_b, a.b
   FROM xends a JOIN xends b ON a.window_id = b.window_id AND a.begun = b.ended AND a.ended = b.begun AND a.seen < b.seen JOIN v_windows w ON w.window_id = a.window_id)"""
 
 
-@query("rule_exchange", f"{_EXCHANGE} SELECT window_id, {s6('confidence')}, track_a, track_b, seat_a, seat_b FROM xpairs QUALIFY row_number() OVER (PARTITION BY window_id ORDER BY round(confidence, 9) DESC, seen_a, seen_b) = 1", "v_assigned", "v_windows")
+@query("rule_exchange", f"{_EXCHANGE} SELECT {of()}, {s6('confidence')}, track_a, track_b, seat_a, seat_b FROM xpairs QUALIFY row_number() OVER (PARTITION BY window_id ORDER BY round(confidence, 9) DESC, seen_a, seen_b) = 1", "v_assigned", "v_windows")
 def _(v):
     from dataclasses import replace
 
-    return rules.exchange(v.windows(), _assigned(v).persist(), replace(P, exchange=True)).select("window_id", *r6("confidence"), "track_a", "track_b", "seat_a", "seat_b")
+    return rules.exchange(v.windows(), _assigned(v).persist(), replace(P, exchange=True), WINDOW).select(*WINDOW, *r6("confidence"), "track_a", "track_b", "seat_a", "seat_b")
 
 
 @query("classify_windows", f"""{_PHONE}{_PAPER}{_TALK}{_TRANSIT},
@@ -601,12 +619,13 @@ top AS (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY round(confi
 picked AS (SELECT w.window_id, coalesce(CASE WHEN t.window_id IS NOT NULL THEN 'staff_or_transit' END, f.label, 'unclassified_anomaly') AS label,
   coalesce(t.confidence, f.confidence, least(greatest(w.mean_z / 40, 0.05), 0.20)) AS confidence, t.window_id IS NULL AND f.window_id IS NOT NULL AS ruled
   FROM v_windows w LEFT JOIN transit t ON t.window_id = w.window_id LEFT JOIN top f ON f.window_id = w.window_id AND f.k = 1)
-SELECT window_id, label, round(confidence, 6) AS confidence, CASE WHEN ruled THEN coalesce((SELECT string_agg(x.label, ',' ORDER BY x.label) FROM top x WHERE x.window_id = p.window_id AND x.k > 1), '') ELSE '' END AS also_matched FROM picked p""",
+SELECT {of()}, label, round(confidence, 6) AS confidence, CASE WHEN ruled THEN coalesce((SELECT string_agg(x.label, ',' ORDER BY x.label) FROM top x WHERE x.window_id = p.window_id AND x.k > 1), '') ELSE '' END AS also_matched FROM picked p""",
     "v_assigned", "v_windows", "v_edges", "v_neighbours", "v_moved", "v_window_seats")
 def _(v):
-    w, a = v.kept("windows"), _assigned(v).persist()
-    found = {"mobile_phone_usage": rules.phone(w, a), "paper_pass": rules.paper(w, a, v.edges()), "talking_to_neighbour": rules.talking(w, v.neighbours(), v.kept("scores"), v.seats()), "staff_or_transit": rules.transit(w, _tracks(v))}
-    return rules.classify(w, found).select("window_id", "label", *r6("confidence"), F.array_join("also_matched", ",").alias("also_matched"))
+    w, a, by = v.kept("windows"), _assigned(v).persist(), {"keys": WINDOW, "recording": VIDEO}
+    talking = rules.talking(w, v.neighbours(), v.recorded_scores(), v.recorded_seats(), **by)
+    found = {"mobile_phone_usage": rules.phone(w, a, keys=WINDOW), "paper_pass": rules.paper(w, a, v.edges(), **by), "talking_to_neighbour": talking, "staff_or_transit": rules.transit(w, _tracks(v), keys=WINDOW)}
+    return rules.classify(w, found, keys=WINDOW).select(*WINDOW, "label", *r6("confidence"), F.array_join("also_matched", ",").alias("also_matched"))
 
 
 @query("persistent_object_events", f""", hits AS (SELECT seat_id, frame, t, max(conf) AS conf FROM v_sweep_assigned WHERE cls_id = 67 AND conf >= 0.12 GROUP BY seat_id, frame, t),
@@ -639,20 +658,19 @@ def _(v):
     return t.select("action_label", "s.cls_id", "s.tracked")
 
 
-@query("overlay_tracks", """, marked AS (SELECT window_id, ['mobile_phone_usage', 'paper_pass', 'staff_or_transit', 'talking_to_neighbour'][window_id % 4 + 1] AS action_label FROM v_windows)
-SELECT m.window_id, m.action_label, CAST(d.track_id AS VARCHAR) AS track, count(*) AS n, min(d.t) AS first, max(d.t) AS last FROM marked m JOIN v_window_detections d ON d.window_id = m.window_id
+@query("overlay_tracks", f""", marked AS (SELECT window_id, ['mobile_phone_usage', 'paper_pass', 'staff_or_transit', 'talking_to_neighbour'][window_id % 18 % 4 + 1] AS action_label FROM v_windows)
+SELECT {of('m.')}, m.action_label, CAST(d.track_id AS VARCHAR) AS track, count(*) AS n, min(d.t) AS first, max(d.t) AS last FROM marked m JOIN v_window_detections d ON d.window_id = m.window_id
 WHERE (m.action_label = 'mobile_phone_usage' AND d.cls_id = 67) OR (m.action_label = 'paper_pass' AND d.cls_id = 73) OR (m.action_label = 'staff_or_transit' AND d.track_id IN (1, 4)) GROUP BY ALL""", "v_windows", "v_window_detections")
 def _(v):
     label = F.get(F.array(*(F.lit(x) for x in ("mobile_phone_usage", "paper_pass", "staff_or_transit", "talking_to_neighbour"))), F.col("window_id") % 4)
-    events = v.windows().select("window_id", label.alias("action_label"), F.array(F.lit(1), F.lit(4)).alias("track_ids"))
-    got = rules.collect_tracks(events, v.window_detections().withColumn("name", F.lit("object")))
-    return got.select("window_id", "action_label", "track", F.size("samples").cast("long").alias("n"), F.get("samples", 0)["t"].alias("first"), F.element_at("samples", -1)["t"].alias("last"))
+    events = v.windows().select(*WINDOW, label.alias("action_label"), F.array(F.lit(1), F.lit(4)).alias("track_ids"))
+    got = rules.collect_tracks(events, v.window_detections().withColumn("name", F.lit("object")), WINDOW)
+    return got.select(*WINDOW, "action_label", "track", F.size("samples").cast("long").alias("n"), F.get("samples", 0)["t"].alias("first"), F.element_at("samples", -1)["t"].alias("last"))
 
 
-@query("window_rois", """SELECT window_id, CAST(trunc(greatest(0, (min(x0) + max(x1)) / 2 - (max(x1) - min(x0)) * 0.8::DOUBLE)) AS INT) AS x0, CAST(trunc(greatest(0, (min(y0) + max(y1)) / 2 - (max(y1) - min(y0)) * 0.8::DOUBLE)) AS INT) AS y0,
-  CAST(trunc(least(1280, (min(x0) + max(x1)) / 2 + (max(x1) - min(x0)) * 0.8::DOUBLE)) AS INT) AS x1, CAST(trunc(least(720, (min(y0) + max(y1)) / 2 + (max(y1) - min(y0)) * 0.8::DOUBLE)) AS INT) AS y1 FROM v_window_seats GROUP BY window_id""", "v_window_seats")
+@query("window_rois", f", {_ROI} SELECT {of()}, x0, y0, x1, y1 FROM rois", "v_window_seats")
 def _(v):
-    return review.window_roi(v.window_seats().withColumns({"width": F.lit(1280), "height": F.lit(720)}))
+    return _rois(v)
 
 
 # --- evaluation --------------------------------------------------------------------

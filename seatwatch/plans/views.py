@@ -17,6 +17,8 @@ from ..sources.readers import table
 
 SEATS, BINS, WIDTH = 8, 720, 61
 FRAMES, WINDOW = 720, 40
+RECORDINGS = 3  #: of the windows, their detections, tracks, seats and scores
+WINDOWS = FRAMES // WINDOW
 
 
 class Views:
@@ -79,13 +81,17 @@ class Views:
     def sweep_times(self) -> DataFrame:
         return self.spark.range(self.sweep_frames()).select(F.col("id").cast("int").alias("frame"), (F.col("id") * 5.0).alias("t"))
 
+    def _placed(self, frame: Column) -> dict[str, Column]:
+        """The recording, window and frame of a number that counts the frames of all recordings."""
+        return {"video": F.floor(frame / FRAMES).cast("int"), "window_id": F.floor(frame % FRAMES / WINDOW).cast("int"), "frame": (frame % FRAMES).cast("int")}
+
     def tracks(self) -> DataFrame:
+        """Tracks 5 to 9 cross the scene in every third window, else all stay."""
         li = self.t("lineitem").where(F.col("l_returnflag") == "A")
-        track = (F.col("l_suppkey") % 10).cast("int")
-        amp = F.when(track < 5, 6.0).otherwise(90.0)
-        frame = (F.col("l_orderkey") % FRAMES).cast("int")
+        track, number = (F.col("l_suppkey") % 10).cast("int"), F.col("l_orderkey") % (RECORDINGS * FRAMES)
+        amp = F.when((track >= 5) & (F.floor(number / WINDOW) % 3 == 0), 90.0).otherwise(6.0)
         return li.select(
-            F.floor(frame / WINDOW).cast("int").alias("window_id"), track.alias("track_id"), frame.alias("frame"), (200 + 100 * track + amp * ((F.col("l_partkey") * 37 % 11) - 5) / 5).alias("cx"),
+            *(c.alias(n) for n, c in self._placed(number).items()), track.alias("track_id"), (200 + 100 * track + amp * ((F.col("l_partkey") * 37 % 11) - 5) / 5).alias("cx"),
             (300 + 2.0 * ((F.col("l_partkey") * 53 % 7) - 3)).alias("cy"), (F.sqrt(F.lit(2.0)) * (80 + F.col("l_quantity"))).alias("diag"),
         )
 
@@ -94,29 +100,57 @@ class Views:
         x0, y0 = (n % 5 * 240).cast("int"), (F.floor(n / 5) * 130).cast("int")
         return self.t("nation").select((n + 1).cast("int").alias("seat_id"), x0.alias("x0"), y0.alias("y0"), (x0 + 200).alias("x1"), (y0 + 120).alias("y1"))
 
+    def _windows(self) -> DataFrame:
+        """18 windows of 40 frames in each recording, and the seat of each."""
+        i = F.col("id")
+        return self.spark.range(RECORDINGS * WINDOWS).select(F.floor(i / WINDOWS).cast("int").alias("video"), (i % WINDOWS).cast("int").alias("window_id"), (i % WINDOWS % 7 + 1).cast("int").alias("seat_id"))
+
+    def recorded_scores(self) -> DataFrame:
+        """Scores of several recordings: in the r-th a seat has the series of the seat r further."""
+        video = F.explode(F.array(*map(F.lit, range(RECORDINGS)))).alias("video")
+        return self.kept("scores").select(video, "seat_id", "bin", "z").withColumn("seat_id", ((F.col("seat_id") + SEATS - F.col("video")) % SEATS).cast("int"))
+
+    def recorded_seats(self) -> DataFrame:
+        video = F.explode(F.array(*map(F.lit, range(RECORDINGS)))).alias("video")
+        s = self.seats().select(video, "seat_id", "x0", "y0", "x1", "y1")
+        return s.withColumns({"x0": F.col("x0") + 8 * F.col("video"), "x1": F.col("x1") + 8 * F.col("video")})
+
     def windows(self) -> DataFrame:
-        """18 windows of 40 frames; the seat of each, its bins in the score series, and how high z is there."""
-        w = self.spark.range(FRAMES // WINDOW).select(F.col("id").cast("int").alias("window_id"))
-        w = w.select("window_id", (F.col("window_id") % 7 + 1).cast("int").alias("seat_id"), (F.col("window_id") * WINDOW).alias("i0"), ((F.col("window_id") + 1) * WINDOW).alias("i1"), F.lit(float(WINDOW)).alias("duration_s"), F.lit(WINDOW).alias("n_frames"))
-        z = self.kept("scores").select("seat_id", F.floor(F.col("bin") / WINDOW).cast("int").alias("window_id"), "z")
-        return w.join(z, ["seat_id", "window_id"]).groupBy(*w.columns).agg(F.avg("z").alias("mean_z"), F.max("z").alias("peak_z"))
+        """Each window with its bins in the score series, and how high z is there."""
+        first = F.col("window_id") * WINDOW
+        w = self._windows().select("video", "window_id", "seat_id", first.alias("i0"), (first + WINDOW).alias("i1"), F.lit(float(WINDOW)).alias("duration_s"), F.lit(WINDOW).alias("n_frames"))
+        z = self.recorded_scores().select("video", "seat_id", F.floor(F.col("bin") / WINDOW).cast("int").alias("window_id"), "z")
+        return w.join(z, ["video", "seat_id", "window_id"]).groupBy(*w.columns).agg(F.avg("z").alias("mean_z"), F.max("z").alias("peak_z"))
 
     def neighbours(self) -> DataFrame:
-        w = self.spark.range(FRAMES // WINDOW).select(F.col("id").cast("int").alias("window_id"), (F.col("id") % 7 + 1).cast("int").alias("seat_id"))
-        return w.select("window_id", F.posexplode(F.array(F.col("seat_id") - 1, F.col("seat_id") + 1)).alias("ord", "neighbour")).select("window_id", "neighbour", (F.col("ord") + 1).alias("ord"))
+        near = F.posexplode(F.array(F.col("seat_id") - 1, F.col("seat_id") + 1)).alias("ord", "neighbour")
+        return self._windows().select("video", "window_id", near).select("video", "window_id", "neighbour", (F.col("ord") + 1).alias("ord"))
 
     def window_seats(self) -> DataFrame:
-        own = self.spark.range(FRAMES // WINDOW).select(F.col("id").cast("int").alias("window_id"), (F.col("id") % 7 + 1).cast("int").alias("seat_id"), F.lit(0).alias("ord"))
-        return own.unionByName(self.neighbours().withColumnRenamed("neighbour", "seat_id")).join(self.seats(), "seat_id").select("window_id", "seat_id", "ord", "x0", "y0", "x1", "y1")
+        own = self._windows().withColumn("ord", F.lit(0))
+        return own.unionByName(self.neighbours().withColumnRenamed("neighbour", "seat_id")).join(self.recorded_seats(), ["video", "seat_id"]).select("video", "window_id", "seat_id", "ord", "x0", "y0", "x1", "y1")
 
     def window_detections(self) -> DataFrame:
-        return self.detections().withColumn("window_id", F.floor(F.col("frame") / WINDOW).cast("int")).withColumn("t", F.col("frame") / 5.0)
+        """Phones are faint in every second window and papers in every fifth, so that not all rules fire everywhere."""
+        number = F.floor(F.col("frame") / WINDOW)
+        faint = F.when((F.col("cls_id") == 67) & (number % 2 == 1), 0.2).when((F.col("cls_id") == 73) & (number % 5 == 0), 0.1).otherwise(1.0)
+        d = self._numbered(F.col("l_orderkey") % (RECORDINGS * FRAMES)).withColumn("conf", F.col("conf") * faint)
+        return d.withColumns(self._placed(F.col("frame"))).withColumn("t", F.col("frame") / 5.0)
 
-    def edges(self) -> DataFrame:
-        """Consecutive seats, both ways."""
+    def window_frames(self) -> DataFrame:
+        return self.spark.range(RECORDINGS * FRAMES).select(*(c.alias(n) for n, c in self._placed(F.col("id")).items())).withColumn("t", F.col("frame") / 5.0)
+
+    def consecutive(self) -> DataFrame:
+        """Consecutive seats of one recording, both ways."""
         s = self.seats().select("seat_id")
         return s.select(F.col("seat_id").alias("a"), (F.col("seat_id") + 1).alias("b")).unionByName(s.select((F.col("seat_id") + 1).alias("a"), F.col("seat_id").alias("b")))
 
+    def edges(self) -> DataFrame:
+        """Consecutive seats of each recording, both ways; in the last one seat 3 stands alone."""
+        s = self.recorded_seats().select("video", F.col("seat_id").alias("a"), (F.col("seat_id") + 1).alias("b"))
+        both = s.unionByName(s.select("video", F.col("b").alias("a"), F.col("a").alias("b")))
+        return both.where((F.col("video") < RECORDINGS - 1) | ((F.col("a") != 3) & (F.col("b") != 3)))
+
     def manifest(self) -> DataFrame:
         o = self.t("orders")
         labels = F.array(*(F.lit(x) for x in LABELS))
@@ -220,26 +254,31 @@ SQL = {
     "v_n": ([], "SELECT greatest(count(*) // 8, 1) AS n FROM lineitem"),
     "v_sweep": (["v_n"], "SELECT *, frame * 5.0::DOUBLE AS t FROM (SELECT CAST(l_orderkey % (SELECT n FROM v_n) AS INT) AS frame, " + _DETECTION.format(frame="l_orderkey % (SELECT n FROM v_n)") + " FROM lineitem)"),
     "v_times": (["v_n"], "SELECT CAST(i AS INT) AS frame, i * 5.0::DOUBLE AS t FROM (SELECT unnest(range(n)) AS i FROM v_n)"),
-    "v_tracks": ([], """SELECT CAST(l_orderkey % 720 // 40 AS INT) AS window_id, CAST(l_suppkey % 10 AS INT) AS track_id, l_orderkey % 720 AS frame,
-    200 + 100 * (l_suppkey % 10) + CASE WHEN l_suppkey % 10 < 5 THEN 6.0::DOUBLE ELSE 90.0::DOUBLE END * ((l_partkey * 37 % 11) - 5) / 5 AS cx,
+    # windows of all recordings have one number here, window // 18 is the recording and frame // 720 too
+    "v_tracks": ([], """SELECT CAST(l_orderkey % 2160 // 40 AS INT) AS window_id, CAST(l_suppkey % 10 AS INT) AS track_id, l_orderkey % 2160 % 720 AS frame,
+    200 + 100 * (l_suppkey % 10) + CASE WHEN l_suppkey % 10 >= 5 AND l_orderkey % 2160 // 40 % 3 = 0 THEN 90.0::DOUBLE ELSE 6.0::DOUBLE END * ((l_partkey * 37 % 11) - 5) / 5 AS cx,
     300 + 2.0::DOUBLE * ((l_partkey * 53 % 7) - 3) AS cy, sqrt(2.0::DOUBLE) * (80 + l_quantity) AS diag FROM lineitem WHERE l_returnflag = 'A'"""),
     "v_moved": (["v_tracks"], """SELECT window_id, track_id, count(*) AS n, 2 * max(sqrt((cx - mx) ** 2 + (cy - my) ** 2)) / quantile_cont(diag, 0.5) AS displacement
   FROM v_tracks t JOIN (SELECT window_id, track_id, avg(cx) AS mx, avg(cy) AS my FROM v_tracks GROUP BY ALL) m USING (window_id, track_id) GROUP BY window_id, track_id HAVING count(*) >= 3 AND quantile_cont(diag, 0.5) > 1"""),
     "v_seats": ([], "SELECT n_nationkey + 1 AS seat_id, n_nationkey % 5 * 240 AS x0, n_nationkey // 5 * 130 AS y0, n_nationkey % 5 * 240 + 200 AS x1, n_nationkey // 5 * 130 + 120 AS y1 FROM nation"),
-    "v_windows": (["v_z"], """SELECT CAST(w.i AS INT) AS window_id, CAST(w.i % 7 + 1 AS INT) AS seat_id, w.i * 40 AS i0, (w.i + 1) * 40 AS i1, 40.0::DOUBLE AS duration_s, 40 AS n_frames, avg(z.z) AS mean_z, max(z.z) AS peak_z
-  FROM range(18) w(i) JOIN v_z z ON z.seat_id = w.i % 7 + 1 AND z.bin // 40 = w.i GROUP BY w.i"""),
-    "v_neighbours": ([], "SELECT CAST(w.i AS INT) AS window_id, CAST(w.i % 7 + 1 + o.d AS INT) AS neighbour, o.k AS ord FROM range(18) w(i) CROSS JOIN (VALUES (-1, 1), (1, 2)) o(d, k)"),
-    "v_window_seats": (["v_neighbours", "v_seats"], """SELECT window_id, s.seat_id, ord, x0, y0, x1, y1 FROM (SELECT CAST(i AS INT) AS window_id, CAST(i % 7 + 1 AS INT) AS seat_id, 0 AS ord FROM range(18) w(i)
-    UNION ALL SELECT window_id, neighbour, ord FROM v_neighbours) w JOIN v_seats s ON s.seat_id = w.seat_id"""),
-    "v_window_detections": (["v_detections"], "SELECT *, CAST(frame // 40 AS INT) AS window_id, frame / 5.0::DOUBLE AS t FROM v_detections"),
-    "v_pairs": (["v_window_detections", "v_window_seats"], f"""SELECT d.frame, d.det_idx, s.seat_id, s.ord, round({iou_sql('d', 's')}, 12) AS iou,
+    "v_rz": (["v_z"], "SELECT CAST(r.i AS INT) AS video, CAST((seat_id + 8 - r.i) % 8 AS INT) AS seat_id, bin, z FROM v_z CROSS JOIN range(3) r(i)"),
+    "v_rseats": (["v_seats"], "SELECT CAST(r.i AS INT) AS video, seat_id, x0 + 8 * r.i AS x0, y0, x1 + 8 * r.i AS x1, y1 FROM v_seats CROSS JOIN range(3) r(i)"),
+    "v_windows": (["v_rz"], """SELECT CAST(w.i AS INT) AS window_id, CAST(w.i % 18 % 7 + 1 AS INT) AS seat_id, w.i % 18 * 40 AS i0, (w.i % 18 + 1) * 40 AS i1, 40.0::DOUBLE AS duration_s, 40 AS n_frames, avg(z.z) AS mean_z, max(z.z) AS peak_z
+  FROM range(54) w(i) JOIN v_rz z ON z.video = w.i // 18 AND z.seat_id = w.i % 18 % 7 + 1 AND z.bin // 40 = w.i % 18 GROUP BY w.i"""),
+    "v_neighbours": ([], "SELECT CAST(w.i AS INT) AS window_id, CAST(w.i % 18 % 7 + 1 + o.d AS INT) AS neighbour, o.k AS ord FROM range(54) w(i) CROSS JOIN (VALUES (-1, 1), (1, 2)) o(d, k)"),
+    "v_window_seats": (["v_neighbours", "v_rseats"], """SELECT window_id, s.seat_id, ord, x0, y0, x1, y1 FROM (SELECT CAST(i AS INT) AS window_id, CAST(i % 18 % 7 + 1 AS INT) AS seat_id, 0 AS ord FROM range(54) w(i)
+    UNION ALL SELECT window_id, neighbour, ord FROM v_neighbours) w JOIN v_rseats s ON s.seat_id = w.seat_id AND s.video = w.window_id // 18"""),
+    "v_window_detections": ([], "SELECT * EXCLUDE (n, conf), conf * CASE WHEN cls_id = 67 AND n // 40 % 2 = 1 THEN 0.2::DOUBLE WHEN cls_id = 73 AND n // 40 % 5 = 0 THEN 0.1::DOUBLE ELSE 1.0::DOUBLE END AS conf, n AS place, n % 720 AS frame, CAST(n // 40 AS INT) AS window_id, n % 720 / 5.0::DOUBLE AS t FROM (SELECT CAST(l_orderkey % 2160 AS INT) AS n, " + _DETECTION.format(frame="l_orderkey % 2160") + " FROM lineitem)"),
+    "v_pairs": (["v_window_detections", "v_window_seats"], f"""SELECT d.place, d.det_idx, s.seat_id, s.ord, round({iou_sql('d', 's')}, 12) AS iou,
     (d.x0 + d.x1) / 2 BETWEEN s.x0 AND s.x1 AND (d.y0 + d.y1) / 2 BETWEEN s.y0 AND s.y1 AS inside,
     round(sqrt(((d.x0 + d.x1) / 2 - (s.x0 + s.x1) / 2.0::DOUBLE) ** 2 + ((d.y0 + d.y1) / 2 - (s.y0 + s.y1) / 2.0::DOUBLE) ** 2), 9) AS far
-  FROM v_window_detections d JOIN v_window_seats s ON s.window_id = d.window_id"""),
-    "v_pick": (["v_pairs"], "SELECT frame, det_idx, max(iou) AS iou, arg_max(seat_id, (iou, -ord)) AS best, arg_min(seat_id, (far, ord)) FILTER (WHERE inside) AS near FROM v_pairs GROUP BY frame, det_idx"),
-    "v_assigned": (["v_pick"], """SELECT d.*, CASE WHEN b.iou >= 0.10 THEN b.best ELSE b.near END AS seat_id, CASE WHEN b.iou >= 0.10 THEN 'iou' WHEN b.near IS NOT NULL THEN 'centre' END AS how
-  FROM v_window_detections d LEFT JOIN v_pick b ON d.frame = b.frame AND d.det_idx = b.det_idx"""),
-    "v_edges": (["v_seats"], "SELECT seat_id AS a, seat_id + 1 AS b FROM v_seats UNION ALL SELECT seat_id + 1, seat_id FROM v_seats"),
+  FROM v_window_detections d JOIN v_window_seats s ON s.window_id = d.window_id AND d.x0 <= s.x1 AND d.x1 >= s.x0 AND d.y0 <= s.y1 AND d.y1 >= s.y0"""),
+    "v_best": (["v_pairs"], "SELECT place, det_idx, seat_id AS best FROM v_pairs WHERE iou >= 0.10 QUALIFY row_number() OVER (PARTITION BY place, det_idx ORDER BY iou DESC, ord) = 1"),
+    "v_near": (["v_pairs"], "SELECT place, det_idx, seat_id AS near FROM v_pairs WHERE inside QUALIFY row_number() OVER (PARTITION BY place, det_idx ORDER BY far, ord) = 1"),
+    "v_assigned": (["v_best", "v_near"], """SELECT d.*, coalesce(best, near) AS seat_id, CASE WHEN best IS NOT NULL THEN 'iou' WHEN near IS NOT NULL THEN 'centre' END AS how
+  FROM v_window_detections d LEFT JOIN v_best b ON d.place = b.place AND d.det_idx = b.det_idx LEFT JOIN v_near c ON d.place = c.place AND d.det_idx = c.det_idx"""),
+    "v_consecutive": (["v_seats"], "SELECT seat_id AS a, seat_id + 1 AS b FROM v_seats UNION ALL SELECT seat_id + 1, seat_id FROM v_seats"),
+    "v_edges": (["v_rseats"], """SELECT * FROM (SELECT video, seat_id AS a, seat_id + 1 AS b FROM v_rseats UNION ALL SELECT video, seat_id + 1, seat_id FROM v_rseats) WHERE video < 2 OR (a <> 3 AND b <> 3)"""),
     "v_sweep_pairs": (["v_sweep", "v_seats"], f"""SELECT d.frame, d.det_idx, s.seat_id, round({iou_sql('d', 's')}, 12) AS iou, (d.x0 + d.x1) / 2 BETWEEN s.x0 AND s.x1 AND (d.y0 + d.y1) / 2 BETWEEN s.y0 AND s.y1 AS inside
   FROM v_sweep d JOIN v_seats s ON d.x0 <= s.x1 AND d.x1 >= s.x0 AND d.y0 <= s.y1 AND d.y1 >= s.y0"""),
     "v_sweep_seat": (["v_sweep_pairs"], """SELECT frame, det_idx, coalesce(arg_max(seat_id, (iou, -seat_id)) FILTER (WHERE iou > 0), min(seat_id) FILTER (WHERE inside)) AS seat_id FROM v_sweep_pairs GROUP BY frame, det_idx"""),

@@ -111,3 +111,26 @@ def test_links_equal_a_plain_walk(spark, seed):
     df = spark.createDataFrame(boxes, "video string, window_id int, cls_id int, t double, det_idx int, x0 double, y0 double").withColumns({"x1": F.col("x0"), "y1": F.col("y0"), "track_id": F.lit(None).cast("long")})
     got = {(r["window_id"], r["t"], r["det_idx"]): r["track_id"] for r in detections.link_centroids(df, 12.0, 100, ["video", "window_id"]).collect()}
     assert got == want
+
+
+def test_rules_over_recordings_equal_each_alone(spark, folder):
+    """Windows, seats, edges and scores of three recordings at once, and each by itself: same names everywhere."""
+    from seatwatch.operators import detections, rules
+    from seatwatch.plans.queries import WINDOW, _tracks
+    from seatwatch.plans.views import Views
+
+    v = Views(spark, folder)
+    parts = {"w": v.windows(), "n": v.neighbours(), "z": v.recorded_scores(), "s": v.recorded_seats(), "e": v.edges(), "d": v.window_detections(), "ws": v.window_seats(), "t": _tracks(v)}
+    parts = {k: df.persist() for k, df in parts.items()}
+
+    def named(p, keys, recording):
+        a = detections.assign_seats(p["d"], p["ws"], keys).persist()
+        found = {"mobile_phone_usage": rules.phone(p["w"], a, keys=keys), "paper_pass": rules.paper(p["w"], a, p["e"], keys=keys, recording=recording), "talking_to_neighbour": rules.talking(p["w"], p["n"], p["z"], p["s"], keys=keys, recording=recording), "staff_or_transit": rules.transit(p["w"], p["t"], keys=keys)}
+        cut = lambda x: round(x, 9) if isinstance(x, float) else x
+        named = [*found.items(), ("all", rules.classify(p["w"], found, keys=keys).drop("evidence"))]
+        return {k: sorted(repr({n: cut(x) for n, x in sorted(r.asDict().items()) if n != "video"}) for r in f.collect()) for k, f in named}
+
+    both = named(parts, WINDOW, ["video"])
+    alone = [named({k: df.where(f"video = {i}").drop("video") for k, df in parts.items()}, ["window_id"], None) for i in range(3)]
+    for k, rows_of in both.items():
+        assert rows_of == sorted(sum((a[k] for a in alone), []))

@@ -38,10 +38,10 @@ def test_fixtures_span_all_frames(spark, folder):
     from seatwatch.plans import queries
     from seatwatch.plans.views import Views
 
-    phones = dict(_sql(folder, "SELECT frame, count(*) FROM v_detections WHERE cls_id = 67 GROUP BY frame", "v_detections"))
+    phones = {(a, b): n for a, b, n in _sql(folder, "SELECT window_id // 18, frame, count(*) FROM v_window_detections WHERE cls_id = 67 GROUP BY ALL", "v_window_detections")}
     d, frames = queries._still(Views(spark, folder))
-    assert {r["frame"]: r["count"] for r in d.groupBy("frame").count().collect()} == phones
-    assert frames.agg(F.count("*"), F.max("t")).first() == (720, 719 / 5)
+    assert {(r["video"], r["frame"]): r["count"] for r in d.groupBy("video", "frame").count().collect()} == phones
+    assert frames.agg(F.count("*"), F.max("t")).first() == (3 * 720, 719 / 5)
 
 
 def test_fixture_map_equals_a_plain_walk(spark, folder):
@@ -57,28 +57,29 @@ def test_fixture_map_equals_a_plain_walk(spark, folder):
         return shared / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - shared)
 
     boxes, _ = queries._still(Views(spark, folder))
-    found = []  # mean box, times, centres
-    for r in sorted(boxes.collect(), key=lambda r: (r["t"], r["det_idx"])):
-        box = [r["x0"], r["y0"], r["x1"], r["y1"]]
-        best, top = 0.3, None
-        for f in found:
-            if (v := overlap(f[0], box)) >= best:
-                best, top = v, f
-        if top is None:
-            found.append(top := [box, [], []])
-        else:
-            n = len(top[1])
-            top[0] = [(m * n + b) / (n + 1) for m, b in zip(top[0], box)]
-        top[1].append(r["t"])
-        top[2].append(((box[0] + box[2]) / 2, (box[1] + box[3]) / 2))
     want = set()
-    for (x0, y0, x1, y1), times, centres in found:
-        mx, my = (sum(c[i] for c in centres) / len(centres) for i in (0, 1))
-        drift = max(math.hypot(x - mx, y - my) for x, y in centres) / max(math.hypot(x1 - x0, y1 - y0), 1)
-        n, span = len({round(t, 3) for t in times}), max(times) - min(times)
-        if n >= 8 and span >= min(300, 0.25 * 719 / 5) and drift <= 0.75:
-            want.add((67, n, *(round(x, 4) for x in (x0, y0, x1, y1, n / 720, span, drift))))
-    got = {(r["cls_id"], r["n"], *(round(r[c], 4) for c in ("x0", "y0", "x1", "y1", "presence", "span_s", "drift"))) for r in QUERIES["fixture_map"](spark, folder).collect()}
+    for video in range(3):
+        found = []  # mean box, times, centres
+        for r in sorted(boxes.where(f"video = {video}").collect(), key=lambda r: (r["t"], r["det_idx"])):
+            box = [r["x0"], r["y0"], r["x1"], r["y1"]]
+            best, top = 0.3, None
+            for f in found:
+                if (v := overlap(f[0], box)) >= best:
+                    best, top = v, f
+            if top is None:
+                found.append(top := [box, [], []])
+            else:
+                n = len(top[1])
+                top[0] = [(m * n + b) / (n + 1) for m, b in zip(top[0], box)]
+            top[1].append(r["t"])
+            top[2].append(((box[0] + box[2]) / 2, (box[1] + box[3]) / 2))
+        for (x0, y0, x1, y1), times, centres in found:
+            mx, my = (sum(c[i] for c in centres) / len(centres) for i in (0, 1))
+            drift = max(math.hypot(x - mx, y - my) for x, y in centres) / max(math.hypot(x1 - x0, y1 - y0), 1)
+            n, span = len({round(t, 3) for t in times}), max(times) - min(times)
+            if n >= 8 and span >= min(300, 0.25 * 719 / 5) and drift <= 0.75:
+                want.add((video, 67, n, *(round(x, 4) for x in (x0, y0, x1, y1, n / 720, span, drift))))
+    got = {(r["video"], r["cls_id"], r["n"], *(round(r[c], 4) for c in ("x0", "y0", "x1", "y1", "presence", "span_s", "drift"))) for r in QUERIES["fixture_map"](spark, folder).collect()}
     assert got == want and len(want) >= 4
 
 
