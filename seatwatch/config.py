@@ -53,6 +53,8 @@ class Params:
     track_buffer: int = 30
     # seats
     seat_samples: int = 48
+    motion_percentile: float = 70.0
+    motion_cells: int = 2
     occupancy: float = 0.45
     seat_join_iou: float = 0.35
     seat_windows: int = 6

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, PERSON, PHONE
 from ..functions.review import LABEL_TEXT
-from ..operators import correlate, detections, evaluate, motion, nuisance, review, rules, score, seats, segment
+from ..operators import correlate, detections, evaluate, motion, motion_seats, nuisance, review, rules, score, seats, segment, tracking
 from ..sources import sinks
-from . import triage
+from . import perception, triage
 from .views import FRAMES, LABELS, SEATS, Views, blend_sql, iou_sql, tiou_sql, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -358,6 +358,13 @@ def _(v):
     return seats.number_rows(seats.merge_windows(_clusters(v))).select("seat_number", "row", "col", *r6("x0", "y0", "x1", "y1"), "windows")
 
 
+@query("motion_seats")
+def _(v):
+    """Seats of three recordings from motion alone."""
+    found = motion_seats.seats_from_motion(v.seat_motion(), 24, 20, keys=VIDEO)
+    return found.select("video", "seat_number", "row", "col", "x0", "y0", "x1", "y1", *r6("cy", "cx", "energy"), "pitch_h", "pitch_w", F.size("cells").alias("n_cells"))
+
+
 # --- detections --------------------------------------------------------------------
 
 
@@ -533,6 +540,12 @@ def _(v):
     return detections.interpolate(samples, targets, ["cx", "cy"], keys).select(*keys, "t", *r6("cx", "cy"))
 
 
+@query("person_tracks")
+def _(v):
+    tracks = tracking.track_persons(v.walking_detections(), v.window_frames(), WINDOW)
+    return tracks.where(F.col("cls_id") == PERSON).select(*WINDOW, "frame", "det_idx", "track_id")
+
+
 # --- rules -------------------------------------------------------------------------
 
 
@@ -628,6 +641,16 @@ def _(v):
     return rules.classify(w, found, keys=WINDOW).select(*WINDOW, "label", *r6("confidence"), F.array_join("also_matched", ",").alias("also_matched"))
 
 
+@query("named_windows")
+def _(v):
+    """Both stages after triage: tracks and links are made here, then every rule, then one label a window."""
+    from dataclasses import replace
+
+    evidence = perception.window_evidence(v.walking_detections(), v.window_frames(), _rois(v), v.window_seats(), WINDOW)
+    named = perception.name_windows(v.kept("windows"), evidence, v.neighbours(), v.edges(), v.recorded_scores(), v.recorded_seats(), WINDOW, VIDEO, replace(P, exchange=True))
+    return named.select(*WINDOW, "label", *r6("confidence"), F.array_join("also_matched", ",").alias("also_matched"))
+
+
 @query("persistent_object_events", f""", hits AS (SELECT seat_id, frame, t, max(conf) AS conf FROM v_sweep_assigned WHERE cls_id = 67 AND conf >= 0.12 GROUP BY seat_id, frame, t),
 marked AS (SELECT *, CASE WHEN coalesce(frame - lag(frame) OVER (PARTITION BY seat_id ORDER BY frame), 99) > 2 THEN 1 ELSE 0 END AS new FROM hits),
 numbered AS (SELECT *, sum(new) OVER (PARTITION BY seat_id ORDER BY frame ROWS UNBOUNDED PRECEDING) AS run FROM marked),

@@ -137,6 +137,25 @@ class Views:
         d = self._numbered(F.col("l_orderkey") % (RECORDINGS * FRAMES)).withColumn("conf", F.col("conf") * faint)
         return d.withColumns(self._placed(F.col("frame"))).withColumn("t", F.col("frame") / 5.0)
 
+    def walking_detections(self) -> DataFrame:
+        """Window detections whose persons keep their place from frame to frame, but for those who cross."""
+        k, moved = F.col("track_id"), F.when((F.col("track_id") >= 5) & ((F.col("video") * WINDOWS + F.col("window_id")) % 3 == 0), 4.0 * (F.col("frame") % WINDOW)).otherwise(0.0)
+        jitter = F.col("x0") / 14 % 7 - 3
+        x, y = 60 + 110.0 * k + moved + jitter, 200 + 150.0 * (k % 2) - jitter
+        person = F.col("cls_id") == 0
+        at = {"x0": x, "y0": y, "x1": x + 70 + jitter, "y1": y + 140}
+        return self.window_detections().withColumns({c: F.when(person, e).otherwise(F.col(c)) for c, e in at.items()}).drop("track_id")
+
+    def seat_motion(self) -> DataFrame:
+        """A dense cube of each recording with more motion about every fourth cell of a 24 x 20 grid."""
+        k, e = F.regexp_extract("props", "([0-9]+)", 1).cast("int"), F.col("event_id")
+        video = (F.floor(e / 10) % RECORDINGS).cast("int").alias("video")
+        vectors = self.t("events").select(video, F.floor(e / 10).alias("frame"), F.floor(self._hour() / 6).cast("int").alias("bin"), (k * 7 % 24).cast("int").alias("cy"), ((k * 11 + e) % 20).cast("int").alias("cx"), F.col("value").alias("motion_x"), (k % 7 - 3).cast("double").alias("motion_y"))
+        recordings = self.spark.range(RECORDINGS).select(F.col("id").cast("int").alias("video"), F.lit(120).alias("bins"))
+        cube = motion.dense_cube(motion.cell_cube(vectors, ["video", "frame"]), "bins", 24, 20, recordings, ["video"])
+        seat = F.when((F.col("cy") % 4 == F.col("video") % 2 + 1) & (F.col("cx") % 5 == 2), 6.0).otherwise(1.0)
+        return cube.select("video", "bin", "cy", "cx", (F.col("activity") * seat).alias("activity"))
+
     def window_frames(self) -> DataFrame:
         return self.spark.range(RECORDINGS * FRAMES).select(*(c.alias(n) for n, c in self._placed(F.col("id")).items())).withColumn("t", F.col("frame") / 5.0)
 

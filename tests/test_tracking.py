@@ -159,3 +159,41 @@ def test_an_id_ends_after_the_buffer_and_frames_without_boxes_count():
 def test_windows_without_detections(spark, frames):
     d = spark.createDataFrame([], "window_id int, t double, det_idx long, cls_id int, conf double, x0 double, y0 double, x1 double, y1 double")
     assert tracking.track_persons(d, spark.createDataFrame(frames, "window_id int, t double"), ["window_id"]).count() == 0
+
+
+def test_registered_tracks_equal_a_plain_tracker(spark, folder):
+    from seatwatch.plans.queries import QUERIES
+    from seatwatch.plans.views import Views
+
+    persons = Views(spark, folder).walking_detections().where("cls_id = 0").toPandas()
+    want = {}
+    for (video, window), own in persons.groupby(["video", "window_id"]):
+        by_frame = [[] for _ in range(40)]
+        for r in own.sort_values(["frame", "det_idx"]).itertuples():
+            by_frame[r.frame % 40].append(((video, window, r.frame, r.det_idx), [r.x0, r.y0, r.x1, r.y1], r.conf))
+        want |= plain_walk(by_frame)
+    got = QUERIES["person_tracks"](spark, folder).collect()
+    assert len(got) == len(persons)
+    assert {(r["video"], r["window_id"], r["frame"], r["det_idx"]): r["track_id"] for r in got if r["track_id"] is not None} == want
+    assert len(want) > 200
+
+
+def test_windows_are_named_from_tracks(spark):
+    """The labels' evidence comes from the tracks: transit names the track that crosses."""
+    from pyspark.sql import functions as F
+
+    from seatwatch.operators import rules
+    from seatwatch.plans import perception
+    from seatwatch.plans.queries import QUERIES, WINDOW, _rois
+    from seatwatch.plans.views import Views
+
+    folder = "/root/testdata/sf0.01"
+    v = Views(spark, folder)
+    evidence = perception.window_evidence(v.walking_detections(), v.window_frames(), _rois(v), v.window_seats(), WINDOW).persist()
+    paths = perception.person_paths(evidence, WINDOW)
+    assert paths.count() == paths.select(*WINDOW, "track_id", "t").distinct().count()  # a track has one box a frame
+    crossing = {(r["video"], r["window_id"]) for r in rules.transit(v.windows(), paths, keys=WINDOW).collect()}
+    assert {(a, b) for a in range(3) for b in range(18) if (a * 18 + b) % 3 == 0} <= crossing
+    named = {(r["video"], r["window_id"]): r["label"] for r in QUERIES["named_windows"](spark, folder).collect()}
+    assert len(named) == 54 and {k for k, x in named.items() if x == "staff_or_transit"} == crossing
+    assert evidence.where(F.col("cls_id").isin(67, 73) & F.col("track_id").isNull()).count() == 0
