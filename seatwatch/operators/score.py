@@ -46,23 +46,28 @@ def robust_z(series: DataFrame, width: int, p: Params = DEFAULTS, how: str = "sq
     share of the seat's own scale, nor of the 95th percentile of all x; z is at least 0.
     """
     keys = keys or ["seat_id"]
-    lead = keys[:-1]  # all but the seat: the recording
     x = series.withColumn("x", stabilise(F.col("activity"), how))
-    median = x.groupBy(*keys).agg(F.percentile("x", F.lit(0.5)).alias("_m"))
-    spread = x.join(median, keys).groupBy(*keys).agg(F.percentile(F.abs(F.col("x") - F.col("_m")), F.lit(0.5)).alias("_mad"))
-    level = x.groupBy(*lead).agg(F.percentile("x", F.lit(0.95)).alias("_p95"))
     a = series_arrays(x, F.struct("activity", "x"), keys)
     a = a.withColumn("activity", F.transform("x", lambda r: r["activity"])).withColumn("x", F.transform("x", lambda r: r["x"]))
     a = a.withColumn("b", _rolling(F.col("x"), width))
     a = a.withColumn("o", F.zip_with("x", "b", lambda v, b: F.abs(v - b)))
     a = a.withColumn("s", _rolling(F.col("o"), width))
     out = a.select(*keys, F.explode(F.arrays_zip("bins", "activity", "x", "b", "s")).alias("r")).select(*keys, F.col("r.bins").alias("bin"), "r.activity", "r.x", F.col("r.b").alias("baseline"), F.col("r.s").alias("_s"))
-    out = out.join(spread, keys)
-    out = out.join(level, lead) if lead else out.join(F.broadcast(level), F.lit(True))
-    floor = F.greatest(p.seat_scale_floor * p.mad_scale * F.col("_mad"), F.greatest(p.global_floor * F.col("_p95"), F.lit(1e-6)))
-    out = out.withColumn("scale", F.greatest(p.mad_scale * F.col("_s"), floor))
+    out = out.join(scale_floors(series, p, how, keys), keys).withColumn("scale", F.greatest(p.mad_scale * F.col("_s"), F.col("floor")))
     return out.select(*keys, "bin", "activity", "x", "baseline", "scale", F.greatest((F.col("x") - F.col("baseline")) / F.col("scale"), F.lit(0.0)).alias("z"))
 
 
+def scale_floors(series: DataFrame, p: Params = DEFAULTS, how: str = "sqrt", keys: list[str] | None = None) -> DataFrame:
+    """(keys, floor): the least scale of each seat, by its own spread and its recording's level."""
+    keys = keys or ["seat_id"]
+    lead = keys[:-1]  # all but the seat: the recording
+    x = series.withColumn("x", stabilise(F.col("activity"), how))
+    median = x.groupBy(*keys).agg(F.percentile("x", F.lit(0.5)).alias("_m"))
+    spread = x.join(median, keys).groupBy(*keys).agg(F.percentile(F.abs(F.col("x") - F.col("_m")), F.lit(0.5)).alias("_mad"))
+    level = x.groupBy(*lead).agg(F.percentile("x", F.lit(0.95)).alias("_p95"))
+    out = spread.join(level, lead) if lead else spread.join(F.broadcast(level), F.lit(True))  # one row
+    return out.select(*keys, F.greatest(p.seat_scale_floor * p.mad_scale * F.col("_mad"), F.greatest(p.global_floor * F.col("_p95"), F.lit(1e-6))).alias("floor"))
+
+
 def exceedance_rate(scores: DataFrame, p: Params = DEFAULTS, keys: list[str] | None = None) -> DataFrame:
     return scores.groupBy(*(keys or [])).agg(F.avg((F.col("z") > p.z_threshold).cast("int")).alias("rate"), F.max("z").alias("max_z"), F.count("*").alias("n"))

@@ -43,17 +43,17 @@ def agglomerate(boxes: np.ndarray, join: float, first_match: bool = False, last_
     return cluster, mean[:k]
 
 
-def seat_clusters(detections: DataFrame, frames: DataFrame, p: Params = DEFAULTS, keys: list[str] | None = None) -> DataFrame:
+def seat_clusters(detections: DataFrame, frames: DataFrame, p: Params = DEFAULTS, keys: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
     """(keys, cluster, x0 .. y1, n, occupancy): places where a person persistently is.
 
-    detections (keys, t, det_idx, cls_id, conf, x0 .. y1), frames (keys, t) with those that hold nothing.
-    A group is one calibration window; its boxes are taken in order of (t, det_idx).
+    detections (keys, t, det_idx, cls_id, conf, x0 .. y1), frames (keys, t): a row for each sampled frame, those that hold
+    nothing too.  A group is one calibration window; its boxes are taken in ``order``, by (t, det_idx) or by sample.
     """
-    keys = keys or ["window_id"]
+    keys, order = keys or ["window_id"], order or ["t", "det_idx"]
     persons = detections.where((F.col("cls_id") == PERSON) & (F.col("conf") >= p.detection_conf))
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "det_idx"])
+        pdf = pdf.sort_values(order)
         own, mean = agglomerate(pdf[["x0", "y0", "x1", "y1"]].to_numpy(float), p.seat_join_iou)
         pdf = pdf.assign(cluster=own, _t=pdf["t"].round(3))
         out = pdf.groupby("cluster").agg(n=("t", "size"), seen=("_t", "nunique")).reset_index()
@@ -65,15 +65,17 @@ def seat_clusters(detections: DataFrame, frames: DataFrame, p: Params = DEFAULTS
 
     types = dict(detections.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", cluster int, x0 double, y0 double, x1 double, y1 double, n long, seen long"
-    found = persons.select(*keys, "t", "det_idx", "x0", "y0", "x1", "y1").groupBy(*keys).applyInPandas(cluster, schema)
-    total = frames.select(*keys, "t").distinct().groupBy(*keys).agg(F.count("*").alias("_frames"))
+    found = persons.select(*keys, "t", *(c for c in order if c != "t"), "x0", "y0", "x1", "y1").groupBy(*keys).applyInPandas(cluster, schema)
+    total = frames.groupBy(*keys).agg(F.count("*").alias("_frames"))
     found = found.join(total, keys).withColumn("occupancy", F.col("seen") / F.col("_frames"))
     return found.where(F.col("occupancy") >= p.occupancy).drop("_frames", "seen")
 
 
 def merge_windows(clusters: DataFrame, p: Params = DEFAULTS, keys: list[str] | None = None) -> DataFrame:
     """(keys, cluster, x0 .. y1, windows): seats of several calibration windows, taken in order of window and
-    row; a seat joins the first merged one of enough IoU.  Boxes are whole pixels before they merge."""
+    row; a seat joins the first merged one of enough IoU.  Boxes are whole pixels before they merge.  Where clusters
+    have an energy, a merged seat's is the running mean of theirs."""
+    extra = ["energy"] if "energy" in clusters.columns else []
     keys = keys or []
     lead = keys or ["_all"]
     source = clusters if keys else clusters.withColumn("_all", F.lit(0))
@@ -84,16 +86,37 @@ def merge_windows(clusters: DataFrame, p: Params = DEFAULTS, keys: list[str] | N
         windows = pdf.assign(cluster=own).groupby("cluster")["window_id"].nunique()
         out = pd.DataFrame(mean, columns=["x0", "y0", "x1", "y1"])
         out["cluster"], out["windows"] = range(len(out)), windows.to_numpy()
+        for c in extra:  # a mean that takes one at a time
+            out[c] = [running_mean(pdf[c].to_numpy(float)[own == i]) for i in range(len(out))]
         for k in lead:
             out[k] = pdf[k].iloc[0]
-        return out[[*lead, "cluster", "x0", "y0", "x1", "y1", "windows"]]
+        return out[[*lead, "cluster", "x0", "y0", "x1", "y1", "windows", *extra]]
 
     types = dict(source.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in lead) + ", cluster int, x0 double, y0 double, x1 double, y1 double, windows long"
-    out = source.select(*lead, "window_id", "row", "col", "x0", "y0", "x1", "y1").groupBy(*lead).applyInPandas(merge, schema)
+    schema = ", ".join(f"{k} {types[k]}" for k in lead) + ", cluster int, x0 double, y0 double, x1 double, y1 double, windows long" + "".join(f", {c} double" for c in extra)
+    out = source.select(*lead, "window_id", "row", "col", "x0", "y0", "x1", "y1", *extra).groupBy(*lead).applyInPandas(merge, schema)
     return out if keys else out.drop("_all")
 
 
+def running_mean(values: np.ndarray) -> float:
+    mean = 0.0
+    for i, v in enumerate(values):
+        mean = (mean * i + v) / (i + 1)
+    return mean
+
+
+def with_energy(clusters: DataFrame, energy: DataFrame, rows: int, cols: int, p: Params = DEFAULTS, keys: list[str] | None = None, window: str = "window_id") -> DataFrame:
+    """clusters (keys, window, cluster, x0 .. y1, ...) with energy: the mean of the cells their boxes touch.
+
+    energy (keys, cy, cx, energy) of a grid of rows x cols cells; cells that it lacks count as still."""
+    keys = keys or []
+    own = [*keys, window, "cluster"]
+    span = lambda a, b, n: F.explode(F.sequence(to_cell(F.col(a), p.cell_px, n), to_cell(F.col(b), p.cell_px, n)))
+    cells = clusters.select(*own, "x0", "x1", span("y0", "y1", rows).alias("cy")).select(*own, "cy", span("x0", "x1", cols).alias("cx"))
+    mean = cells.join(energy, [*keys, "cy", "cx"], "left").groupBy(*own).agg(F.avg(F.coalesce("energy", F.lit(0.0))).alias("energy"))
+    return clusters.join(mean, own)
+
+
 def pitch(seats: DataFrame, p: Params = DEFAULTS, keys: list[str] | None = None) -> DataFrame:
     """(keys, pitch_h, pitch_w) in cells: the median seat box."""
     return seats.groupBy(*(keys or [])).agg((F.percentile(F.col("y1") - F.col("y0"), F.lit(0.5)) / p.cell_px).alias("pitch_h"), (F.percentile(F.col("x1") - F.col("x0"), F.lit(0.5)) / p.cell_px).alias("pitch_w"))

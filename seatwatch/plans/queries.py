@@ -11,7 +11,7 @@ from ..config import DEFAULTS, PERSON, PHONE
 from ..functions.review import LABEL_TEXT
 from ..operators import correlate, detections, evaluate, motion, motion_seats, nuisance, review, rules, score, seats, segment, tracking
 from ..sources import sinks
-from . import perception, triage
+from . import calibration, perception, triage
 from .views import FRAMES, LABELS, SEATS, Views, blend_sql, iou_sql, tiou_sql, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -309,12 +309,12 @@ def _clusters(v: Views) -> DataFrame:
     return seats.number_rows(seats.seat_clusters(d, frames), keys=["window_id"])
 
 
-def _boxes_sql(name: str, ranked: str, group: str, pick: str) -> str:
+def _boxes_sql(name: str, ranked: str, group: str, pick: str, more: tuple[str, ...] = ()) -> str:
     """The boxes of each group in order of k, a box a step: c holds the clusters' running means, own is the box's cluster.
 
     pick: the position of its cluster by v, its IoU with each; null founds one."""
-    mean = ", ".join(f"{c} := (m.{c} * m.n + {c}) / (m.n + 1)" for c in ("x0", "y0", "x1", "y1"))
-    first = "struct_pack(x0 := x0, y0 := y0, x1 := x1, y1 := y1, n := 1)"
+    mean = ", ".join(f"{c} := (m.{c} * m.n + {c}) / (m.n + 1)" for c in ("x0", "y0", "x1", "y1", *more))
+    first = f"struct_pack({', '.join(f'{c} := {c}' for c in ('x0', 'y0', 'x1', 'y1', *more))}, n := 1)"
     return f"""{name} AS (
   SELECT {group}, k, [{first}] AS c, 1 AS own FROM {ranked} WHERE k = 1
   UNION ALL
@@ -358,6 +358,34 @@ def _(v):
     return seats.number_rows(seats.merge_windows(_clusters(v))).select("seat_number", "row", "col", *r6("x0", "y0", "x1", "y1"), "windows")
 
 
+_CALIBRATION = f"""RECURSIVE persons AS (SELECT s.window_id, s.sample, s.t, p.x0, p.y0, p.x0 + 200 AS x1, p.y0 + 120 AS y1, row_number() OVER (PARTITION BY s.window_id ORDER BY s.sample, p.det_idx) AS k FROM v_c_samples s JOIN
+  (SELECT window_id // 18 AS video, det_idx, frame * 2.5::DOUBLE + frame % 3 * 0.1::DOUBLE AS t, CAST((track_id * 2 + det_idx % 2) % 5 * 240 + det_idx % 7 * 3 + 4 * (window_id // 18) AS DOUBLE) AS x0,
+    CAST((track_id * 2 + det_idx % 2) // 5 * 180 + frame % 5 * 2 AS DOUBLE) AS y0 FROM v_window_detections WHERE cls_id = 0) p ON p.video = s.video AND p.t = s.t),
+{_boxes_sql('walk', 'persons', 'window_id', "CASE WHEN list_max(v) >= 0.35::DOUBLE THEN list_position(v, list_max(v)) END")},
+ends AS (SELECT window_id, arg_max(c, k) AS c FROM walk GROUP BY window_id),
+places AS (SELECT window_id, i AS own, c[i].x0 AS x0, c[i].y0 AS y0, c[i].x1 AS x1, c[i].y1 AS y1 FROM ends, LATERAL (SELECT unnest(range(1, len(c) + 1)) AS i)),
+seen AS (SELECT w.window_id, w.own, count(DISTINCT p.t) / any_value(n)::DOUBLE AS occupancy FROM walk w JOIN persons p ON p.window_id = w.window_id AND p.k = w.k JOIN (SELECT window_id, count(*) AS n FROM v_c_samples GROUP BY window_id) c ON c.window_id = w.window_id GROUP BY w.window_id, w.own),
+busy AS (SELECT p.* FROM places p JOIN seen s ON s.window_id = p.window_id AND s.own = p.own WHERE s.occupancy >= 0.45::DOUBLE),
+found AS {_rows_sql('busy', 'window_id')},
+warm AS (SELECT f.window_id, f.own, avg(coalesce(e.energy, 0)) AS energy FROM found f JOIN range(12) y(i) ON y.i BETWEEN least(greatest(floor(y0 / 64), 0), 11) AND least(greatest(floor(y1 / 64), 0), 11)
+  JOIN range(20) x(i) ON x.i BETWEEN least(greatest(floor(x0 / 64), 0), 19) AND least(greatest(floor(x1 / 64), 0), 19) LEFT JOIN v_c_energy e ON e.video = f.window_id // 6 AND e.cy = y.i AND e.cx = x.i GROUP BY f.window_id, f.own),
+whole AS (SELECT f.window_id // 6 AS lot, f.window_id, trunc(x0) AS x0, trunc(y0) AS y0, trunc(x1) AS x1, trunc(y1) AS y1, energy, row_number() OVER (PARTITION BY f.window_id // 6 ORDER BY f.window_id, row, col) AS k FROM found f JOIN warm w ON w.window_id = f.window_id AND w.own = f.own),
+{_boxes_sql('meet', 'whole', 'lot', "list_position(list_transform(v, lambda x: x >= 0.4::DOUBLE), true)", ("energy",))},
+last AS (SELECT lot, arg_max(c, k) AS c FROM meet GROUP BY lot),
+merged AS (SELECT lot, i AS own, c[i].x0 AS x0, c[i].y0 AS y0, c[i].x1 AS x1, c[i].y1 AS y1, c[i].energy AS energy FROM last, LATERAL (SELECT unnest(range(1, len(c) + 1)) AS i)),
+spread AS (SELECT m.lot, m.own, count(DISTINCT w.window_id) AS windows FROM meet m JOIN whole w ON w.lot = m.lot AND w.k = m.k GROUP BY ALL)"""
+
+
+@query("seat_calibration", f"""{_CALIBRATION} SELECT CAST(r.lot AS INT) AS video, seat_number, row, col, CAST(trunc(x0) AS INT) AS x0, CAST(trunc(y0) AS INT) AS y0, CAST(trunc(x1) AS INT) AS x1, CAST(trunc(y1) AS INT) AS y1, {s6('energy')}, windows
+FROM {_rows_sql('merged', 'lot')} r JOIN spread s ON s.lot = r.lot AND s.own = r.own""", "v_window_detections", "v_c_samples", "v_c_energy")
+def _(v):
+    """Six windows of 48 sampled frames in each of three recordings, their seats merged with boxes and energies."""
+    from dataclasses import replace
+
+    found = calibration.calibrate_seats(*v.calibration(), 12, 20, VIDEO, replace(P, cell_px=64))
+    return found.select("video", "seat_number", "row", "col", "x0", "y0", "x1", "y1", *r6("energy"), "windows")
+
+
 @query("motion_seats")
 def _(v):
     """Seats of three recordings from motion alone."""

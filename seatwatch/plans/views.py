@@ -156,6 +156,18 @@ class Views:
         seat = F.when((F.col("cy") % 4 == F.col("video") % 2 + 1) & (F.col("cx") % 5 == 2), 6.0).otherwise(1.0)
         return cube.select("video", "bin", "cy", "cx", (F.col("activity") * seat).alias("activity"))
 
+    def calibration(self) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        """Recordings, frames (half an hour each, unevenly spaced), persons at one of 20 places, and a cube of 12 x 20 cells of 64 pixels."""
+        t = (F.col("frame") * 2.5 + F.col("frame") % 3 * 0.1).alias("t")
+        frames = self.window_frames().select("video", t)
+        k = F.col("track_id") * 2 + F.col("det_idx") % 2
+        x0, y0 = k % 5 * 240 + F.col("det_idx") % 7 * 3 + 4 * F.col("video"), F.floor(k / 5) * 180 + F.col("frame") % 5 * 2
+        d = self.window_detections().select("video", t, F.col("det_idx").cast("int").alias("det_idx"), "cls_id", F.lit(0.5).alias("conf"), x0.cast("double").alias("x0"), y0.cast("double").alias("y0"), (x0 + 200.0).alias("x1"), (y0 + 120.0).alias("y1"))
+        recordings = self.spark.range(RECORDINGS).select(F.col("id").cast("int").alias("video"), F.lit(1800.0).alias("duration_s"), F.lit(120).alias("bins"))
+        n, e = F.regexp_extract("props", "([0-9]+)", 1).cast("int"), F.col("event_id")
+        vectors = self.t("events").select((F.floor(e / 10) % RECORDINGS).cast("int").alias("video"), F.floor(e / 10).alias("frame"), F.floor(self._hour() / 6).cast("int").alias("bin"), (n * 7 % 12).cast("int").alias("cy"), ((n * 11 + e) % 20).cast("int").alias("cx"), F.col("value").alias("motion_x"), (n % 7 - 3).cast("double").alias("motion_y"))
+        return recordings, frames, d, motion.dense_cube(motion.cell_cube(vectors, ["video", "frame"]), "bins", 12, 20, recordings, ["video"])
+
     def window_frames(self) -> DataFrame:
         return self.spark.range(RECORDINGS * FRAMES).select(*(c.alias(n) for n, c in self._placed(F.col("id")).items())).withColumn("t", F.col("frame") / 5.0)
 
@@ -288,6 +300,12 @@ SQL = {
     "v_window_seats": (["v_neighbours", "v_rseats"], """SELECT window_id, s.seat_id, ord, x0, y0, x1, y1 FROM (SELECT CAST(i AS INT) AS window_id, CAST(i % 18 % 7 + 1 AS INT) AS seat_id, 0 AS ord FROM range(54) w(i)
     UNION ALL SELECT window_id, neighbour, ord FROM v_neighbours) w JOIN v_rseats s ON s.seat_id = w.seat_id AND s.video = w.window_id // 18"""),
     "v_window_detections": ([], "SELECT * EXCLUDE (n, conf), conf * CASE WHEN cls_id = 67 AND n // 40 % 2 = 1 THEN 0.2::DOUBLE WHEN cls_id = 73 AND n // 40 % 5 = 0 THEN 0.1::DOUBLE ELSE 1.0::DOUBLE END AS conf, n AS place, n % 720 AS frame, CAST(n // 40 AS INT) AS window_id, n % 720 / 5.0::DOUBLE AS t FROM (SELECT CAST(l_orderkey % 2160 AS INT) AS n, " + _DETECTION.format(frame="l_orderkey % 2160") + " FROM lineitem)"),
+    "v_c_motion": ([], """SELECT event_id // 10 AS frame, event_id // 10 % 3 AS video, CAST(date_diff('hour', TIMESTAMP '2024-01-01 00:00:00', ts) // 6 AS INT) AS bin, n * 7 % 12 AS cy, (n * 11 + event_id) % 20 AS cx, value AS motion_x, CAST(n % 7 - 3 AS DOUBLE) AS motion_y
+  FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS n FROM events)"""),
+    "v_c_energy": (["v_c_motion"], """SELECT video, cy, cx, sum(activity) / 120.0::DOUBLE AS energy FROM (SELECT m.video, bin, cy, cx, avg(sqrt((motion_x - gx) ** 2 + (motion_y - gy) ** 2)) AS activity
+  FROM v_c_motion m JOIN (SELECT frame, quantile_cont(motion_x, 0.5) AS gx, quantile_cont(motion_y, 0.5) AS gy FROM v_c_motion GROUP BY frame) f ON f.frame = m.frame WHERE bin BETWEEN 0 AND 119 GROUP BY ALL) GROUP BY ALL"""),
+    "v_c_samples": ([], """SELECT v.i * 6 + w.i AS window_id, v.i AS video, s.i AS sample, min(f.t) AS t FROM range(3) v(i) CROSS JOIN range(6) w(i) CROSS JOIN range(48) s(i)
+  JOIN (SELECT i * 2.5::DOUBLE + i % 3 * 0.1::DOUBLE AS t FROM range(720) r(i)) f ON f.t >= 1680.0::DOUBLE * w.i / 5 + 120.0::DOUBLE * s.i / 48 - 1e-6 GROUP BY ALL"""),
     "v_pairs": (["v_window_detections", "v_window_seats"], f"""SELECT d.place, d.det_idx, s.seat_id, s.ord, round({iou_sql('d', 's')}, 12) AS iou,
     (d.x0 + d.x1) / 2 BETWEEN s.x0 AND s.x1 AND (d.y0 + d.y1) / 2 BETWEEN s.y0 AND s.y1 AS inside,
     round(sqrt(((d.x0 + d.x1) / 2 - (s.x0 + s.x1) / 2.0::DOUBLE) ** 2 + ((d.y0 + d.y1) / 2 - (s.y0 + s.y1) / 2.0::DOUBLE) ** 2), 9) AS far
