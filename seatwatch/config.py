@@ -28,6 +28,7 @@ class Params:
     min_hz: float = 0.05
     illumination_share: float = 0.60
     distrust_share: float = 0.20
+    camera_px: float = 0.5
     # scale floors of the robust score
     seat_scale_floor: float = 0.25
     global_floor: float = 0.05
@@ -43,6 +44,10 @@ class Params:
     paper_ids: int = 20_000
     phone_ids: int = 30_000
     nms_iou: float = 0.6
+    scales: tuple[int, ...] = (640, 1280)
+    scale_step: int = 32
+    least_scale: int = 160
+    most_scale: int = 1600
     # person tracks
     track_high: float = 0.25
     track_low: float = 0.10
@@ -90,6 +95,7 @@ class Params:
     sweep_step_s: float = 5.0
     sweep_run: int = 3
     sweep_share: float = 0.6
+    sweep_phone_share: float = 0.6  # of phone_conf
     # evaluation and clips
     dedupe_tiou: float = 0.3
     match_tiou: float = 0.1

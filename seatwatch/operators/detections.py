@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import BOOK, DEFAULTS, PERSON, PHONE, Params
-from ..functions.geometry import BOX, box, box_iou, centre, contains, diagonal
+from ..functions.geometry import BOX, box, box_iou, centre, contains, diagonal, touching
 from .seats import agglomerate, iou_many
 
 
@@ -38,9 +38,9 @@ def first_frames_after(targets: DataFrame, frames: DataFrame, keys: list[str], t
     return out.where(F.col("sample").isNotNull() & F.col("t").isNotNull()).select(*keys, "sample", "target", "t")
 
 
-def thin_frames(frames: DataFrame, fps: float, keys: list[str]) -> DataFrame:
-    """The frames (keys, t) that a greedy reader at ``fps`` keeps: the next is due 1 / fps after the last kept."""
-    step = 1.0 / fps
+def thin_frames(frames: DataFrame, fps: float | None, keys: list[str], p: Params = DEFAULTS) -> DataFrame:
+    """The frames (keys, t) that a greedy reader at ``fps`` (None: the parameters') keeps: the next is due 1 / fps after the last kept."""
+    step = 1.0 / (fps or p.fps)
 
     def keep(acc, t):
         due = F.coalesce(t >= acc["due"], F.lit(True))
@@ -51,9 +51,31 @@ def thin_frames(frames: DataFrame, fps: float, keys: list[str]) -> DataFrame:
     return times.select(*keys, F.explode(F.aggregate("_ts", empty, keep, lambda a: a["kept"])).alias("t"))
 
 
+def scan_detections(detections: DataFrame, least: dict[int, float]) -> DataFrame:
+    """Detections of the wanted classes with at least their class's confidence; the conditions reach a Parquet scan."""
+    wanted = F.lit(False)
+    for cls, conf in least.items():
+        wanted = wanted | ((F.col("cls_id") == cls) & (F.col("conf") >= conf))
+    return detections.where(wanted)
+
+
 # --- suppression ---------------------------------------------------------------
 
 
+def detection_sizes(width: Column, height: Column, p: Params = DEFAULTS) -> Column:
+    """Input sizes at which a crop is searched for small objects: the fixed ones, and its own longer side rounded to
+    scale_step, within least_scale and most_scale, if that is another."""
+    native = F.least(F.greatest(F.bround(F.greatest(width, height) / p.scale_step) * p.scale_step, F.lit(p.least_scale)), F.lit(p.most_scale)).cast("int")
+    return F.array_distinct(F.array(*map(F.lit, p.scales), native))
+
+
+def to_frame(detections: DataFrame, rois: DataFrame, keys: list[str]) -> DataFrame:
+    """Boxes found in a window's crop as boxes of the whole frame.  rois (keys, x0, y0, ...): where the crops lie."""
+    at = rois.select(*keys, F.col("x0").alias("_x"), F.col("y0").alias("_y"))
+    moved = {c: F.col(c) + F.col("_x" if c[0] == "x" else "_y") for c in BOX}
+    return detections.join(at, keys).withColumns(moved).select(*detections.columns)
+
+
 def merge_scales(scales: list[DataFrame], p: Params = DEFAULTS, keys: list[str] | None = None) -> DataFrame:
     """Detections of several input sizes as one set, without doubles."""
     keys = keys or ["frame"]
@@ -72,15 +94,16 @@ def suppress(detections: DataFrame, p: Params = DEFAULTS, keys: list[str] | None
     rest = [c for c in detections.columns if c not in lead]
     row = F.struct((-F.col("conf")).alias("_order"), F.col("det_idx").alias("_idx"), F.struct(*rest).alias("d"))
     boxes = detections.groupBy(*lead).agg(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["d"]).alias("_all"))
-    sides = lambda d: tuple(d[c] for c in BOX)
 
     def keep(kept, d):
-        hit = F.exists(kept, lambda k: box_iou(sides(k), sides(d)) > p.nms_iou)
+        hit = F.exists(kept, lambda k: touching(_sides(k), _sides(d)) & (box_iou(_sides(k), _sides(d)) > p.nms_iou))
         return F.when(hit, kept).otherwise(F.concat(kept, F.array(d)))
 
-    kind = dict(boxes.dtypes)["_all"]
-    kept = boxes.select(*lead, F.explode(F.aggregate("_all", F.array().cast(kind), keep)).alias("d"))
-    return kept.select(*lead, "d.*").select(*detections.columns)
+    # the fold carries places and sides only; whole rows are picked by place afterwards
+    slim = F.transform("_all", lambda d, i: F.struct(i.alias("i"), *(d[c].cast("double").alias(c) for c in BOX)))
+    none = F.array().cast(f"array<struct<i: int, {', '.join(f'{c}: double' for c in BOX)}>>")
+    kept = boxes.select(*lead, "_all", F.explode(F.aggregate(slim, none, keep, lambda k: F.transform(k, lambda x: x["i"]))).alias("_i"))
+    return kept.select(*lead, F.get("_all", F.col("_i")).alias("d")).select(*lead, "d.*").select(*detections.columns)
 
 
 def perceive(persons: DataFrame, objects: DataFrame, keys: list[str]) -> DataFrame:
@@ -108,6 +131,7 @@ def assign_seats(detections: DataFrame, window_seats: DataFrame, keys: list[str]
 
     # a window's few seats stand beside each of its detections: no rows are multiplied, nothing is grouped again
     pairs = detections.join(window_seats.groupBy(*keys).agg(F.collect_list(F.struct("seat_id", "ord", *BOX)).alias("_seats")), keys, "left")
+    pairs = pairs.withColumn("_seats", F.filter("_seats", lambda s: touching(d, _sides(s))))
     best = pairs.withColumn("_best", F.array_max(F.transform("_seats", lambda s: F.struct(F.round(box_iou(d, _sides(s)), 12).alias("iou"), (-s["ord"]).alias("o"), s["seat_id"].alias("seat_id")))))
     best = best.withColumn("_near", F.array_min(F.transform(F.filter("_seats", lambda s: contains(_sides(s), cx, cy)), far)))
     own = detections.columns
@@ -124,7 +148,8 @@ def assign_sweep(detections: DataFrame, seats: DataFrame, keys: list[str] | None
     cx, cy = centre(d)
     overlaps = F.transform("_seats", lambda s: F.struct(F.round(box_iou(d, _sides(s)), 12).alias("iou"), (-s["seat_id"]).alias("o"), s["seat_id"].alias("seat_id")))
     own = detections.columns
-    best = _beside(detections, seats, keys).withColumn("_best", F.array_max(F.filter(overlaps, lambda o: o["iou"] > 0)))
+    near = _beside(detections, seats, keys).withColumn("_seats", F.filter("_seats", lambda s: touching(d, _sides(s))))
+    best = near.withColumn("_best", F.array_max(F.filter(overlaps, lambda o: o["iou"] > 0)))
     best = best.withColumn("_in", F.array_min(F.transform(F.filter("_seats", lambda s: contains(_sides(s), cx, cy)), lambda s: s["seat_id"])))
     return best.select(*own, F.coalesce("_best.seat_id", "_in").alias("seat_id")).where(F.col("seat_id").isNotNull())
 
@@ -134,7 +159,10 @@ def _sides(s: Column) -> tuple:
 
 
 def _beside(detections: DataFrame, seats: DataFrame, keys: list[str] | None) -> DataFrame:
-    """detections with _seats: the seats of their camera (tens), as an array; of the keys' recording, or of all."""
+    """detections with _seats: the seats of their camera (tens), as an array; of the keys' recording, or of all, which
+    then must be one recording's."""
+    if not keys and "video" in seats.columns:
+        raise ValueError("seats of several recordings need keys")
     s = seats.groupBy(*(keys or [])).agg(F.collect_list(F.struct("seat_id", *BOX)).alias("_seats"))
     return detections.join(s, keys, "left") if keys else detections.join(F.broadcast(s), F.lit(True))  # one row
 
@@ -142,7 +170,7 @@ def _beside(detections: DataFrame, seats: DataFrame, keys: list[str] | None) ->
 def unseated_persons(detections: DataFrame, seats: DataFrame, p: Params = DEFAULTS, keys: list[str] | None = None) -> DataFrame:
     """Persons that no seat (of their recording, the keys) overlaps by unseated_iou."""
     persons = _beside(detections.where(F.col("cls_id") == PERSON), seats, keys)
-    taken = F.exists("_seats", lambda s: box_iou(box(), _sides(s)) >= p.unseated_iou)
+    taken = F.exists("_seats", lambda s: touching(box(), _sides(s)) & (box_iou(box(), _sides(s)) >= p.unseated_iou))
     return persons.where(~F.coalesce(taken, F.lit(False))).select(*detections.columns)
 
 

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Params
-from ..functions.geometry import interval_iou
 from ..functions.review import stem
+from .intervals import interval_pairs, without_overlaps
 
 
 def timed(truth: DataFrame) -> DataFrame:
@@ -16,9 +16,10 @@ def timed(truth: DataFrame) -> DataFrame:
 
 def truth_overlaps(truth: DataFrame, events: DataFrame) -> DataFrame:
     """Timed truth rows (gt_id, video, ...) with the best interval IoU over their recording's events, 0 where none."""
-    e = events.select("video", F.col("start_sec").alias("_s"), F.col("end_sec").alias("_e"))
+    e = events.select("video", F.col("start_sec").alias("r_start"), F.col("end_sec").alias("r_end"))
     t = timed(truth)
-    best = t.join(e, "video").groupBy("gt_id").agg(F.max(interval_iou(F.col("start_sec"), F.col("end_sec"), F.col("_s"), F.col("_e"))).alias("best_tiou"))
+    own = t.select("video", "gt_id", F.col("start_sec").alias("l_start"), F.col("end_sec").alias("l_end"))
+    best = interval_pairs(own, e, ["video"]).groupBy("gt_id").agg(F.max("tiou").alias("best_tiou"))
     return t.join(best, "gt_id", "left").withColumn("best_tiou", F.coalesce("best_tiou", F.lit(0.0)))
 
 
@@ -42,11 +43,9 @@ def false_events(truth: DataFrame, events: DataFrame, videos: DataFrame, p: Para
 
     videos (video, duration_s).  A duration of 0 gives null rates.
     """
-    t = timed(truth).select("video", F.col("start_sec").alias("_s"), F.col("end_sec").alias("_e"))
+    t = timed(truth)
     had = t.select("video").distinct().withColumn("_timed", F.lit(True))
-    match = interval_iou(F.col("start_sec"), F.col("end_sec"), F.col("_s"), F.col("_e")) >= p.match_tiou
-    tv = t.withColumnRenamed("video", "_v")
-    unmatched = events.join(tv, (events["video"] == tv["_v"]) & match, "left_anti").groupBy("video").agg(F.count("*").alias("n_false"))
+    unmatched = without_overlaps(events, t, ["video"], p.match_tiou).groupBy("video").agg(F.count("*").alias("n_false"))
     total = events.groupBy("video").agg(F.count("*").alias("n_events"))
     out = truth.select("video").distinct().join(videos.select("video", "duration_s"), "video", "left").join(had, "video", "left").join(unmatched, "video", "left").join(total, "video", "left")
     hours = F.col("duration_s") / 3600.0

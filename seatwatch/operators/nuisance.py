@@ -73,3 +73,13 @@ def apply_filters(cube: DataFrame, cells: DataFrame, bins: DataFrame, keys: list
     marked = zeroed.join(bins.select(*keys, "bin", "gated"), [*keys, "bin"])
     fill = marked.groupBy(*keys, "cy", "cx").agg(F.percentile(F.when(~F.col("gated"), F.col("activity")), F.lit(0.5)).alias("_fill"))
     return marked.join(fill, [*keys, "cy", "cx"]).select(*place, F.when(F.col("gated"), F.coalesce("_fill", F.lit(0.0))).otherwise(F.col("activity")).alias("activity"))
+
+
+def camera_motion(coverage: DataFrame, p: Params = DEFAULTS, keys: list[str] | None = None) -> DataFrame:
+    """(keys, residual, moving, note): the largest median motion of any bin of a recording, and a note where it exceeds
+    camera_px, as a camera that turns looks like activity everywhere.  coverage (keys, bin, gmv_x, gmv_y)."""
+    keys = keys or []
+    out = coverage.groupBy(*keys).agg(F.coalesce(F.max(F.greatest(F.abs("gmv_x"), F.abs("gmv_y"))), F.lit(0.0)).alias("residual"))
+    moving = F.col("residual") > p.camera_px
+    note = F.format_string("residual global motion up to %.2f px/frame after median subtraction: the camera may be moving", "residual")
+    return out.select(*keys, "residual", moving.alias("moving"), F.when(moving, note).alias("note"))

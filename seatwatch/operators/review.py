@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Params
-
 from ..functions.review import SET_ASIDE, camera_label, detector_text, display_activity, hms, hours_label, is_finding, label_text, place_text, priority, stem
+from .segment import numbered
 
 
 def api_events(events: DataFrame, video: str | None = None, label: str | None = None, min_confidence: float = 0.0, limit: int | None = None) -> DataFrame:
@@ -85,11 +85,11 @@ def finding_markers(events: DataFrame) -> DataFrame:
     return f.join(last, "video").select("video", "ord", "action_label", (F.col("start_sec") / F.col("_last")).alias("position"))
 
 
-def ui_projection(events: DataFrame) -> DataFrame:
-    """Display rows: id by falling confidence, times, priority, texts, activity."""
-    order = Window.orderBy(F.col("confidence").desc(), "ord")  # a report: ids follow the order of the whole answer
-    return events.select(
-        F.format_string("EVT-%05d", F.row_number().over(order)).alias("id"), "video", "ord", camera_label(F.col("video")).alias("camera"), hms(F.col("start_sec")).alias("start"), hms(F.col("end_sec")).alias("end"),
+def ui_projection(events: DataFrame, folder: str) -> DataFrame:
+    """Display rows: id by falling confidence (then ord) in the whole answer, times, priority, texts, activity; folder: where
+    the ordered rows may be written."""
+    return numbered(events, [F.col("confidence").desc(), F.col("ord")], "_id", folder).select(
+        F.format_string("EVT-%05d", "_id").alias("id"), "video", "ord", camera_label(F.col("video")).alias("camera"), hms(F.col("start_sec")).alias("start"), hms(F.col("end_sec")).alias("end"),
         label_text(F.col("action_label")).alias("type"), place_text(F.col("seat_id"), F.lit(None).cast("string")).alias("place"), priority(F.col("confidence")).alias("priority"), display_activity(F.col("peak_z")).alias("activity"),
     )
 

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import BOOK, DEFAULTS, PHONE, Params
-from ..functions.geometry import blend, box, box_iou, clip, interval_iou
+from ..functions.geometry import blend, box, box_iou, clip
 from .correlate import lagged_correlation, strongest
-from .detections import displacement
+from .detections import assign_sweep, displacement
+from .intervals import without_overlaps
 
 WINDOW = ["window_id"]  #: what names a window where no recording does
 LABELS = ["mobile_phone_usage", "paper_pass", "seat_exchange", "talking_to_neighbour", "staff_or_transit", "unclassified_anomaly"]
@@ -153,31 +154,34 @@ def crowds(counts: DataFrame, p: Params = DEFAULTS, keys: list[str] | None = Non
     return runs.where(length >= p.crowd_s).select(*keys, "start_sec", "end_sec", "peak", "mean", conf.alias("confidence"))
 
 
-def persistent_objects(samples: DataFrame, assigned: DataFrame, p: Params = DEFAULTS, keys: list[str] | None = None) -> DataFrame:
+def persistent_objects(samples: DataFrame, assigned: DataFrame, p: Params = DEFAULTS, keys: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
     """Runs of sweep samples with an object at one seat; single missing samples do not end a run.
 
-    samples (keys, t): all of them; assigned (keys, t, seat_id, conf).  A run needs sweep_run samples and a
-    share of sweep_share with the object.
+    samples (keys, t): all of them; assigned (keys, by, t, seat_id, conf); by: what tells kinds of objects apart.  A run
+    needs sweep_run samples and a share of sweep_share with the object.
     """
-    keys = keys or []
+    keys, by_kind = keys or [], by or []
     number = samples.select(*keys, "t").distinct().withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy("t")))
-    hits = assigned.groupBy(*keys, "seat_id", "t").agg(F.max("conf").alias("conf")).join(number, [*keys, "t"])
-    by = Window.partitionBy(*keys, "seat_id").orderBy("_i")
+    hits = assigned.groupBy(*keys, *by_kind, "seat_id", "t").agg(F.max("conf").alias("conf")).join(number, [*keys, "t"])
+    by = Window.partitionBy(*keys, *by_kind, "seat_id").orderBy("_i")
     hits = hits.withColumn("_new", (F.coalesce(F.col("_i") - F.lag("_i").over(by), F.lit(99)) > 2).cast("int")).withColumn("_run", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = hits.groupBy(*keys, "seat_id", "_run").agg(F.min("t").alias("start_sec"), F.max("t").alias("end_sec"), (F.max("_i") - F.min("_i") + 1).alias("samples"), F.count("*").alias("hits"), F.avg("conf").alias("mean_conf"))
+    runs = hits.groupBy(*keys, *by_kind, "seat_id", "_run").agg(F.min("t").alias("start_sec"), F.max("t").alias("end_sec"), (F.max("_i") - F.min("_i") + 1).alias("samples"), F.count("*").alias("hits"), F.avg("conf").alias("mean_conf"))
     share = F.col("hits") / F.col("samples")
     good = (F.col("samples") >= p.sweep_run) & (share >= p.sweep_share)
-    return runs.where(good).select(*keys, "seat_id", "start_sec", "end_sec", "samples", "hits", "mean_conf", clip(blend(share, F.col("mean_conf")) * 0.9, 0.05, 0.9).alias("confidence"))
+    return runs.where(good).select(*keys, *by_kind, "seat_id", "start_sec", "end_sec", "samples", "hits", "mean_conf", clip(blend(share, F.col("mean_conf")) * 0.9, 0.05, 0.9).alias("confidence"))
+
+
+def sweep_events(samples: DataFrame, sweep: DataFrame, seats: DataFrame, p: Params = DEFAULTS, keys: list[str] | None = None) -> DataFrame:
+    """(keys, action_label, seat_id, start_sec, end_sec, ...): phones and papers that a sparse sweep (keys, t, cls_id, conf,
+    x0 .. y1) keeps seeing at a seat; a paper that is there is not yet one that is passed."""
+    label = F.when((F.col("cls_id") == PHONE) & (F.col("conf") >= p.phone_conf * p.sweep_phone_share), "mobile_phone_usage").when((F.col("cls_id") == BOOK) & (F.col("conf") >= p.book_conf), "paper_pass_object_present")
+    objects = sweep.withColumn("action_label", label).where(F.col("action_label").isNotNull())
+    return persistent_objects(samples, assign_sweep(objects, seats, keys), p, keys, ["action_label"])
 
 
 def drop_known(sweep: DataFrame, events: DataFrame, p: Params = DEFAULTS, keys: list[str] | None = None) -> DataFrame:
     """sweep events without those that an event of the same seat and label overlaps by dedupe_tiou."""
-    lead = [*(keys or ["video"]), "seat_id", "action_label"]
-    e = events.select(*(F.col(k).alias(f"e_{k}") for k in (*lead, "start_sec", "end_sec")))
-    on = interval_iou(F.col("start_sec"), F.col("end_sec"), F.col("e_start_sec"), F.col("e_end_sec")) >= p.dedupe_tiou
-    for k in lead:
-        on = on & (F.col(k) == F.col(f"e_{k}"))
-    return sweep.join(e, on, "left_anti")
+    return without_overlaps(sweep, events, [*(keys or ["video"]), "seat_id", "action_label"], p.dedupe_tiou)
 
 
 def all_events(*parts: DataFrame) -> DataFrame:

@@ -93,6 +93,21 @@ def ranked(found: DataFrame, order: list[Column] | None = None, keys: list[str]
     return found.withColumn("rank", F.row_number().over(Window.partitionBy(*(keys or [])).orderBy(*by)))
 
 
+def numbered(rows: DataFrame, order: list[Column], name: str, folder: str) -> DataFrame:
+    """rows with ``name``: their place in the order of the whole, from 1, without bringing them together.
+
+    Rows are written in order, range by range, below ``folder``; a row's place is its place within its range after the
+    sizes of the ranges before (one number each).  The order must tell all rows apart.
+    """
+    spark = rows.sparkSession
+    rows.orderBy(*order).withColumn("_part", F.spark_partition_id()).write.parquet(folder)
+    kept = spark.read.parquet(folder)
+    sizes = kept.groupBy("_part").agg(F.count("*").alias("n")).agg(F.collect_list(F.struct("_part", "n")).alias("_sizes"))  # one row
+    local = kept.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    before = F.aggregate(F.filter("_sizes", lambda s: s["_part"] < F.col("_part")), F.lit(0).cast("long"), lambda acc, s: acc + s["n"])
+    return local.join(F.broadcast(sizes), F.lit(True)).withColumn(name, before + F.col("_n")).select(*rows.columns, name)
+
+
 def top_fraction(found: DataFrame, share: float, keys: list[str] | None = None) -> DataFrame:
     """The most salient share of the candidates of each recording, at least one."""
     total = F.count("*").over(Window.partitionBy(*(keys or [])))

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import DEFAULTS, PERSON, PHONE
+from ..config import BOOK, DEFAULTS, PERSON, PHONE
 from ..functions.review import LABEL_TEXT
-from ..operators import correlate, detections, evaluate, motion, motion_seats, nuisance, review, rules, score, seats, segment, tracking
-from ..sources import sinks
+from ..operators import correlate, detections, evaluate, motion, motion_seats, nuisance, review, rules, score, search, seats, segment, tracking
+from ..sources import evidence, readers, sinks
+from ..streaming import online_score
 from . import calibration, perception, triage
 from .views import FRAMES, LABELS, SEATS, Views, blend_sql, iou_sql, tiou_sql, with_views
 
@@ -73,6 +74,21 @@ def _(v):
     return v.scores().select("seat_id", "bin", *r6("x", "baseline", "scale", "z"))
 
 
+@query("online_z", f"SELECT seat_id, bin, {s6('activity', 'x', 'baseline', 'scale', 'z')} FROM v_z", "v_z")
+def _(v):
+    """The seats' bins written in four parts, read back as a stream a part at a time; floors as of the whole series."""
+    bins, folder = v.seat_activity(), sinks.scratch(v.spark)
+    for i in range(4):
+        part = bins.where((F.col("bin") >= i * 180) & (F.col("bin") < (i + 1) * 180) & (F.col("activity") != 0))
+        if i == 3:
+            part = part.unionByName(bins.select("seat_id").distinct().select("seat_id", F.lit(720).alias("bin"), F.lit(None).cast("double").alias("activity")))
+        part.repartition("seat_id").write.mode("append").parquet(f"{folder}/bins")
+    stream = v.spark.readStream.schema("seat_id int, bin int, activity double").parquet(f"{folder}/bins")
+    z = online_score.online_z(stream, score.scale_floors(bins), 61)
+    z.writeStream.format("parquet").option("path", f"{folder}/z").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return v.spark.read.parquet(f"{folder}/z").select("seat_id", "bin", *r6("activity", "x", "baseline", "scale", "z"))
+
+
 @query("z_exceedance_rate", "SELECT round(avg(CASE WHEN z > 3.5 THEN 1.0::DOUBLE ELSE 0 END), 9) AS rate, round(max(z), 6) AS max_z, count(*) AS n FROM v_z", "v_z")
 def _(v):
     return score.exceedance_rate(v.scores()).select(F.round("rate", 9).alias("rate"), *r6("max_z"), "n")
@@ -227,6 +243,22 @@ def _(v):
     return motion.bin_coverage(v.motion()).select("bin", "coverage", *r6("gmv_x", "gmv_y"))
 
 
+@query("camera_motion", """, bins AS (SELECT frame % 3 AS video, bin, avg(x) AS x, avg(y) AS y FROM (SELECT bin, frame, quantile_cont(motion_x, 0.5) AS x, quantile_cont(motion_y, 0.5) AS y FROM v_motion GROUP BY bin, frame) GROUP BY ALL),
+worst AS (SELECT video, max(greatest(abs(x), abs(y))) AS residual FROM bins GROUP BY video)
+SELECT CAST(video AS INT) AS video, round(residual, 6) AS residual, residual > 0.5 AS moving, CASE WHEN residual > 0.5 THEN 'residual global motion up to ' || format('{:.2f}', residual) || ' px/frame after median subtraction: the camera may be moving' END AS note FROM worst""", "v_motion")
+def _(v):
+    m = v.motion().withColumn("video", (F.col("frame") % 3).cast("int"))
+    return nuisance.camera_motion(motion.bin_coverage(m, VIDEO), keys=VIDEO).select("video", *r6("residual"), "moving", "note")
+
+
+@query("container_probe", """SELECT o_orderkey AS video, CASE WHEN o_orderkey % 4 > 0 AND o_orderkey % 7 > 0 THEN o_orderkey % 7 * 10.0::DOUBLE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 3 * 12.5::DOUBLE ELSE 25.0::DOUBLE END AS fps,
+  CASE WHEN o_orderkey % 5 > 0 THEN o_totalprice WHEN o_orderkey % 2 > 0 THEN o_totalprice / 2 ELSE 0 END AS duration_s, CASE WHEN o_orderkey % 11 > 0 THEN o_orderkey % 11 END AS frames FROM orders""")
+def _(v):
+    k, price = F.col("o_orderkey"), F.col("o_totalprice")
+    raw = v.t("orders").select(k.alias("video"), F.when(k % 4 > 0, k % 7 * 10.0).alias("average_rate"), F.when(k % 3 > 0, k % 3 * 12.5).alias("base_rate"), F.when(k % 5 > 0, price).alias("container_s"), F.when(k % 2 > 0, price / 2).alias("stream_s"), (k % 11).alias("frames"))
+    return readers.probed(raw)
+
+
 @query("activity_heatmap", """, cells AS (SELECT cy, cx, avg(activity) AS activity FROM v_cube GROUP BY cy, cx)
 SELECT cy, cx, round(activity, 6) AS activity, round((SELECT CASE WHEN quantile_cont(activity, 0.995) > 0 THEN quantile_cont(activity, 0.995) WHEN max(activity) > 0 THEN max(activity) ELSE 1 END FROM cells), 6) AS vmax FROM cells""", "v_cube")
 def _(v):
@@ -283,9 +315,9 @@ def _(v):
 
 
 @query("calibration_starts", f"""SELECT video, CAST(i AS INT) AS k, round(CASE WHEN n = 1 THEN 0 ELSE (duration_s - {P.calibration_s}) * i / (n - 1) END, 6) AS start_s
-FROM (SELECT *, CASE WHEN duration_s <= 1.5 * {P.calibration_s} THEN 1 ELSE {P.seat_windows} END AS n FROM v_videos) CROSS JOIN range({P.seat_windows}) r(i) WHERE i < n""", "v_videos")
+FROM (SELECT *, CASE WHEN duration_s <= 1.5 * {P.calibration_s} THEN 1 ELSE {P.seat_windows} END AS n FROM v_recordings) CROSS JOIN range({P.seat_windows}) r(i) WHERE i < n""", "v_recordings")
 def _(v):
-    return v.videos().select("video", F.posexplode(seats.calibration_starts(F.col("duration_s"))).alias("k", "start_s")).select("video", "k", *r6("start_s"))
+    return v.recordings().select("video", F.posexplode(seats.calibration_starts(F.col("duration_s"))).alias("k", "start_s")).select("video", "k", *r6("start_s"))
 
 
 @query("seat_rows", """, placed AS (SELECT seat_id, (y0 + y1) / 2.0 + seat_id % 3 * 5 AS cy, (x0 + x1) / 2.0 AS cx FROM v_seats),
@@ -396,19 +428,19 @@ def _(v):
 # --- detections --------------------------------------------------------------------
 
 
-@query("asof_frame_sample", """, targets AS (SELECT i AS sample, i * 86400.0::DOUBLE / 100 AS target FROM range(100) r(i)),
+@query("asof_frame_sample", """, targets AS (SELECT i AS sample, i * 2592000.0::DOUBLE / 720 AS target FROM range(720) r(i)),
 times AS (SELECT DISTINCT (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00')) / 1e6::DOUBLE AS t FROM events)
 SELECT sample, round(target, 6) AS target, round(min(t), 6) AS t FROM targets JOIN times ON t >= target - 1e-6 GROUP BY sample, target""")
 def _(v):
     t = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)") / 1e6
     frames = v.t("events").select(F.lit("events").alias("video"), t.alias("t")).distinct()
-    targets = v.spark.range(1).select(F.lit("events").alias("video"), F.posexplode(detections.sample_targets(F.lit(0.0), F.lit(86400.0), F.lit(100))).alias("sample", "target"))
+    targets = v.spark.range(1).select(F.lit("events").alias("video"), F.posexplode(detections.sample_targets(F.lit(0.0), F.lit(2592000.0), F.lit(720))).alias("sample", "target"))
     return detections.first_frames_after(targets, frames, ["video"]).select("sample", *r6("target", "t"))
 
 
-@query("sweep_plan", "SELECT video, CAST(least(greatest(floor(duration_s / greatest(5, duration_s / 720)), 1), 720) AS INT) AS samples FROM v_videos", "v_videos")
+@query("sweep_plan", "SELECT video, CAST(least(greatest(floor(duration_s / greatest(5, duration_s / 720)), 1), 720) AS INT) AS samples FROM v_recordings", "v_recordings")
 def _(v):
-    return v.videos().select("video", detections.sweep_samples(F.col("duration_s")).alias("samples"))
+    return v.recordings().select("video", detections.sweep_samples(F.col("duration_s")).alias("samples"))
 
 
 @query("frame_thinning", """RECURSIVE frames AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY t) AS n, t FROM (SELECT DISTINCT event_type, CAST(event_id AS DOUBLE) / 10 AS t FROM events)),
@@ -451,6 +483,25 @@ def _(v):
     return detections.merge_scales([d, shifted]).select("frame", "det_idx", "cls_id", *r6("conf", "x0"))
 
 
+def _rois(v: Views) -> DataFrame:
+    return review.window_roi(v.window_seats().withColumns({"width": F.lit(1280), "height": F.lit(720)}), keys=WINDOW)
+
+
+_ROI = """rois AS (SELECT window_id, CAST(trunc(greatest(0, (min(x0) + max(x1)) / 2 - (max(x1) - min(x0)) * 0.8::DOUBLE)) AS INT) AS x0, CAST(trunc(greatest(0, (min(y0) + max(y1)) / 2 - (max(y1) - min(y0)) * 0.8::DOUBLE)) AS INT) AS y0,
+  CAST(trunc(least(1280, (min(x0) + max(x1)) / 2 + (max(x1) - min(x0)) * 0.8::DOUBLE)) AS INT) AS x1, CAST(trunc(least(720, (min(y0) + max(y1)) / 2 + (max(y1) - min(y0)) * 0.8::DOUBLE)) AS INT) AS y1 FROM v_window_seats GROUP BY window_id)"""
+
+
+@query("crop_detections", f""", {_ROI}, sizes AS (SELECT *, least(greatest(round_even(greatest(x1 - x0, y1 - y0) / 32.0::DOUBLE, 0) * 32, 160), 1600) AS own FROM rois)
+SELECT {of('d.')}, frame, det_idx, d.x0 + r.x0 AS x0, d.y0 + r.y0 AS y0, d.x1 + r.x0 AS x1, d.y1 + r.y0 AS y1, '640,1280' || CASE WHEN own IN (640, 1280) THEN '' ELSE ',' || CAST(own AS INT) END AS sizes
+FROM v_window_detections d JOIN sizes r ON r.window_id = d.window_id WHERE (cls_id = 67 AND conf >= 0.20::DOUBLE) OR (cls_id = 73 AND conf >= 0.12::DOUBLE)""", "v_window_detections", "v_window_seats")
+def _(v):
+    """Small objects found in a window's crop, in the frame's pixels, and the sizes its crop is searched at."""
+    rois = _rois(v)
+    found = detections.to_frame(detections.scan_detections(v.window_detections(), {PHONE: P.phone_conf, BOOK: P.book_conf}), rois, WINDOW)
+    sizes = rois.select(*WINDOW, F.array_join(F.transform(detections.detection_sizes(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")), lambda s: s.cast("string")), ",").alias("sizes"))
+    return found.join(sizes, WINDOW).select(*WINDOW, "frame", "det_idx", "x0", "y0", "x1", "y1", "sizes")
+
+
 @query("perceive_union", f"""SELECT {of()}, round(t, 4) AS t, count(*) FILTER (WHERE cls_id = 0) AS persons, count(*) FILTER (WHERE cls_id <> 0) AS objects FROM v_window_detections WHERE cls_id = 0 OR conf >= 0.12 GROUP BY v_window_detections.window_id, t""", "v_window_detections")
 def _(v):
     d = v.window_detections()
@@ -463,6 +514,26 @@ def _(v):
     return _assigned(v).select(*WINDOW, "frame", "det_idx", "seat_id", "how")
 
 
+_STORED = f"""spans AS (SELECT DISTINCT window_id, seat_id FROM v_windows),
+seen AS (SELECT window_id, count(*) AS n, max(round(conf, 4)) AS best, sum(round(x0, 1)) AS place, count(DISTINCT t) AS filled FROM v_window_detections WHERE window_id // 18 <> 1 OR cls_id = 67 GROUP BY window_id)
+SELECT {of('w.')}, w.seat_id, 40 AS n_frames, coalesce(filled, 0) AS filled, coalesce(n, 0) AS detections, round(best, 4) AS best, round(place, 1) AS place FROM spans w LEFT JOIN seen s ON s.window_id = w.window_id"""
+
+
+@query("evidence_store", f", {_STORED}", "v_windows", "v_window_detections")
+def _(v):
+    """Evidence of all windows is written, that of one recording again (phones only), and every window looked up."""
+    folder = sinks.scratch(v.spark)
+    w = v.kept("windows").select(*WINDOW, "seat_id", (F.col("window_id") * 8.0).alias("start_sec"), (F.col("window_id") * 8.0 + 8).alias("end_sec"))
+    frames, seen = v.window_frames(), v.window_detections()
+    evidence.write_evidence(evidence.packed(w, frames, seen, WINDOW), folder)
+    evidence.write_evidence(evidence.packed(w.where("video = 1"), frames, seen.where(F.col("cls_id") == PHONE), WINDOW), folder)
+    found = evidence.find_evidence(v.spark, folder, w).withColumn("video", F.col("video").cast("int"))
+    d = F.flatten(F.transform("frames", lambda f: f["detections"]))
+    filled = F.size(F.filter("frames", lambda f: F.size(f["detections"]) > 0))
+    place = F.when(F.size(d) > 0, F.round(F.aggregate(d, F.lit(0.0), lambda a, x: a + x["x0"]), 1))
+    return found.select(*WINDOW, "seat_id", F.size("frames").alias("n_frames"), filled.alias("filled"), F.size(d).alias("detections"), F.round(F.array_max(F.transform(d, lambda x: x["conf"])), 4).alias("best"), place.alias("place"))
+
+
 @query("persons_tracked", f"SELECT {of('w.')}, count(DISTINCT d.track_id) AS n_persons FROM v_windows w LEFT JOIN v_window_detections d ON d.window_id = w.window_id AND d.cls_id = 0 GROUP BY w.window_id", "v_windows", "v_window_detections")
 def _(v):
     return detections.persons_tracked(v.windows().select(*WINDOW), v.window_detections(), WINDOW)
@@ -518,14 +589,6 @@ def _(v):
     return detections.drop_fixtures(v.detections(), fixtures).select("frame", "det_idx")
 
 
-def _rois(v: Views) -> DataFrame:
-    return review.window_roi(v.window_seats().withColumns({"width": F.lit(1280), "height": F.lit(720)}), keys=WINDOW)
-
-
-_ROI = """rois AS (SELECT window_id, CAST(trunc(greatest(0, (min(x0) + max(x1)) / 2 - (max(x1) - min(x0)) * 0.8::DOUBLE)) AS INT) AS x0, CAST(trunc(greatest(0, (min(y0) + max(y1)) / 2 - (max(y1) - min(y0)) * 0.8::DOUBLE)) AS INT) AS y0,
-  CAST(trunc(least(1280, (min(x0) + max(x1)) / 2 + (max(x1) - min(x0)) * 0.8::DOUBLE)) AS INT) AS x1, CAST(trunc(least(720, (min(y0) + max(y1)) / 2 + (max(y1) - min(y0)) * 0.8::DOUBLE)) AS INT) AS y1 FROM v_window_seats GROUP BY window_id)"""
-
-
 @query("centroid_links", f"""RECURSIVE {_ROI},
 boxes AS (SELECT d.window_id, d.cls_id, frame, det_idx, (d.x0 + d.x1) / 2 AS cx, (d.y0 + d.y1) / 2 AS cy, greatest(16, 0.25::DOUBLE * (r.x1 - r.x0)) AS reach, CASE d.cls_id WHEN 73 THEN 20000 ELSE 30000 END AS start,
   row_number() OVER (PARTITION BY d.window_id, d.cls_id ORDER BY frame, det_idx) AS k FROM v_window_detections d JOIN rois r ON r.window_id = d.window_id WHERE cls_id IN (67, 73)),
@@ -679,15 +742,14 @@ def _(v):
     return named.select(*WINDOW, "label", *r6("confidence"), F.array_join("also_matched", ",").alias("also_matched"))
 
 
-@query("persistent_object_events", f""", hits AS (SELECT seat_id, frame, t, max(conf) AS conf FROM v_sweep_assigned WHERE cls_id = 67 AND conf >= 0.12 GROUP BY seat_id, frame, t),
-marked AS (SELECT *, CASE WHEN coalesce(frame - lag(frame) OVER (PARTITION BY seat_id ORDER BY frame), 99) > 2 THEN 1 ELSE 0 END AS new FROM hits),
-numbered AS (SELECT *, sum(new) OVER (PARTITION BY seat_id ORDER BY frame ROWS UNBOUNDED PRECEDING) AS run FROM marked),
-runs AS (SELECT seat_id, min(t) AS start_sec, max(t) AS end_sec, max(frame) - min(frame) + 1 AS samples, count(*) AS hits, avg(conf) AS mean_conf FROM numbered GROUP BY seat_id, run)
-SELECT seat_id, start_sec, end_sec, samples, hits, round(mean_conf, 6) AS mean_conf, round(least(greatest({blend_sql('hits / samples::DOUBLE', 'mean_conf')} * 0.9, 0.05), 0.9), 6) AS confidence FROM runs WHERE samples >= 3 AND hits / samples::DOUBLE >= 0.6""", "v_sweep_assigned")
+@query("persistent_object_events", f""", hits AS (SELECT CASE cls_id WHEN 67 THEN 'mobile_phone_usage' ELSE 'paper_pass_object_present' END AS action_label, seat_id, frame, t, max(conf) AS conf FROM v_sweep_assigned WHERE cls_id IN (67, 73) AND conf >= 0.12::DOUBLE GROUP BY ALL),
+marked AS (SELECT *, CASE WHEN coalesce(frame - lag(frame) OVER (PARTITION BY action_label, seat_id ORDER BY frame), 99) > 2 THEN 1 ELSE 0 END AS new FROM hits),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY action_label, seat_id ORDER BY frame ROWS UNBOUNDED PRECEDING) AS run FROM marked),
+runs AS (SELECT action_label, seat_id, min(t) AS start_sec, max(t) AS end_sec, max(frame) - min(frame) + 1 AS samples, count(*) AS hits, avg(conf) AS mean_conf FROM numbered GROUP BY action_label, seat_id, run)
+SELECT action_label, seat_id, start_sec, end_sec, samples, hits, round(mean_conf, 6) AS mean_conf, round(least(greatest({blend_sql('hits / samples::DOUBLE', 'mean_conf')} * 0.9, 0.05), 0.9), 6) AS confidence FROM runs WHERE samples >= 3 AND hits / samples::DOUBLE >= 0.6""", "v_sweep_assigned")
 def _(v):
-    phones = v.sweep().where((F.col("cls_id") == PHONE) & (F.col("conf") >= P.book_conf))
-    found = rules.persistent_objects(v.sweep_times(), detections.assign_sweep(phones, v.seats()))
-    return found.select("seat_id", "start_sec", "end_sec", "samples", "hits", *r6("mean_conf", "confidence"))
+    """Phones and papers at one seat of the sweep."""
+    return rules.sweep_events(v.sweep_times(), v.sweep(), v.seats()).select("action_label", "seat_id", "start_sec", "end_sec", "samples", "hits", *r6("mean_conf", "confidence"))
 
 
 @query("sweep_dedupe", f"SELECT s.video, s.ord FROM v_manifest s WHERE s.ord % 4 = 0 AND NOT EXISTS (SELECT 1 FROM v_manifest e WHERE e.ord % 4 > 0 AND e.video = s.video AND e.seat_id = s.seat_id AND e.action_label = s.action_label AND {tiou_sql('s', 'e')} >= 0.3)", "v_manifest")
@@ -854,7 +916,7 @@ def _(v):
 @query("ui_projection", f"""SELECT format('EVT-{{:05d}}', row_number() OVER (ORDER BY confidence DESC, ord)) AS id, video, ord, {_CAMERA} AS camera, {_HMS.format('start_sec')} AS start, {_HMS.format('end_sec')} AS "end", {_TEXT} AS type,
   'Seat ' || seat_id AS place, {_PRIORITY} AS priority, CAST(CASE WHEN peak_z IS NULL THEN 0 ELSE least(100, floor(peak_z / 20 * 100 + 0.5)) END AS INT) AS activity FROM v_manifest""", "v_manifest")
 def _(v):
-    return review.ui_projection(v.manifest())
+    return review.ui_projection(v.manifest(), sinks.scratch(v.spark))
 
 
 @query("event_search", f"SELECT video, ord FROM v_manifest WHERE contains({_HMS.format('start_sec')}, 'Phone') OR contains(lower('Seat ' || seat_id), 'phone') OR contains(lower({_TEXT}), 'phone') OR contains(coalesce(lower(regexp_replace(detector_class, '\\s*\\(COCO [0-9]+\\).*', '')), 'none'), 'phone') OR contains(lower(rule), 'phone')", "v_manifest")
@@ -862,6 +924,19 @@ def _(v):
     return review.event_search(v.manifest(), " Phone ").select("video", "ord")
 
 
+_NEEDLES = [" Phone ", "seat 3", "RULE 4", "01:2", "to N", "ph", "\u00e9v\u00e9", "zzz"]
+_HIT = f"(contains({_HMS.format('start_sec')}, trim(n)) OR contains(lower('Seat ' || seat_id), lower(trim(n))) OR contains(lower({_TEXT}), lower(trim(n))) OR contains(coalesce(lower(regexp_replace(detector_class, '\\s*\\(COCO [0-9]+\\).*', '')), 'none'), lower(trim(n))) OR contains(lower(rule), lower(trim(n))))"
+
+
+@query("event_search_index", f"SELECT n AS needle, video, ord FROM v_manifest, (SELECT unnest([{', '.join(f"'{n}'" for n in _NEEDLES)}]) AS n) WHERE {_HIT}", "v_manifest")
+def _(v):
+    """Several searches of one index of all events."""
+    m, folder = v.manifest(), sinks.scratch(v.spark)
+    search.write_search_index(m, folder, ["video", "ord"])
+    found = [search.indexed_search(v.spark, folder, m, n, ["video", "ord"]).select(F.lit(n).alias("needle"), "video", "ord") for n in _NEEDLES]
+    return rules.all_events(*found)
+
+
 @query("evidence_entries", "SELECT ord, 'peak_z' AS name, CAST(peak_z AS VARCHAR) AS value FROM v_manifest WHERE peak_z IS NOT NULL UNION ALL SELECT ord, 'detector_class', detector_class FROM v_manifest WHERE detector_class IS NOT NULL", "v_manifest")
 def _(v):
     m = v.manifest().select("ord", F.to_json(F.struct("peak_z", "detector_class", "rule", F.array("seat_id").alias("seats"))).alias("evidence"))

@@ -193,6 +193,10 @@ class Views:
             F.concat(F.lit("rule "), (key % 5).cast("string")).alias("rule"), F.when(key % 4 > 0, F.concat(F.lit("clips/"), key.cast("string"), F.lit(".mp4"))).alias("clip_path"),
         )
 
+    def recordings(self) -> DataFrame:
+        """A recording for each customer, as long as its dearest order is dear."""
+        return self.t("orders").groupBy(F.concat(F.lit("c"), F.col("o_custkey").cast("string"), F.lit(".mp4")).alias("video")).agg((F.max("o_totalprice") / 50).alias("duration_s"))
+
     def videos(self) -> DataFrame:
         rows = [(n, float(d)) for n, d in VIDEOS]
         return self.spark.createDataFrame(rows, "video string, duration_s double")
@@ -324,6 +328,7 @@ SQL = {
     3.0::DOUBLE * date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) + o_orderkey % 20 + 2 AS end_sec, [{', '.join(f"'{x}'" for x in LABELS)}][o_custkey % 8 + 1] AS action_label,
     least(0.97::DOUBLE, o_totalprice / 500000) AS confidence, o_orderkey AS ord, CASE WHEN o_orderkey % 3 > 0 THEN (o_orderkey % 500) / 10.0::DOUBLE END AS peak_z,
     CASE WHEN o_custkey % 8 = 0 THEN 'cell phone (COCO 67)' END AS detector_class, 'rule ' || (o_orderkey % 5) AS rule, CASE WHEN o_orderkey % 4 > 0 THEN 'clips/' || o_orderkey || '.mp4' END AS clip_path FROM orders"""),
+    "v_recordings": ([], "SELECT 'c' || o_custkey || '.mp4' AS video, max(o_totalprice) / 50 AS duration_s FROM orders GROUP BY o_custkey"),
     "v_videos": ([], f"SELECT * FROM (VALUES {_literal((n, float(d)) for n, d in VIDEOS)}) v(video, duration_s)"),
     "v_truth": ([], f"SELECT * FROM (VALUES {_literal(TRUTH)}) t(gt_id, video, start_sec, end_sec, label)"),
 }

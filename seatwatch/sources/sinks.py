@@ -3,14 +3,28 @@
 from __future__ import annotations
 
 import json
+import re
+import tempfile
+import uuid
 from dataclasses import asdict
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, DISCLAIMER, Params
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path below spark.checkpoint.dir, which driver and executors share; a temporary folder where that is unset
+    and the master is local."""
+    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.gettempdir()
+    return f"{base}/seatwatch-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, folder: str, name: str, p: Params = DEFAULTS, by: str | None = None) -> DataFrame:
     """df kept as Parquet under a name and the parameters' hash; what is there is read, not made again."""
     spark, path = df.sparkSession, f"{folder}/{name}-{p.key()}"
@@ -35,11 +49,6 @@ def write_manifest(events: DataFrame, stats: DataFrame, path: str, p: Params = D
     events.sparkSession.range(1).select(F.lit(json.dumps(header)).alias("value")).write.mode("overwrite").text(f"{path}/header")
 
 
-def manifest_rows(events: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, document): each event as one JSON object."""
-    return events.select(*keys, F.to_json(F.struct(*events.columns)).alias("document"))
-
-
 def write_timeline(events: DataFrame, path: str) -> None:
     rounded(events).write.mode("overwrite").json(path)
 
