@@ -205,27 +205,46 @@ def all_frames(sweep: DataFrame, evidence: DataFrame) -> DataFrame:
     return sweep.unionByName(evidence, allowMissingColumns=True)
 
 
-def fixture_map(detections: DataFrame, frames: DataFrame, p: Params = DEFAULTS, classes: list[int] | None = None, keys: list[str] | None = None) -> DataFrame:
+def fixture_map(detections: DataFrame, frames: DataFrame, p: Params = DEFAULTS, classes: list[int] | None = None, keys: list[str] | None = None, block_s: float | None = None) -> DataFrame:
     """(keys, cls_id, cluster, x0 .. y1, n, presence, span_s, drift): small objects that are long there and do not move.
 
-    detections (keys, t, det_idx, cls_id, x0 .. y1), frames (keys, t).  A group is one class of one recording,
-    its boxes in order of (t, det_idx).  Recordings of under fixture_samples frames have none.
+    detections (keys, t, det_idx, cls_id, x0 .. y1), frames (keys, t).  Recordings of under fixture_samples frames have none.
+    Boxes are clustered in order of (t, det_idx), those of one class and recording in one group; with block_s
+    in blocks of so many seconds, each a group of its own, whose clusters are then clustered in the same way, each
+    weighing as many boxes as it has.  That group holds clusters, not boxes, and the work before it is spread; a
+    cluster that the walk over all boxes would have joined late may stay apart, or join another.
     """
     keys = keys or []
     lead = [*keys, "cls_id"]
     some = detections.where(F.col("cls_id").isin(classes)) if classes else detections
+    block = F.floor(F.col("t") / block_s).cast("long") if block_s else F.lit(0).cast("long")
+    types = dict(detections.dtypes)
+    head = ", ".join(f"{k} {types[k]}" for k in lead) + ", block long"
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["t", "det_idx"])
         own, mean = agglomerate(pdf[list(BOX)].to_numpy(float), p.fixture_iou, last_tie=True)
-        out = pdf[[*lead, "t"]].assign(cluster=own, cx=(pdf["x0"] + pdf["x1"]) / 2, cy=(pdf["y0"] + pdf["y1"]) / 2)
+        out = pdf[[*lead, "block", "t"]].assign(part=own, cx=(pdf["x0"] + pdf["x1"]) / 2, cy=(pdf["y0"] + pdf["y1"]) / 2)
         for i, c in enumerate(BOX):
             out[c] = mean[own, i]
         return out
 
-    types = dict(detections.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in lead) + ", t double, cluster int, cx double, cy double, x0 double, y0 double, x1 double, y1 double"
-    members = some.select(*lead, "t", "det_idx", *BOX).groupBy(*lead).applyInPandas(cluster, schema)
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["block", "part"])
+        own, mean = agglomerate(pdf[list(BOX)].to_numpy(float), p.fixture_iou, last_tie=True, weights=pdf["size"].to_numpy(int))
+        out = pdf[[*lead, "block", "part"]].assign(cluster=own)
+        for i, c in enumerate(BOX):
+            out[c] = mean[own, i]
+        return out
+
+    sides = "x0 double, y0 double, x1 double, y1 double"
+    members = some.select(*lead, "t", "det_idx", *BOX, block.alias("block")).groupBy(*lead, "block").applyInPandas(cluster, f"{head}, t double, part int, cx double, cy double, {sides}")
+    if block_s:
+        parts = members.groupBy(*lead, "block", "part").agg(F.count("*").alias("size"), *(F.first(c).alias(c) for c in BOX))
+        merged = parts.groupBy(*lead).applyInPandas(merge, f"{head}, part int, cluster int, {sides}")
+        members = members.drop(*BOX).join(merged, [*lead, "block", "part"])
+    else:
+        members = members.withColumnRenamed("part", "cluster")
     middle = members.groupBy(*lead, "cluster").agg(F.avg("cx").alias("_mx"), F.avg("cy").alias("_my"))
     found = members.join(middle, [*lead, "cluster"]).groupBy(*lead, "cluster", *BOX).agg(
         F.countDistinct(F.round("t", 3)).alias("n"), (F.max("t") - F.min("t")).alias("span_s"), F.max(F.hypot(F.col("cx") - F.col("_mx"), F.col("cy") - F.col("_my"))).alias("_far")

@@ -20,12 +20,13 @@ def iou_many(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return np.where((shared > 0) & (union > 0), shared / np.where(union > 0, union, 1), 0.0)
 
 
-def agglomerate(boxes: np.ndarray, join: float, first_match: bool = False, last_tie: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def agglomerate(boxes: np.ndarray, join: float, first_match: bool = False, last_tie: bool = False, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Cluster of each box, in order, and the clusters' running mean boxes.
 
     A box joins the cluster of the highest IoU of at least ``join`` (of ties the first, or the last), or
-    with first_match the first such; else it founds one.
+    with first_match the first such; else it founds one.  weights: how many boxes each stands for (1).
     """
+    weights = np.ones(len(boxes), int) if weights is None else weights
     cluster = np.zeros(len(boxes), int)
     mean, size = np.zeros((len(boxes), 4)), np.zeros(len(boxes), int)
     k = 0
@@ -34,10 +35,10 @@ def agglomerate(boxes: np.ndarray, join: float, first_match: bool = False, last_
         good = np.flatnonzero(v >= join) if join > 0 else np.flatnonzero(v > 0)
         if len(good):
             top = good[0] if first_match else (len(v) - 1 - int(np.argmax(v[::-1])) if last_tie else int(np.argmax(v)))
-            mean[top] = (mean[top] * size[top] + b) / (size[top] + 1)
-            size[top] += 1
+            mean[top] = (mean[top] * size[top] + b * weights[i]) / (size[top] + weights[i])
+            size[top] += weights[i]
         else:
-            top, mean[k], size[k] = k, b, 1
+            top, mean[k], size[k] = k, b, weights[i]
             k += 1
         cluster[i] = top
     return cluster, mean[:k]

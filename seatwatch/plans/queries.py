@@ -583,6 +583,12 @@ def _(v):
     return detections.fixture_map(*_still(v), keys=VIDEO).select("video", "cls_id", *r6("x0", "y0", "x1", "y1"), "n", *r6("presence", "span_s", "drift"))
 
 
+@query("fixture_map_blocks")
+def _(v):
+    """The same from blocks of half a minute."""
+    return detections.fixture_map(*_still(v), keys=VIDEO, block_s=30.0).select("video", "cls_id", *r6("x0", "y0", "x1", "y1"), "n", *r6("presence", "span_s", "drift"))
+
+
 @query("drop_fixtures", f"SELECT frame, det_idx FROM v_detections d WHERE NOT EXISTS (SELECT 1 FROM v_seats s WHERE d.cls_id = CASE WHEN s.seat_id % 2 = 0 THEN 67 ELSE 73 END AND {iou_sql('d', 's')} >= 0.30)", "v_detections", "v_seats")
 def _(v):
     fixtures = v.seats().withColumn("cls_id", F.when(F.col("seat_id") % 2 == 0, 67).otherwise(73))

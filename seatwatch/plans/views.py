@@ -86,10 +86,10 @@ class Views:
         return {"video": F.floor(frame / FRAMES).cast("int"), "window_id": F.floor(frame % FRAMES / WINDOW).cast("int"), "frame": (frame % FRAMES).cast("int")}
 
     def tracks(self) -> DataFrame:
-        """Tracks 5 to 9 cross the scene in every third window, else all stay."""
+        """Tracks 5 to 9 cross the scene in two of five windows, else all stay."""
         li = self.t("lineitem").where(F.col("l_returnflag") == "A")
         track, number = (F.col("l_suppkey") % 10).cast("int"), F.col("l_orderkey") % (RECORDINGS * FRAMES)
-        amp = F.when((track >= 5) & (F.floor(number / WINDOW) % 3 == 0), 90.0).otherwise(6.0)
+        amp = F.when((track >= 5) & (F.floor(number / WINDOW) % 5 < 2), 90.0).otherwise(6.0)
         return li.select(
             *(c.alias(n) for n, c in self._placed(number).items()), track.alias("track_id"), (200 + 100 * track + amp * ((F.col("l_partkey") * 37 % 11) - 5) / 5).alias("cx"),
             (300 + 2.0 * ((F.col("l_partkey") * 53 % 7) - 3)).alias("cy"), (F.sqrt(F.lit(2.0)) * (80 + F.col("l_quantity"))).alias("diag"),
@@ -139,7 +139,7 @@ class Views:
 
     def walking_detections(self) -> DataFrame:
         """Window detections whose persons keep their place from frame to frame, but for those who cross."""
-        k, moved = F.col("track_id"), F.when((F.col("track_id") >= 5) & ((F.col("video") * WINDOWS + F.col("window_id")) % 3 == 0), 4.0 * (F.col("frame") % WINDOW)).otherwise(0.0)
+        k, moved = F.col("track_id"), F.when((F.col("track_id") >= 5) & ((F.col("video") * WINDOWS + F.col("window_id")) % 5 < 2), 4.0 * (F.col("frame") % WINDOW)).otherwise(0.0)
         jitter = F.col("x0") / 14 % 7 - 3
         x, y = 60 + 110.0 * k + moved + jitter, 200 + 150.0 * (k % 2) - jitter
         person = F.col("cls_id") == 0
@@ -291,7 +291,7 @@ SQL = {
     "v_times": (["v_n"], "SELECT CAST(i AS INT) AS frame, i * 5.0::DOUBLE AS t FROM (SELECT unnest(range(n)) AS i FROM v_n)"),
     # windows of all recordings have one number here, window // 18 is the recording and frame // 720 too
     "v_tracks": ([], """SELECT CAST(l_orderkey % 2160 // 40 AS INT) AS window_id, CAST(l_suppkey % 10 AS INT) AS track_id, l_orderkey % 2160 % 720 AS frame,
-    200 + 100 * (l_suppkey % 10) + CASE WHEN l_suppkey % 10 >= 5 AND l_orderkey % 2160 // 40 % 3 = 0 THEN 90.0::DOUBLE ELSE 6.0::DOUBLE END * ((l_partkey * 37 % 11) - 5) / 5 AS cx,
+    200 + 100 * (l_suppkey % 10) + CASE WHEN l_suppkey % 10 >= 5 AND l_orderkey % 2160 // 40 % 5 < 2 THEN 90.0::DOUBLE ELSE 6.0::DOUBLE END * ((l_partkey * 37 % 11) - 5) / 5 AS cx,
     300 + 2.0::DOUBLE * ((l_partkey * 53 % 7) - 3) AS cy, sqrt(2.0::DOUBLE) * (80 + l_quantity) AS diag FROM lineitem WHERE l_returnflag = 'A'"""),
     "v_moved": (["v_tracks"], """SELECT window_id, track_id, count(*) AS n, 2 * max(sqrt((cx - mx) ** 2 + (cy - my) ** 2)) / quantile_cont(diag, 0.5) AS displacement
   FROM v_tracks t JOIN (SELECT window_id, track_id, avg(cx) AS mx, avg(cy) AS my FROM v_tracks GROUP BY ALL) m USING (window_id, track_id) GROUP BY window_id, track_id HAVING count(*) >= 3 AND quantile_cont(diag, 0.5) > 1"""),
