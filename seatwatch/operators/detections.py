@@ -125,52 +125,72 @@ def assign_seats(detections: DataFrame, window_seats: DataFrame, keys: list[str]
     d = box()
     cx, cy = centre(d)
 
-    def far(s):
-        sx, sy = centre(_sides(s))
-        return F.struct(F.round(F.hypot(cx - sx, cy - sy), 9).alias("far"), s["ord"].alias("o"), s["seat_id"].alias("seat_id"))
+    def rank(m):
+        sx, sy = centre(_sides(m["s"]))
+        strong = m["iou"] >= p.assign_iou
+        far = F.when(contains(_sides(m["s"]), cx, cy), F.round(F.hypot(cx - sx, cy - sy), 9))
+        return F.struct(F.when(strong, m["iou"]).alias("iou"), F.when(~strong, -far).alias("near"), (-m["s"]["ord"]).alias("o"), m["s"]["seat_id"].alias("seat_id"))
 
     # a window's few seats stand beside each of its detections: no rows are multiplied, nothing is grouped again
-    pairs = detections.join(window_seats.groupBy(*keys).agg(F.collect_list(F.struct("seat_id", "ord", *BOX)).alias("_seats")), keys, "left")
-    pairs = pairs.withColumn("_seats", F.filter("_seats", lambda s: touching(d, _sides(s))))
-    best = pairs.withColumn("_best", F.array_max(F.transform("_seats", lambda s: F.struct(F.round(box_iou(d, _sides(s)), 12).alias("iou"), (-s["ord"]).alias("o"), s["seat_id"].alias("seat_id")))))
-    best = best.withColumn("_near", F.array_min(F.transform(F.filter("_seats", lambda s: contains(_sides(s), cx, cy)), far)))
-    own = detections.columns
-    by_iou = F.col("_best.iou") >= p.assign_iou
-    return best.select(*own, F.when(by_iou, F.col("_best.seat_id")).otherwise(F.col("_near.seat_id")).alias("seat_id"), F.when(by_iou, "iou").when(F.col("_near").isNotNull(), "centre").alias("how"))
+    pairs = detections.join(window_seats.groupBy(*keys).agg(F.collect_list(F.struct("seat_id", "ord", *(F.col(c).cast("double").alias(c) for c in BOX))).alias("_seats")), keys, "left")
+    met = F.transform(_met(F.col("_seats"), d), lambda m: F.struct(m["s"].alias("s"), F.round(m["iou"], 12).alias("iou")))
+    ranks = F.transform(met, rank)
+    best = pairs.withColumn("_best", F.array_max(F.filter(ranks, lambda r: r["iou"].isNotNull() | r["near"].isNotNull())))
+    return best.select(*detections.columns, F.col("_best.seat_id").alias("seat_id"), F.when(F.col("_best.iou").isNotNull(), "iou").when(F.col("_best.near").isNotNull(), "centre").alias("how"))
 
 
 def assign_sweep(detections: DataFrame, seats: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """As assign_seats for sparse sweeps: the highest IoU above 0, else the first seat that contains the centre.
+    """As assign_seats for sparse sweeps: the highest IoU above 0, else the first seat that contains the centre; of equal
+    ones the smallest seat_id.  Detections without a seat are left out.
 
-    seats (seat_id, x0 .. y1) of the whole recording, in order of seat_id.
+    seats (keys, seat_id, x0 .. y1): all of a recording.
     """
     d = box()
     cx, cy = centre(d)
-    overlaps = F.transform("_seats", lambda s: F.struct(F.round(box_iou(d, _sides(s)), 12).alias("iou"), (-s["seat_id"]).alias("o"), s["seat_id"].alias("seat_id")))
-    own = detections.columns
-    near = _beside(detections, seats, keys).withColumn("_seats", F.filter("_seats", lambda s: touching(d, _sides(s))))
-    best = near.withColumn("_best", F.array_max(F.filter(overlaps, lambda o: o["iou"] > 0)))
-    best = best.withColumn("_in", F.array_min(F.transform(F.filter("_seats", lambda s: contains(_sides(s), cx, cy)), lambda s: s["seat_id"])))
-    return best.select(*own, F.coalesce("_best.seat_id", "_in").alias("seat_id")).where(F.col("seat_id").isNotNull())
+    near = _beside(detections, seats, keys)
+    good = F.filter(_met(F.col("_seats"), d), lambda m: (m["iou"] > 0) | contains(_sides(m["s"]), cx, cy))
+    ranks = F.transform(good, lambda m: F.struct(F.round(m["iou"], 12).alias("iou"), (-m["s"]["seat_id"]).alias("o"), m["s"]["seat_id"].alias("seat_id")))
+    # exploded, not filtered: a filter would be moved below and rank everything twice
+    best = near.withColumn("_best", F.explode(F.array_compact(F.array(F.array_max(ranks)))))
+    return best.select(*detections.columns, F.col("_best.seat_id").alias("seat_id"))
 
 
 def _sides(s: Column) -> tuple:
     return tuple(s[c] for c in BOX)
 
 
+def _met(seats: Column, d: tuple) -> Column:
+    """Of an array of seats those that touch box d, as array<struct<s, iou>>.  The formula of
+    box_iou in steps, as a lambda computes anew whatever its text repeats."""
+
+    def shared(s):
+        w, h = F.least(d[2], s["x1"]) - F.greatest(d[0], s["x0"]), F.least(d[3], s["y1"]) - F.greatest(d[1], s["y0"])
+        return F.struct(s.alias("s"), (F.greatest(w, F.lit(0.0)) * F.greatest(h, F.lit(0.0))).alias("shared"))
+
+    def union(m):
+        s = m["s"]
+        return F.struct(s.alias("s"), m["shared"].alias("shared"), ((d[2] - d[0]) * (d[3] - d[1]) + (s["x1"] - s["x0"]) * (s["y1"] - s["y0"]) - m["shared"]).alias("union"))
+
+    def iou(m):
+        return F.struct(m["s"].alias("s"), F.when((m["shared"] > 0) & (m["union"] > 0), m["shared"] / m["union"]).otherwise(0.0).alias("iou"))
+
+    near = F.filter(seats, lambda s: touching(d, _sides(s)))
+    return F.transform(F.transform(F.transform(near, shared), union), iou)
+
+
 def _beside(detections: DataFrame, seats: DataFrame, keys: list[str] | None) -> DataFrame:
     """detections with _seats: the seats of their camera (tens), as an array; of the keys' recording, or of all, which
     then must be one recording's."""
     if not keys and "video" in seats.columns:
         raise ValueError("seats of several recordings need keys")
-    s = seats.groupBy(*(keys or [])).agg(F.collect_list(F.struct("seat_id", *BOX)).alias("_seats"))
+    s = seats.groupBy(*(keys or [])).agg(F.collect_list(F.struct("seat_id", *(F.col(c).cast("double").alias(c) for c in BOX))).alias("_seats"))
     return detections.join(s, keys, "left") if keys else detections.join(F.broadcast(s), F.lit(True))  # one row
 
 
 def unseated_persons(detections: DataFrame, seats: DataFrame, p: Params = DEFAULTS, keys: list[str] | None = None) -> DataFrame:
     """Persons that no seat (of their recording, the keys) overlaps by unseated_iou."""
     persons = _beside(detections.where(F.col("cls_id") == PERSON), seats, keys)
-    taken = F.exists("_seats", lambda s: touching(box(), _sides(s)) & (box_iou(box(), _sides(s)) >= p.unseated_iou))
+    taken = F.exists(_met(F.col("_seats"), box()), lambda m: m["iou"] >= p.unseated_iou)
     return persons.where(~F.coalesce(taken, F.lit(False))).select(*detections.columns)
 
 
