@@ -5,14 +5,15 @@ and each run of non-blank lines, without comment markers.  Sparse multinomial lo
 word 1- to 3-grams identifies a licence family or the class "unknown", whose score
 is calibrated so that at most ``false_rate`` of the corpus's foreign paragraphs get a
 family.  A family is confirmed where one of its templates shares at least
-``overlap`` of its word bigrams with the paragraph.  A line that is just a licence's
+``overlap`` of its word bigrams with the paragraph, or where the paragraph grants under one of
+its names ("may be used under the terms of the MIT License").  A line that is just a licence's
 title, and an SPDX identifier, are told by rule (probability and overlap 1).
 
 Only paragraphs with one of the gate words are classified.  They follow from the
 overlap: without all gate words of a template, so many of its bigrams are missing that
-no paragraph can reach the overlap (see gate_words), so nothing is lost.  Foreign
+no paragraph can reach the overlap (see gate_words), so nothing is lost; the cues of the names are gate words too.  Foreign
 paragraphs are those behind the gate that share less than half the overlap with every
-template, in documents of which no paragraph reaches it or is told by rule (other lines
+template and hold no family's name, in documents of which no paragraph reaches it, grants under a name or is told by rule (other lines
 of a licence are not foreign); the calibration counts all of them, equal ones once.
 
 The model is fitted on the driver from the templates, variants of them, fixed foreign
@@ -39,7 +40,7 @@ from .tables import written
 UNKNOWN = "unknown"
 
 #: What a text must contain for a rule on SPDX identifiers or titles to hold (fixed values).
-RULE_CUES = ["license", "spdx", "attribution", "cc by", "cc-by", "cc0"]
+RULE_CUES = ["license", "spdx", "attribution", "cc by", "cc-by", "cc0", "licence", "gpl", "mpl ", "mpl-", "epl ", "epl-", "bsd-", "apache-2", "creative commons"]
 
 #: Families of SPDX identifiers, the first that fits (fixed patterns).
 SPDX = [
@@ -64,6 +65,26 @@ TITLES = [
     ("Unlicense", "(the )?unlicense"),
 ]
 
+#: Names of the families within a paragraph's words (fixed patterns); a version may follow.
+NAMED = [
+    ("AGPL", "gnu affero general public licen[sc]e|(gnu )?agpl"),
+    ("LGPL", "gnu (lesser|library) general public licen[sc]e|(gnu )?lgpl"),
+    ("GPL", "gnu general public licen[sc]e|(gnu )?gpl"),
+    ("MIT", "(mit|expat|x11)( x11)? licen[sc]e"),
+    ("Apache", "apache (software )?licen[sc]e|apache[ -]2(.0)?( licen[sc]e)?"),
+    ("BSD", "((new|modified|simplified|original|revised) )?([0-4]-clause )?bsd( [0-4]-clause)? licen[sc]e|bsd-[0-4]-clause"),
+    ("MPL", "mozilla public licen[sc]e|mpl"),
+    ("EPL", "eclipse public licen[sc]e|epl"),
+    ("CC-BY-NC", "(creative commons )?attribution[ -]noncommercial([ -](sharealike|noderivatives|noderivs))?|cc[ -]by-nc(-sa|-nd)?"),
+    ("CC-BY-SA", "(creative commons )?attribution[ -]sharealike|cc[ -]by-sa"),
+    ("CC-BY", "creative commons attribution(?![ -](non|share|no))|cc[ -]by"),
+    ("CC0", "cc0|creative commons zero"),
+    ("ISC", "isc licen[sc]e"),
+    ("Unlicense", "unlicense"),
+]
+#: Words right before a name that make it a grant (fixed pattern).
+GRANT = "(?:(?:licen[sc]ed|released|distributed|available|published|provided|offered|shared|covered|governed|dedicated|use|used|copied|copy|redistribute|modify)(?: [^ ]+){0,6}? (?:under|by|to)(?: the)?(?: terms(?: and conditions)? of)?|see)(?: the| a| an)? "
+
 #: Notices and characteristic paragraphs of licence families (fixed values).
 TEMPLATES = {
     "GPL": [
@@ -72,6 +93,7 @@ TEMPLATES = {
         "Licensed under the GNU General Public License v2.0 or later.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
         "You should have received a copy of the GNU General Public License along with this program.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
     ],
     "LGPL": [
         "Licensed under the GNU Lesser General Public License, version 2.1.",
@@ -94,12 +116,14 @@ TEMPLATES = {
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
         "Released under the Apache 2.0 license.",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
         "SPDX-License-Identifier: Apache-2.0",
     ],
     "BSD": [
         "Released under the BSD 3-Clause License.",
         "Licensed under the BSD 2-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "SPDX-License-Identifier: BSD-3-Clause",
     ],
@@ -247,6 +271,11 @@ def training_texts(templates: dict[str, list[str]], seed: int = 5) -> list[tuple
             more += [(f, " ".join(x for x in w if chance.random() > 0.15)) for _ in range(3)]
         other = chance.choice(FOREIGN).split(" ")
         more.append((f, " ".join([*other[: chance.randint(0, 6)], *w, *other[: chance.randint(0, 6)]])))
+    for f in sorted(NAMES):
+        for n in NAMES[f]:  # names among other words
+            for _ in range(4):
+                other = chance.choice(FOREIGN).split(" ")
+                more.append((f, " ".join([*other[: chance.randint(0, 8)], n, *other[: chance.randint(0, 4)]])))
     return texts + more
 
 
@@ -335,12 +364,24 @@ def _told(text: Column) -> Column:
     return F.array_distinct(F.filter(both, lambda x: x.isNotNull()))
 
 
+def _granted(text: Column) -> Column:
+    """array<string>: the families under whose names a paragraph's words grant."""
+    name = lambda pattern: f"(?:^| ){GRANT}(?:{pattern})(?:-?v?[0-9][0-9.]*)?(?:-only|-or-later)?(?: |$)"
+    granted = F.array_compact(F.array(*(F.when(text.rlike(name(pattern)), F.lit(f)) for f, pattern in NAMED)))
+    return F.when(text.rlike(f"(?:^| ){GRANT}"), granted).otherwise(F.array().cast("array<string>"))
+
+
+def _names(text: Column) -> Column:
+    """Whether a paragraph's words hold any family's name."""
+    return text.rlike(f"(?:^| )(?:{'|'.join(pattern for _, pattern in NAMED)})")
+
+
 @dataclass(frozen=True)
 class Paragraphs:
     """The paragraphs of a corpus that may be licences, as written tables."""
 
     places: DataFrame  #: doc_id, _row, first, last, words, _told, _text: one row for each
-    seen: DataFrame  #: _text, _n, ids (of its n-grams in the vocabulary), shares (of each template's bigrams): one row for equal ones
+    seen: DataFrame  #: _text, _n, granted (families), named (any), ids (of its n-grams in the vocabulary), shares (of each template's bigrams): one row for equal ones
     foreign: DataFrame  #: _text of the foreign ones
     templates: dict[str, list[str]]
 
@@ -360,17 +401,17 @@ def license_paragraphs(docs: DataFrame, overlap: float = 0.7, templates: dict[st
     places = written(some.select("doc_id", "_row", "first", "last", F.size("_words").alias("words"), told.alias("_told"), F.array_join("_words", " ").alias("_line"), F.sha2(F.array_join("_words", " "), 256).alias("_text")))
     # equal paragraphs are classified once, whatever group of copies they come from
     distinct = places.select("_text", "_line").dropDuplicates(["_text"]).withColumn("_words", F.split("_line", " "))
-    distinct = distinct.select("_text", F.array_distinct(F.concat(*(_n_grams(F.col("_words"), n) for n in (1, 2, 3)))).alias("_grams"))
+    distinct = distinct.select("_text", _granted(F.col("_line")).alias("granted"), _names(F.col("_line")).alias("named"), F.array_distinct(F.concat(*(_n_grams(F.col("_words"), n) for n in (1, 2, 3)))).alias("_grams"))
     # the templates bound the vocabulary, so it is sent to every task
     words = F.broadcast(spark.createDataFrame(sorted(number.items()), "gram string, id int"))
-    found = distinct.select("_text", F.size("_grams").alias("_n"), F.explode("_grams").alias("gram")).join(words, "gram")
+    found = distinct.select("_text", "granted", "named", F.size("_grams").alias("_n"), F.explode("_grams").alias("gram")).join(words, "gram")
     bigrams = F.from_json(F.lit(json.dumps([[number[g] for g in x] for _, x in own])), "array<array<int>>")
     share = F.transform(bigrams, lambda t: F.size(F.array_intersect(F.col("ids"), t)) / F.size(t))
-    seen = found.groupBy("_text", "_n").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("shares", share)
+    seen = found.groupBy("_text", "_n", "granted", "named").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("shares", share)
     seen = written(seen)
-    nearest = places.select("_row", "_text", (F.size("_told") > 0).alias("_ruled")).join(seen.select("_text", F.array_max("shares").alias("_s")), "_text")
-    licensed = nearest.where(F.col("_ruled") | (F.col("_s") >= overlap)).select("_row").distinct()
-    foreign = nearest.where(F.col("_s") < overlap / 2).join(licensed, "_row", "left_anti").select("_text").distinct()
+    nearest = places.select("_row", "_text", (F.size("_told") > 0).alias("_ruled")).join(seen.select("_text", (F.size("granted") > 0).alias("_granted"), "named", F.array_max("shares").alias("_s")), "_text")
+    licensed = nearest.where(F.col("_ruled") | F.col("_granted") | (F.col("_s") >= overlap)).select("_row").distinct()
+    foreign = nearest.where(~F.col("named") & (F.col("_s") < overlap / 2)).join(licensed, "_row", "left_anti").select("_text").distinct()
     return Paragraphs(places.drop("_line"), seen, written(foreign), templates)
 
 
@@ -399,7 +440,7 @@ def _unknown_score(scored: DataFrame, paragraphs: Paragraphs, false_rate: float)
 
 def scan_licenses(docs: DataFrame, model: LicenseModel, overlap: float = 0.7, least: float = 0.5, false_rate: float = 0.001, paragraphs: Paragraphs | None = None) -> DataFrame:
     """doc_id, paragraph (number of its first line from 0), family, probability, template_overlap, words: the paragraphs
-    whose predicted family has probability of at least ``least`` and a template that confirms it, or that a rule tells.
+    whose predicted family has probability of at least ``least`` and a template or a grant under its name that confirms it, or that a rule tells.
     Of paragraphs of one family, those that hold another that is found are left out.  Repeated rows repeat.
 
     paragraphs: what license_paragraphs() made of docs with the same overlap, if it is there already."""
@@ -410,16 +451,17 @@ def scan_licenses(docs: DataFrame, model: LicenseModel, overlap: float = 0.7, le
     weights = F.broadcast(spark.createDataFrame([(number[g], w) for g, w in sorted(model.weights.items())], "id int, w array<double>"))
     sums = p.seen.select("_text", F.explode("ids").alias("id")).join(weights, "id").groupBy("_text").agg(*(F.sum(F.get("w", j)).alias(f"s{j}") for j in range(k)))
     scores = F.array(*(F.lit(model.bias[j]) + F.coalesce(F.col(f"s{j}"), F.lit(0.0)) / F.sqrt("_n") for j in range(k)))
-    scored = written(p.seen.select("_text", "_n", "shares").join(sums, "_text", "left").select("_text", "shares", scores.alias("scores")))
+    scored = written(p.seen.select("_text", "_n", "granted", "shares").join(sums, "_text", "left").select("_text", "granted", "shares", scores.alias("scores")))
     unknown = F.lit(_unknown_score(scored, p, false_rate))
     top = F.greatest(F.array_max("scores"), unknown)
     z = F.aggregate("scores", F.exp(unknown - F.col("top")), lambda a, x: a + F.exp(x - F.col("top")))
     best = (F.array_position("scores", F.array_max("scores")) - 1).cast("int")
     mine = F.from_json(F.lit(json.dumps([[t for t, (f, _) in enumerate(model.templates) if f == family] for family in model.families])), "array<array<int>>")
     shared = F.array_max(F.transform(F.get(mine, F.col("_family")), lambda t: F.get("shares", t)))
-    good = scored.withColumn("top", top).withColumn("_family", best).select("_text", "_family", (F.exp(F.array_max("scores") - F.col("top")) / z).alias("probability"), shared.alias("template_overlap"))
-    good = good.where((F.col("probability") >= least) & (F.col("template_overlap") >= overlap))
+    good = scored.withColumn("top", top).withColumn("_family", best).select("_text", "_family", "granted", (F.exp(F.array_max("scores") - F.col("top")) / z).alias("probability"), shared.alias("template_overlap"))
     names = F.array(*(F.lit(f) for f in model.families))
+    named = F.array_contains("granted", F.get(names, F.col("_family")))
+    good = good.where((F.col("probability") >= least) & ((F.col("template_overlap") >= overlap) | named))
     good = good.select("_text", F.get(names, F.col("_family")).alias("family"), "probability", "template_overlap")
     both = p.places.join(good, "_text", "left")
     ruled = F.transform(F.filter("_told", lambda f: ~f.eqNullSafe(F.col("family"))), lambda f: F.struct(f.alias("family"), F.lit(1.0).alias("probability"), F.lit(1.0).alias("template_overlap")))

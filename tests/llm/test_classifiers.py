@@ -209,6 +209,27 @@ def test_license_scan_of_reworded_notices_and_calibration(documents):
     assert scored.count() == 0
 
 
+def test_license_scan_of_grants_under_names(documents):
+    """Sentences that training has not seen, under all names of all families; mentions that grant nothing; usual other paragraphs."""
+    frames = ["You may use these files under the terms of the {}.", "The code in this folder is distributed under {}.", "All examples of the book are made available to readers under the {} by the author.", "The dataset was released to the public under the {}."]
+    grants = [(f.format(n), family) for family in sorted(license_scan.NAMES) for n in license_scan.NAMES[family] for f in frames]
+    known = [(f.format(n), family) for family in sorted(license_scan.NAMES) for n in license_scan.NAMES[family] for f in license_scan.FRAMES]
+    mentions = ["The {} was debated by the council for an hour.", "Nobody in the room had read the {}."]
+    plain = [f.format(n) for names in license_scan.NAMES.values() for n in names for f in mentions] + license_scan.FOREIGN
+    plain += [f"He was released under bail {i} of the public court and could not renew his licence or license." for i in range(300)]
+    texts = [*grants, *known, *((x, None) for x in plain)]
+    docs = documents(list(enumerate(t for t, _ in texts)))
+    paragraphs = license_scan.license_paragraphs(docs)
+    model = license_scan.fit_licenses(license_scan.foreign_paragraphs(paragraphs))
+    got = {}
+    for r in license_scan.scan_licenses(docs, model, paragraphs=paragraphs).collect():
+        got.setdefault(r["doc_id"], set()).add(r["family"])
+    missed = [(t, f, got.get(i)) for i, (t, f) in enumerate(texts) if f and got.get(i) != {f}]
+    assert not [(texts[i], f) for i, f in got.items() if texts[i][1] is None]
+    assert sum(t in dict(grants) for t, *_ in missed) <= 0.1 * len(grants)
+    assert len(missed) <= 0.1 * (len(grants) + len(known))
+
+
 def test_license_query_finds_planted_lines(spark):
     import re
 
