@@ -400,7 +400,8 @@ def license_paragraphs(docs: DataFrame, overlap: float = 0.7, templates: dict[st
     told = F.when(F.col("first") == F.col("last"), _told(F.array_join("_words", " "))).otherwise(F.array().cast("array<string>"))
     places = written(some.select("doc_id", "_row", "first", "last", F.size("_words").alias("words"), told.alias("_told"), F.array_join("_words", " ").alias("_line"), F.sha2(F.array_join("_words", " "), 256).alias("_text")))
     # equal paragraphs are classified once, whatever group of copies they come from
-    distinct = places.select("_text", "_line").dropDuplicates(["_text"]).withColumn("_words", F.split("_line", " "))
+    # (cut into words below the grouping, as a lambda above it would cut a line anew for each word)
+    distinct = places.select("_text", F.split("_line", " ").alias("_words"), "_line").dropDuplicates(["_text"])
     distinct = distinct.select("_text", _granted(F.col("_line")).alias("granted"), _names(F.col("_line")).alias("named"), F.array_distinct(F.concat(*(_n_grams(F.col("_words"), n) for n in (1, 2, 3)))).alias("_grams"))
     # the templates bound the vocabulary, so it is sent to every task
     words = F.broadcast(spark.createDataFrame(sorted(number.items()), "gram string, id int"))
