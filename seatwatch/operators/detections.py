@@ -26,16 +26,25 @@ def sweep_samples(duration: Column, p: Params = DEFAULTS) -> Column:
     return F.least(F.greatest(F.floor(duration / step), F.lit(1)), F.lit(p.sweep_samples)).cast("int")
 
 
-def first_frames_after(targets: DataFrame, frames: DataFrame, keys: list[str], tolerance: float = 1e-6) -> DataFrame:
+#: Seconds of a recording whose frames are walked together.
+FRAME_BLOCK_S = 600.0
+
+
+def first_frames_after(targets: DataFrame, frames: DataFrame, keys: list[str], tolerance: float = 1e-6, block_s: float = FRAME_BLOCK_S) -> DataFrame:
     """targets (keys, sample, target) with ``t``: the first frame at or after the target; targets past the end drop.
 
-    One pass over targets and frames in order of time: the next frame is the least time among what follows.
+    Blocks of block_s seconds are walked apart, from their end: the next frame is the last one met.  A block that has none
+    left takes the first frame of the next block that holds any, from one row a block.
     """
     marks = targets.select(*keys, "sample", "target", (F.col("target") - tolerance).alias("_at"), F.lit(None).cast("double").alias("_t"))
     times = frames.select(*keys, F.lit(None).cast(dict(targets.dtypes)["sample"]).alias("sample"), F.lit(None).cast("double").alias("target"), F.col("t").alias("_at"), F.col("t").alias("_t"))
-    after = Window.partitionBy(*keys).orderBy("_at", F.col("_t").asc_nulls_first()).rowsBetween(0, Window.unboundedFollowing)
-    out = marks.unionByName(times).withColumn("t", F.first("_t", ignorenulls=True).over(after))
-    return out.where(F.col("sample").isNotNull() & F.col("t").isNotNull()).select(*keys, "sample", "target", "t")
+    both = marks.unionByName(times).withColumn("_block", F.floor(F.col("_at") / block_s)).where(F.col("_block").isNotNull())
+    back = Window.partitionBy(*keys, "_block").orderBy(F.col("_at").desc(), F.col("_t").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumn("_own", F.last("_t", ignorenulls=True).over(back)).where(F.col("sample").isNotNull())
+    later = Window.partitionBy(*keys).orderBy(F.col("_block").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = both.groupBy(*keys, "_block").agg(F.min("_t").alias("_first")).withColumn("_later", F.last("_first", ignorenulls=True).over(later))
+    out = met.join(blocks.drop("_first"), [*keys, "_block"]).withColumn("t", F.coalesce("_own", "_later"))
+    return out.where(F.col("t").isNotNull()).select(*keys, "sample", "target", "t")
 
 
 def thin_frames(frames: DataFrame, fps: float | None, keys: list[str], p: Params = DEFAULTS) -> DataFrame:
@@ -360,9 +369,10 @@ def interpolate(samples: DataFrame, targets: DataFrame, values: list[str], keys:
     """
     s = samples.groupBy(*keys, "t").agg(F.min(F.struct(*values)).alias("_s")).select(*keys, "t", F.struct("t", "_s.*").alias("_s"), F.lit(False).alias("_target"))
     q = targets.select(*keys, "t", F.lit(None).cast(s.schema["_s"].dataType).alias("_s"), F.lit(True).alias("_target"))
-    by = Window.partitionBy(*keys).orderBy("t", "_target")
+    by, back = Window.partitionBy(*keys).orderBy("t", "_target"), Window.partitionBy(*keys).orderBy(F.col("t").desc(), F.col("_target").desc())
     u = s.unionByName(q)
-    u = u.withColumn("_before", F.last("_s", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_after", F.first("_s", ignorenulls=True).over(by.rowsBetween(0, Window.unboundedFollowing)))
+    # both run from an end: a window to the last row is walked anew for each row
+    u = u.withColumn("_before", F.last("_s", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_after", F.last("_s", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
     u = u.where("_target")
     a, b, t = F.col("_before"), F.col("_after"), F.col("t")
     share = (t - a["t"]) / F.greatest(b["t"] - a["t"], F.lit(1e-6))
