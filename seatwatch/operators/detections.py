@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,17 +48,58 @@ def first_frames_after(targets: DataFrame, frames: DataFrame, keys: list[str], t
     return out.where(F.col("t").isNotNull()).select(*keys, "sample", "target", "t")
 
 
-def thin_frames(frames: DataFrame, fps: float | None, keys: list[str], p: Params = DEFAULTS) -> DataFrame:
-    """The frames (keys, t) that a greedy reader at ``fps`` (None: the parameters') keeps: the next is due 1 / fps after the last kept."""
-    step = 1.0 / (fps or p.fps)
-
-    def keep(acc, t):
-        due = F.coalesce(t >= acc["due"], F.lit(True))
-        return F.when(due, F.struct((t + step).alias("due"), F.concat(acc["kept"], F.array(t)).alias("kept"))).otherwise(acc)
+def thin_frames(frames: DataFrame, fps: float | None, keys: list[str], p: Params = DEFAULTS, block_s: float = FRAME_BLOCK_S) -> DataFrame:
+    """The frames (keys, t) that a greedy reader at ``fps`` (None: the parameters') keeps: the next is due 1 / fps after the last kept.
 
-    empty = F.struct(F.lit(None).cast("double").alias("due"), F.array().cast("array<double>").alias("kept"))
-    times = frames.groupBy(*keys).agg(F.array_sort(F.collect_list("t")).alias("_ts"))
-    return times.select(*keys, F.explode(F.aggregate("_ts", empty, keep, lambda a: a["kept"])).alias("t"))
+    Blocks of block_s seconds are walked apart.  What a block keeps follows from the first frame that it keeps; each that may
+    be that one (those of its first step) is followed to the block's end, and one pass over these few rows a block finds
+    where each block starts.
+    """
+    step = 1.0 / (fps or p.fps)
+    block = F.floor(F.col("t") / block_s).cast("long").alias("_block")
+    at = frames.where(F.col("t").isNotNull()).select(*keys, block, F.col("t").cast("double").alias("t"))
+    types = dict(at.dtypes)
+    head = ", ".join(f"`{k}` {types[k]}" for k in [*keys, "_block"])
+
+    def like(table: pa.Table, **columns) -> pa.Table:
+        """columns under the keys of the table's one group."""
+        n = len(next(iter(columns.values())))
+        lead = {k: table[k].take(np.zeros(n, int)) for k in table.column_names if k in keys or k == "_block"}
+        return pa.table({**lead, **{c: pa.array(v) for c, v in columns.items()}})
+
+    def ways(table: pa.Table) -> pa.Table:
+        t = np.sort(table["t"].to_numpy())
+        after = np.searchsorted(t, t + step)
+        last = np.where(after < len(t), after, np.arange(len(t)))
+        while (last[last] != last).any():  # twice as far in each round
+            last = last[last]
+        some = int(after[0]) + 1  # the last frame before the block may be due as late as the first one's next
+        return like(table, t=t[:some], due=t[last[:some]] + step)
+
+    def starts(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("_block", "ascending"), ("t", "ascending")])
+        block, t, due = (table[c].to_numpy() for c in ("_block", "t", "due"))
+        cuts = np.flatnonzero(np.diff(block, prepend=block[0] - 1))
+        rows, at = [], -np.inf
+        for a, b in zip(cuts, [*cuts[1:], len(t)]):
+            i = a + int(np.searchsorted(t[a:b], at))
+            if i < b:
+                rows.append(i)
+                at = due[i]
+        return table.take(np.array(rows, int)).select([*keys, "_block", "t"])
+
+    def keep(table: pa.Table, start: pa.Table) -> pa.Table:
+        t = np.sort(table["t"].to_numpy())
+        after = np.searchsorted(t, t + step)
+        kept, i = [], int(np.searchsorted(t, start["t"][0].as_py())) if len(start) else len(t)
+        while i < len(t):
+            kept.append(i)
+            i = int(after[i])
+        return like(table, t=t[np.array(kept, int)]).drop_columns("_block")
+
+    first = at.groupBy(*keys, "_block").applyInArrow(ways, f"{head}, t double, due double").groupBy(*keys).applyInArrow(starts, f"{head}, t double")
+    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "t double"])
+    return at.groupBy(*keys, "_block").cogroup(first.groupBy(*keys, "_block")).applyInArrow(keep, schema)
 
 
 def scan_detections(detections: DataFrame, least: dict[int, float]) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Sampling of frames in blocks of time, against plain walks, and on many frames."""
+"""Sampling and thinning of frames in blocks of time, against plain walks, and on many frames."""
 
 import random
 
@@ -28,8 +28,24 @@ def test_first_frames_equal_all_comparisons(spark, block_s):
     assert {(r["k"], r["sample"]): r["t"] for r in got.collect()} == want and len(want) > 100
 
 
+@pytest.mark.parametrize("block_s", [0.2, 7.0, 600.0])
+def test_thinned_frames_equal_a_walk(spark, block_s):
+    own = {k: times(20 + i, 400) for i, k in enumerate("ab")}
+    want = set()
+    for k, ts in own.items():
+        due = float("-inf")
+        for t in sorted(ts):
+            if t >= due:
+                want.add((k, t))
+                due = t + 0.5
+    frames = spark.createDataFrame([(k, t) for k, ts in own.items() for t in ts] + [("a", None)], "k string, t double")
+    got = [(r["k"], r["t"]) for r in detections.thin_frames(frames, 2.0, ["k"], block_s=block_s).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_work_is_in_proportion_to_frames(spark):
-    """A window to the end of all frames would take hours for these."""
+    """A window to the end of all frames, or an array that grows a frame at a time, would take hours for these."""
     frames = spark.range(2_000_000).select(F.lit("a").alias("k"), (F.col("id") / 10).alias("t"))
+    assert detections.thin_frames(frames, 2.0, ["k"]).count() == 400_000
     targets = spark.range(720).select(F.lit("a").alias("k"), F.col("id").cast("int").alias("sample"), (F.col("id") * 277.77).alias("target"))
     assert detections.first_frames_after(targets, frames, ["k"]).where("t - target BETWEEN -1e-6 AND 0.1").count() == 720
