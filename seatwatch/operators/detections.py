@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,24 +138,68 @@ def merge_scales(scales: list[DataFrame], p: Params = DEFAULTS, keys: list[str]
     return suppress(out.withColumn("det_idx", F.row_number().over(order).cast("long")).drop("scale"), p, keys)
 
 
+def kept_boxes(boxes: np.ndarray, most: float) -> np.ndarray:
+    """Which of boxes (in order of rank) greedy suppression keeps: those that no kept one before them overlaps by more than ``most``.
+
+    Boxes lie in a grid by their first corner.  Boxes that overlap by more than a share have sides and corners that differ
+    by little, so a kept box looks at the cells nearby only, and at boxes that are still open.
+    """
+    whole = np.isfinite(boxes).all(axis=1)
+    wide, high = boxes[:, 2] - boxes[:, 0], boxes[:, 3] - boxes[:, 1]
+    keep = ~(whole & (wide > 0) & (high > 0))  # the rest overlap nothing
+    area, slack = wide * high, (1 - most) / most if most > 0 else np.inf
+    todo = np.flatnonzero(~keep)
+    gone = keep.copy()
+    while len(todo):
+        x, y = boxes[todo, 0], boxes[todo, 1]
+        cell = lambda at, side: max(float(np.median(side[todo])) / 2, float(np.ptp(at)) / 255, 1e-9)
+        cx, cy, left, top = cell(x, wide), cell(y, high), float(x.min()), float(y.min())
+        column, row = ((x - left) // cx).astype(np.int64), ((y - top) // cy).astype(np.int64)
+        columns, rows = int(column.max()) + 1, int(row.max()) + 1
+        place = row * columns + column
+        order = np.argsort(place, kind="stable")
+        cuts = np.searchsorted(place[order], np.arange(rows * columns + 1)).tolist()
+        own = todo[order]
+        closed, limit = 0, max(64, len(todo) // 2)
+        for i in todo.tolist():
+            if gone[i]:
+                continue
+            gone[i] = keep[i] = True
+            x0, y0, x1, y1 = boxes[i].tolist()
+            dx, dy = slack * (x1 - x0) * (1 + 1e-9) + 1e-9 * cx, slack * (y1 - y0) * (1 + 1e-9) + 1e-9 * cy
+            at = lambda v, last: int(min(max(v, 0), last))
+            c0, c1 = at((x0 - dx - left) / cx - 1e-6, columns - 1), at((x0 + dx - left) / cx + 1e-6, columns - 1)
+            r0, r1 = at((y0 - dy - top) / cy - 1e-6, rows - 1), at((y0 + dy - top) / cy + 1e-6, rows - 1)
+            near = np.concatenate([own[cuts[r * columns + c0] : cuts[r * columns + c1 + 1]] for r in range(r0, r1 + 1)])
+            near = near[~gone[near]]
+            closed += 1
+            if len(near):
+                b = boxes[near]
+                w = np.maximum(np.minimum(x1, b[:, 2]) - np.maximum(x0, b[:, 0]), 0.0)
+                h = np.maximum(np.minimum(y1, b[:, 3]) - np.maximum(y0, b[:, 1]), 0.0)
+                shared = w * h
+                hit = near[(shared > 0) & (shared / (area[i] + area[near] - shared) > most)]
+                gone[hit] = True
+                closed += len(hit)
+            if closed > limit:
+                break
+        todo = todo[~gone[todo]]  # a new grid of those that are open
+    return np.flatnonzero(keep)
+
+
 def suppress(detections: DataFrame, p: Params = DEFAULTS, keys: list[str] | None = None) -> DataFrame:
     """Greedy non-maximum suppression: by falling confidence (then det_idx) a box stays unless a kept one of
-    its frame and class overlaps it by more than nms_iou.  A suppressed box suppresses nothing.  A fold over
-    one array for each frame and class."""
+    its frame and class overlaps it by more than nms_iou.  A suppressed box suppresses nothing.  A group is one
+    class of a frame."""
     lead = [*(keys or ["frame"]), "cls_id"]
-    rest = [c for c in detections.columns if c not in lead]
-    row = F.struct((-F.col("conf")).alias("_order"), F.col("det_idx").alias("_idx"), F.struct(*rest).alias("d"))
-    boxes = detections.groupBy(*lead).agg(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["d"]).alias("_all"))
-
-    def keep(kept, d):
-        hit = F.exists(kept, lambda k: touching(_sides(k), _sides(d)) & (box_iou(_sides(k), _sides(d)) > p.nms_iou))
-        return F.when(hit, kept).otherwise(F.concat(kept, F.array(d)))
-
-    # the fold carries places and sides only; whole rows are picked by place afterwards
-    slim = F.transform("_all", lambda d, i: F.struct(i.alias("i"), *(d[c].cast("double").alias(c) for c in BOX)))
-    none = F.array().cast(f"array<struct<i: int, {', '.join(f'{c}: double' for c in BOX)}>>")
-    kept = boxes.select(*lead, "_all", F.explode(F.aggregate(slim, none, keep, lambda k: F.transform(k, lambda x: x["i"]))).alias("_i"))
-    return kept.select(*lead, F.get("_all", F.col("_i")).alias("d")).select(*lead, "d.*").select(*detections.columns)
+
+    def stay(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, [("_null", "descending"), ("conf", "descending"), ("det_idx", "ascending")]))
+        boxes = np.stack([table[c].cast(pa.float64()).to_numpy() for c in BOX], 1)
+        return table.take(kept_boxes(boxes, p.nms_iou)).drop_columns("_null")
+
+    rows = detections.withColumn("_null", F.col("conf").isNull())
+    return rows.groupBy(*lead).applyInArrow(stay, detections.schema)
 
 
 def perceive(persons: DataFrame, objects: DataFrame, keys: list[str]) -> DataFrame:
