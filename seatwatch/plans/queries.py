@@ -525,13 +525,13 @@ def _(v):
     folder = sinks.scratch(v.spark)
     w = v.kept("windows").select(*WINDOW, "seat_id", (F.col("window_id") * 8.0).alias("start_sec"), (F.col("window_id") * 8.0 + 8).alias("end_sec"))
     frames, seen = v.window_frames(), v.window_detections()
-    evidence.write_evidence(evidence.packed(w, frames, seen, WINDOW), folder)
-    evidence.write_evidence(evidence.packed(w.where("video = 1"), frames, seen.where(F.col("cls_id") == PHONE), WINDOW), folder)
-    found = evidence.find_evidence(v.spark, folder, w).withColumn("video", F.col("video").cast("int"))
-    d = F.flatten(F.transform("frames", lambda f: f["detections"]))
-    filled = F.size(F.filter("frames", lambda f: F.size(f["detections"]) > 0))
-    place = F.when(F.size(d) > 0, F.round(F.aggregate(d, F.lit(0.0), lambda a, x: a + x["x0"]), 1))
-    return found.select(*WINDOW, "seat_id", F.size("frames").alias("n_frames"), filled.alias("filled"), F.size(d).alias("detections"), F.round(F.array_max(F.transform(d, lambda x: x["conf"])), 4).alias("best"), place.alias("place"))
+    evidence.store_evidence(w, frames, seen, folder, WINDOW)
+    evidence.store_evidence(w.where("video = 1"), frames, seen.where(F.col("cls_id") == PHONE), folder, WINDOW)
+    found = evidence.stored_evidence(v.spark, folder, w).withColumn("video", F.col("video").cast("int"))
+    by_frame = found.groupBy(*WINDOW, "frame").agg(F.count("detection").alias("n"), F.max("detection.conf").alias("best"), F.sum("detection.x0").alias("place"))
+    count = lambda c: F.count(F.when(c, 1)).cast("int")
+    n = by_frame.groupBy(*WINDOW).agg(count(F.col("frame").isNotNull()).alias("n_frames"), count(F.col("n") > 0).alias("filled"), F.sum("n").cast("int").alias("detections"), F.round(F.max("best"), 4).alias("best"), F.round(F.sum("place"), 1).alias("place"))
+    return w.select(*WINDOW, "seat_id").join(n, WINDOW, "left")
 
 
 @query("persons_tracked", f"SELECT {of('w.')}, count(DISTINCT d.track_id) AS n_persons FROM v_windows w LEFT JOIN v_window_detections d ON d.window_id = w.window_id AND d.cls_id = 0 GROUP BY w.window_id", "v_windows", "v_window_detections")
