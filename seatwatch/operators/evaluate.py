@@ -16,7 +16,8 @@ def timed(truth: DataFrame) -> DataFrame:
 
 def truth_overlaps(truth: DataFrame, events: DataFrame) -> DataFrame:
     """Timed truth rows (gt_id, video, ...) with the best interval IoU over their recording's events, 0 where none."""
-    e = events.select("video", F.col("start_sec").alias("r_start"), F.col("end_sec").alias("r_end"))
+    # equal spans overlap alike; only they go through the buckets of all levels
+    e = events.select("video", F.col("start_sec").alias("r_start"), F.col("end_sec").alias("r_end")).distinct()
     t = timed(truth)
     own = t.select("video", "gt_id", F.col("start_sec").alias("l_start"), F.col("end_sec").alias("l_end"))
     best = interval_pairs(own, e, ["video"]).groupBy("gt_id").agg(F.max("tiou").alias("best_tiou"))
