@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -20,28 +22,96 @@ def iou_many(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return np.where((shared > 0) & (union > 0), shared / np.where(union > 0, union, 1), 0.0)
 
 
-def agglomerate(boxes: np.ndarray, join: float, first_match: bool = False, last_tie: bool = False, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Cluster of each box, in order, and the clusters' running mean boxes.
+class Clusters:
+    """Clusters of boxes that come in order, a part at a time, and their running mean boxes.
 
     A box joins the cluster of the highest IoU of at least ``join`` (of ties the first, or the last), or
-    with first_match the first such; else it founds one.  weights: how many boxes each stands for (1).
+    with first_match the first such; else it founds one.  Boxes are chosen for many at a time by the means before them,
+    and the choices are checked against the means that they lead to: up to the first that differs they are those
+    of a walk.
     """
-    weights = np.ones(len(boxes), int) if weights is None else weights
-    cluster = np.zeros(len(boxes), int)
-    mean, size = np.zeros((len(boxes), 4)), np.zeros(len(boxes), int)
-    k = 0
-    for i, b in enumerate(boxes):
-        v = iou_many(b, mean[:k])
-        good = np.flatnonzero(v >= join) if join > 0 else np.flatnonzero(v > 0)
-        if len(good):
-            top = good[0] if first_match else (len(v) - 1 - int(np.argmax(v[::-1])) if last_tie else int(np.argmax(v)))
-            mean[top] = (mean[top] * size[top] + b * weights[i]) / (size[top] + weights[i])
-            size[top] += weights[i]
+
+    MOST, FEW = 512, 64  #: boxes tried at a time; clusters up to which that pays
+
+    def __init__(self, join: float, first_match: bool = False, last_tie: bool = False):
+        self.join, self.first_match, self.last_tie = join, first_match, last_tie
+        self.mean, self.size, self.k, self.ahead = np.zeros((16, 4)), np.zeros(16, int), 0, 8
+
+    def _chosen(self, boxes: np.ndarray, mean: np.ndarray) -> np.ndarray:
+        """The cluster of each box by mean (boxes or 1, clusters, 4), -1 for none."""
+        w = np.maximum(np.minimum(boxes[:, None, 2], mean[..., 2]) - np.maximum(boxes[:, None, 0], mean[..., 0]), 0)
+        h = np.maximum(np.minimum(boxes[:, None, 3], mean[..., 3]) - np.maximum(boxes[:, None, 1], mean[..., 1]), 0)
+        shared = w * h
+        union = ((boxes[:, 2] - boxes[:, 0]) * (boxes[:, 3] - boxes[:, 1]))[:, None] + (mean[..., 2] - mean[..., 0]) * (mean[..., 3] - mean[..., 1]) - shared
+        v = np.where((shared > 0) & (union > 0), shared / np.where(union > 0, union, 1), 0.0)
+        good = v >= self.join if self.join > 0 else v > 0
+        top = good.argmax(1) if self.first_match else v.shape[1] - 1 - v[:, ::-1].argmax(1) if self.last_tie else v.argmax(1)
+        return np.where(good.any(1), top, -1)
+
+    def _one(self, b: np.ndarray, weight: int) -> int:
+        v = iou_many(b, self.mean[: self.k])
+        good = np.flatnonzero(v >= self.join if self.join > 0 else v > 0)
+        top = -1 if not len(good) else int(good[0]) if self.first_match else len(v) - 1 - int(v[::-1].argmax()) if self.last_tie else int(v.argmax())
+        if top < 0:
+            top, self.k = self.k, self.k + 1
+            if self.k > len(self.size):
+                self.mean, self.size = np.concatenate([self.mean, np.zeros_like(self.mean)]), np.concatenate([self.size, np.zeros_like(self.size)])
+            self.mean[top], self.size[top] = b, weight
         else:
-            top, mean[k], size[k] = k, b, weights[i]
-            k += 1
-        cluster[i] = top
-    return cluster, mean[:k]
+            self.mean[top] = (self.mean[top] * self.size[top] + b * weight) / (self.size[top] + weight)
+            self.size[top] += weight
+        return top
+
+    def _many(self, boxes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Clusters of the first boxes, as far as they are sure."""
+        k, n = self.k, len(boxes)
+        own = self._chosen(boxes, self.mean[None, :k])
+        n = int(np.append(own < 0, True).argmax())
+        own, boxes = own[:n], boxes[:n]
+        after, order = np.zeros((n, 4)), np.argsort(own, kind="stable")
+        cut = np.searchsorted(own[order], np.arange(k + 1))
+        count, mean, size = np.diff(cut), self.mean[:k].copy(), self.size[:k].copy()
+        for r in range(int(count.max(initial=0))):  # the r-th box of every cluster
+            c = np.flatnonzero(count > r)
+            i = order[cut[c] + r]
+            mean[c] = (mean[c] * size[c, None] + boxes[i] * weights[i, None]) / (size[c] + weights[i])[:, None]
+            size[c] += weights[i]
+            after[i] = mean[c]
+        latest = np.zeros((n + 1, k), int)  # 1 + the last box before it that each cluster took
+        latest[np.arange(1, n + 1), own] = np.arange(1, n + 1)
+        latest = np.maximum.accumulate(latest, 0)[:n]
+        before = np.where((latest > 0)[..., None], after[latest - 1], self.mean[None, :k]) if n else np.zeros((0, k, 4))
+        sure = int(np.append(self._chosen(boxes, before) != own, True).argmax()) if n else 0
+        for c in np.unique(own[:sure]):
+            mine = np.flatnonzero(own[:sure] == c)
+            self.mean[c] = after[mine[-1]]
+            self.size[c] += int(weights[mine].sum())
+        return own[:sure]
+
+    def add(self, boxes: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+        """The cluster of each box.  weights: how many boxes each stands for (1)."""
+        weights = np.ones(len(boxes), int) if weights is None else weights
+        out, i = np.zeros(len(boxes), int), 0
+        while i < len(boxes):
+            if 0 < self.k <= self.FEW and self.ahead >= 8:
+                own = self._many(boxes[i : i + self.ahead], weights[i : i + self.ahead])
+                out[i : i + len(own)] = own
+                i += len(own)
+                if len(own) >= self.ahead:
+                    self.ahead = min(2 * self.ahead, self.MOST)
+                    continue
+                self.ahead = max(8, self.ahead // 2)
+            if i < len(boxes):
+                out[i] = self._one(boxes[i], int(weights[i]))
+                i += 1
+        return out
+
+
+def agglomerate(boxes: np.ndarray, join: float, first_match: bool = False, last_tie: bool = False, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Cluster of each box, in order, and the clusters' running mean boxes; see Clusters."""
+    found = Clusters(join, first_match, last_tie)
+    own = found.add(boxes, weights)
+    return own, found.mean[: found.k]
 
 
 def seat_clusters(detections: DataFrame, frames: DataFrame, p: Params = DEFAULTS, keys: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
@@ -53,20 +123,37 @@ def seat_clusters(detections: DataFrame, frames: DataFrame, p: Params = DEFAULTS
     keys, order = keys or ["window_id"], order or ["t", "det_idx"]
     persons = detections.where((F.col("cls_id") == PERSON) & (F.col("conf") >= p.detection_conf))
 
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        own, mean = agglomerate(pdf[["x0", "y0", "x1", "y1"]].to_numpy(float), p.seat_join_iou)
-        pdf = pdf.assign(cluster=own, _t=pdf["t"].round(3))
-        out = pdf.groupby("cluster").agg(n=("t", "size"), seen=("_t", "nunique")).reset_index()
-        for i, c in enumerate(("x0", "y0", "x1", "y1")):
-            out[c] = mean[out["cluster"], i]
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[[*keys, "cluster", "x0", "y0", "x1", "y1", "n", "seen"]]
-
     types = dict(detections.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", cluster int, x0 double, y0 double, x1 double, y1 double, n long, seen long"
-    found = persons.select(*keys, "t", *(c for c in order if c != "t"), "x0", "y0", "x1", "y1").groupBy(*keys).applyInPandas(cluster, schema)
+    head = {k: types[k] for k in keys}
+
+    def done(key: tuple, found: Clusters, n: np.ndarray, seen: np.ndarray) -> pd.DataFrame:
+        out = pd.DataFrame({"cluster": range(found.k), **{c: found.mean[: found.k, i] for i, c in enumerate(("x0", "y0", "x1", "y1"))}, "n": n[: found.k], "seen": seen[: found.k]})
+        return out.assign(**dict(zip(keys, key)))[[*keys, "cluster", "x0", "y0", "x1", "y1", "n", "seen"]]
+
+    def clusters(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Windows come one after another, in parts: only clusters are kept of them."""
+        key = None
+        for pdf in parts:
+            same = pdf["_window"].to_numpy()
+            for a, b in zip(cuts := np.flatnonzero(np.append(True, same[1:] != same[:-1])), [*cuts[1:], len(pdf)]):
+                if same[a] != key:
+                    if key is not None:
+                        yield done(names, found, n, seen)
+                    key, names, found, n, seen, last = same[a], tuple(pdf[k].iloc[a] for k in keys), Clusters(p.seat_join_iou), np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+                own, t = found.add(pdf[["x0", "y0", "x1", "y1"]].to_numpy(float)[a:b]), pdf["t"].round(3).to_numpy(float)[a:b]
+                more = found.k - len(n)
+                n, seen, last = np.append(n, np.zeros(more, int)), np.append(seen, np.zeros(more, int)), np.append(last, np.full(more, np.nan))
+                n += np.bincount(own, minlength=found.k)
+                times = pd.DataFrame({"own": own, "t": t}).drop_duplicates()  # times rise within a window
+                seen += np.bincount(times["own"], minlength=found.k) - np.bincount(times["own"], times["t"].to_numpy() == last[times["own"]], minlength=found.k).astype(int)
+                ends = times.drop_duplicates("own", keep="last")
+                last[ends["own"]] = ends["t"]
+        if key is not None:
+            yield done(names, found, n, seen)
+
+    schema = ", ".join(f"{k} {t}" for k, t in head.items()) + ", cluster int, x0 double, y0 double, x1 double, y1 double, n long, seen long"
+    some = persons.select(*keys, "t", *(c for c in order if c != "t"), "x0", "y0", "x1", "y1").withColumn("_window", F.to_json(F.struct(*keys)))
+    found = some.repartition(*keys).sortWithinPartitions("_window", *order).drop(*(c for c in order if c != "t")).mapInPandas(clusters, schema)
     total = frames.groupBy(*keys).agg(F.count("*").alias("_frames"))
     found = found.join(total, keys).withColumn("occupancy", F.col("seen") / F.col("_frames"))
     return found.where(F.col("occupancy") >= p.occupancy).drop("_frames", "seen")
