@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -387,6 +389,64 @@ def drop_fixtures(detections: DataFrame, fixtures: DataFrame, p: Params = DEFAUL
 # --- tracks --------------------------------------------------------------------
 
 
+def nearest_free(at: np.ndarray, last: np.ndarray, reach: float, dense: int = 40_000) -> np.ndarray:
+    """For each point of ``at``, in order, the nearest of ``last`` (strictly under reach, of equal ones the first) that none before
+    it has taken, or -1.
+
+    Many points lie in a grid with few to a cell, which is made anew as they are taken; a point looks at rings of cells until
+    none farther out can be nearer.  Points at one place are one entry.
+    """
+    out = np.full(len(at), -1)
+    whole = np.flatnonzero(np.isfinite(last).all(axis=1))
+    asked = np.flatnonzero(np.isfinite(at).all(axis=1))
+    if len(asked) * len(whole) <= dense:
+        far = np.sqrt((at[asked, None, 0] - last[whole][None, :, 0]) ** 2 + (at[asked, None, 1] - last[whole][None, :, 1]) ** 2)
+        for i, row in zip(asked, far):
+            if len(whole) and row[k := int(row.argmin())] < reach:
+                out[i] = whole[k]
+                far[:, k] = np.inf
+        return out
+    taken, free, built = np.zeros(len(last), bool), len(whole), 0
+    for i in asked.tolist():
+        if not free:
+            break
+        if not built or free < built // 2:
+            left = whole[~taken[whole]]
+            (x0, y0), (wide, high) = last[left].min(axis=0).tolist(), np.ptp(last[left], axis=0).tolist()
+            side = max(math.sqrt(wide * high / len(left)), max(wide, high) / len(left), 1e-9) * 1.5
+            cells: dict[tuple[int, int], dict[tuple[float, float], list[int]]] = {}
+            for k, (x, y) in zip(left[::-1].tolist(), last[left[::-1]].tolist()):  # the first of a place is on top
+                cells.setdefault((int((x - x0) // side), int((y - y0) // side)), {}).setdefault((x, y), []).append(k)
+            columns, rows, built = int(wide // side), int(high // side), len(left)
+        x, y = at[i].tolist()
+        cx, cy = int((x - x0) // side), int((y - y0) // side)
+        r = max(0, -cx, cx - columns, -cy, cy - rows)  # rings before it lie outside
+        final = max(cx, columns - cx, cy, rows - cy)
+        best, first, where = reach, -1, None
+        while r <= final and (r - 1) * side <= best:
+            if r:
+                ring = [(c, d) for d in {cy - r, cy + r} if 0 <= d <= rows for c in range(max(cx - r, 0), min(cx + r, columns) + 1)]
+                ring += [(c, d) for c in {cx - r, cx + r} if 0 <= c <= columns for d in range(max(cy - r + 1, 0), min(cy + r - 1, rows) + 1)]
+            else:
+                ring = [(cx, cy)]
+            for c in ring:
+                for place, stack in cells.get(c, {}).items():
+                    dx, dy = x - place[0], y - place[1]
+                    far = math.sqrt(dx * dx + dy * dy)
+                    if far < best or (far == best and first >= 0 and stack[-1] < first):
+                        best, first, where = far, stack[-1], (c, place)
+            r += 1
+        if where:
+            out[i] = first
+            taken[first] = True
+            free -= 1
+            c, place = where
+            cells[c][place].pop()
+            if not cells[c][place]:
+                del cells[c][place]
+    return out
+
+
 def link_centroids(detections: DataFrame, max_dist: float | str, start_id: int | str, keys: list[str] | None = None) -> DataFrame:
     """detections of each window and class with track_id, by greedy nearest-centroid linking.
     max_dist, start_id: numbers, or columns that hold one for each window and class.
@@ -397,28 +457,26 @@ def link_centroids(detections: DataFrame, max_dist: float | str, start_id: int |
     """
     lead = [*(keys or ["window_id"]), "cls_id"]
 
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "det_idx"]).copy()
-        cx, cy = ((pdf["x0"] + pdf["x1"]) / 2).to_numpy(), ((pdf["y0"] + pdf["y1"]) / 2).to_numpy()
-        one = lambda x: pdf[x].iloc[0] if isinstance(x, str) else x
+    def link(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, [("t", "ascending"), ("det_idx", "ascending")]))
+        side = {c: table[c].cast(pa.float64()).to_numpy() for c in BOX}
+        centres = np.stack([(side["x0"] + side["x1"]) / 2, (side["y0"] + side["y1"]) / 2], 1)
+        one = lambda x: table[x][0].as_py() if isinstance(x, str) else x
         reach, fresh = float(one(max_dist)), int(one(start_id))
-        ids = np.zeros(len(pdf), np.int64)
+        ids = np.zeros(len(centres), np.int64)
         last = np.zeros(0, int)
-        frames = np.flatnonzero(np.diff(pdf["t"].to_numpy(), prepend=np.nan) != 0)
-        for a, b in zip(frames, [*frames[1:], len(pdf)]):
-            far = np.hypot(cx[a:b, None] - cx[last][None, :], cy[a:b, None] - cy[last][None, :])
-            for i in range(a, b):
-                k = int(far[i - a].argmin()) if len(last) else 0  # of equal ones the first
-                if len(last) and far[i - a, k] < reach:
-                    ids[i] = ids[last[k]]
-                    far[:, k] = np.inf
-                else:
-                    ids[i], fresh = fresh, fresh + 1
+        frames = np.flatnonzero(np.diff(table["t"].cast(pa.float64()).to_numpy(), prepend=np.nan) != 0)
+        for a, b in zip(frames, [*frames[1:], len(centres)]):
+            found = nearest_free(centres[a:b], centres[last], reach)
+            new = found < 0
+            ids[a:b][~new] = ids[last[found[~new]]]
+            ids[a:b][new] = np.arange(fresh, fresh + new.sum())
+            fresh += int(new.sum())
             last = np.arange(a, b)
-        return pdf.assign(track_id=ids)
+        return table.append_column("track_id", pa.array(ids))
 
-    fields = [f for f in detections.drop("track_id").dtypes]
-    return detections.drop("track_id").groupBy(*lead).applyInPandas(link, ", ".join(f"`{n}` {t}" for n, t in fields) + ", track_id long")
+    some = detections.drop("track_id")
+    return some.groupBy(*lead).applyInArrow(link, ", ".join(f"`{n}` {t}" for n, t in some.dtypes) + ", track_id long")
 
 
 def link_objects(detections: DataFrame, rois: DataFrame, p: Params = DEFAULTS, keys: list[str] | None = None) -> DataFrame:
