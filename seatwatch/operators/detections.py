@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import BOOK, DEFAULTS, PERSON, PHONE, Params
 from ..functions.geometry import BOX, box, box_iou, centre, contains, diagonal, touching
-from .seats import agglomerate, iou_many
+from .seats import Clusters, agglomerate
 
 
 # --- frames ------------------------------------------------------------------
@@ -323,14 +324,30 @@ def all_frames(sweep: DataFrame, evidence: DataFrame) -> DataFrame:
     return sweep.unionByName(evidence, allowMissingColumns=True)
 
 
+def hull(points: list[list[float]]) -> list[list[float]]:
+    """The corners of the points' convex hull."""
+    points = sorted(set(map(tuple, points)))
+    if len(points) < 3:
+        return [list(x) for x in points]
+    sides = []
+    for row in (points, points[::-1]):
+        side: list[tuple] = []
+        for c in row:
+            while len(side) > 1 and (side[-1][0] - side[-2][0]) * (c[1] - side[-2][1]) <= (side[-1][1] - side[-2][1]) * (c[0] - side[-2][0]):
+                side.pop()
+            side.append(c)
+        sides += side[:-1]
+    return [list(x) for x in sides]
+
+
 def fixture_map(detections: DataFrame, frames: DataFrame, p: Params = DEFAULTS, classes: list[int] | None = None, keys: list[str] | None = None, block_s: float | None = None) -> DataFrame:
     """(keys, cls_id, cluster, x0 .. y1, n, presence, span_s, drift): small objects that are long there and do not move.
 
     detections (keys, t, det_idx, cls_id, x0 .. y1), frames (keys, t).  Recordings of under fixture_samples frames have none.
-    Boxes are clustered in order of (t, det_idx), those of one class and recording in one group; with block_s
-    in blocks of so many seconds, each a group of its own, whose clusters are then clustered in the same way, each
-    weighing as many boxes as it has.  That group holds clusters, not boxes, and the work before it is spread; a
-    cluster that the walk over all boxes would have joined late may stay apart, or join another.
+    Boxes are clustered in order of (t, det_idx), those of one class and recording in one walk, of which only the clusters are
+    held; with block_s in blocks of so many seconds, each a walk of its own, whose clusters are then clustered in the same way,
+    each weighing as many boxes as it has.  So the walks are spread; a cluster that the walk over all boxes would have
+    joined late may stay apart, or join another.
     """
     keys = keys or []
     lead = [*keys, "cls_id"]
@@ -339,13 +356,41 @@ def fixture_map(detections: DataFrame, frames: DataFrame, p: Params = DEFAULTS,
     types = dict(detections.dtypes)
     head = ", ".join(f"{k} {types[k]}" for k in lead) + ", block long"
 
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "det_idx"])
-        own, mean = agglomerate(pdf[list(BOX)].to_numpy(float), p.fixture_iou, last_tie=True)
-        out = pdf[[*lead, "block", "t"]].assign(part=own, cx=(pdf["x0"] + pdf["x1"]) / 2, cy=(pdf["y0"] + pdf["y1"]) / 2)
-        for i, c in enumerate(BOX):
-            out[c] = mean[own, i]
-        return out
+    def done(key: tuple, found: Clusters, state: dict) -> pd.DataFrame:
+        out = pd.DataFrame({"part": range(found.k), **{c: found.mean[: found.k, i] for i, c in enumerate(BOX)}, **state})
+        return out.assign(**dict(zip([*lead, "block"], key)))[names]
+
+    def cluster(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Groups come one after another, in parts: of their boxes only the clusters are kept, of a cluster's centres those
+        that can be the farthest from a point, its hull."""
+        key = None
+        for pdf in parts:
+            same = pdf["_group"].to_numpy()
+            for a, b in zip(cuts := np.flatnonzero(np.append(True, same[1:] != same[:-1])), [*cuts[1:], len(pdf)]):
+                if same[a] != key:
+                    if key is not None:
+                        yield done(group, found, state)
+                    key, group, found = same[a], tuple(pdf[k].iloc[a] for k in [*lead, "block"]), Clusters(p.fixture_iou, last_tie=True)
+                    state = {c: [] for c in ("size", "n", "start", "stop", "sx", "sy", "hull", "times")}
+                boxes, t = pdf[list(BOX)].to_numpy(float)[a:b], pdf["t"].to_numpy(float)[a:b]
+                at = np.stack([(boxes[:, 0] + boxes[:, 2]) / 2, (boxes[:, 1] + boxes[:, 3]) / 2], 1)
+                own, rounded = found.add(boxes), pdf["_rounded"].to_numpy(float)[a:b]
+                order = np.argsort(own, kind="stable")
+                for rows in np.split(order, np.flatnonzero(np.diff(own[order])) + 1):
+                    c = int(own[rows[0]])
+                    while len(state["n"]) <= c:
+                        for name, new in zip(state, (0, 0, np.inf, -np.inf, 0.0, 0.0, [], [])):
+                            state[name].append(new if not isinstance(new, list) else list(new))
+                    times, before = np.unique(rounded[rows]), state["times"][c]
+                    times = times[times > before[-1]] if before else times  # they rise within a group
+                    state["n"][c] += len(times)
+                    state["times"][c] = [*before, *times.tolist()] if block_s else [*before, *times.tolist()][-1:]
+                    state["size"][c] += len(rows)
+                    state["start"][c], state["stop"][c] = min(state["start"][c], t[rows].min()), max(state["stop"][c], t[rows].max())
+                    state["sx"][c], state["sy"][c] = state["sx"][c] + at[rows, 0].sum(), state["sy"][c] + at[rows, 1].sum()
+                    state["hull"][c] = hull([*state["hull"][c], *at[rows].tolist()])
+        if key is not None:
+            yield done(group, found, state)
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["block", "part"])
@@ -356,17 +401,23 @@ def fixture_map(detections: DataFrame, frames: DataFrame, p: Params = DEFAULTS,
         return out
 
     sides = "x0 double, y0 double, x1 double, y1 double"
-    members = some.select(*lead, "t", "det_idx", *BOX, block.alias("block")).groupBy(*lead, "block").applyInPandas(cluster, f"{head}, t double, part int, cx double, cy double, {sides}")
+    names = [*lead, "block", "part", *BOX, "size", "n", "start", "stop", "sx", "sy", "hull", "times"]
+    group = F.to_json(F.struct(*lead, block.alias("block"))).alias("_group")
+    slim = some.select(*lead, block.alias("block"), F.col("t").cast("double").alias("t"), F.round(F.col("t").cast("double"), 3).alias("_rounded"), "det_idx", *BOX, group)
+    ordered = slim.repartition(*lead, "block").sortWithinPartitions("_group", "t", "det_idx").drop("det_idx")
+    found = ordered.mapInPandas(cluster, f"{head}, part int, {sides}, size long, n long, start double, stop double, sx double, sy double, hull array<array<double>>, times array<double>")
     if block_s:
-        parts = members.groupBy(*lead, "block", "part").agg(F.count("*").alias("size"), *(F.first(c).alias(c) for c in BOX))
-        merged = parts.groupBy(*lead).applyInPandas(merge, f"{head}, part int, cluster int, {sides}")
-        members = members.drop(*BOX).join(merged, [*lead, "block", "part"])
+        found = found.persist()  # read twice: to merge, and for what is summed up of the merged
+        merged = found.select(*lead, "block", "part", "size", *BOX).groupBy(*lead).applyInPandas(merge, f"{head}, part int, cluster int, {sides}")
+        whole = found.drop(*BOX).join(merged, [*lead, "block", "part"]).groupBy(*lead, "cluster", *BOX)
+        found = whole.agg(
+            *(F.sum(c).alias(c) for c in ("size", "sx", "sy")), F.size(F.array_distinct(F.flatten(F.collect_list("times")))).cast("long").alias("n"),
+            F.min("start").alias("start"), F.max("stop").alias("stop"), F.flatten(F.collect_list("hull")).alias("hull"),
+        )
     else:
-        members = members.withColumnRenamed("part", "cluster")
-    middle = members.groupBy(*lead, "cluster").agg(F.avg("cx").alias("_mx"), F.avg("cy").alias("_my"))
-    found = members.join(middle, [*lead, "cluster"]).groupBy(*lead, "cluster", *BOX).agg(
-        F.countDistinct(F.round("t", 3)).alias("n"), (F.max("t") - F.min("t")).alias("span_s"), F.max(F.hypot(F.col("cx") - F.col("_mx"), F.col("cy") - F.col("_my"))).alias("_far")
-    )
+        found = found.withColumnRenamed("part", "cluster")
+    far = F.array_max(F.transform("hull", lambda c: F.hypot(c[0] - F.col("sx") / F.col("size"), c[1] - F.col("sy") / F.col("size"))))
+    found = found.select(*lead, "cluster", *BOX, "n", (F.col("stop") - F.col("start")).alias("span_s"), far.alias("_far"))
     total = frames.groupBy(*keys).agg(F.countDistinct("t").alias("_frames"), (F.max("t") - F.min("t")).alias("_span"))
     found = found.join(total, keys) if keys else found.join(F.broadcast(total), F.lit(True))
     drift = F.col("_far") / F.greatest(diagonal(box()), F.lit(1.0))

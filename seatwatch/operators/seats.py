@@ -49,9 +49,11 @@ class Clusters:
         return np.where(good.any(1), top, -1)
 
     def _one(self, b: np.ndarray, weight: int) -> int:
-        v = iou_many(b, self.mean[: self.k])
+        m = self.mean[: self.k]
+        near = np.flatnonzero((m[:, 0] < b[2]) & (m[:, 2] > b[0]) & (m[:, 1] < b[3]) & (m[:, 3] > b[1]))  # the others have 0
+        v = iou_many(b, m[near])
         good = np.flatnonzero(v >= self.join if self.join > 0 else v > 0)
-        top = -1 if not len(good) else int(good[0]) if self.first_match else len(v) - 1 - int(v[::-1].argmax()) if self.last_tie else int(v.argmax())
+        top = -1 if not len(good) else int(near[good[0] if self.first_match else len(v) - 1 - int(v[::-1].argmax()) if self.last_tie else int(v.argmax())])
         if top < 0:
             top, self.k = self.k, self.k + 1
             if self.k > len(self.size):
