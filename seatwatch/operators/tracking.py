@@ -4,7 +4,7 @@ A window's detections are grouped state: its frames are walked once in order of
 track's state is predicted a frame at a time.  Confident boxes are assigned first, by overlap
 weighted with their confidence; tracks that go without are offered the faint boxes, which
 keeps a half-hidden person's id but starts none.  Ids count from 1 in each window and say nothing
-about another.
+about another.  Tracks and boxes that hang together by overlaps are assigned apart from the others.
 """
 
 from __future__ import annotations
@@ -54,6 +54,117 @@ def assign(cost: np.ndarray, limit: float) -> list[tuple[int, int]]:
     return sorted((int(r), c) for c, r in enumerate(row_of[:m]) if r >= 0 and cost[r, c] < limit)
 
 
+def _shared_out(gain: np.ndarray, room: np.ndarray) -> list[tuple[int, int]]:
+    """(row, column) with the least sum of gain; a column holds up to ``room`` rows and only pairs below 0 count.  What hangs
+    together by such pairs is solved apart."""
+    out, able = [], gain < 0
+    of_row, of_column = np.arange(len(gain)), np.full(gain.shape[1], len(gain))
+    while able.any():
+        of_column = np.where(able, of_row[:, None], len(gain)).min(0)
+        least = np.minimum(of_row, np.where(able, of_column[None, :], len(gain)).min(1))
+        if (least == of_row).all():
+            break
+        of_row = least
+    for part in np.unique(of_column[of_column < len(gain)]):
+        rows, columns = np.flatnonzero(of_row == part), np.flatnonzero(of_column == part)
+        own, least = gain[np.ix_(rows, columns)], room[columns]
+        if len(columns) > len(rows) and least.max() == 1:
+            taken = _flow(own.T, np.ones(len(rows), int))
+            out += [(rows[r], columns[c]) for c, r in enumerate(taken) if r >= 0]
+        else:
+            out += [(rows[r], columns[c]) for r, c in enumerate(_flow(own, least)) if c >= 0]
+    return out
+
+
+def _flow(gain: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """The column of each row, -1 for none: rows come one by one, each along the shortest path over columns.
+
+    over[j, k] is the least that a row of the full column j adds by going to k, who[j, k] that row; the last column is
+    for those that go without.  A path's work depends on the columns only, not on how many rows they hold.
+    """
+    n, m = gain.shape
+    cost = np.concatenate([np.where(gain < 0, gain, np.inf), np.zeros((n, 1))], 1)
+    every, at, free = np.arange(m + 1), np.full(n, m), np.append(room, n)
+    over, who, best = np.full((m, m + 1), np.inf), np.zeros((m, m + 1), int), cost.argmin(1)
+    for i in range(n):
+        end = int(best[i])
+        via = None
+        if not free[end]:
+            dist, via, full = cost[i].copy(), np.full(m + 1, -1), free == 0
+            todo = np.flatnonzero(full & (dist < np.inf))
+            for _ in range(m):
+                step = dist[todo, None] + over[todo]
+                by = step.argmin(0)
+                step = step[by, every]
+                better = step < dist - 1e-12
+                dist[better], via[better] = step[better], todo[by[better]]
+                todo = np.flatnonzero(better & full)
+                if not len(todo):
+                    break
+            end = int(np.where(full, np.inf, dist).argmin())
+        free[end] -= 1
+        path = [end]
+        while via is not None and via[end] >= 0:
+            j = int(via[end])
+            at[who[j, end]], end = end, j
+            path.append(j)
+        at[i] = end
+        for j in path:
+            if j < m and not free[j]:
+                held = np.flatnonzero(at == j)
+                more = cost[held] - cost[held, j][:, None]
+                by = more.argmin(0)
+                over[j], who[j] = more[by, every], held[by]
+                over[j, j] = np.inf
+    return np.where(at < m, at, -1)
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(rows of a, rows of b) in parts such that boxes of different parts share nothing, by cuts across and down."""
+    out, todo, both = [], [(np.arange(len(a) + len(b)), 0, 0)], np.concatenate([a, b])
+    while todo:
+        some, axis, stuck = todo.pop()
+        some = some[np.argsort(both[some, axis], kind="stable")]
+        cuts = np.flatnonzero(both[some[1:], axis] >= np.maximum.accumulate(both[some, axis + 2])[:-1]) + 1
+        if not len(cuts) and stuck:
+            some = np.sort(some)
+            out.append((some[some < len(a)], some[some >= len(a)] - len(a)))
+            continue
+        for part in np.split(some, cuts):
+            if part.min() < len(a) <= part.max():
+                todo.append((part, 1 - axis, 0 if len(cuts) else stuck + 1))
+    return out
+
+
+#: Overlaps that are computed at a time.
+OVERLAPS = 1_000_000
+
+
+def meeting(a: np.ndarray, b: np.ndarray, weight: np.ndarray, limit: float, dense: int = 40_000) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a and of b, pair by pair, of the best assignment by 1 - IoU * weight (of b) below limit.
+
+    Up to ``dense`` pairs are one matrix.  Of more, only boxes that can share anything are held against each other, and
+    equal boxes of equal weight stand as one with room for as many, of which the first are taken; the sum is the
+    same least one, and of equally good assignments another may be met.
+    """
+    if len(a) * len(b) <= dense:
+        pairs = assign(1 - overlaps(a, b) * weight[None, :], limit)
+        return np.array([r for r, _ in pairs], int), np.array([c for _, c in pairs], int)
+    kinds, kind, room = np.unique(np.concatenate([b, weight[:, None]], 1), axis=0, return_inverse=True, return_counts=True)
+    pairs = []
+    for rows, columns in [(np.arange(len(a)), np.arange(len(kinds)))] if limit > 1 else _apart(a, kinds[:, :4]):
+        step, own = max(1, OVERLAPS // len(columns)), kinds[columns]
+        gain = np.concatenate([1 - overlaps(a[rows[i : i + step]], own[:, :4]) * own[None, :, 4] - limit for i in range(0, len(rows), step)])
+        pairs += [(rows[r], columns[c]) for r, c in _shared_out(gain, room[columns])]
+    pairs.sort()
+    r, c = np.array([x for x, _ in pairs], int), np.array([x for _, x in pairs], int)
+    order = np.argsort(c, kind="stable")  # by kind, then row: the n-th row of a kind takes its n-th box
+    held, first = np.argsort(kind.reshape(-1), kind="stable"), np.cumsum(room) - room
+    place = np.zeros(len(c), int)
+    place[order] = np.arange(len(c)) - np.searchsorted(c[order], c[order])
+    return r, held[first[c] + place]
+
+
 def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """IoU of each of many boxes with each of many others."""
     w = np.maximum(np.minimum(a[:, None, 2], b[None, :, 2]) - np.maximum(a[:, None, 0], b[None, :, 0]), 0)
@@ -121,7 +232,7 @@ class Tracks:
             setattr(self, name, getattr(self, name)[rows])
 
 
-def walk(frame: np.ndarray, boxes: np.ndarray, conf: np.ndarray, frames: int, p: Params = DEFAULTS) -> np.ndarray:
+def walk(frame: np.ndarray, boxes: np.ndarray, conf: np.ndarray, frames: int, p: Params = DEFAULTS, dense: int = 40_000) -> np.ndarray:
     """The track id of each box of one window, 0 for none; ``frame`` (0 to frames - 1) rises.
 
     A box that only begins a track has its id once a box of the next frame confirms it; tracks from the
@@ -140,9 +251,8 @@ def walk(frame: np.ndarray, boxes: np.ndarray, conf: np.ndarray, frames: int, p:
 
         def meet(rows: np.ndarray, found: np.ndarray, limit: float, fuse: bool) -> np.ndarray:
             """Assigns found boxes to rows; what is left of found."""
-            shared = overlaps(at[rows], boxes[found])
-            pairs = assign(1 - (shared * conf[found][None, :] if fuse else shared), limit)
-            r, c = rows[[a for a, _ in pairs]], found[[b for _, b in pairs]]
+            r, c = meeting(at[rows], boxes[found], conf[found] if fuse else np.ones(len(found)), limit, dense)
+            r, c = rows[r], found[c]
             if len(r):
                 tracks.correct(r, _measured(boxes[c]), f)
                 out[c], free[r] = tracks.id[r], False

@@ -32,6 +32,44 @@ def test_assignment_equals_trying_all():
         assert abs(sum(cost[r, c] - 0.6 for r, c in got) - all_assignments(cost.tolist(), 0.6)[0]) < 1e-9
 
 
+def crowd(seed, people, frames=8):
+    """Boxes of five places, many of them equal, and confidences of four steps."""
+    rng = np.random.default_rng(seed)
+    k, step = rng.integers(0, 5, (frames, people)), rng.integers(0, 4, (frames, people)) * 1.0
+    x, y = 110.0 * k + step, 200 + 150.0 * (k % 2) - step
+    return np.repeat(np.arange(frames), people), np.stack([x, y, x + 70 + step, y + 140], 2).reshape(-1, 4), rng.choice([0.15, 0.29, 0.5, 0.8], frames * people)
+
+
+def test_assignment_in_parts_has_the_least_sum():
+    """Boxes of several places, equal ones among them, against the dense matrix; unequal ones give the same pairs."""
+    rng = np.random.default_rng(1)
+    for i in range(120):
+        n, m = rng.integers(0, 40, 2)
+        a = rng.uniform(0, 300, (n, 4)) if i % 2 else crowd(i, n, 1)[1] + rng.normal(0, 2, (n, 4))
+        b, weight = (rng.uniform(0, 300, (m, 4)), rng.random(m)) if i % 2 else crowd(i + 1000, m, 1)[1:]
+        a, b = (np.concatenate([x[:, :2], x[:, :2] + np.maximum(x[:, 2:] - x[:, :2], 5 + x[:, 2:] / 4)], 1) for x in (a, b))
+        limit = (0.5, 0.8, 1.2)[i % 3]
+        cost = 1 - tracking.overlaps(a, b) * weight[None, :]
+        (r, c), want = tracking.meeting(a, b, weight, limit, dense=0), tracking.assign(cost, limit)
+        assert len(set(r)) == len(set(c)) == len(r) and (cost[r, c] < limit).all()
+        assert abs((cost[r, c] - limit).sum() - sum(cost[j, k] - limit for j, k in want)) < 1e-9
+        assert limit > 1 or i % 2 == 0 or list(zip(r, c)) == want
+
+
+def test_tracks_of_thousands_in_a_frame():
+    """A dense matrix of 3,000 x 3,000 takes minutes a frame."""
+    from time import monotonic
+
+    frame, boxes, conf = crowd(0, 3000, 4)
+    began = monotonic()
+    ids = tracking.walk(frame, boxes, conf, 4)
+    assert monotonic() - began < 30
+    for f in range(4):
+        own = ids[frame == f]
+        assert len(np.unique(own[own > 0])) == (own > 0).sum() > 2000
+        assert all(len(np.unique(boxes[(ids == t), 0] // 110)) == 1 for t in own[own > 0][:50])  # a track keeps its place
+
+
 def share(a, b):
     w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
     if w <= 0 or h <= 0:
