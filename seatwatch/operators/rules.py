@@ -154,29 +154,53 @@ def crowds(counts: DataFrame, p: Params = DEFAULTS, keys: list[str] | None = Non
     return runs.where(length >= p.crowd_s).select(*keys, "start_sec", "end_sec", "peak", "mean", conf.alias("confidence"))
 
 
-def persistent_objects(samples: DataFrame, assigned: DataFrame, p: Params = DEFAULTS, keys: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
+#: Seconds of a sweep whose samples are numbered and whose runs are found together, and samples that a task holds at most.
+RUN_BLOCK_S, TASK_SAMPLES = 3600.0, 20_000
+
+
+def persistent_objects(samples: DataFrame, assigned: DataFrame, p: Params = DEFAULTS, keys: list[str] | None = None, by: list[str] | None = None, block_s: float = RUN_BLOCK_S, parts: int | None = None) -> DataFrame:
     """Runs of sweep samples with an object at one seat; single missing samples do not end a run.
 
     samples (keys, t): all of them; assigned (keys, by, t, seat_id, conf); by: what tells kinds of objects apart.  A run
-    needs sweep_run samples and a share of sweep_share with the object.
+    needs sweep_run samples and a share of sweep_share with the object.  Runs are found in blocks of block_s seconds, dealt
+    to ``parts`` tasks; only the first and last of a block can go on beyond it, so these alone are chained along the recording.
     """
-    keys, by_kind = keys or [], by or []
-    number = samples.select(*keys, "t").distinct().withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy("t")))
-    hits = assigned.groupBy(*keys, *by_kind, "seat_id", "t").agg(F.max("conf").alias("conf")).join(number, [*keys, "t"])
-    by = Window.partitionBy(*keys, *by_kind, "seat_id").orderBy("_i")
-    hits = hits.withColumn("_new", (F.coalesce(F.col("_i") - F.lag("_i").over(by), F.lit(99)) > 2).cast("int")).withColumn("_run", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = hits.groupBy(*keys, *by_kind, "seat_id", "_run").agg(F.min("t").alias("start_sec"), F.max("t").alias("end_sec"), (F.max("_i") - F.min("_i") + 1).alias("samples"), F.count("*").alias("hits"), F.avg("conf").alias("mean_conf"))
+    keys, lead = keys or [], [*(keys or []), *(by or []), "seat_id"]
+    at, own = [*keys, "_block"], [*lead, "_block"]
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_block", F.floor(F.col("t") / block_s)).repartition(*([parts] if parts else []), *at)
+
+    def chained(rows: DataFrame, own: list[str], first: str, last: str) -> DataFrame:
+        w = Window.partitionBy(*own).orderBy(first)
+        rows = rows.withColumn("_new", (F.coalesce(F.col(first) - F.lag(last).over(w), F.lit(99)) > 2).cast("int"))
+        return rows.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+    def good(samples: Column, hits: Column) -> Column:
+        return (samples >= p.sweep_run) & (hits / samples >= p.sweep_share)
+
+    # samples and hits lie in one set of rows, dealt once: a hit's place in its block is the number of samples up to it
+    marks = samples.select(*keys, "t").where(F.col("t").isNotNull()).distinct().withColumn("_sample", F.lit(1))
+    rows = dealt(assigned.select(*lead, "t", "conf").withColumn("_sample", F.lit(0)).unionByName(marks, allowMissingColumns=True)).groupBy(*own, "t", "_sample").agg(F.max("conf").alias("conf"))
+    rows = rows.withColumn("_n", F.sum("_sample").over(Window.partitionBy(*at).orderBy("t"))).withColumn("_known", F.max("_sample").over(Window.partitionBy(*at, "t")))
+    sizes = marks.groupBy(*keys, F.floor(F.col("t") / block_s).alias("_block")).agg(F.count("*").alias("_size"))  # a row a block
+    before = F.sum("_size").over(Window.partitionBy(*keys).orderBy("_block")) - F.col("_size")
+    hits = rows.where((F.col("_sample") == 0) & (F.col("_known") == 1)).join(sizes.select(*at, before.alias("_before")), at).withColumn("_i", F.col("_before") + F.col("_n"))
+    found = chained(hits, own, "_i", "_i").groupBy(*own, "_run").agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.min("_i").alias("i0"), F.max("_i").alias("i1"), F.count("*").alias("n"), F.sum("conf").alias("_sum"), F.count("conf").alias("_some"))
+    inner = (F.col("_run") > 1) & (F.col("_run") < F.max("_run").over(Window.partitionBy(*own)))
+    found = found.withColumn("_alone", F.when(inner, F.struct("_block", "_run"))).drop("_run").where(F.col("_alone").isNull() | good(F.col("i1") - F.col("i0") + 1, F.col("n")))
+    own = [*lead, "_alone"]
+    runs = chained(found, own, "i0", "i1").groupBy(*own, "_run").agg(F.min("t0").alias("start_sec"), F.max("t1").alias("end_sec"), (F.max("i1") - F.min("i0") + 1).alias("samples"), F.sum("n").alias("hits"), (F.sum("_sum") / F.nullif(F.sum("_some"), F.lit(0))).alias("mean_conf"))
     share = F.col("hits") / F.col("samples")
-    good = (F.col("samples") >= p.sweep_run) & (share >= p.sweep_share)
-    return runs.where(good).select(*keys, *by_kind, "seat_id", "start_sec", "end_sec", "samples", "hits", "mean_conf", clip(blend(share, F.col("mean_conf")) * 0.9, 0.05, 0.9).alias("confidence"))
+    return runs.where(good(F.col("samples"), F.col("hits"))).select(*lead, "start_sec", "end_sec", "samples", "hits", "mean_conf", clip(blend(share, F.col("mean_conf")) * 0.9, 0.05, 0.9).alias("confidence"))
 
 
-def sweep_events(samples: DataFrame, sweep: DataFrame, seats: DataFrame, p: Params = DEFAULTS, keys: list[str] | None = None) -> DataFrame:
+def sweep_events(samples: DataFrame, sweep: DataFrame, seats: DataFrame, p: Params = DEFAULTS, keys: list[str] | None = None, parts: int | None = None) -> DataFrame:
     """(keys, action_label, seat_id, start_sec, end_sec, ...): phones and papers that a sparse sweep (keys, t, cls_id, conf,
     x0 .. y1) keeps seeing at a seat; a paper that is there is not yet one that is passed."""
     label = F.when((F.col("cls_id") == PHONE) & (F.col("conf") >= p.phone_conf * p.sweep_phone_share), "mobile_phone_usage").when((F.col("cls_id") == BOOK) & (F.col("conf") >= p.book_conf), "paper_pass_object_present")
     objects = sweep.withColumn("action_label", label).where(F.col("action_label").isNotNull())
-    return persistent_objects(samples, assign_sweep(objects, seats, keys), p, keys, ["action_label"])
+    return persistent_objects(samples, assign_sweep(objects, seats, keys), p, keys, ["action_label"], parts=parts)
 
 
 def drop_known(sweep: DataFrame, events: DataFrame, p: Params = DEFAULTS, keys: list[str] | None = None) -> DataFrame:

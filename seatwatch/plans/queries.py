@@ -755,7 +755,8 @@ runs AS (SELECT action_label, seat_id, min(t) AS start_sec, max(t) AS end_sec, m
 SELECT action_label, seat_id, start_sec, end_sec, samples, hits, round(mean_conf, 6) AS mean_conf, round(least(greatest({blend_sql('hits / samples::DOUBLE', 'mean_conf')} * 0.9, 0.05), 0.9), 6) AS confidence FROM runs WHERE samples >= 3 AND hits / samples::DOUBLE >= 0.6""", "v_sweep_assigned")
 def _(v):
     """Phones and papers at one seat of the sweep."""
-    return rules.sweep_events(v.sweep_times(), v.sweep(), v.seats()).select("action_label", "seat_id", "start_sec", "end_sec", "samples", "hits", *r6("mean_conf", "confidence"))
+    parts = max(int(v.spark.conf.get("spark.sql.shuffle.partitions")), v.sweep_frames() // rules.TASK_SAMPLES)
+    return rules.sweep_events(v.sweep_times(), v.sweep(), v.seats(), parts=parts).select("action_label", "seat_id", "start_sec", "end_sec", "samples", "hits", *r6("mean_conf", "confidence"))
 
 
 @query("sweep_dedupe", f"SELECT s.video, s.ord FROM v_manifest s WHERE s.ord % 4 = 0 AND NOT EXISTS (SELECT 1 FROM v_manifest e WHERE e.ord % 4 > 0 AND e.video = s.video AND e.seat_id = s.seat_id AND e.action_label = s.action_label AND {tiou_sql('s', 'e')} >= 0.3)", "v_manifest")

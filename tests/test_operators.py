@@ -266,6 +266,27 @@ def test_persistent_runs_equal_greedy(spark, seed):
     assert got == greedy_runs(hits)
 
 
+def test_runs_across_blocks_equal_those_of_one_block(spark):
+    """Of two recordings and kinds; no task takes all samples, only a row a block."""
+    import re
+
+    rng = np.random.default_rng(3)
+    samples = spark.createDataFrame([(v, 5.0 * i + v) for v in range(2) for i in range(300)], "video int, t double")
+    rows = [(v, k, s, 5.0 * i + v, float(rng.random())) for v in range(2) for k in "ab" for s in range(3) for i in range(300) if rng.random() < 0.4 + 0.2 * s]
+    seen = spark.createDataFrame([*rows, (0, "a", 9, None, 0.5)], "video int, kind string, seat_id int, t double, conf double")
+    want = []
+    for v, k, s in sorted({r[:3] for r in rows}):
+        at = {round((r[3] - v) / 5): r[4] for r in rows if r[:3] == (v, k, s)}
+        for a, b in greedy_runs([i in at for i in range(300)]):
+            conf = [c for i, c in at.items() if a <= i <= b]
+            want.append((v, k, s, 5.0 * a + v, 5.0 * b + v, b - a + 1, len(conf), round(sum(conf) / len(conf), 9)))
+    for block_s in (5.0, 12.0, 60.0, 1e6):
+        got = rules.persistent_objects(samples, seen, keys=["video"], by=["kind"], block_s=block_s, parts=3).collect()
+        assert sorted((*r[:7], round(r["mean_conf"], 9)) for r in got) == sorted(want), block_s
+    plan = rules.persistent_objects(samples.where("video = 0").drop("video"), seen.where("video = 0").drop("video"), by=["kind"])._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange SinglePartition, ENSURE(?!.*\n.*Aggregate)", plan)
+
+
 def test_every_window_gets_one_label(spark):
     w = spark.createDataFrame([(i, 0.1 * i) for i in range(4)], "window_id int, mean_z double")
     f = lambda rows: spark.createDataFrame(rows, "window_id int, confidence double, note string")
