@@ -86,6 +86,21 @@ def test_indexed_search_equals_the_scan(spark, tmp_path):
     assert "PartitionFilters: [slot" in plan
 
 
+def test_postings_grow_with_texts_not_with_events(spark, tmp_path):
+    """An event is a row for each of its texts; equal texts share their postings."""
+    from pathlib import Path
+
+    size = {}
+    for n in (20, 400):
+        rows = [("a", i, i % 4, 60.0 * (i % 5), "paper_pass", None, "Rule Aa") for i in range(n)]
+        search.write_search_index(spark.createDataFrame(rows, EVENTS), str(tmp_path / str(n)), ["video", "ord"])
+        folders = {f.parent.parent for f in Path(tmp_path / str(n)).rglob("slot=*/*.parquet")}
+        size[n] = {f.name: spark.read.parquet(str(f)).count() for f in folders}
+    assert size[20]["grams"] == size[400]["grams"] and size[400]["events"] == 5 * 400
+    hit = search.indexed_search(spark, str(tmp_path / "400"), spark.createDataFrame(rows, EVENTS), "seat 3", ["video", "ord"])
+    assert sorted(r["ord"] for r in hit.collect()) == list(range(3, 400, 4))
+
+
 def test_small_pieces(spark, tmp_path):
     d = spark.createDataFrame([(1, 67, 0.2), (2, 67, 0.1), (3, 73, 0.15), (4, 0, 0.9), (5, None, 0.9), (6, 67, None)], "det_idx int, cls_id int, conf double")
     assert sorted(r["det_idx"] for r in detections.scan_detections(d, {67: 0.2, 73: 0.12}).collect()) == [1, 3]
